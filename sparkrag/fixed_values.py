@@ -15,8 +15,7 @@ CJK = r"\x{4e00}-\x{9fff}"
 THAI = r"\x{e00}-\x{e7f}"
 
 # --- text normalization ------------------------------------------------------------------------
-ZERO_WIDTH = r"[\x{200b}-\x{200d}\x{2060}\x{feff}]"
-UNITS = "mm|cm|km|kg|mg|ml|ppm|ha|℃|%|m|g|l"
+ZERO_WIDTH_CHARS = "​‌‍⁠﻿"
 EDGE_CHARS = " \t\r\n\u3000。，、；：,;:~～"
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
 

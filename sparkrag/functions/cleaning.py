@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import fold_spaces
+from .text import fold_spaces, let
 
 _KEYED = "['\"](?:" + V.RESIDUE_KEYS + ")['\"]" + V.WS + "*:" + V.WS + "*"
 
@@ -117,7 +117,11 @@ def extract_caption(col) -> Column:
 
 def caption_of(cleaned) -> Column:
     """The same for text that went through ``strip_residue`` already."""
-    s, dash = _c(cleaned), "[-–—.]"
+    return let(_c(cleaned), _caption)
+
+
+def _caption(s: Column) -> Column:
+    dash = "[-–—.]"
     start = V.CAPTION_LABEL + V.WS + r"*[\p{Nd}IVX]"
     pattern = ("(" + start + r"{1,3}(?:" + dash + r"\p{Nd}{1,3})?(?:" + V.WS
                + "|[.:：]){0,3})([^。；\\n|]{4,70})")
@@ -149,6 +153,10 @@ def source_group(doc) -> Column:
 def valid_md_table(col) -> Column:
     """Is this a real Markdown table rather than a falsely detected one?"""
     lines = F.filter(F.split(_c(col), "\n"), lambda x: x.rlike(r"[^" + V.WS[1:-1] + "]"))
+    return let(lines, _valid_lines)
+
+
+def _valid_lines(lines: Column) -> Column:
     head = F.get(lines, F.lit(0))
 
     def pipes(x):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as V
-from .text import strip
+from .text import let, strip
 
 
 def _c(col) -> Column:
@@ -35,11 +35,10 @@ def parse_description(col) -> Column:
     """Image description struct; text that is no JSON becomes the description (first 500)."""
     names = ("description", "text_in_image", "agricultural_semantics")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    parsed = extract_json(col, schema)
     raw = F.substring(strip(F.coalesce(_c(col), F.lit(""))), 1, 500)
-    return F.when(parsed.isNull(), F.struct(raw.alias(names[0]), F.lit("").alias(names[1]),
+    return let(extract_json(col, schema), lambda parsed: F.when(parsed.isNull(), F.struct(raw.alias(names[0]), F.lit("").alias(names[1]),
                                             F.lit("").alias(names[2]))).otherwise(
-        F.struct(*[_field(parsed, n).alias(n) for n in names]))
+        F.struct(*[_field(parsed, n).alias(n) for n in names])))
 
 
 def describe_to_text(info: Column) -> Column:
@@ -57,7 +56,10 @@ def parse_step(col) -> Column:
         T.StructField("action", T.StructType([T.StructField("tool", T.StringType()),
                                               T.StructField("args", T.StringType())])),
         T.StructField("final_answer", T.StringType())])
-    p = extract_json(col, schema)
+    return let(extract_json(col, schema), _step)
+
+
+def _step(p: Column) -> Column:
     answer = F.nullif(strip(p["final_answer"]), F.lit(""))
     none = F.lit(None).cast("string")
     return (F.when(p["action"]["tool"].isNotNull(),

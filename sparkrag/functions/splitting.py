@@ -47,14 +47,18 @@ def _pieces(text: str, size: int, overlap: int, min_tail: int) -> list[str]:
 def _split(col: Column, size: Column, overlap: Column, min_tail: int) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def long_pieces(t: pd.Series, n: pd.Series, o: pd.Series) -> pd.Series:
-        return pd.Series([_pieces(x, int(a), int(b), min_tail) if x is not None else None
+        def one(x, a, b):
+            x = x.strip()
+            if len(x) <= a:
+                return [x] if len(x) >= V.MIN_CHUNK_CHARS else []
+            return _pieces(x, int(a), int(b), min_tail)
+        return pd.Series([one(x, a, b) if x is not None else None
                           for x, a, b in zip(t, n, o)], dtype=object)
 
-    text = strip(col)
-    short = F.filter(F.array(text), lambda x: F.length(x) >= V.MIN_CHUNK_CHARS)
-    long = F.length(text) > size
-    return F.when(long, long_pieces(F.when(long, text), size, overlap)).otherwise(
-        F.coalesce(short, F.array().cast("array<string>")))
+    # Only texts that may need a cut go to Python.
+    short = F.filter(F.array(strip(col)), lambda x: F.length(x) >= V.MIN_CHUNK_CHARS)
+    long = F.length(col) > size
+    return F.when(long, long_pieces(F.when(long, col), size, overlap)).otherwise(short)
 
 
 def _lit(x) -> Column:

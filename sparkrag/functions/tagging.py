@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from .json_text import json_object_text
-from .text import strip
+from .text import let, strip
 
 NO_TEXTS = "array<string>"
 
@@ -128,8 +128,10 @@ _MODEL_SCHEMA = T.StructType([
 
 def clean_semantic(col) -> Column:
     """Model output as a typed struct: unknown keys dropped, texts trimmed, lists filtered."""
-    p = F.from_json(json_object_text(col), _MODEL_SCHEMA)
+    return let(F.from_json(json_object_text(col), _MODEL_SCHEMA), _clean_parsed)
 
+
+def _clean_parsed(p: Column) -> Column:
     def text(c):
         return F.nullif(strip(c), F.lit(""))
 

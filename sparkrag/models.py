@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.text import multilingual_tokens
+from .functions.text import let, once, spread, with_tokens
 
 
 def with_model(df: DataFrame, fn: Callable, inputs: list[str], output: str,
@@ -60,17 +60,22 @@ def hash_embed(tokens, dim: int = 64) -> Column:
     """Stand-in embedding: token counts in hashed buckets, unit length.  Runs in the JVM."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     slot = F.transform(t, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % dim)
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(
-        F.filter(slot, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sizes, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    count = let(slot, lambda s: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x / n)))
+
+    return let(count, unit)
 
 
 def embed_with_hash(dim: int = 64, terms=()) -> Callable[[DataFrame, str, str], DataFrame]:
     """An embedding step ``(df, text column, output column) -> df`` for the search plans."""
     def step(df: DataFrame, text: str, out: str) -> DataFrame:
-        df = df.withColumn("__tokens", multilingual_tokens(text, terms))
-        return df.withColumn(out, hash_embed("__tokens", dim)).drop("__tokens")
+        df = with_tokens(spread(df), text, "__tokens", terms)
+        return once(df, out, hash_embed("__tokens", dim)).drop("__tokens")
     return step
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.splitting import chunk_text
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .prefix import int_bucket, prefix
 
 
@@ -25,7 +25,10 @@ def classify_block() -> Column:
     names = F.create_map(*[F.lit(x) for kv in V.BLOCK_TYPE_NAMES.items() for x in kv])
     declared = names[F.lower(strip(F.coalesce("type", F.lit(""))))]
     scanned = F.col("page_idx").isNotNull() & F.coalesce("page_scan", F.lit(False))
-    text = _text()
+    return let(_text(), lambda text: _by_look(text, declared, scanned))
+
+
+def _by_look(text: Column, declared: Column, scanned: Column) -> Column:
     title = (F.length(text).between(2, 60) & text.rlike(V.NUMBERED_TITLE)
              & ~F.instr(F.lit(V.SENTENCE_ENDINGS), F.right(text, F.lit(1))).cast("boolean"))
     return (

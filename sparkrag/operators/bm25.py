@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import multilingual_tokens
+from ..functions.text import spread, with_tokens
 from ..sources.stage import staged
 from .prefix import top_n
 
@@ -50,8 +50,8 @@ class BM25Index:
 def bm25_index(records: DataFrame, text: str = "text", terms=(), keep: tuple[str, ...] = (),
                stage: bool = True) -> BM25Index:
     """Tokenize ``records`` (chunk_id, text, ...) once.  ``terms`` is the Thai dictionary."""
-    docs = records.select("chunk_id", *keep, multilingual_tokens(text, terms).alias("tokens"))
-    docs = docs.withColumn("doc_len", F.size("tokens"))
+    docs = with_tokens(spread(records.select("chunk_id", *keep, text)), text, "tokens", terms)
+    docs = docs.drop(text).withColumn("doc_len", F.size("tokens"))
     return BM25Index(staged(docs, "bm25") if stage else docs, keep)
 
 
@@ -66,7 +66,8 @@ def term_weight(n_docs: Column, avg_len: Column) -> Column:
 
 
 def query_terms(queries: DataFrame, by: list[str], text: str = "text", terms=()) -> DataFrame:
-    return queries.select(*by, F.explode(multilingual_tokens(text, terms)).alias("term"))
+    q = with_tokens(queries.select(*by, text), text, "__tokens", terms)
+    return q.select(*by, F.explode("__tokens").alias("term"))
 
 
 def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id",),

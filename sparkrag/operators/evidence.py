@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import numbers
+from ..functions.text import numbers, once
 
 _NEED = "struct<slot:string,name:string,forms:array<string>>"
 
@@ -31,14 +31,15 @@ def check_evidence(queries: DataFrame, docs: DataFrame, aliases: dict[str, list[
 
     needs = F.filter(F.array(*[need(s) for s in V.REQUIRED_SLOTS]), lambda x: x.isNotNull())
     asked = F.when(F.col("query").rlike(V.NUMERIC_CONDITION), numbers("query"))
-    q = queries.select(
-        "query_id", needs.cast(f"array<{_NEED}>").alias("needs"),
+    q = once(queries, "__needs", needs.cast(f"array<{_NEED}>"))
+    q = once(q, "__key", F.get(asked, F.lit(0))).select(
+        "query_id", F.col("__needs").alias("needs"),
         F.coalesce("symptoms", F.array().cast("array<string>")).alias("symptoms"),
-        F.get(asked, F.lit(0)).alias("key"))
+        F.col("__key").alias("key"))
 
-    t = F.lower(F.coalesce("text", F.lit("")))
-    d = docs.select("query_id", "chunk_id", t.alias("t"),
-                    numbers(F.coalesce("text", F.lit(""))).alias("nums"))
+    body = F.coalesce("text", F.lit(""))
+    d = once(once(docs, "t", F.lower(body)), "nums", numbers(body)).select(
+        "query_id", "chunk_id", "t", "nums")
     near = F.exists("nums", lambda n: F.abs(n - F.col("key")) <= F.greatest(
         F.lit(0.5), F.abs(F.col("key")) * 0.05))
     j = q.join(d, "query_id", "left").select(

@@ -14,15 +14,17 @@ from ..functions.text import strip
 DIGITS = 4
 
 
-def retrieval_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int = 10
-                      ) -> DataFrame:
+def retrieval_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: int = 10,
+                      gold_size: str | None = None) -> DataFrame:
     """hit@1, hit@3, recall@k, MRR and NDCG per query; no gold means zero.
 
     ``queries``: query_id and any labels.  ``hits``: query_id, chunk_id, rank.  ``gold``:
-    query_id, chunk_id.
+    query_id, chunk_id.  ``gold_size`` names a query column with the number of gold chunks; then
+    ``gold`` may be cut down to the chunks that were hit.
     """
     g = gold.select("query_id", "chunk_id").distinct()
-    size = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    size = (queries.select("query_id", F.col(gold_size).alias("__n")) if gold_size else
+            g.groupBy("query_id").agg(F.count("*").alias("__n")))
     good = hits.join(g, ["query_id", "chunk_id"], "left_semi")
     top = F.col("rank") <= k
     m = good.groupBy("query_id").agg(
@@ -31,7 +33,7 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: i
         F.sum(F.when(top, 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
     ideal = [sum(1.0 / math.log2(r + 1) for r in range(1, n + 1)) for n in range(k + 1)]
     idcg = F.element_at(F.array(*map(F.lit, ideal)),
-                        F.least(F.col("n_gold"), F.lit(k)).cast("int") + 1)
+                        F.least(F.col("__n"), F.lit(k)).cast("int") + 1)
 
     def zero(c):
         return F.coalesce(c, F.lit(0.0))
@@ -40,7 +42,7 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, k: i
         *queries.columns,
         F.when(F.col("best") == 1, 1.0).otherwise(0.0).alias("hit_at_1"),
         F.when(F.col("best") <= 3, 1.0).otherwise(0.0).alias("hit_at_3"),
-        zero(F.col("found") / F.col("n_gold")).alias("recall_at_k"),
+        zero(F.col("found") / F.col("__n")).alias("recall_at_k"),
         zero(1.0 / F.col("best")).alias("mrr"),
         zero(F.col("dcg") / idcg).alias("ndcg")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from ..functions import tagging as G
-from ..functions.text import normalize_text
+from ..functions.text import normalize_text, once
 
 # Up to here the dictionary becomes one CASE per slot (JVM, no join); above it a keyword automaton.
 CASE_TERMS = 256
@@ -35,8 +35,9 @@ def entity_keys(terms: DataFrame) -> DataFrame:
          for c, (_, t) in V.CATEGORY_PREFIX_TYPE.items() if t in V.SLOT_BY_TYPE],
         F.lit(None).cast("string"))
     return (terms.withColumn("slot", slot).filter("slot IS NOT NULL")
-            .select(F.explode(F.array(F.struct("alias", F.lit(0).alias("o")),
-                                      F.struct("canonical", F.lit(1).alias("o")))).alias("f"),
+            .select(F.explode(F.array(
+                F.struct(F.col("alias").alias("alias"), F.lit(0).alias("o")),
+                F.struct(F.col("canonical").alias("alias"), F.lit(1).alias("o")))).alias("f"),
                     F.col("canonical").alias("value"), "slot", "category_ord", "alias_ord")
             .transform(_fold_keys))
 
@@ -130,7 +131,7 @@ def detect_entities(df: DataFrame, words: list[tuple[str, str, str]], text: str
 
     ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``.
     """
-    df = df.withColumn("__v", normalize_text(text, fold_case=True))
+    df = once(df, "__v", normalize_text(text, fold_case=True))
     codes = [("orchard", G.orchard_code("__v")), ("plot", G.plot_code("__v"))]
     extra = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("value")) for s, c in codes])
     found = F.transform(entity_hits(F.col("__v"), words),

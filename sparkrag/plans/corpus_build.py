@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import cleaning as C
 from ..functions.splitting import split_text
-from ..functions.text import fold_spaces, strip
+from ..functions.text import fold_spaces, once, strip
 from ..operators import corpus as O
 
 
@@ -23,8 +23,8 @@ def grade_raw(raw: DataFrame, exclude: list[str] = ()) -> DataFrame:
     df = O.exclude_docs(df, list(exclude))
     df = df.withColumn("source_group", C.source_group("doc"))
     lit = F.col("source_group") == "literature"
-    df = df.withColumn("cleaned", F.when(lit, C.strip_residue("text"))
-                       .otherwise(fold_spaces(F.col("text"))))
+    df = once(df, "cleaned", F.when(lit, C.strip_residue("text"))
+              .otherwise(fold_spaces(F.col("text"))))
     return df.withColumn("grade", F.when(lit, C.grade("text", "cleaned")))
 
 
@@ -89,7 +89,7 @@ def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None
     kept = O.dedup_documents(pages).select("doc")
     sparse = O.flag_sparse_docs(pages).filter("needs_ocr").select("doc")
     src = pages.join(kept, "doc", "left_semi").join(sparse, "doc", "left_anti")
-    body = O.keep_body(src.withColumn("body", C.strip_residue("text")), "body")
+    body = O.keep_body(once(src, "body", C.strip_residue("text")), "body")
     body = O.with_chunk_params(body, overrides)
     text = body.select(
         "doc", "page", F.lit(1 << 20).alias("kind"),

@@ -82,16 +82,19 @@ def search(queries: DataFrame, s: SearchSetup, k: int = 10, top: int = V.EVIDENC
            ) -> tuple[DataFrame, DataFrame]:
     """(documents per query, verdict per query).
 
-    ``queries``: query_id, text, entities, symptoms and, with ``scoped``, the scope columns.
+    ``queries``: query_id, text, entities, symptoms and, with ``scoped``, the scope columns.  A
+    ``query`` column, where present, is what rerank and evidence check read (the text may be a
+    rewrite of it).
     """
     fused = fusion.weighted_rrf(four_way_recall(queries, s, k), top_n_docs=top)
     docs = fusion.attach_records(fused, s.records.select("chunk_id", "document_id", "text"))
+    query = F.col("query" if "query" in queries.columns else "text")
     if s.relevance is not None:
-        asked = queries.select("query_id", F.col("text").alias("__q"))
+        asked = queries.select("query_id", query.alias("__q"))
         score = s.relevance(F.col("__q"), fusion.passage("text"))
         docs = fusion.rerank(docs.join(asked, "query_id"), score).drop("__q")
     docs = staged(docs, "docs")
-    facts = queries.select("query_id", F.col("text").alias("query"), "entities", "symptoms")
+    facts = queries.select("query_id", query.alias("query"), "entities", "symptoms")
     return docs, check_evidence(facts, docs, s.aliases)
 
 
@@ -122,6 +125,8 @@ def search_with_retry(queries: DataFrame, s: SearchSetup, max_rounds: int = V.MA
     result is written to the shared folder.  Verdicts carry ``rounds`` and, for queries that end
     without evidence, ``error = RAG_NO_RESULT``.
     """
+    if "query" not in queries.columns:
+        queries = queries.withColumn("query", F.col("text"))
     open_queries, docs, verdicts = queries, None, None
     for n in range(1, max_rounds + 1):
         d, v = search(open_queries, s, k)

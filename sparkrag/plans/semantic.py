@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import tagging as G
-from ..functions.text import normalize_query
+from ..functions.text import normalize_query, once
 from ..operators.tagging import detect_entities
 
 
@@ -17,9 +17,9 @@ def semantic_parse(df: DataFrame, words, symptom_terms, text: str = "text",
 
     Model intent wins when valid; rule entities override; the stage is model first; flags are OR.
     """
-    df = df.withColumn("normalized", normalize_query(text))
+    df = once(df, "normalized", normalize_query(text))
     df = detect_entities(df, words, "normalized", "__rule")
-    df = df.withColumn("__m", G.clean_semantic(
+    df = once(df, "__m", G.clean_semantic(
         F.col(model_col) if model_col else F.lit(None).cast("string")))
     m, v, known = F.col("__m"), F.col("normalized"), F.col("__m.intent") != "unknown"
     intent = F.when(known, m["intent"]).otherwise(G.rule_intent(v))
