@@ -454,7 +454,7 @@ def blocks_outside_tables(spark, sf_dir):
         "event_id", "event_type", F.col("user_id").alias("doc"),
         (F.col("event_id") % 3).alias("page"), v.alias("x0"), (v * 2).alias("y0"),
         (v + 10).alias("x1"), (v * 2 + 5).alias("y1"))
-    return B.blocks_outside_tables(b.filter("event_type <> 'error'"),
+    return O.blocks_outside_tables(b.filter("event_type <> 'error'"),
                                    b.filter("event_type = 'error'")).select("event_id")
 
 

@@ -139,14 +139,15 @@ kd AS (SELECT key, slot, canonical, category_ord, alias_ord, o FROM kk QUALIFY r
   PARTITION BY key, slot ORDER BY category_ord, alias_ord, o, canonical) = 1)"""
 
 
-def slots_sql(out: str, source: str, key: str, text: str = "text") -> str:
+def slots_sql(out: str, source: str, key: str, text: str = "text",
+              order: str = "category_ord, alias_ord, o, canonical") -> str:
     """CTE ``out(id, slot, canonical, pos)``: longest dictionary key per slot, in match order."""
     return f"""{out}_m AS (SELECT s.{key} AS id, kd.* FROM {source} s JOIN kd
     ON contains(lower(s.{text}), kd.key)
   QUALIFY row_number() OVER (PARTITION BY s.{key}, slot
-    ORDER BY length(key) DESC, category_ord, alias_ord, o, canonical) = 1),
+    ORDER BY length(key) DESC, {order}) = 1),
 {out} AS (SELECT id, slot, canonical, row_number() OVER (PARTITION BY id
-    ORDER BY length(key) DESC, category_ord, alias_ord, o, canonical) AS pos FROM {out}_m)"""
+    ORDER BY length(key) DESC, {order}) AS pos FROM {out}_m)"""
 
 
 _FUSE = f"""WITH {_EXPANDED}, {slots_sql("bs", "benchmark", "item_id")},

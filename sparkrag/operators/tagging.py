@@ -51,7 +51,8 @@ def concept_keys(concepts: DataFrame) -> DataFrame:
     return (concepts.withColumn("slot", slot).filter("slot IS NOT NULL")
             .select(F.posexplode(F.array_distinct(forms)).alias("alias_ord", "a"),
                     F.col("canonical_id").alias("value"), "slot",
-                    F.lit(0).alias("category_ord"))
+                    F.regexp_extract("canonical_id", r"(\d+)$", 1).cast("int")
+                    .alias("category_ord"))
             .withColumn("f", F.struct(F.col("a").alias("alias"), F.lit(0).alias("o")))
             .transform(_fold_keys))
 
