@@ -181,7 +181,7 @@ def apply_confirmations(pending: DataFrame, decisions: DataFrame) -> DataFrame:
 def _quiet(df: DataFrame, key: list[str], ts: str, tie: str, seconds: float, bucket: int
            ) -> DataFrame:
     """Add ``call`` (running number per key) and ``fresh``: no row of the key within the window."""
-    us = F.unix_micros(ts)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     out = prefix(df.withColumn("__us", us), key, [ts, tie], time_bucket(ts, bucket),
                  sums={"call": F.lit(1)}, prevs={"__prev": F.col("__us")})
     gap = F.col("__us") - F.col("__prev") >= F.lit(int(seconds * 1_000_000))

@@ -65,7 +65,7 @@ def int_bucket(pos: str, width: int = 1 << 16) -> Column:
 
 
 def time_bucket(ts: str, seconds: int = 86400) -> Column:
-    return F.floor(F.col(ts).cast("double") / F.lit(seconds))
+    return F.floor(F.col(ts).cast("timestamp").cast("double") / F.lit(seconds))
 
 
 def top_n(df: DataFrame, key: list[str], order: list[Column], n: int, rank: str = "rank"
