@@ -9,7 +9,7 @@ from ..functions.text import multilingual_tokens, normalize_text, once, spread,
 from ..models import embed_with_hash, hash_embed
 from ..operators import fusion
 from ..operators import tagging as T
-from ..operators.bm25 import bm25_index, bm25_search, idf
+from ..operators.bm25 import BM25Index, bm25_index, bm25_search, idf
 from ..operators.dense import dense_search
 from ..operators.evidence import check_evidence
 from ..operators.metrics import metrics_report, retrieval_metrics
@@ -353,11 +353,14 @@ def search_documents(spark, sf_dir):
 
 
 def _search_setup(spark, sf_dir):
-    embed = embed_with_hash()
-    rec = staged(embed(documents(spark, sf_dir), "text", "vec"), "vectors")
+    # One pass over the texts gives the token table and the hashed vectors.
+    docs = with_tokens(spread(documents(spark, sf_dir)), "text", "tokens")
+    docs = once(docs, "vec", hash_embed("tokens")).withColumn("doc_len", F.size("tokens"))
+    rec = staged(docs, "corpus")
     words, aliases = _words(spark)
-    return SearchSetup(rec, words, aliases, embed=embed, relevance=lambda q, p:
-                       fusion.overlap_score(multilingual_tokens(q), multilingual_tokens(p)))
+    return SearchSetup(rec, words, aliases, embed=embed_with_hash(), index=BM25Index(rec),
+                       relevance=lambda q, p: fusion.overlap_score(multilingual_tokens(q),
+                                                                   multilingual_tokens(p)))
 
 
 @query("search_with_retry")

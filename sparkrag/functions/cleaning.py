@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import fold_spaces, let
+from .text import fold_spaces, let, where_found
 
 _KEYED = "['\"](?:" + V.RESIDUE_KEYS + ")['\"]" + V.WS + "*:" + V.WS + "*"
 
@@ -28,8 +28,11 @@ def normalize_units(col, restore_degrees: bool = False) -> Column:
     temperature when a temperature word stands within 28 characters before or 16 after it; the
     default leaves that off because the unescaping step runs first and makes the rule unreachable.
     """
-    c, num = _c(col), r"(\p{Nd}+(?:\.\p{Nd}+)?)"
-    s = V.WS + "*"
+    return where_found(_c(col), ["\\"], lambda c: _latex(c, restore_degrees))
+
+
+def _latex(c: Column, restore_degrees: bool) -> Column:
+    num, s = r"(\p{Nd}+(?:\.\p{Nd}+)?)", V.WS + "*"
     celsius = s + r"(?:\^\{\\+circ\})?" + s + r"\\+mathrm\{C\}"
     c = F.regexp_replace(c, "(?i)" + num + s + r"\\+mathrm\{(" + V.LATEX_UNITS + r")\}", "$1 $2")
     c = F.regexp_replace(c, "(?i)" + num + s + r"\\+sim" + s + num + celsius, "$1–$2℃")
@@ -50,40 +53,49 @@ def normalize_units(col, restore_degrees: bool = False) -> Column:
 
 def strip_quote_noise(col) -> Column:
     """Unwrap quoted span values and drop bare coordinate lists left by flattened layouts."""
-    c, s = _c(col), V.WS
-    d = r"\p{Nd}{1,4}"
+    c = where_found(_c(col), [","], _drop_coords)
+    c = where_found(c, ["'"], _unquote)
+    return F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
+
+
+def _drop_coords(c: Column) -> Column:
+    s, d = V.WS, r"\p{Nd}{1,4}"
     comma = s + "*," + s + "*"
-    coords = (r"(?<![\p{Nd}.%℃×~-])" + s + d + comma + d + "(?:" + comma + d + "){1,3}" + s
-              + r"*(?![\p{Nd}.]*" + s + "*(?:" + V.COORD_UNITS + "))")
-    c = _gsub(c, coords)
+    return _gsub(c, r"(?<![\p{Nd}.%℃×~-])" + s + d + comma + d + "(?:" + comma + d + "){1,3}" + s
+                 + r"*(?![\p{Nd}.]*" + s + "*(?:" + V.COORD_UNITS + "))")
+
+
+def _unquote(c: Column) -> Column:
     for _ in range(3):
-        c = F.regexp_replace(c, "'" + s + "*([^']{1,40}?)" + s + "*'", "$1")
+        c = F.regexp_replace(c, "'" + V.WS + "*([^']{1,40}?)" + V.WS + "*'", "$1")
     edge = "[" + V.CJK + "A-Za-z]"
-    c = _gsub(c, "(?<!" + edge + ")'|'(?!" + edge + ")")
-    return F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
+    return _gsub(c, "(?<!" + edge + ")'|'(?!" + edge + ")")
 
 
 def strip_residue(col, drop_table_html: bool = True) -> Column:
-    """Remove parser residue and markup, keep natural language."""
+    """Remove parser residue and markup, keep natural language.
+
+    Every group of patterns runs only on texts that hold a character it needs.
+    """
     c, s = _c(col), V.WS
     scalar = r"(?:-?\p{Nd}+(?:\.\p{Nd}+)?|true|false|null|None|True|False)" + s + "*,?"
     word = "[" + V.CJK + r"\p{L}\p{N}_]"
-    c = _gsub(
-        c,
+    c = where_found(c, ["'", '"'], lambda x: _gsub(
+        x,
         r"\{?" + s + r"*['\"]bbox['\"]" + s + "*:" + s + r"*\[[^\]]*\]" + s + "*,?",
         _KEYED + scalar,
         _KEYED,
-        "['\"](?:" + V.RESIDUE_TYPE_VALUES + ")['\"]",
-        "(?<!" + V.WORDCH + ")(?:" + V.RESIDUE_BODY_WORDS + ")(?!" + V.WORDCH + ")",
-    )
-    if drop_table_html:
-        c = _gsub(c, V.HTML_TABLE_TAG)
-    c = normalize_units(_gsub(c, V.HTML_ANY_TAG, V.HTML_ENTITY, V.URL))
-    c = _gsub(
-        c,
-        r"[\[\]{}]+|(?<!" + word + r")['\"](?!" + word + ")",
-        "(?:" + s + "*," + s + "*){2,}|(?:" + s + "*'" + s + "*){2,}",
-    )
+        "['\"](?:" + V.RESIDUE_TYPE_VALUES + ")['\"]"))
+    c = where_found(c, ["_"], lambda x: _gsub(
+        x, "(?<!" + V.WORDCH + ")(?:" + V.RESIDUE_BODY_WORDS + ")(?!" + V.WORDCH + ")"))
+    tags = [V.HTML_TABLE_TAG, V.HTML_ANY_TAG] if drop_table_html else [V.HTML_ANY_TAG]
+    c = where_found(c, ["<"], lambda x: _gsub(x, *tags))
+    c = where_found(c, ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
+    c = normalize_units(where_found(c, ["http"], lambda x: _gsub(x, V.URL)))
+    c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(
+        x, r"[\[\]{}]+|(?<!" + word + r")['\"](?!" + word + ")"))
+    c = where_found(c, [",", "'"], lambda x: _gsub(
+        x, "(?:" + s + "*," + s + "*){2,}|(?:" + s + "*'" + s + "*){2,}"))
     c = F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
     return strip_quote_noise(c)
 

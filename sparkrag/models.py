@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.text import let, once, spread, with_tokens
+from .functions.text import let, once, with_tokens
 
 
 def with_model(df: DataFrame, fn: Callable, inputs: list[str], output: str,
@@ -74,7 +74,7 @@ def hash_embed(tokens, dim: int = 64) -> Column:
 def embed_with_hash(dim: int = 64, terms=()) -> Callable[[DataFrame, str, str], DataFrame]:
     """An embedding step ``(df, text column, output column) -> df`` for the search plans."""
     def step(df: DataFrame, text: str, out: str) -> DataFrame:
-        df = with_tokens(spread(df), text, "__tokens", terms)
+        df = with_tokens(df, text, "__tokens", terms)
         return once(df, out, hash_embed("__tokens", dim)).drop("__tokens")
     return step
 

@@ -127,12 +127,13 @@ def entity_hits(value: Column, words: list[tuple[str, str, str]]) -> Column:
 
 
 def detect_entities(df: DataFrame, words: list[tuple[str, str, str]], text: str = "text",
-                    out: str = "entities") -> DataFrame:
+                    out: str = "entities", normalized: bool = False) -> DataFrame:
     """Add the map slot -> name: the longest dictionary key per slot, plus orchard and plot codes.
 
     ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``.
+    ``normalized`` says that the text went through ``normalize_text`` already.
     """
-    df = once(df, "__v", normalize_text(text, fold_case=True))
+    df = once(df, "__v", F.lower(text) if normalized else normalize_text(text, fold_case=True))
     codes = [("orchard", G.orchard_code("__v")), ("plot", G.plot_code("__v"))]
     extra = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("value")) for s, c in codes])
     found = F.transform(entity_hits(F.col("__v"), words),
@@ -169,9 +170,9 @@ def build_queries(df: DataFrame, words, aliases: dict[str, list[str]], text: str
 
     ``entities`` names an existing slot map; without it entities are detected from the text.
     """
-    df = df.withColumn("original", normalize_text(text))
+    df = once(df, "original", normalize_text(text))
     if entities is None:
-        df, entities = detect_entities(df, words, "original", "__e"), "__e"
+        df, entities = detect_entities(df, words, "original", "__e", normalized=True), "__e"
     names = F.filter(F.map_values(F.col(entities)), lambda x: x.isNotNull() & (x != ""))
     lists = (F.create_map(*[x for k, v in aliases.items()
                             for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
@@ -227,12 +228,13 @@ def chunk_records(df: DataFrame, words) -> DataFrame:
 
     ``df``: chunk_id, document_id, language, text, provenance, block_type.
     """
-    df = detect_entities(df, words)
+    df = once(df, "__n", normalize_text("text"))
+    df = detect_entities(df, words, "__n", normalized=True)
     return df.select(
         "chunk_id", "document_id",
         F.coalesce(F.nullif("language", F.lit("")), F.lit("zh")).alias("language"),
         F.col("document_id").alias("title"), F.lit("").alias("section"), "entities",
-        G.infer_domain(normalize_text("text"), "entities").alias("domain"),
+        G.infer_domain("__n", "entities").alias("domain"),
         G.source_type("provenance", "block_type").alias("source_type"),
         F.array(*map(F.lit, V.DEFAULT_ROLE_SCOPE)).alias("role_scope"),
         F.array().cast("array<string>").alias("orchard_scope"), "text")

@@ -18,7 +18,7 @@ def semantic_parse(df: DataFrame, words, symptom_terms, text: str = "text",
     Model intent wins when valid; rule entities override; the stage is model first; flags are OR.
     """
     df = once(df, "normalized", normalize_query(text))
-    df = detect_entities(df, words, "normalized", "__rule")
+    df = detect_entities(df, words, "normalized", "__rule", normalized=True)
     df = once(df, "__m", G.clean_semantic(
         F.col(model_col) if model_col else F.lit(None).cast("string")))
     m, v, known = F.col("__m"), F.col("normalized"), F.col("__m.intent") != "unknown"
