@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import spread, with_tokens
+from ..functions.text import once, spread, with_tokens
 from ..sources.stage import staged
 from .prefix import top_n
 
@@ -67,7 +67,7 @@ def term_weight(n_docs: Column, avg_len: Column) -> Column:
 
 def query_terms(queries: DataFrame, by: list[str], text: str = "text", terms=()) -> DataFrame:
     q = with_tokens(queries.select(*by, text), text, "__tokens", terms)
-    return q.select(*by, F.explode("__tokens").alias("term"))
+    return once(q, "__tokens", F.col("__tokens")).select(*by, F.explode("__tokens").alias("term"))
 
 
 def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id",),
@@ -82,7 +82,7 @@ def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id
     stats = index.stats()
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
-    wanted = query_terms(queries, [*by, *carry], text, terms)
+    wanted = staged(query_terms(queries, [*by, *carry], text, terms), "terms")
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         needed = index.terms().join(F.broadcast(wanted.select("term").distinct()), "term",
                                     "left_semi")

@@ -10,6 +10,7 @@ from ..functions import cleaning as C
 from ..functions.splitting import split_text
 from ..functions.text import fold_spaces, once, strip
 from ..operators import corpus as O
+from ..sources.stage import staged
 
 
 def grade_raw(raw: DataFrame, exclude: list[str] = ()) -> DataFrame:
@@ -76,7 +77,8 @@ def salvage(raw: DataFrame, exclude: list[str] = ()) -> DataFrame:
         "display_text": F.when(broken, F.concat_ws(
             "\n", "index_text", F.lit(V.DAMAGED_TABLE_NOTE))).otherwise(F.col("index_text")),
     })
-    return _chunk_columns(O.with_seq(p))
+    # Numbering reads its input twice; cleaning and splitting run once.
+    return _chunk_columns(O.with_seq(staged(p.drop("cleaned", "text"), "salvage")))
 
 
 def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None = None
@@ -110,7 +112,7 @@ def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None
                      md.alias("display_text"), F.lit("table").alias("block_type"),
                      _map(("table_markdown", md)).alias("extra")))
         text = text.unionByName(t)
-    numbered = O.with_seq(text.withColumn("pos", F.col("page")),
+    numbered = O.with_seq(staged(text.withColumn("pos", F.col("page")), "pages"),
                           order=("pos", "kind", "piece"), width=256)
     return _chunk_columns(numbered.withColumn("provenance", F.lit("pdf_parse")))
 
