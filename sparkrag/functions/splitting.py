@@ -44,15 +44,24 @@ def _pieces(text: str, size: int, overlap: int, min_tail: int) -> list[str]:
     return kept
 
 
+def _whole_or_pieces(text: str, size: int, overlap: int, min_tail: int) -> list[str]:
+    text = text.strip()
+    if len(text) <= size:
+        return [text] if len(text) >= V.MIN_CHUNK_CHARS else []
+    return _pieces(text, size, overlap, min_tail)
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """Section chunks of one text, for the SQL table function."""
+    size = V.SECTION_CHUNK_SIZE
+    return _whole_or_pieces(text or "", size, int(size * V.SECTION_OVERLAP_RATIO),
+                            V.SECTION_MIN_TAIL)
+
+
 def _split(col: Column, size: Column, overlap: Column, min_tail: int) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def long_pieces(t: pd.Series, n: pd.Series, o: pd.Series) -> pd.Series:
-        def one(x, a, b):
-            x = x.strip()
-            if len(x) <= a:
-                return [x] if len(x) >= V.MIN_CHUNK_CHARS else []
-            return _pieces(x, int(a), int(b), min_tail)
-        return pd.Series([one(x, a, b) if x is not None else None
+        return pd.Series([_whole_or_pieces(x, int(a), int(b), min_tail) if x is not None else None
                           for x, a, b in zip(t, n, o)], dtype=object)
 
     # Only texts that may need a cut go to Python.

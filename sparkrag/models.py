@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.splitting import chunks_of
 from .functions.text import let, once, with_tokens
 
 
@@ -102,3 +103,13 @@ def enrich_images(blocks: DataFrame, describe: Callable[[list[bytes]], list[str]
                                           F.coalesce(text, "text")).otherwise(F.col("text")))
     return done.drop("__raw").unionByName(other.withColumn("enrich_error",
                                                            F.lit(None).cast("string")))
+
+
+def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Register the section splitter as a SQL table function: ``LATERAL chunk_text(text)``."""
+    @F.udtf(returnType="piece: int, chunk: string")
+    class Chunks:
+        def eval(self, text: str):
+            yield from enumerate(chunks_of(text))
+
+    spark.udtf.register(name, Chunks)

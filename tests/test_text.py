@@ -1,0 +1,136 @@
+import random
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkrag import fixed_values as V
+from sparkrag.functions import cleaning as C
+from sparkrag.functions import text as X
+from sparkrag.functions.splitting import chunk_text, split_text
+
+
+def one(spark, values, expr, schema="x string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, " + schema)
+    return [r[0] for r in df.orderBy("i").select(expr).collect()]
+
+
+CASES = [
+    ("25 ° C", "25℃"), ("25ºc", "25℃"), ("25˚C", "25℃"), ("๒๕", "25"), ("3 kg", "3kg"),
+    ("＜２５ｍｍ＞", "<25mm>"), ("怎么办……", "怎么办……"), ("真的吗？？？？", "真的吗?"),
+    ("好。。。吗", "好。吗"), ("  a　b ​ c ", "a b c"), ("Musang King，", "Musang King"),
+    ("what?", "what?"), ("室温 ℃", "室温℃"), ("1,000 g", "1,000g"), ("25℃左右", "25°C左右"),
+]
+
+
+def test_normalize(spark):
+    got = one(spark, [a for a, _ in CASES], X.normalize_text("x"))
+    assert got == [b for _, b in CASES]
+    assert one(spark, got, X.normalize_text("x")) == got
+
+
+def test_stable_class_is_stable(spark):
+    rows = spark.range(0x21, 0x10000).filter("id NOT BETWEEN 55296 AND 57343").select(
+        "id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    stable = rows.filter(~F.col("c").rlike(X.NFKC_UNSTABLE)).collect()
+    assert len(stable) > 20000
+    for r in stable:
+        assert unicodedata.normalize("NFKC", chr(r["id"])) == chr(r["id"])
+        assert not unicodedata.combining(chr(r["id"]))
+
+
+THAI = [("เช้ือรา", "เชื้อรา"), ("น้้า", "น้ำ"), ("รากเนําโคน", "รากเนำโคน"), ("25˚C", "25˚C"),
+        ("อุณหภูมิ 25˚C", "อุณหภูมิ 25˚C"), ("ทุเรียน", "ทุเรียน"), ("plain", "plain")]
+
+
+def test_thai_repair(spark):
+    got = one(spark, [a for a, _ in THAI], X.repair_thai("x"))
+    assert got == [b for _, b in THAI]
+    assert one(spark, got, X.repair_thai("x")) == got
+
+
+def test_tokens(spark):
+    got = one(spark, ["How to fertilize the Musang King", "榴莲开花期", "หมอนทองดี stem"],
+              X.multilingual_tokens("x", ("หมอนทอง",)))
+    assert got[0] == ["fertilize", "musang", "king"]
+    assert got[1] == ["榴莲开花期", "榴莲", "莲开", "开花", "花期", "榴莲开", "莲开花", "开花期"]
+    assert got[2][0] == "stem" and "หมอนทอง" in got[2] and "ดี" in got[2]
+
+
+def test_token_estimate(spark):
+    assert one(spark, ["", "abcd", "abcde", "榴莲abc", None], X.estimate_tokens("x")) == [
+        0, 1, 2, 3, 0]
+
+
+def windows(text, size, overlap, tail):
+    """Plain statement of the splitter: strong mark, else weak mark, else the full window."""
+    t = text.strip()
+    if len(t) <= size:
+        return [t] if len(t) >= 60 else []
+    out, a = [], 0
+    while a < len(t):
+        b = min(len(t), a + size)
+        if b < len(t):
+            w = t[a:b]
+            strong = max(w.rfind(m) for m in "。.；;\n")
+            cut = strong if strong >= size * 0.5 else max(w.rfind(m) for m in "，, ")
+            b = a + cut + 1 if cut > size * 0.4 else b
+        if len(t[a:b].strip()) >= 60:
+            out.append(t[a:b].strip())
+        if b == len(t):
+            break
+        a = max(b - overlap, a + 1)
+    if tail and len(out) > 1 and len(out[-1]) < tail:
+        last = out.pop()
+        out[-1] = (out[-1] + last).strip()
+    return out
+
+
+def test_splitters(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab榴莲 ,.，。；\n") if rng.random() < 0.2 else rng.choice("abc榴莲")
+                     for _ in range(n)) for n in (10, 61, 800, 801, 900, 901, 2500, 6000)]
+    assert one(spark, texts, split_text("x")) == [windows(t, 900, 150, 0) for t in texts]
+    assert one(spark, texts, split_text("x", 300, 50)) == [windows(t, 300, 50, 0) for t in texts]
+    assert one(spark, texts, chunk_text("x")) == [windows(t, 800, 120, 150) for t in texts]
+
+
+def test_residue(spark):
+    raw = ("{'bbox': [13, 488, 409, 547], 'type': 'text', 'content': '施肥 3 kg 每株', 'angle': 0} "
+           "<td>12</td> &amp; http://a.b/c 50 \\mathrm{mm} 20 \\sim 25^{\\circ} \\mathrm{C} 40\\%")
+    text = one(spark, [raw], C.strip_residue("x"))[0]
+    assert "bbox" not in text and "<td>" not in text and "http" not in text
+    assert "施肥 3 kg 每株" in text and "50 mm" in text and "40%" in text
+    assert "'" not in text
+    assert one(spark, ["高温 38 \\% 左右"], C.normalize_units("x", True)) == ["高温 38℃ 左右"]
+    assert one(spark, ["比例 38 \\%", "高温 38\\%"], C.normalize_units("x")) == ["比例 38 %", "高温 38%"]
+
+
+def test_grade(spark):
+    rows = [("x", "x" * 59), ("<td>", "word " * 20), ("", "1!" * 40), ("", "a1" * 40),
+            ("", "word " * 20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, raw string, c string")
+    got = [r[0] for r in df.orderBy("i").select(C.grade("raw", "c")).collect()]
+    assert got == ["junk", "table_fragment", "junk", "junk", "usable"]
+
+
+def test_caption(spark):
+    got = one(spark, ["<td>1</td> Table 3. Effect of potassium on fruit weight</td> 12.5 33",
+                      "Table 14 22", "no caption here at all", "表3 不同施肥处理对榴莲产量的影响"],
+              C.extract_caption("x"))
+    assert got[0].startswith("Table 3") and "Effect of potassium" in got[0] and "12.5" not in got[0]
+    assert got[1:] == [None, None, "表3 不同施肥处理对榴莲产量的影响"]
+
+
+@pytest.mark.parametrize("md,ok", [
+    ("|a|b|\n|---|---|\n|x one|y two|\n|z three|w four|", True),
+    ("|a|b|\n|---|---|", False), ("|Col1|b|\n|---|---|\n|x|y|\n|q|w|", False),
+    ("|a|b|\n|---|---|\n|x|x|\n|x|x|", False), ("|a|b|\n|---|---|\n|x|y|\nfree text\nmore", False),
+    ("|a|b|\n|---|---|\n|1|2|\n|3|4|", False), ("", False)])
+def test_md_table(spark, md, ok):
+    assert one(spark, [md], C.valid_md_table("x")) == [ok]
+
+
+def test_dedup_key(spark):
+    assert one(spark, ["น้ำ Añb_1²-猫", "--"], C.dedup_key("x")) == ["นำañb1²猫", ""]
+    assert V.DEDUP_KEY_CHARS == 400
