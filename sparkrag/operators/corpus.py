@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import cleaning as C
+from ..functions.tagging import first_case
 from .prefix import first_wins, int_bucket, prefix
+from .tagging import bounded_rows
 
 # A document above this size cannot be concatenated into one row.
 MAX_DOC_CHARS = 256 * 1024 * 1024
+# Chunk size rules are parameters and become one CASE.
+MAX_RULES = 1000
 
 
 def exclude_docs(df: DataFrame, patterns: list[str]) -> DataFrame:
@@ -33,15 +37,14 @@ def with_seq(df: DataFrame, key: str = "doc", order: tuple[str, ...] = ("pos", "
 
 def with_chunk_params(df: DataFrame, overrides: DataFrame) -> DataFrame:
     """Per-document ``size`` and ``overlap`` from a table of name prefixes (first match wins)."""
-    rules = overrides.select("prefix", F.col("ord").alias("__ord"),
-                             F.struct("size", "overlap").alias("__p"))
-    names = df.select("doc").distinct()
-    hit = (names.join(rules, F.col("doc").startswith(F.col("prefix")))
-           .groupBy("doc").agg(F.min_by("__p", "__ord").alias("__p")))
-    return (df.join(hit, "doc", "left")
-            .withColumn("size", F.coalesce("__p.size", F.lit(V.CORPUS_CHUNK_SIZE)))
-            .withColumn("overlap", F.coalesce("__p.overlap", F.lit(V.CORPUS_CHUNK_OVERLAP)))
-            .drop("__p"))
+    rules = sorted(bounded_rows(overrides, MAX_RULES, "chunk size rules"), key=lambda r: r["ord"])
+
+    def pick(name: str, default: int):
+        return first_case([(F.col("doc").startswith(r["prefix"]), F.lit(r[name])) for r in rules],
+                          F.lit(default)).cast("int")
+
+    return df.withColumns({"size": pick("size", V.CORPUS_CHUNK_SIZE),
+                           "overlap": pick("overlap", V.CORPUS_CHUNK_OVERLAP)})
 
 
 def dedup_chunks(df: DataFrame, order: list[str]) -> DataFrame:

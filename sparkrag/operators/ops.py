@@ -5,6 +5,8 @@ The batch forms define the truth that the streaming forms in ``sparkrag.streamin
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +55,34 @@ def lookup(df: DataFrame, params: dict[str, object | None], order: list[str],
 
 def lookup_each(df: DataFrame, params: DataFrame, on: list[str], order: list[str],
                 limit: int = V.LOOKUP_ROWS) -> DataFrame:
-    """The same for a table of lookups ``(lookup_id, p_<column>...)`` with NULL = no filter."""
-    match = F.lit(True)
-    for c in on:
-        p = F.col("p_" + c)
-        match = match & (p.isNull() | (F.col(c) == p))
-    return top_n(df.join(params, match), ["lookup_id"], [F.asc(c) for c in order], limit, "row_no")
+    """The same for a table of lookups ``(lookup_id, p_<column>...)`` with NULL = no filter.
+
+    Lookups are grouped by which parameters they give.  Each group meets a table that is cut to
+    ``limit`` rows per value combination first, so a value that holds most rows costs ``limit``.
+    """
+    out = None
+    for n in range(len(on) + 1):
+        for given in combinations(on, n):
+            rest = [c for c in on if c not in given]
+            asked = params
+            for c in given:
+                asked = asked.filter(F.col("p_" + c).isNotNull())
+            for c in rest:
+                asked = asked.filter(F.col("p_" + c).isNull())
+            keys = [F.col(c).alias("__k" + str(i)) for i, c in enumerate(given)]
+            asks = [F.col("p_" + c).alias("__k" + str(i)) for i, c in enumerate(given)]
+            # Without parameters the constant key stands for the whole (already cut) table.
+            keys, asks = keys or [F.lit(0).alias("__k0")], asks or [F.lit(0).alias("__k0")]
+            names = ["__k" + str(i) for i in range(len(keys))]
+            if given:
+                cut = top_n(df.select("*", *keys), names, [F.asc(c) for c in order], limit,
+                            "row_no")
+            else:
+                few = df.orderBy(*order).limit(limit).select("*", *keys)
+                cut = top_n(few, names, [F.asc(c) for c in order], limit, "row_no")
+            part = cut.join(asked.select("lookup_id", *asks), names).drop(*names)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def clamp_days(days) -> Column:
