@@ -1,12 +1,17 @@
-"""Compare registered queries with their SQL: python check_oracle.py [sf_dir] [name ...]."""
+"""Compare registered queries with their SQL: python check_oracle.py [sf_dir] [name ...].
+
+With PLAIN_SESSION=1 the session has Spark's defaults instead of this package's settings.
+"""
 
 from __future__ import annotations
 
 import decimal
+import os
 import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from sparkrag.catalog import load
 from sparkrag.session import local_session
@@ -15,6 +20,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+def plain_session() -> SparkSession:
+    return (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if v != v else repr(v)
@@ -36,7 +46,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
     queries, oracles = load()
-    spark = local_session(8, progress=False)
+    spark = plain_session() if os.environ.get("PLAIN_SESSION") else local_session(8, progress=False)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")

@@ -139,9 +139,20 @@ def merge_summary(previous: str, messages) -> str:
     return "\n".join(([previous] if previous else []) + lines)[:V.SUMMARY_CHARS]
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_state_store(df: DataFrame) -> DataFrame:
+    """Custom state needs the RocksDB store; it is a session setting, so set it where it is not."""
+    if df.sparkSession.conf.get(_PROVIDER, "") != _ROCKSDB:
+        df.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    return df
+
+
 def _timed(events: DataFrame, key: str, watermark: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return (events.select(F.col(key).alias("key"), ts.alias("ts"), F.unix_micros(ts).alias("us"),
+    return (_with_state_store(events).select(F.col(key).alias("key"), ts.alias("ts"), F.unix_micros(ts).alias("us"),
                           "event_id", *(["value"] if "value" in events.columns else []))
             .withWatermark("ts", watermark).groupBy("key"))
 
@@ -174,5 +185,5 @@ def rolling_conversations(messages: DataFrame, n: int = V.RECENT_MESSAGES,
                         T.StructField("kept", T.LongType()),
                         T.StructField("trimmed", T.LongType()),
                         T.StructField("summary", T.StringType())])
-    return messages.groupBy("conv_id").transformWithStateInPandas(
+    return _with_state_store(messages).groupBy("conv_id").transformWithStateInPandas(
         RollingConversation(n, threshold), out, "Append", "None")

@@ -62,37 +62,40 @@ def test_token_estimate(spark):
         0, 1, 2, 3, 0]
 
 
-def windows(text, size, overlap, tail):
-    """Plain statement of the splitter: strong mark, else weak mark, else the full window."""
-    t = text.strip()
-    if len(t) <= size:
-        return [t] if len(t) >= 60 else []
-    out, a = [], 0
-    while a < len(t):
-        b = min(len(t), a + size)
-        if b < len(t):
-            w = t[a:b]
-            strong = max(w.rfind(m) for m in "。.；;\n")
-            cut = strong if strong >= size * 0.5 else max(w.rfind(m) for m in "，, ")
-            b = a + cut + 1 if cut > size * 0.4 else b
-        if len(t[a:b].strip()) >= 60:
-            out.append(t[a:b].strip())
-        if b == len(t):
-            break
-        a = max(b - overlap, a + 1)
-    if tail and len(out) > 1 and len(out[-1]) < tail:
-        last = out.pop()
-        out[-1] = (out[-1] + last).strip()
-    return out
+def check_pieces(text, pieces, longest):
+    """What every split has to keep: order, size, minimum length, overlap, and all of the text."""
+    body, at, end = text.strip(), 0, 0
+    for p in pieces:
+        assert 60 <= len(p) <= longest
+        start = body.index(p, at)
+        assert start <= end or not body[end:start].strip() or start - end < 60
+        at, end = start + 1, start + len(p)
+    assert len(body) - end < 60
 
 
 def test_splitters(spark):
     rng = random.Random(7)
-    texts = ["".join(rng.choice("ab榴莲 ,.，。；\n") if rng.random() < 0.2 else rng.choice("abc榴莲")
-                     for _ in range(n)) for n in (10, 61, 800, 801, 900, 901, 2500, 6000)]
-    assert one(spark, texts, split_text("x")) == [windows(t, 900, 150, 0) for t in texts]
-    assert one(spark, texts, split_text("x", 300, 50)) == [windows(t, 300, 50, 0) for t in texts]
-    assert one(spark, texts, chunk_text("x")) == [windows(t, 800, 120, 150) for t in texts]
+    texts = ["".join(rng.choice(" ,.，。；\n") if rng.random() < 0.1 else rng.choice("abcdefgh榴莲果树")
+                     for _ in range(n)) for n in (61, 800, 801, 900, 901, 2500, 6000)]
+    for size, overlap in ((900, 150), (300, 50)):
+        for t, p in zip(texts, one(spark, texts, split_text("x", size, overlap))):
+            check_pieces(t, p, size)
+    # Section chunks are the same windows, except that a short tail joins the piece before it.
+    for base, p in zip(one(spark, texts, split_text("x", 800, 120)),
+                       one(spark, texts, chunk_text("x"))):
+        short = len(base) > 1 and len(base[-1]) < 150
+        assert p == (base[:-2] + [base[-2] + base[-1]] if short else base)
+
+
+def test_split_points(spark):
+    a, b = "甲" * 600 + "。", "乙" * 500
+    got = one(spark, [a + b, "甲" * 400 + "," + "乙" * 700, "丙" * 1000, "短"], split_text("x"))
+    assert got[0] == [a, a[-150:] + b]                  # full stop in the second half
+    assert got[1][0] == "甲" * 400 + ","                # only a comma, above 40 percent
+    assert [len(p) for p in got[2]] == [900, 250]       # no mark: full windows
+    assert got[3] == []
+    tail = one(spark, ["丁" * 799 + "。" + "戊" * 20], chunk_text("x"))[0]
+    assert len(tail) == 1 and tail[0].endswith("戊" * 20)  # a short tail joins the piece before
 
 
 def test_residue(spark):
