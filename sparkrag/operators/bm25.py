@@ -59,10 +59,15 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def term_weight(n_docs: Column, avg_len: Column) -> Column:
-    """BM25 weight of one matching term; columns ``df`` and ``doc_len`` of the joined row."""
+def with_gain(terms: DataFrame, n_docs: Column) -> DataFrame:
+    """Add the part of a term's weight that does not depend on the document."""
+    return terms.withColumn("gain", idf(n_docs, F.col("df")) * (V.BM25_K1 + 1.0))
+
+
+def term_weight(avg_len: Column) -> Column:
+    """BM25 weight of one matching term; columns ``gain`` and ``doc_len`` of the joined row."""
     norm = 1.0 - V.BM25_B + V.BM25_B * (F.col("doc_len") / avg_len)
-    return idf(n_docs, F.col("df")) * (V.BM25_K1 + 1.0) / (1.0 + V.BM25_K1 * norm)
+    return F.col("gain") / (1.0 + V.BM25_K1 * norm)
 
 
 def query_terms(queries: DataFrame, by: list[str], text: str = "text", terms=()) -> DataFrame:
@@ -86,13 +91,14 @@ def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         needed = index.terms().join(F.broadcast(wanted.select("term").distinct()), "term",
                                     "left_semi")
+        needed = with_gain(needed, n_docs)
         hits = index.postings().join(F.broadcast(wanted.join(needed, "term")), "term")
     else:
-        hits = _salted_join(wanted.join(index.terms(), "term"), index)
+        hits = _salted_join(wanted.join(with_gain(index.terms(), n_docs), "term"), index)
     if visible is not None:
         hits = hits.filter(visible)
     scored = hits.groupBy(*by, "chunk_id").agg(
-        F.sum(term_weight(n_docs, avg_len)).alias("score"))
+        F.sum(term_weight(avg_len)).alias("score"))
     return scored.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
