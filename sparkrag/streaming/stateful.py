@@ -6,7 +6,10 @@ has passed the point after which the state can no longer matter.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,11 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from .. import fixed_values as V
 
+# Spark also loads the processors in a driver-side worker that does not see shipped packages, so
+# they travel by value.
+for _module in (sys.modules[__name__], V):
+    cloudpickle.register_pickle_by_value(_module)
+
 
 def _sorted(rows, order: list[str]) -> pd.DataFrame:
     """The rows of one key in one micro-batch, in event order."""
