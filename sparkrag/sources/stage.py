@@ -8,18 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_fallback: dict[str, str] = {}
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is set (tests)."""
+    """The folder that driver and executors share.
+
+    A cluster must name it in ``spark.checkpoint.dir``: a machine-local folder would lose rows there,
+    so its absence is an error.  Only a ``local`` master, where everything is one machine, gets a
+    private folder of its own.
+    """
     configured = spark.conf.get(_SETTING, None)
     if configured:
-        return configured
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _fallback[app]
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "app")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -29,6 +41,6 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     (tokenization, one search round) read a columnar copy instead of computing it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
