@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import simhash, substrings
+from . import decontaminate, lines, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_decontaminate")
+def op2(spark, sf_dir):
+    """Benchmark words inside every document."""
+    marked = decontaminate.mark_contamination(table(spark, sf_dir, "documents"),
+                                              table(spark, sf_dir, "benchmark"))
+    m = decontaminate.COLUMN
+    return marked.select(
+        "doc_id", f"{m}.n_words", f"{m}.n_hit", F.size(f"{m}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{m}.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
 @query("op3_substring_dedup")
 def op3(spark, sf_dir):
     """Documents without the passages of an earlier document."""
@@ -40,6 +52,14 @@ def op3(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_line_dedup", lines.SQL)
+def op6(spark, sf_dir):
+    """Documents without the repeated multi-line chunks."""
+    cut = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op8_simhash")
 def op8(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
