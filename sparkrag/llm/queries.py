@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, lines, quality, simhash, substrings, toxicity
+from . import decontaminate, lines, pieces, quality, simhash, substrings, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,18 @@ def op3(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_sentencepiece")
+def op4(spark, sf_dir):
+    """Pieces of all documents and their decoding."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.col(f"{pieces.COLUMN}.ids")
+    return encoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(f"{pieces.COLUMN}.decoded", 256).alias("decoded_sha256"))
+
+
 @query("op6_line_dedup", lines.SQL)
 def op6(spark, sf_dir):
     """Documents without the repeated multi-line chunks."""
