@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, lines, pieces, quality, simhash, substrings, toxicity
+from ..sources.stage import new_path
+from . import decontaminate, lines, pieces, quality, simhash, substrings, token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,15 @@ def op4(spark, sf_dir):
         F.sha2(f"{pieces.COLUMN}.decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    """Ids of all documents written to grammar-compressed files and read back."""
+    path = new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path,
+                      public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path, with_ids=False)
+
+
 @query("op6_line_dedup", lines.SQL)
 def op6(spark, sf_dir):
     """Documents without the repeated multi-line chunks."""
