@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.stage import new_path
-from . import decontaminate, lines, pieces, quality, simhash, substrings, token_files, toxicity
+from . import decontaminate, html_text, lines, pieces, quality, simhash, substrings, token_files
+from . import toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,14 @@ def op8(spark, sf_dir):
                         "component_id")
 
 
+@query("op9_html_text")
+def op9(spark, sf_dir):
+    """Main text of all pages."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col(html_text.COLUMN).alias("text"),
+                        F.length(html_text.COLUMN).cast("long").alias("n_chars"))
+
+
 @query("op10_quality")
 def op10(spark, sf_dir):
     """Quality of all documents, learned from trusted positives and unlabelled texts."""
