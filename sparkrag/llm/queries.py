@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.stage import new_path
-from . import decontaminate, html_text, lines, pieces, quality, simhash, substrings, token_files
-from . import toxicity
+from . import ann, decontaminate, html_text, lines, pieces, quality, simhash, substrings
+from . import token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_neighbours")
+def op1(spark, sf_dir):
+    """The 20 nearest found of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 @query("op2_decontaminate")
 def op2(spark, sf_dir):
     """Benchmark words inside every document."""

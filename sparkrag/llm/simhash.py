@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
@@ -54,13 +54,17 @@ def _fingerprint_batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in stream:
         marks = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "mark"])
+            [batch.column("doc_id"), batch.column("row"), pa.array(marks.view(np.int64))],
+            names=["doc_id", "row", "mark"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark``: the fingerprint of every row as a signed long; null counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _fingerprint_batches, "doc_id long, mark long")
+    """``doc_id, row, mark``: a hash of the text, and its fingerprint, as signed longs.
+
+    Null counts as empty.
+    """
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text") \
+        .mapInArrow(_fingerprint_batches, "doc_id long, row long, mark long")
 
 
 def _postings(mark: Column) -> Column:
@@ -182,13 +186,14 @@ def links(marks: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, row, mark, root, component_id`` for every row of ``docs(doc_id, text)``.
 
     component_id is the smallest doc_id that links of at most three differing bits reach, the own
     one included.  Equal fingerprints are one class before any comparison, so exact copies cost
     nothing; links are found between classes.  Null and empty texts have fingerprint zero and are
     linked like any other; a null doc_id is never the smallest, and a component without any
-    doc_id has a null component_id.  Repeated rows get equal results; other columns are ignored.
+    doc_id has a null component_id, while ``root`` tells all components apart.  ``row`` is the hash
+    of the text.  Repeated rows get equal results; other columns are ignored.
     """
     marked = staged(fingerprints(docs), "marks")
     classes = staged(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "classes")
@@ -198,7 +203,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = staged(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return (marked.join(rooted.select("mark", "root").join(smallest, "root"), "mark")
-            .select("doc_id", "mark", "component_id"))
+            .select("doc_id", "row", "mark", "root", "component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with one row of each component.
+
+    That is the row with the smallest doc_id (rows without id come last), then the smallest hash
+    of the text; of rows that repeat both one stays.
+    """
+    found = near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = found.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.row").alias("k")
+    keyed = docs.withColumn("__row", F.xxhash64("text")).alias("d")
+    joined = keyed.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+                        & (F.col("d.__row") == F.col("k.row"))).select("d.*")
+    order = Window.partitionBy("doc_id", "__row").orderBy(F.lit(0))
+    return (joined.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+            .select(*docs.columns))
 
 
 def mark_text(mark: Column) -> Column:
