@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE_WORDS = 500_000
 NO_ID = -(2 ** 63)  # stands for a null id inside tasks; sorts before all others
@@ -66,6 +67,23 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def add_column(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:
+    """``df`` with a column that ``fn`` puts behind those of its Arrow batches.
+
+    The column replaces one of that name; names that Arrow functions can't take are set aside.
+    """
+    df = df.select(*quoted([c for c in df.columns if c != name]))
+    plain = [f"__{i}" if set(c) & set(".`") else c for i, c in enumerate(df.columns)]
+    out = df.toDF(*plain)
+    schema = T.StructType([*out.schema.fields, T.StructField(name, kind)])
+    return out.mapInArrow(fn, schema).toDF(*df.columns, name)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, to size partitions and blocks by."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

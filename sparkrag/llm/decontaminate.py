@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.stage import staged
-from .common import WordHashes, batches, texts_of, window_hashes
+from .common import WordHashes, add_column, batches, texts_of, window_hashes
 
 WINDOW = 13
 SHINGLE = 5
@@ -145,7 +145,7 @@ def _match_batches(index: Index):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for rows, words, begins in _groups(stream):
-            before = rows.column(COLUMN).to_pylist()
+            before = rows.column("__before").to_pylist()
             h = known.array(words)
             hit = np.zeros(len(words), bool)
             items: list[set] = [set(b["items"]) if b else set() for b in before]
@@ -178,8 +178,8 @@ def _match_batches(index: Index):
                 marks.append({"n_words": len(own), "n_hit": int(own.sum()),
                               "items": sorted(i for i in items[k] if i is not None),
                               "hits": np.packbits(own).tobytes()})
-            column = rows.schema.get_field_index(COLUMN)
-            yield rows.set_column(column, COLUMN, pa.array(marks, _MARK))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(marks, _MARK)],
+                                             names=[*rows.schema.names, COLUMN])
     return run
 
 
@@ -200,7 +200,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    out = docs.drop(COLUMN).withColumn(COLUMN, F.lit(None).cast(MARK_TYPE))
+    out = docs
     for block in range(blocks):
         rows = items.where(F.col("block") == block).collect()  # at most about block_bytes
         index = Index([(r.item_id, r.text.encode()) for r in rows], window, shingle)
@@ -210,7 +210,9 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             index.choose_prefixes({r.hash: r.n for r in counts})
         if block:
             out = staged(out, "contamination")
-        out = out.mapInArrow(_match_batches(index), out.schema)
+        out = add_column(out.withColumn("__before", F.col(COLUMN) if block else
+                                        F.lit(None).cast(MARK_TYPE)),
+                         COLUMN, MARK_TYPE, _match_batches(index)).drop("__before")
     return out
 
 

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import add_column
 
 COLUMN = "main_text"
 LINKED = 0.5  # share of link characters that makes a block navigation
@@ -229,6 +231,4 @@ def extract(pages: DataFrame) -> DataFrame:
     and textless pages give an empty string; open or crossed tags, and pages that break off, are
     read as far as they go.  A column named ``main_text`` in the input is replaced.
     """
-    pages = pages.drop(COLUMN)
-    schema = pages.withColumn(COLUMN, F.lit("")).schema
-    return pages.mapInArrow(_extract_batches, schema)
+    return add_column(pages, COLUMN, T.StringType(), _extract_batches)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once
 from ..sources.stage import staged
-from .common import parts_for, text_bytes
+from .common import parts_for, quoted, text_bytes
 
 SPAN = 3  # lines that a border depends on
 ONE_IN = 4  # lines per border on average
@@ -95,8 +95,9 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     out = out.withColumn("__lines", lines).withColumns({
         "n_lines": F.coalesce(F.size("__lines"), F.lit(0)), "n_removed": removed, "__kept": kept})
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    return out.select(*[F.col("__kept").alias(c) if c == "text" else F.col(c)
-                        for c in docs.columns], "n_lines", "n_removed")
+    return out.select(*[F.col("__kept").alias("text") if n == "text" else c
+                        for n, c in zip(docs.columns, quoted(docs.columns))],
+                      "n_lines", "n_removed")
 
 
 SQL = f"""

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
+from .common import add_column
+
 COLUMN = "pieces"
 CACHE_RUNS = 400_000
 LONG_RUN = 64  # longer runs are not remembered
@@ -241,6 +243,4 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     that every executor can read.  Null counts as empty, and empty texts have no pieces.  A column
     named ``pieces`` in the input is replaced.
     """
-    docs = docs.drop(COLUMN)
-    schema = T.StructType([*docs.schema.fields, T.StructField(COLUMN, SPANS_TYPE)])
-    return docs.mapInArrow(_encode_batches(model), schema)
+    return add_column(docs, COLUMN, SPANS_TYPE, _encode_batches(model))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes, texts_of, window_hashes
+from .common import WordHashes, add_column, texts_of, window_hashes
 from .labelled import held_out, sample_ids, with_text
 
 SAMPLE = 12_000  # positives, and as many unlabelled texts, that the model is fitted on at most
@@ -192,6 +193,4 @@ def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataF
 
     Null and empty texts are scored as texts without words.  A column of that name is replaced.
     """
-    docs = docs.drop(column)
-    schema = docs.withColumn(column, F.lit(0.0)).schema
-    return docs.mapInArrow(_score_batches(model, column), schema)
+    return add_column(docs, column, T.DoubleType(), _score_batches(model, column))

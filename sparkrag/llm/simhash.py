@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
-from .common import texts_of
+from .common import quoted, texts_of
 from .components import components
 
 SHINGLE = 3
@@ -220,7 +220,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
                         & (F.col("d.__row") == F.col("k.row"))).select("d.*")
     order = Window.partitionBy("doc_id", "__row").orderBy(F.lit(0))
     return (joined.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-            .select(*docs.columns))
+            .select(*quoted(docs.columns)))
 
 
 def mark_text(mark: Column) -> Column:

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes
+from .common import WordHashes, add_column
 from .labelled import held_out, sample_ids, with_text
 
 SAMPLE = 30_000  # labelled rows that the model is fitted on at most
@@ -160,6 +161,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray],
     Null and empty texts have no features and get the score of the bias.  A column of that name
     in the input is replaced.
     """
-    docs = docs.drop(column)
-    schema = docs.withColumn(column, F.lit(0.0)).schema
-    return docs.mapInArrow(_score_batches(*model, column), schema)
+    return add_column(docs, column, T.DoubleType(), _score_batches(*model, column))
