@@ -3,8 +3,7 @@
 Everything in this file is a constant that has to have exactly this value for results to agree
 with the published behaviour: closed label sets, word lists, thresholds, regular expressions and
 output texts.  It holds data only; the logic that uses it lives in ``functions`` and ``operators``.
-Patterns are written in Java regex syntax because Spark evaluates them, apart from the Thai repair
-patterns at the end, which a pandas UDF evaluates.
+Patterns are written in Java regex syntax because Spark evaluates them; each is held whole.
 """
 
 # --- character classes -------------------------------------------------------------------------
@@ -36,15 +35,47 @@ HTML_ANY_TAG = r"</?[a-zA-Z][^>]{0,60}>"
 HTML_ENTITY = r"&(?:#x?[0-9a-fA-F]+|amp|quot|lt|gt|nbsp|apos);"
 URL = r"https?://[^\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 TABLE_MARK = r"(?i)</?t[dhr]\b|</?table\b"
-COORD_UNITS = "kg|g|mm|cm|m|km|%|℃|天|日|月|年|次|倍|亩|株|个|米|厘米|毫米"
-LATEX_UNITS = "mm|cm|m|km|kg|g|mg|L|mL|ha"
-LATEX_SYMBOLS = [("sim", "~"), ("times", "×"), ("cdot", "·"), ("pm", "±")]
-LATEX_COMMANDS = "mathrm|mathbf|mathbb|text|tag|rightharpoon|circ"
+RESIDUE_BBOX = rf"\{{?{WS}*['\"]bbox['\"]{WS}*:{WS}*\[[^\]]*\]{WS}*,?"
+RESIDUE_SCALAR = (rf"['\"](?:{RESIDUE_KEYS})['\"]{WS}*:{WS}*"
+                  rf"(?:-?\p{{Nd}}+(?:\.\p{{Nd}}+)?|true|false|null|None|True|False){WS}*,?")
+RESIDUE_KEY = rf"['\"](?:{RESIDUE_KEYS})['\"]{WS}*:{WS}*"
+RESIDUE_MARK = rf"['\"](?:{RESIDUE_KEYS})['\"]{WS}*:"
+RESIDUE_TYPE = rf"['\"](?:{RESIDUE_TYPE_VALUES})['\"]"
+RESIDUE_BODY = rf"(?<!{WORDCH})(?:{RESIDUE_BODY_WORDS})(?!{WORDCH})"
+STRUCT_PUNCT = (rf"[\[\]{{}}]+|(?<![{CJK}\p{{L}}\p{{N}}_])['\"](?![{CJK}\p{{L}}\p{{N}}_])")
+# The published form repeats a group, which Java evaluates by recursion: 1500 commas in a row
+# overflow the stack.  Runs of the mark and white space with two marks and more say the same.
+ORPHAN_PUNCT = (rf"{WS}*,[,{WS[1:-1]}]*,{WS}*|{WS}*'['{WS[1:-1]}]*'{WS}*")
+QUOTED_VALUE = rf"'{WS}*([^']{{1,40}}?){WS}*'"
+LONE_QUOTE = rf"(?<![{CJK}A-Za-z])'|'(?![{CJK}A-Za-z])"
+BARE_BBOX = (
+    rf"(?<![\p{{Nd}}.%℃×~-]){WS}\p{{Nd}}{{1,4}}{WS}*,{WS}*\p{{Nd}}{{1,4}}"
+    rf"(?:{WS}*,{WS}*\p{{Nd}}{{1,4}}){{1,3}}{WS}*(?![\p{{Nd}}.]*{WS}*"
+    r"(?:kg|g|mm|cm|m|km|%|℃|天|日|月|年|次|倍|亩|株|个|米|厘米|毫米))"
+)
+# LaTeX residue: pattern and replacement, in this order.
+LATEX_MEASURES = [
+    (rf"(?i)(\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*\\+mathrm\{{(mm|cm|m|km|kg|g|mg|L|mL|ha)\}}", "$1 $2"),
+    (rf"(?i)(\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*\\+sim{WS}*(\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*"
+     rf"(?:\^\{{\\+circ\}})?{WS}*\\+mathrm\{{C\}}", "$1–$2℃"),
+    (rf"(?i)(\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*(?:\^\{{\\+circ\}})?{WS}*\\+mathrm\{{C\}}", "$1℃"),
+    (r"\\+sim", "~"), (r"\\+times", "×"), (r"\\+cdot", "·"), (r"\\+pm", "±"),
+    (rf"\\+mu(?!{WORDCH})", "μ"),
+    (r"\\geqslant", "≥"), (r"\\leqslant", "≤"),
+    (rf"\\+(?:mathrm|mathbf|mathbb|text|tag|rightharpoon|circ)(?!{WORDCH})", " "),
+]
+LATEX_ESCAPE = (r"\\+([%&#_$])", "$1")
+LATEX_PERCENT = rf"(\p{{Nd}}+(?:\.\p{{Nd}}+)?){WS}*\\+%"
 TEMPERATURE_WORDS = ("温度", "低温", "高温", "积温", "摄氏", "temperature")
 RESIDUE_EDGE_CHARS = " ,;'\""
 LETTERS = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{e00}-\x{e7f}A-Za-z]"
 DIGIT_CHARS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
-CAPTION_LABEL = "(?:表|图|附表|Table|Fig(?:ure)?)"
+CAPTION = (rf"((?:表|图|附表|Table|Fig(?:ure)?){WS}*[\p{{Nd}}IVX]{{1,3}}(?:[-–—.]\p{{Nd}}{{1,3}})?"
+           rf"[.:：{WS[1:-1]}]{{0,3}})([^。；\n|]{{4,70}})")
+CAPTION_BOUNDARY = (rf"{WS}{{2,}}|\p{{Nd}}+\.\p{{Nd}}+|\){WS}*[.。]|{WS}\p{{Nd}}{{2,}}")
+CAPTION_START = rf"^(?:表|图|附表|Table|Fig(?:ure)?){WS}*[\p{{Nd}}IVX]"
+CAPTION_HEAD = (rf"^(?:表|图|附表|Table|Fig(?:ure)?){WS}*[\p{{Nd}}IVX]+(?:[-–—.]\p{{Nd}}+)?"
+                rf"[.:：{WS[1:-1]}]*")
 
 # --- corpus thresholds -------------------------------------------------------------------------
 MIN_CHUNK_CHARS = 60
@@ -331,18 +362,24 @@ ERROR_STRATEGIES = {
 }
 DEFAULT_STRATEGY = ("retry_once", None, None)
 
-# --- Thai repair (Python syntax) ---------------------------------------------------------------
-# Ring and dot above stand for half of SARA AM when a Thai letter is next to them.
-THAI_HALF_AM = ("[\u02da\u02d9]\u0e32|(?<=[\u0e00-\u0e7f])[\u02da\u02d9]"
-                "|[\u02da\u02d9](?=[\u0e00-\u0e7f])")
-THAI_SUSPECT = (r"[\u0e4d\u0e4e\u02da\u02d9]|[\u0e48-\u0e4b][\u0e34-\u0e37]"
-                r"|([\u0e48-\u0e4b])\1")
+# --- Thai repair -------------------------------------------------------------------------------
+THAI_SUSPECT = (r"[ํ๎˚˙]|[่-๋][ิ-ื]"
+                r"|([่-๋])\1")
+THAI_DOUBLE_TONE = r"([่-๋])\1า|า([่-๋])\2"
+THAI_SHIFTED_FONT = (r"๎|[˚˙]า|(?<=[฀-๿])[˚˙]"
+                     r"|[˚˙](?=[฀-๿])")
+THAI_LONE_NIKHAHIT = r"ํ(?!า)"
+THAI_CLEAN_TONE = r"[่้]"
 THAI_WORD_FIXES = {
-    "\u0e44\u0e1f\u0e17\u0e2d\u0e1b\u0e18\u0e2d\u0e23\u0e4d\u0e32":
-        "\u0e44\u0e1f\u0e17\u0e2d\u0e1b\u0e18\u0e2d\u0e23\u0e32",
-    "\u0e44\u0e1f\u0e17\u0e2d\u0e1a\u0e18\u0e2d\u0e23\u0e4d\u0e32":
-        "\u0e44\u0e1f\u0e17\u0e2d\u0e1b\u0e18\u0e2d\u0e23\u0e32",
+    "ไฟทอปธอรํา":
+        "ไฟทอปธอรา",
+    "ไฟทอบธอรํา":
+        "ไฟทอปธอรา",
 }
+THAI_TONE_BEFORE_VOWEL = r"([่-๋])([ิ-ื])"
+THAI_STACKED_AM = r"ํ([่-๋])า"
+THAI_HALF_AM = (r"[˚˙]า|(?<=[฀-๿])[˚˙]"
+                r"|[˚˙](?=[฀-๿])")
 
 # --- route reasons -----------------------------------------------------------------------------
 ROUTE_REASONS = {

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .text import fold_spaces, let, where_found
 
-_KEYED = "['\"](?:" + V.RESIDUE_KEYS + ")['\"]" + V.WS + "*:" + V.WS + "*"
-
 
 def _c(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -32,23 +30,14 @@ def normalize_units(col, restore_degrees: bool = False) -> Column:
 
 
 def _latex(c: Column, restore_degrees: bool) -> Column:
-    num, s = r"(\p{Nd}+(?:\.\p{Nd}+)?)", V.WS + "*"
-    celsius = s + r"(?:\^\{\\+circ\})?" + s + r"\\+mathrm\{C\}"
-    c = F.regexp_replace(c, "(?i)" + num + s + r"\\+mathrm\{(" + V.LATEX_UNITS + r")\}", "$1 $2")
-    c = F.regexp_replace(c, "(?i)" + num + s + r"\\+sim" + s + num + celsius, "$1–$2℃")
-    c = F.regexp_replace(c, "(?i)" + num + celsius, "$1℃")
-    for name, sign in V.LATEX_SYMBOLS:
-        c = F.regexp_replace(c, r"\\+" + name, sign)
-    c = F.regexp_replace(c, r"\\+mu(?!" + V.WORDCH + ")", "μ")
-    c = F.replace(F.replace(c, F.lit("\\geqslant"), F.lit("≥")), F.lit("\\leqslant"), F.lit("≤"))
-    c = F.regexp_replace(c, r"\\+(?:" + V.LATEX_COMMANDS + ")(?!" + V.WORDCH + ")", " ")
+    for pattern, by in V.LATEX_MEASURES:
+        c = F.regexp_replace(c, pattern, by)
     if restore_degrees:
         before = "|".join("(?<=%s.{0,%d})" % (w, 28 - len(w)) for w in V.TEMPERATURE_WORDS)
         after = "|".join("(?=.{0,%d}%s)" % (16 - len(w), w) for w in V.TEMPERATURE_WORDS)
-        tail = num + s + r"\\+%"
-        c = F.regexp_replace(c, "(?is)(?<!\\p{Nd})(?:" + before + ")" + tail, "$1℃")
-        c = F.regexp_replace(c, "(?is)" + tail + "(?:" + after + ")", "$1℃")
-    return F.regexp_replace(c, r"\\+([%&#_$])", "$1")
+        c = F.regexp_replace(c, "(?is)(?<!\\p{Nd})(?:" + before + ")" + V.LATEX_PERCENT, "$1℃")
+        c = F.regexp_replace(c, "(?is)" + V.LATEX_PERCENT + "(?:" + after + ")", "$1℃")
+    return F.regexp_replace(c, *V.LATEX_ESCAPE)
 
 
 def strip_quote_noise(col) -> Column:
@@ -59,17 +48,13 @@ def strip_quote_noise(col) -> Column:
 
 
 def _drop_coords(c: Column) -> Column:
-    s, d = V.WS, r"\p{Nd}{1,4}"
-    comma = s + "*," + s + "*"
-    return _gsub(c, r"(?<![\p{Nd}.%℃×~-])" + s + d + comma + d + "(?:" + comma + d + "){1,3}" + s
-                 + r"*(?![\p{Nd}.]*" + s + "*(?:" + V.COORD_UNITS + "))")
+    return _gsub(c, V.BARE_BBOX)
 
 
 def _unquote(c: Column) -> Column:
     for _ in range(3):
-        c = F.regexp_replace(c, "'" + V.WS + "*([^']{1,40}?)" + V.WS + "*'", "$1")
-    edge = "[" + V.CJK + "A-Za-z]"
-    return _gsub(c, "(?<!" + edge + ")'|'(?!" + edge + ")")
+        c = F.regexp_replace(c, V.QUOTED_VALUE, "$1")
+    return _gsub(c, V.LONE_QUOTE)
 
 
 def strip_residue(col, drop_table_html: bool = True) -> Column:
@@ -77,25 +62,15 @@ def strip_residue(col, drop_table_html: bool = True) -> Column:
 
     Every group of patterns runs only on texts that hold a character it needs.
     """
-    c, s = _c(col), V.WS
-    scalar = r"(?:-?\p{Nd}+(?:\.\p{Nd}+)?|true|false|null|None|True|False)" + s + "*,?"
-    word = "[" + V.CJK + r"\p{L}\p{N}_]"
-    c = where_found(c, ["'", '"'], lambda x: _gsub(
-        x,
-        r"\{?" + s + r"*['\"]bbox['\"]" + s + "*:" + s + r"*\[[^\]]*\]" + s + "*,?",
-        _KEYED + scalar,
-        _KEYED,
-        "['\"](?:" + V.RESIDUE_TYPE_VALUES + ")['\"]"))
-    c = where_found(c, ["_"], lambda x: _gsub(
-        x, "(?<!" + V.WORDCH + ")(?:" + V.RESIDUE_BODY_WORDS + ")(?!" + V.WORDCH + ")"))
+    c = where_found(_c(col), ["'", '"'], lambda x: _gsub(
+        x, V.RESIDUE_BBOX, V.RESIDUE_SCALAR, V.RESIDUE_KEY, V.RESIDUE_TYPE))
+    c = where_found(c, ["_"], lambda x: _gsub(x, V.RESIDUE_BODY))
     tags = [V.HTML_TABLE_TAG, V.HTML_ANY_TAG] if drop_table_html else [V.HTML_ANY_TAG]
     c = where_found(c, ["<"], lambda x: _gsub(x, *tags))
     c = where_found(c, ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
     c = normalize_units(where_found(c, ["http"], lambda x: _gsub(x, V.URL)))
-    c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(
-        x, r"[\[\]{}]+|(?<!" + word + r")['\"](?!" + word + ")"))
-    c = where_found(c, [",", "'"], lambda x: _gsub(
-        x, "(?:" + s + "*," + s + "*){2,}|(?:" + s + "*'" + s + "*){2,}"))
+    c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(x, V.STRUCT_PUNCT))
+    c = where_found(c, [",", "'"], lambda x: _gsub(x, V.ORPHAN_PUNCT))
     c = F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
     return strip_quote_noise(c)
 
@@ -116,7 +91,7 @@ def grade(raw, cleaned) -> Column:
         F.when(F.length(c) < V.MIN_CHUNK_CHARS, "junk")
         .when(raw.rlike(V.TABLE_MARK), "table_fragment")
         .when(word_ratio(c) < V.GRADE_MIN_WORD_RATIO, "junk")
-        .when(c.rlike("['\"](?:" + V.RESIDUE_KEYS + ")['\"]" + V.WS + "*:"), "junk")
+        .when(c.rlike(V.RESIDUE_MARK), "junk")
         .when(digit_ratio(c) > V.GRADE_MAX_DIGIT_RATIO, "junk")
         .otherwise("usable")
     )
@@ -133,27 +108,21 @@ def caption_of(cleaned) -> Column:
 
 
 def _caption(s: Column) -> Column:
-    dash = "[-–—.]"
-    start = V.CAPTION_LABEL + V.WS + r"*[\p{Nd}IVX]"
-    pattern = ("(" + start + r"{1,3}(?:" + dash + r"\p{Nd}{1,3})?(?:" + V.WS
-               + "|[.:：]){0,3})([^。；\\n|]{4,70})")
-    label = F.regexp_replace(F.regexp_extract(s, pattern, 1), r"^[ .:：]+|[ .:：]+\z", "")
-    boundary = (r"(?s)(?:" + V.WS + r"{2,}|\p{Nd}+\.\p{Nd}+|\)" + V.WS + r"*[.。]|" + V.WS
-                + r"\p{Nd}{2,}).*\z")
-    body = F.btrim(F.regexp_replace(F.regexp_extract(s, pattern, 2), boundary, ""),
+    label = F.regexp_replace(F.regexp_extract(s, V.CAPTION, 1), r"^[ .:：]+|[ .:：]+\z", "")
+    body = F.btrim(F.regexp_replace(F.regexp_extract(s, V.CAPTION, 2),
+                                    "(?s)(?:" + V.CAPTION_BOUNDARY + r").*\z", ""),
                    F.lit(" ,.;:'\"()"))
     cap = F.trim(F.concat_ws(" ", label, body))
-    tail = F.regexp_replace(
-        cap, "^" + start + "+(?:" + dash + r"\p{Nd}+)?(?:" + V.WS + "|[.:：])*", "")
+    tail = F.regexp_replace(cap, V.CAPTION_HEAD, "")
     ok = (
         F.length(cap).between(8, 90)
         & (word_ratio(cap) >= V.GRADE_MIN_WORD_RATIO)
         & ~cap.rlike("['\"<>]")
-        & cap.rlike("^" + start)
+        & cap.rlike(V.CAPTION_START)
         & (F.length(tail) >= 8)
         & (digit_ratio(cap) <= 0.3)
     )
-    return F.when(s.rlike(pattern) & ok, cap)
+    return F.when(s.rlike(V.CAPTION) & ok, cap)
 
 
 def source_group(doc) -> Column:

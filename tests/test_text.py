@@ -137,3 +137,15 @@ def test_md_table(spark, md, ok):
 def test_dedup_key(spark):
     assert one(spark, ["น้ำ Añb_1²-猫", "--"], C.dedup_key("x")) == ["นำañb1²猫", ""]
     assert V.DEDUP_KEY_CHARS == 400
+
+
+def test_long_runs_of_marks(spark):
+    """Runs that a repeated group would answer with a stack overflow."""
+    n = 100_000
+    runs = [m * n for m in (", ", ",", "' ", "'", '"', "[", "{ ", "\\sim ", "1, 2, ", "。", "! ", "- ",
+                            "a. ", "& ", "<td>", "\\%", "表1", "'a' ", ": ", ". ", "ํา", "่่")]
+    texts = ["word " + x + " word" for x in runs]
+    for c in (X.repair_thai("x"), X.normalize_text("x"), C.strip_residue("x"), C.normalize_units("x"),
+              C.extract_caption("x"), C.grade("x", "x"), C.valid_md_table("x"), C.dedup_key("x")):
+        assert len(one(spark, texts, c)) == len(texts)
+    assert one(spark, texts[:4], C.strip_residue("x")) == ["word word"] * 4
