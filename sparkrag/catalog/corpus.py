@@ -245,20 +245,16 @@ _PAGES = """h AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS doc, p
 
 @query("dedup_pages", f"""WITH {_PAGES}, k AS (SELECT doc, sha1(string_agg(text, '' ORDER BY page))
   AS content_key FROM pg GROUP BY doc)
-SELECT content_key, min(doc) AS doc, count(*) AS n_copies FROM k GROUP BY content_key""")
+SELECT min(doc) AS doc, count(*) AS n_copies FROM k GROUP BY content_key""")
 def dedup_pages(spark, sf_dir):
-    return O.dedup_documents(_pages(spark, sf_dir))
+    return O.dedup_documents(_pages(spark, sf_dir)).select("doc", "n_copies")
 
 
-@query("sparse_documents", f"""WITH {_PAGES}, s AS (SELECT doc, count(*) AS n_pages, length({
-    strip_sql("string_agg(CASE WHEN page % 5 = 0 THEN '  ' ELSE regexp_extract(text, '<title>([^<]*)', 1) END, '' ORDER BY page)")
-    }) AS n_chars FROM pg GROUP BY doc)
+@query("sparse_documents", f"""WITH {_PAGES}, s AS (SELECT doc, count(*) AS n_pages,
+  length({strip_sql("string_agg(text, '' ORDER BY page)")}) AS n_chars FROM pg GROUP BY doc)
 SELECT doc, n_pages, n_chars, n_chars < 200 * n_pages / 10 AS needs_ocr FROM s""")
 def sparse_documents(spark, sf_dir):
-    title = F.regexp_extract("text", "<title>([^<]*)", 1)
-    p = _pages(spark, sf_dir).withColumn(
-        "text", F.when(F.col("page") % 5 == 0, "  ").otherwise(title))
-    return O.flag_sparse_docs(p)
+    return O.flag_sparse_docs(_pages(spark, sf_dir))
 
 
 @query("keep_body", f"""WITH {residue_sql("r", "pages", "page_id", "html")}
@@ -283,15 +279,91 @@ def chunk_params(spark, sf_dir):
     return O.with_chunk_params(docs, _overrides(spark)).select("doc", "size", "overlap")
 
 
-@query("parse_pages")
+def _page_tables(spark, sf_dir):
+    """The menu of every page as a table, with the box of the first block of the page."""
+    p = _pages(spark, sf_dir)
+    links = F.regexp_extract_all("text", F.lit('<li><a href="([^"]*)">([^<]*)'), F.lit(2))
+    lines = F.transform(links, lambda x: F.concat(F.lit("|"), x, F.lit("|menu|")))
+    md = F.concat_ws("\n", F.lit("|name|kind|"), F.lit("|---|---|"), F.concat_ws("\n", lines))
+    box = [F.lit(v).alias(k) for k, v in (("x0", 2), ("y0", 2), ("x1", 98), ("y1", 48))]
+    return p.select("doc", "page", F.lit(1).alias("table_no"), md.alias("markdown"), *box)
+
+
+def _page_blocks(spark, sf_dir):
+    """Pages cut at the end of their menu: one block in the table's box, one below it."""
+    p = _pages(spark, sf_dir)
+    at = F.locate("</nav>", "text")
+    parts = F.array(F.struct(F.lit(0).alias("block_no"), F.substring("text", F.lit(1), at + 5)
+                             .alias("text"), F.lit(0).alias("y0"), F.lit(50).alias("y1")),
+                    F.struct(F.lit(1).alias("block_no"), F.substring(
+                        "text", at + 6, F.length("text")).alias("text"), F.lit(50).alias("y0"),
+                        F.lit(100).alias("y1")))
+    return p.select("doc", "page", F.inline(parts), F.lit(0).alias("x0"), F.lit(100).alias("x1"))
+
+
+_MENU = "regexp_extract_all(text, '<li><a href=\"([^\"]*)\">([^<]*)', 2)"
+
+# Chunks of the kept pages: menus as tables where they are valid, bodies split with the sizes of
+# their documents.
+_PARSED = f"""{_PAGES}, key AS (SELECT doc, sha1(string_agg(text, '' ORDER BY page)) AS k,
+    count(*) AS n, length({strip_sql("string_agg(text, '' ORDER BY page)")}) AS c
+  FROM pg GROUP BY doc),
+kept AS (SELECT min(doc) AS doc FROM key GROUP BY k),
+pk AS (SELECT pg.* FROM pg JOIN kept USING (doc) JOIN key USING (doc) WHERE NOT c < 200 * n / 10),
+menu AS (SELECT doc, page, text, {_MENU} AS cells FROM pk),
+cell AS (SELECT doc, page, trim(unnest(cells)) AS c FROM menu),
+good AS (SELECT doc, page, count(DISTINCT c) + 1 > 2 AND
+    len(regexp_extract_all(string_agg(c || ' menu', ' '), '{_LETTERS}')) /
+      length(string_agg(c || ' menu', ' ')) >= 0.25 AS valid
+  FROM cell WHERE c <> '' GROUP BY doc, page),
+md AS (SELECT m.doc, m.page, '|name|kind|' || chr(10) || '|---|---|' || chr(10) || array_to_string(
+    list_transform(cells, lambda x: '|' || x || '|menu|'), chr(10)) AS md,
+    coalesce(valid, FALSE) AND len(cells) > 0 AND len(list_filter(cells, lambda x:
+      contains(x, chr(10)) OR contains(x, '|'))) = 0 AS valid
+  FROM menu m LEFT JOIN good USING (doc, page)),
+body AS (SELECT pk.doc, pk.page, doc || '#' || page AS k, CASE WHEN valid
+    THEN substr(text, strpos(text, '</nav>') + 6) ELSE text END AS text
+  FROM pk JOIN md USING (doc, page)),
+{residue_sql("pr", "body", "k", "text")},
+sized AS (SELECT k AS id, t, CAST(CASE WHEN doc LIKE 'www.%' THEN 300 WHEN doc LIKE 'blog.t%' THEN 600
+    WHEN doc LIKE 'blog.%' THEN 400 ELSE 900 END AS INTEGER) AS size
+  FROM body JOIN pr ON pr.id = k WHERE length(t) >= 60 AND {_RATIO} >= 0.5),
+{", ".join(f"z{n} AS (SELECT id, t FROM sized WHERE size = {n}), "
+           + splits_sql(f"q{n}", f"z{n}", n, o)
+           for n, o in ((300, 50), (600, 100), (400, 60), (900, 150)))},
+parts AS (SELECT doc, page, 1 AS kind, 0 AS piece, 'table' AS block_type, substr('【表格】' ||
+    '|name|kind|' || chr(10) || md, 1, 2400) AS text FROM md WHERE valid
+  UNION ALL SELECT doc, page, 9, piece, 'text', q.text FROM body JOIN (SELECT * FROM q300
+    UNION ALL SELECT * FROM q600 UNION ALL SELECT * FROM q400 UNION ALL SELECT * FROM q900) q
+    ON q.id = k),
+parsed AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, kind, piece) AS seq
+  FROM parts)"""
+
+
+@query("parse_pages", f"""WITH RECURSIVE {_PARSED}
+SELECT sha1(doc || ':' || page || ':' || seq || ':' || sha1(text)) AS id, doc, page::INTEGER AS page,
+  block_type, seq, length(text) AS n_chars FROM parsed""")
 def parse_pages_query(spark, sf_dir):
-    return parse_pages(_pages(spark, sf_dir), _overrides(spark)).select(
-        "id", "doc", "page", "block_type", "seq", F.length("index_text").alias("n_chars"))
-
-
-@query("build_corpus")
+    return parse_pages(_pages(spark, sf_dir), _overrides(spark), _page_tables(spark, sf_dir),
+                       _page_blocks(spark, sf_dir)).select(
+        "id", "doc", "page", "block_type", "seq", F.length("index_text").cast("long")
+        .alias("n_chars"))
+
+
+@query("build_corpus", _SALVAGE.replace("FROM documents)", "FROM documents WHERE NOT contains("
+                                        "CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END, 'src19'))", 1)
+       + f""", {_PARSED},
+both_ AS (SELECT sha1(doc || ':None:' || s || ':' || sha1(text)) AS id, doc, block_type, provenance, text,
+    0 AS o, id AS pos, s FROM (SELECT made.*, doc, row_number() OVER (PARTITION BY doc
+    ORDER BY id, piece) AS s FROM made JOIN raw ON raw.doc_id = made.id)
+  UNION ALL SELECT sha1(doc || ':' || page || ':' || seq || ':' || sha1(text)), doc, block_type,
+    'pdf_parse', text, 1, page, seq FROM parsed),
+f AS (SELECT *, {_KEY} AS k FROM both_)
+SELECT id, doc, block_type, provenance FROM f WHERE k <> ''
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY o, pos, doc, s) = 1""")
 def build_corpus_query(spark, sf_dir):
-    c = build_corpus(_raw(spark, sf_dir), _pages(spark, sf_dir), _overrides(spark), ["src19"])
+    c = build_corpus(_raw(spark, sf_dir), _pages(spark, sf_dir), _overrides(spark), ["src19"],
+                     _page_tables(spark, sf_dir), _page_blocks(spark, sf_dir))
     return c.select("id", "doc", "block_type", "provenance")
 
 
@@ -387,15 +459,18 @@ def markdown_tables(spark, sf_dir):
     return B.table_to_markdown(cells, heads)
 
 
-@query("valid_tables", """SELECT p_partkey // 20 AS table_id, count(DISTINCT p_name) > 2 AS valid
-FROM part GROUP BY 1""")
+@query("valid_tables", f"""WITH c AS (SELECT p_partkey // 20 AS table_id, unnest([p_name, p_brand,
+    p_size::VARCHAR, p_type]) AS t FROM part)
+SELECT table_id, count(DISTINCT t) > 2 AND len(regexp_extract_all(string_agg(t, ' '), '{_LETTERS}'))
+  / length(string_agg(t, ' ')) >= 0.25 AS valid FROM c WHERE trim(t) <> '' GROUP BY 1""")
 def valid_tables(spark, sf_dir):
-    """Tables whose only informative column is the name are valid from three names on."""
+    """Tables of all columns of the parts, twenty to a table."""
     p = table(spark, sf_dir, "part").select(
         F.floor(F.col("p_partkey") / 20).alias("table_id"), "p_partkey",
-        F.concat(F.lit("|"), "p_name", F.lit("||")).alias("line"))
+        F.concat(F.lit("|"), F.concat_ws("|", "p_name", "p_brand", "p_size", "p_type"),
+                 F.lit("|")).alias("line"))
     md = p.groupBy("table_id").agg(F.concat_ws(
-        "\n", F.lit("|name|unit|"), F.lit("|---|---|"), F.array_sort(
+        "\n", F.lit("|name|brand|size|type|"), F.lit("|---|---|---|---|"), F.array_sort(
             F.collect_list(F.struct("p_partkey", "line")))["line"]).alias("md"))
     return md.select("table_id", C.valid_md_table("md").alias("valid"))
 

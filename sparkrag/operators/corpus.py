@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import cleaning as C
 from ..functions.tagging import first_case
-from .prefix import first_wins, int_bucket, prefix
+from ..sources.stage import staged
+from .prefix import first_wins_wide, int_bucket, prefix
 from .tagging import bounded_rows
 
-# A document above this size cannot be concatenated into one row.
-MAX_DOC_CHARS = 256 * 1024 * 1024
+# Characters of a document that are hashed as one piece, wherever its pages break.
+PIECE_CHARS = 1 << 16
 # Chunk size rules are parameters and become one CASE.
 MAX_RULES = 1000
 
@@ -50,7 +51,7 @@ def with_chunk_params(df: DataFrame, overrides: DataFrame) -> DataFrame:
 def dedup_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     """Keep the first chunk of every near-exact key; rows with an empty key are dropped."""
     keyed = df.withColumn("__key", C.dedup_key("index_text")).filter("__key <> ''")
-    return first_wins(keyed, ["__key"], order).drop("__key")
+    return first_wins_wide(keyed, F.col("__key"), order).drop("__key")
 
 
 def dedup_removed(df: DataFrame, order: list[str]) -> DataFrame:
@@ -61,49 +62,67 @@ def dedup_removed(df: DataFrame, order: list[str]) -> DataFrame:
                     .alias("dedup_removed"))
 
 
-def page_fingerprints(pages: DataFrame) -> DataFrame:
-    """Content key of whole documents: sha1 of the concatenated page texts.
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """``doc, page, size, lead, trail``: characters, and white space at both ends of every page."""
+    size = F.length("text")
+    return pages.select(
+        "doc", "page", size.alias("size"),
+        (size - F.length(F.regexp_replace("text", "^" + V.WS + "+", ""))).alias("lead"),
+        (size - F.length(F.regexp_replace("text", V.WS + r"+\z", ""))).alias("trail"))
+
 
-    Documents too large to concatenate get an order-sensitive sum of page hashes instead, so no
-    row ever holds more than ``MAX_DOC_CHARS`` characters.
+def page_fingerprints(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Content key of whole documents; it doesn't depend on where their pages break.
+
+    The characters of a document are cut into pieces of ``PIECE_CHARS`` counted from its start, each
+    piece is hashed, and the hashes are added up with their numbers.  No row holds more than a piece
+    or a page.  ``sizes`` is ``page_sizes(pages)``, where it was made before.
     """
-    sizes = pages.groupBy("doc").agg(F.sum(F.length("text")).alias("n_chars"),
-                                     F.count("*").alias("n_pages"))
-    small = sizes.filter(F.col("n_chars") <= MAX_DOC_CHARS)
-    large = sizes.filter(F.col("n_chars") > MAX_DOC_CHARS)
-    joined = (pages.join(small.select("doc"), "doc", "left_semi").groupBy("doc")
-              .agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-              .select("doc", F.sha1(F.concat_ws("", F.col("p.text"))).alias("content_key")))
-    digest = F.sha2(F.concat_ws(":", F.col("page").cast("string"), "text"), 256)
-    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
-             for i in range(4)]
-    summed = (pages.join(large.select("doc"), "doc", "left_semi").groupBy("doc")
-              .agg(F.concat_ws("-", *[p.cast("string") for p in parts]).alias("content_key")))
-    return joined.unionByName(summed).join(sizes, "doc")
-
-
-def dedup_documents(pages: DataFrame) -> DataFrame:
+    sizes = page_sizes(pages) if sizes is None else sizes
+    placed = prefix(sizes.select("doc", "page", F.col("size").cast("long").alias("size")), ["doc"],
+                    ["page"], int_bucket("page", 4096), sums={"stop": F.col("size")})
+    placed = placed.select("doc", "page", (F.col("stop") - F.col("size")).alias("at"), "stop")
+    first, last = F.floor(F.col("at") / PIECE_CHARS), F.floor((F.col("stop") - 1) / PIECE_CHARS)
+    cut = (pages.select("doc", "page", "text").join(placed, ["doc", "page"])
+           .where("stop > at").withColumn("piece", F.explode(F.sequence(first, last))))
+    begin = F.greatest(F.col("piece") * PIECE_CHARS - F.col("at"), F.lit(0))
+    end = F.least((F.col("piece") + 1) * PIECE_CHARS, F.col("stop")) - F.col("at")
+    part = F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int"))
+    whole = F.array_sort(F.collect_list(F.struct(F.col("page").alias("p"), part.alias("t"))))
+    pieces = cut.groupBy("doc", "piece").agg(whole.alias("w")).select(
+        "doc", F.sha2(F.concat(F.col("piece").cast("string"), F.lit(":"),
+                               F.concat_ws("", F.col("w.t"))), 256).alias("digest"))
+    sums = [F.sum(F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+            for i in range(4)]
+    keys = pieces.groupBy("doc").agg(
+        F.sha1(F.concat_ws("-", *[x.cast("string") for x in sums])).alias("content_key"))
+    totals = sizes.groupBy("doc").agg(F.sum("size").alias("n_chars"), F.count("*").alias("n_pages"))
+    return totals.join(keys, "doc", "left").withColumn(
+        "content_key", F.coalesce("content_key", F.sha1(F.lit(""))))
+
+
+def dedup_documents(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Names of the documents to keep: the first name of every distinct content."""
-    return (page_fingerprints(pages).groupBy("content_key")
+    return (page_fingerprints(pages, sizes).groupBy("content_key")
             .agg(F.min("doc").alias("doc"), F.count("*").alias("n_copies")))
 
 
-def flag_sparse_docs(pages: DataFrame) -> DataFrame:
+def flag_sparse_docs(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Documents with so little text that they must be scans waiting for OCR.
 
-    Counts the characters of the whole document without the whitespace at its two ends.
+    Counts the characters of the whole document without the whitespace at its two ends.  Only the
+    table of sizes is read more than once.
     """
-    size = F.length("text")
-    lead = size - F.length(F.regexp_replace("text", "^" + V.WS + "+", ""))
-    trail = size - F.length(F.regexp_replace("text", V.WS + r"+\z", ""))
-    filled = lead < size
-    docs = pages.groupBy("doc").agg(
-        F.count("*").alias("n_pages"), F.sum(size).alias("total"),
-        F.min(F.when(filled, F.struct("page", lead.alias("n")))).alias("first"),
-        F.max(F.when(filled, F.struct("page", trail.alias("n")))).alias("last"))
+    sizes = staged(page_sizes(pages), "sizes") if sizes is None else sizes
+    filled = F.col("lead") < F.col("size")
+    docs = sizes.groupBy("doc").agg(
+        F.count("*").alias("n_pages"), F.sum("size").alias("total"),
+        F.min(F.when(filled, F.struct("page", F.col("lead").alias("n")))).alias("first"),
+        F.max(F.when(filled, F.struct("page", F.col("trail").alias("n")))).alias("last"))
     outside = ((F.col("page") < F.col("first.page")) | (F.col("page") > F.col("last.page"))
                | F.col("first").isNull())
-    blank = (pages.filter(~filled & (size > 0)).select("doc", "page", size.alias("n"))
+    blank = (sizes.filter(~filled & (F.col("size") > 0))
+             .select("doc", "page", F.col("size").alias("n"))
              .join(docs.select("doc", "first", "last"), "doc").filter(outside)
              .groupBy("doc").agg(F.sum("n").alias("blank")))
     n = (F.col("total") - F.coalesce("blank", F.lit(0)) - F.coalesce("first.n", F.lit(0))

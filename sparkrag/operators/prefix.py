@@ -81,3 +81,21 @@ def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return best.select(*key, "__row.*").select(*df.columns)
+
+
+def first_wins_wide(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """The same for wide rows: only a 128-bit hash of the key and the order columns are aggregated,
+    the winning rows are joined back.  Rows with equal order columns are told apart by content."""
+    src = df.withColumns({"__k1": F.xxhash64(key), "__k2": F.xxhash64(F.lit(1), key),
+                          "__content": F.xxhash64(*_hashable(df))})
+    at = F.struct(*order, "__content")
+    best = src.groupBy("__k1", "__k2").agg(F.min(at).alias("__first"))
+    won = src.join(best, ["__k1", "__k2"]).where(at.eqNullSafe(F.col("__first")))
+    same = Window.partitionBy("__k1", "__k2").orderBy(F.lit(0))  # repeated rows
+    return (won.withColumn("__n", F.row_number().over(same)).where("__n = 1")
+            .select(*df.columns))
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    return [F.to_json(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
+            for f in df.schema]

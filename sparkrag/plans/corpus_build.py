@@ -81,16 +81,36 @@ def salvage(raw: DataFrame, exclude: list[str] = ()) -> DataFrame:
     return _chunk_columns(O.with_seq(staged(p.drop("cleaned", "text"), "salvage")))
 
 
-def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None = None
-                ) -> DataFrame:
+def text_outside_tables(pages: DataFrame, tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pages with a table: their text is that of the blocks outside its box, in order."""
+    outside = O.blocks_outside_tables(blocks, tables)
+    rest = outside.groupBy("doc", "page").agg(F.array_sort(F.collect_list(
+        F.struct("block_no", "text"))).alias("b")).select(
+        "doc", "page", F.concat_ws("\n", F.col("b.text")).alias("__rest"))
+    tabled = tables.select("doc", "page", F.lit(True).alias("__tabled")).distinct()
+    return (pages.join(tabled, ["doc", "page"], "left").join(rest, ["doc", "page"], "left")
+            .withColumn("text", F.when(F.col("__tabled"), F.coalesce("__rest", F.lit("")))
+                        .otherwise(F.col("text"))).select(*pages.columns))
+
+
+def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None = None,
+                blocks: DataFrame | None = None) -> DataFrame:
     """Page text to chunks: one chunk per valid table, the body text split by sentence.
 
-    ``pages``: doc, page, text.  ``tables``: doc, page, table_no, markdown.  Copies of whole
-    documents and documents that still need OCR are left out.
+    ``pages``: doc, page, text.  ``tables``: doc, page, table_no, markdown.  ``blocks``: doc, page,
+    block_no, text and a box x0, y0, x1, y1, which ``tables`` then has too: text inside the box of
+    a valid table stays out of the body.  Copies of whole documents and documents that still need
+    OCR are left out, judged by their full text.
     """
-    kept = O.dedup_documents(pages).select("doc")
-    sparse = O.flag_sparse_docs(pages).filter("needs_ocr").select("doc")
-    src = pages.join(kept, "doc", "left_semi").join(sparse, "doc", "left_anti")
+    sizes = staged(O.page_sizes(pages), "sizes")
+    kept = O.dedup_documents(pages, sizes).select("doc")
+    sparse = O.flag_sparse_docs(pages, sizes).filter("needs_ocr").select("doc")
+    wanted = staged(kept.join(sparse, "doc", "left_anti"), "kept")
+    src = pages.join(wanted, "doc", "left_semi")
+    if tables is not None:
+        tables = tables.filter(C.valid_md_table("markdown"))
+        if blocks is not None:
+            src = text_outside_tables(src, tables, blocks)
     body = O.keep_body(once(src, "body", C.strip_residue("text")), "body")
     body = O.with_chunk_params(body, overrides)
     text = body.select(
@@ -103,8 +123,7 @@ def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None
     if tables is not None:
         md = strip(F.col("markdown"))
         head = F.substring(F.get(F.split(md, "\n"), F.lit(0)), 1, V.TABLE_HEAD_CHARS)
-        t = (tables.join(src.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-             .filter(C.valid_md_table("markdown"))
+        t = (tables.join(wanted, "doc", "left_semi")
              .select("doc", "page", F.col("table_no").cast("int").alias("kind"),
                      F.lit(0).alias("piece"),
                      F.substring(F.concat(F.lit(V.TABLE_PREFIX), head, F.lit("\n"), md), 1,
@@ -118,9 +137,10 @@ def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None
 
 
 def build_corpus(raw: DataFrame, pages: DataFrame, overrides: DataFrame,
-                 exclude: list[str] = (), tables: DataFrame | None = None) -> DataFrame:
+                 exclude: list[str] = (), tables: DataFrame | None = None,
+                 blocks: DataFrame | None = None) -> DataFrame:
     """Salvaged and parsed chunks in one corpus, near-exact copies removed (salvaged win)."""
     both = (salvage(raw, exclude).withColumn("source_ord", F.lit(0))
-            .unionByName(parse_pages(pages, overrides, tables)
+            .unionByName(parse_pages(pages, overrides, tables, blocks)
                          .withColumn("source_ord", F.lit(1))))
     return O.dedup_chunks(both, ["source_ord", "pos", "doc", "seq"])
