@@ -29,6 +29,7 @@ TARGET_RECALL = 0.95  # on the sample
 BLOCK = 32_768  # vectors of a task
 QUERIES = 4096  # queries of a task
 SCORES = 1 << 22  # inner products held at once
+PROBED = 500  # queries whose probes are ordered at once
 
 STEPS = np.array(list(itertools.product((-1, 0, 1), repeat=PROJECTIONS)))
 
@@ -59,7 +60,7 @@ class Hashes:
     def codes(self, slots: np.ndarray) -> np.ndarray:
         return slots @ (SLOTS ** np.arange(PROJECTIONS))
 
-    def probe(self, x: np.ndarray) -> np.ndarray:
+    def probe(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
         """Bucket codes (rows, tables, probes) in order of estimated success; -1: no bucket."""
         slots, inside = self.places(x, True)
         # Squared distance to the border that a step goes over, per projection and step.
@@ -67,7 +68,7 @@ class Hashes:
         total = np.zeros((*slots.shape[:2], len(STEPS)))
         for k in range(PROJECTIONS):
             total += cost[:, :, k, :][:, :, STEPS[:, k] + 1]
-        order = np.argsort(total, axis=2, kind="stable")[:, :, :self.probes]
+        order = np.argsort(total, axis=2, kind="stable")[:, :, :probes or self.probes]
         moved = slots[:, :, None, :] + STEPS[order]
         codes = self.codes(moved)
         codes[((moved < 0) | (moved >= SLOTS)).any(axis=3)] = -1
@@ -130,26 +131,43 @@ def _spread(ids: np.ndarray, groups: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
 
 
-def _probe_batches(hashes: Hashes, first: np.ndarray, last: np.ndarray, groups: int):
-    """For each query the blocks that hold a probed bucket, with the buckets."""
+def _visits(hashes: Hashes, x: np.ndarray, sizes: np.ndarray, k: int) -> Iterator[tuple]:
+    """Query number, table and non-empty buckets to visit.
+
+    A query goes on past its probes, and at last through all buckets, until those it visits hold
+    more than k vectors (it may be one of them itself).
+    """
+    for lo in range(0, len(x), PROBED):
+        every = hashes.probe(x[lo:lo + PROBED], len(STEPS))
+        for q in range(len(every)):
+            for t in range(TABLES):
+                codes = every[q, t]
+                n = np.where(codes >= 0, sizes[t, codes], 0)
+                enough = int(np.searchsorted(np.cumsum(n), k, side="right")) + 1
+                if enough > len(n):
+                    yield lo + q, t, np.flatnonzero(sizes[t])
+                else:
+                    upto = max(enough, hashes.probes)
+                    yield lo + q, t, codes[:upto][n[:upto] > 0]
+
+
+def _probe_batches(hashes: Hashes, starts: np.ndarray, sizes: np.ndarray, groups: int, k: int):
+    """For each query the blocks that hold a bucket it visits, with these buckets."""
+    first, last = starts // BLOCK, (starts + sizes - 1) // BLOCK
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             if not len(ids):
                 continue
-            probes = hashes.probe(_matrix(batch.column("embedding")))
             rows: list[tuple[int, int, int, list[int]]] = []
-            for q in range(len(ids)):
-                for t in range(TABLES):
-                    codes = probes[q, t]
-                    codes = codes[codes >= 0]
-                    codes = codes[last[t, codes] >= 0]  # buckets with vectors
-                    low, high = first[t, codes], last[t, codes]
-                    for block in np.unique(np.concatenate([low, high])) if len(codes) else ():
-                        rows.append((q, t, int(block),
-                                     codes[(low <= block) & (block <= high)].tolist()))
-                    for code, a, b in zip(codes, low, high):  # a bucket over many blocks
-                        rows += [(q, t, k, [int(code)]) for k in range(a + 1, b)]
+            for q, t, codes in _visits(hashes, _matrix(batch.column("embedding")), sizes, k):
+                low, high = first[t, codes], last[t, codes]
+                for block in np.unique(np.concatenate([low, high])):
+                    rows.append((q, t, int(block),
+                                 codes[(low <= block) & (block <= high)].tolist()))
+                for code, a, b in zip(codes, low, high):  # a bucket over many blocks
+                    rows += [(q, t, i, [int(code)]) for i in range(a + 1, b)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id").take(at), batch.column("embedding").take(at),
@@ -254,10 +272,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     buckets = buckets.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0)))
     held = buckets.collect()  # bounded by the possible buckets
     codes = SLOTS ** PROJECTIONS
-    first, last = np.zeros((TABLES, codes), np.int64), np.full((TABLES, codes), -1)
+    starts, counts = np.zeros((TABLES, codes), np.int64), np.zeros((TABLES, codes), np.int64)
     for b in held:
-        first[b["table"], b["code"]] = b["start"] // BLOCK
-        last[b["table"], b["code"]] = (b["start"] + b["n"] - 1) // BLOCK
+        starts[b["table"], b["code"]], counts[b["table"], b["code"]] = b["start"], b["n"]
     groups = max(1, -(-n_asked // QUERIES))
 
     sized = spark.createDataFrame(held, buckets.schema)
@@ -267,7 +284,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                     F.floor(place / BLOCK).cast("int").alias("block"),
                     F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")))
     probes = asked.mapInArrow(
-        _probe_batches(hashes, first, last, groups),
+        _probe_batches(hashes, starts, counts, groups, k),
         "query_id long, query array<double>, table int, block int, probed array<int>, part int")
     keys = ["table", "block", "part"]
     found = data.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(
