@@ -12,6 +12,7 @@ encoded independently; each task remembers the runs it met.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -211,6 +212,12 @@ class Encoder:
         return self.library.decode(ids.tolist())
 
 
+@functools.lru_cache(2)
+def encoder_of(model: str) -> Encoder:
+    """One per worker, so that what it remembers serves all its tasks."""
+    return Encoder(model)
+
+
 def _list(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     values = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -220,7 +227,7 @@ def _list(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _encode_batches(model: str, rows: int = 500):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = encoder_of(model)
         for whole in stream:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
