@@ -251,7 +251,7 @@ def _trace_tables(spark, sf_dir):
                      F.when(F.col("event_type") != "view", F.col("event_type")).alias("tool_name"))
     docs = e.select(who.alias("trace_id"), F.when(F.col("user_id") % 2 == 0, "bm25_original")
                     .otherwise("dense_original").alias("source_route"))
-    ranked = e.filter("event_type = 'click'").select(
+    ranked = e.select(
         who.alias("trace_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("chunk_id"),
         F.concat(F.col("event_type"), F.lit("榴莲")).alias("text"),
         F.col("user_id").cast("int").alias("rrf_rank"),
@@ -265,14 +265,13 @@ tl AS (SELECT tid, string_agg(event_type, ',' ORDER BY event_id) FILTER (WHERE e
   AS tools, string_agg(DISTINCT CASE WHEN user_id % 2 = 0 THEN 'bm25_original'
     ELSE 'dense_original' END, ',' ORDER BY CASE WHEN user_id % 2 = 0 THEN 'bm25_original'
     ELSE 'dense_original' END) AS sources FROM e GROUP BY tid),
-dk AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY event_id) AS p FROM e
-  WHERE event_type = 'click'),
-dc AS (SELECT tid, count(*) AS nd, string_agg(CASE WHEN p <= 10 THEN event_id || '=' || user_id END,
+dk AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY event_id) AS p FROM e),
+dc AS (SELECT tid, count(*) AS nd, sum(length(event_type)) AS nc, string_agg(CASE WHEN p <= 10 THEN event_id || '=' || user_id END,
     ',' ORDER BY event_id) AS ranks FROM dk GROUP BY tid)
 SELECT c_custkey AS trace_id, coalesce(tools, '') AS tools, coalesce(sources, '') AS sources,
   coalesce(ranks, '') AS ranks, CASE WHEN c_custkey % 3 = 0 THEN 'sufficient'
     WHEN coalesce(nd, 0) > 0 THEN 'insufficient' ELSE 'no_result' END AS decision,
-  CAST(2 + 2 * coalesce(nd, 0) + (length(c_name) + 5 * coalesce(nd, 0)
+  CAST(2 + 2 * coalesce(nd, 0) + (length(c_name) + coalesce(nc, 0)
     + greatest(coalesce(nd, 0) - 1, 0) + 3) // 4 AS INTEGER) AS token_input,
   CAST(CASE WHEN c_custkey % 4 > 0 THEN (length(c_mktsegment) + 3) // 4 ELSE 0 END AS INTEGER)
     AS token_output, c_custkey % 4 > 0 AND c_custkey % 8 <> 1 AS success

@@ -244,7 +244,7 @@ def task_validation(spark, sf_dir):
 
 
 @query("confirmations", """WITH pd AS (SELECT o_orderkey AS confirmation_id, 't' || (o_orderkey % 5)
-  AS thread FROM orders WHERE o_orderkey % 2 = 0),
+  AS thread FROM orders),
 d AS (SELECT event_id, ts, event_id * 13 % 4000 AS cid, 't' || (user_id % 5) AS thread,
   event_type <> 'error' AS approved FROM events),
 j AS (SELECT d.*, pd.thread AS owner FROM d LEFT JOIN pd ON pd.confirmation_id = d.cid),
@@ -255,7 +255,7 @@ SELECT event_id AS decision_id, cid AS confirmation_id, CASE WHEN owner IS NULL
   WHEN approved THEN 'executed' ELSE 'cancelled' END AS status FROM u""")
 def confirmations(spark, sf_dir):
     o = F.col("o_orderkey")
-    pending = table(spark, sf_dir, "orders").filter(o % 2 == 0).select(
+    pending = table(spark, sf_dir, "orders").select(
         o.alias("confirmation_id"), F.concat(F.lit("t"), (o % 5).cast("string"))
         .alias("thread_id"), F.lit("task_create").alias("tool"), F.lit("{}").alias("args"))
     decisions = table(spark, sf_dir, "events").select(

@@ -14,7 +14,8 @@ from ..operators.dense import dense_search
 from ..operators.evidence import check_evidence
 from ..operators.metrics import metrics_report, retrieval_metrics
 from ..operators.permissions import allowed_tools, request_context, scope_filter
-from ..plans.search import SearchSetup, introduces_numbers, search, search_with_retry
+from ..plans.search import SearchSetup, evaluate_search, four_way_recall, introduces_numbers
+from ..plans.search import rewrite_queries, search, search_with_retry
 from ..sources.stage import staged
 from .base import TERMS, TERMS_SQL, bm25_sql, documents, items, query, table, terms, tokens_sql
 
@@ -182,7 +183,6 @@ def _setup(spark, sf_dir, **kw):
 
 
 def _fused(spark, sf_dir, top=None):
-    from ..plans.search import four_way_recall
     hits = four_way_recall(items(spark, sf_dir), _setup(spark, sf_dir))
     return fusion.weighted_rrf(hits, top_n_docs=top)
 
@@ -300,8 +300,7 @@ nq AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN TRY_CAST(list_extract(re
 top AS (SELECT query_id, chunk_id, lower(text) AS t, regexp_extract_all(text,
     '[0-9]+(?:[.][0-9]+)?')::DOUBLE[] AS nums FROM (SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm)
-  JOIN documents ON doc_id = chunk_id WHERE rank <= (CASE WHEN query_id % 5 = 4 THEN 1
-    ELSE 8 END)),
+  JOIN documents ON doc_id = chunk_id WHERE rank <= 8),
 need AS (SELECT DISTINCT bs.id AS query_id, bs.slot, bs.canonical, lower(f) AS form FROM bs
   JOIN (SELECT canonical, canonical AS f FROM kv UNION SELECT canonical, alias FROM kv) s
     ON s.canonical = bs.canonical),
@@ -329,8 +328,7 @@ def evidence_check(spark, sf_dir):
     facts, aliases = _facts(spark, sf_dir)
     docs = documents(spark, sf_dir)
     hits = bm25_search(items(spark, sf_dir), bm25_index(docs), V.EVIDENCE_TOP_N)
-    few = F.when(F.col("query_id") % 5 == 4, 1).otherwise(V.EVIDENCE_TOP_N)
-    v = check_evidence(facts, hits.filter(F.col("rank") <= few).join(docs, "chunk_id"), aliases)
+    v = check_evidence(facts, hits.join(docs, "chunk_id"), aliases)
 
     def n(prefix):
         return F.size(F.filter("reasons", lambda r: r.startswith(prefix))).cast("long")
@@ -343,7 +341,92 @@ def evidence_check(spark, sf_dir):
         (n(V.REASON_SINGLE[0]) > 0).alias("single_point"), "sufficient")
 
 
-@query("search_documents")
+_ASKED = """asked AS (SELECT item_id AS query_id, text, text || CASE WHEN item_id % 3 = 0 THEN ' '
+    || CAST(item_id * 7 % 90 + 1 AS VARCHAR) || ' kg' ELSE '' END AS query FROM benchmark)"""
+
+_CORPUS_SQL = f"""{_EXPANDED}, {_ASKED}, {tokens_sql("dt", "documents", "doc_id")},
+al AS (SELECT canonical, string_agg(alias, ' ' ORDER BY category_ord, alias_ord) AS a
+  FROM kv WHERE alias <> canonical GROUP BY canonical),
+pp AS (SELECT doc_id, substr(text, 1, 512) AS text FROM documents),
+{tokens_sql("pt", "pp", "doc_id")}, {tokens_sql("aq", "asked", "query_id", "query")},
+an AS (SELECT id, count(*) AS n FROM aq GROUP BY id)"""
+
+
+def _vector_sql(out: str, tokens: str) -> str:
+    """CTE ``out(id, slot, w)``: the hashed unit vectors of a token CTE."""
+    return f"""{out}_c AS (SELECT id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 64 AS slot,
+    count(*) AS n FROM {tokens} GROUP BY 1, 2),
+{out} AS (SELECT id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM {out}_c)"""
+
+
+def search_sql(p: str, source: str) -> str:
+    """CTEs ending in ``{p}(query_id, chunk_id, rerank_score, rerank_rank)`` for the queries of
+    ``source(query_id, text)``: four routes, fusion, rerank; after ``_CORPUS_SQL``."""
+    return f"""{slots_sql(p + "_s", source, "query_id")},
+{p}_x AS (SELECT q.query_id, q.text || coalesce(string_agg(' ' || s.canonical || coalesce(
+      ' ' || al.a, ''), '' ORDER BY pos), '') AS expanded,
+    q.text || coalesce(string_agg(CASE WHEN contains(q.text, s.canonical) THEN '' ELSE ' '
+      || s.canonical END, '' ORDER BY pos), '') AS canonical
+  FROM {source} q LEFT JOIN {p}_s s ON s.id = q.query_id LEFT JOIN al ON al.canonical = s.canonical
+  GROUP BY q.query_id, q.text),
+{tokens_sql(p + "_to", source, "query_id")}, {tokens_sql(p + "_te", p + "_x", "query_id", "expanded")},
+{tokens_sql(p + "_tc", p + "_x", "query_id", "canonical")},
+{bm25_sql(p + "_bo", "dt", p + "_to")}, {bm25_sql(p + "_be", "dt", p + "_te")},
+{_vector_sql(p + "_vd", "dt")}, {_vector_sql(p + "_vo", p + "_to")}, {_vector_sql(p + "_vc", p + "_tc")},
+{p}_do AS (SELECT q.id AS query_id, d.id AS chunk_id, round(sum(q.w * d.w), 9) AS score
+  FROM {p}_vo q JOIN {p}_vd d ON q.slot = d.slot GROUP BY 1, 2 HAVING round(sum(q.w * d.w), 9) >= 0.3),
+{p}_dc AS (SELECT q.id AS query_id, d.id AS chunk_id, round(sum(q.w * d.w), 9) AS score
+  FROM {p}_vc q JOIN {p}_vd d ON q.slot = d.slot GROUP BY 1, 2 HAVING round(sum(q.w * d.w), 9) >= 0.3),
+{p}_all AS (SELECT 0 AS o, 0.20 AS w, query_id, chunk_id, score FROM {p}_do
+  UNION ALL SELECT 1, 0.30, query_id, chunk_id, score FROM {p}_dc
+  UNION ALL SELECT 2, 0.15, query_id, chunk_id, score FROM {p}_bo
+  UNION ALL SELECT 3, 0.35, query_id, chunk_id, score FROM {p}_be),
+{p}_hits AS (SELECT *, row_number() OVER (PARTITION BY o, query_id ORDER BY score DESC, chunk_id)
+  AS rank FROM {p}_all QUALIFY rank <= 10),
+{p}_f AS (SELECT query_id, chunk_id, round(sum(w::DOUBLE / (60 + rank) ORDER BY o), 12) AS score,
+    min(o) AS o, arg_min(rank, o) AS r FROM {p}_hits GROUP BY query_id, chunk_id),
+{p}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o, r, chunk_id)
+  AS rrf_rank FROM {p}_f QUALIFY rrf_rank <= 8),
+{p}_o AS (SELECT f.query_id, f.chunk_id, f.rrf_rank, count(pt.term) / any_value(an.n) AS s
+  FROM {p}_r f JOIN an ON an.id = f.query_id JOIN aq ON aq.id = f.query_id
+  LEFT JOIN pt ON pt.id = f.chunk_id AND pt.term = aq.term GROUP BY 1, 2, 3),
+{p} AS (SELECT query_id, chunk_id, s AS rerank_score, row_number() OVER (PARTITION BY query_id
+  ORDER BY s DESC, rrf_rank) AS rerank_rank FROM {p}_o WHERE s >= 0.3 QUALIFY rerank_rank <= 5)"""
+
+
+def verdict_sql(p: str, source: str, hits: str) -> str:
+    """CTE ``{p}(query_id, n, sufficient, n_reasons)`` for the queries of ``source`` and ``hits``."""
+    return f"""{p}_t AS (SELECT query_id, chunk_id, lower(text) AS t, regexp_extract_all(text,
+    '[0-9]+(?:[.][0-9]+)?')::DOUBLE[] AS nums FROM {hits} JOIN documents ON doc_id = chunk_id),
+{p}_need AS (SELECT DISTINCT bs.id AS query_id, bs.slot, bs.canonical, lower(f) AS form FROM bs
+  JOIN (SELECT canonical, canonical AS f FROM kv UNION SELECT canonical, alias FROM kv) s
+    ON s.canonical = bs.canonical),
+{p}_miss AS (SELECT n.query_id, n.slot FROM {p}_need n LEFT JOIN {p}_t t ON t.query_id = n.query_id
+    AND contains(t.t, n.form) GROUP BY 1, 2 HAVING count(t.chunk_id) = 0),
+{p}_sym AS (SELECT DISTINCT query_id, canonical FROM asked JOIN kv ON contains(asked.text, kv.alias)
+  WHERE category = 'symptom'),
+{p}_smiss AS (SELECT s.query_id, s.canonical FROM {p}_sym s LEFT JOIN {p}_t t
+    ON t.query_id = s.query_id AND contains(t.t, lower(s.canonical))
+  GROUP BY 1, 2 HAVING count(t.chunk_id) = 0),
+{p}_key AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN TRY_CAST(list_extract(
+    regexp_extract_all(query, '[0-9]+(?:[.][0-9]+)?'), 1) AS DOUBLE) END AS key FROM asked),
+{p}_agg AS (SELECT q.query_id, any_value(key) AS key, count(t.chunk_id) AS n,
+    count(*) FILTER (WHERE len(nums) > 0) AS n_num, coalesce(bool_or(len(list_filter(nums,
+      lambda x: abs(x - key) <= greatest(0.5, abs(key) * 0.05))) > 0), false) AS near
+  FROM {source} q JOIN {p}_key USING (query_id) LEFT JOIN {p}_t t USING (query_id)
+  GROUP BY q.query_id),
+{p}_w AS (SELECT *, key IS NOT NULL AND n_num >= 2 AND NOT near AS conflict,
+    (SELECT count(*) FROM {p}_miss m WHERE m.query_id = a.query_id)
+    + (SELECT count(*) FROM {p}_smiss m WHERE m.query_id = a.query_id) AS missing FROM {p}_agg a),
+{p} AS (SELECT query_id, n, CASE WHEN n = 0 THEN 1 ELSE missing
+    + CASE WHEN key IS NOT NULL AND n_num = 0 THEN 1 ELSE 0 END
+    + CASE WHEN conflict THEN 1 ELSE 0 END
+    + CASE WHEN n < 2 AND NOT conflict THEN 1 ELSE 0 END END AS n_reasons FROM {p}_w)"""
+
+
+@query("search_documents", f"""WITH {_CORPUS_SQL}, {search_sql("s1", "asked")}
+SELECT query_id, chunk_id, source AS document_id, CAST(rerank_rank AS INTEGER) AS rerank_rank,
+  round(rerank_score, 6) AS rerank_score FROM s1 JOIN documents ON doc_id = chunk_id""")
 def search_documents(spark, sf_dir):
     """Four-way search with hashed vectors, rerank and evidence check over all items."""
     facts, _ = _facts(spark, sf_dir)
@@ -352,6 +435,56 @@ def search_documents(spark, sf_dir):
         F.round("rerank_score", 6).alias("rerank_score"))
 
 
+_FOUR = f"WITH {_CORPUS_SQL}, {search_sql('s1', 'asked')}"
+
+
+@query("four_way_recall", _FOUR + """SELECT query_id, ['dense_original', 'dense_canonical',
+    'bm25_original', 'bm25_expanded'][o + 1] AS route, chunk_id, round(score, 6) AS score,
+  CAST(rank AS INTEGER) AS rank FROM s1_hits""")
+def four_way_recall_query(spark, sf_dir):
+    """The ten best hits of each of the four routes."""
+    hits = four_way_recall(items(spark, sf_dir), _search_setup(spark, sf_dir))
+    return hits.select("query_id", "route", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("rewrite_queries", _FOUR + """SELECT query_id, len(regexp_extract_all(expanded, '[a-z]+'))
+  AS n_words, contains(expanded, query) AND query <> text AS kept_dose FROM s1_x JOIN asked
+USING (query_id)""")
+def rewrite_queries_query(spark, sf_dir):
+    """Rewrites by rule: words of the expanded query, and whether the dose came in."""
+    facts, _ = _facts(spark, sf_dir)
+    asked = facts.select("query_id", F.col("query").alias("asked"), F.col("text").alias("plain"))
+    r = rewrite_queries(facts, _setup(spark, sf_dir)).join(asked, "query_id")
+    return r.select("query_id", F.regexp_count("text", F.lit("[a-z]+")).cast("long").alias("n_words"),
+                    (F.contains("text", "asked") & (F.col("asked") != F.col("plain")))
+                    .alias("kept_dose"))
+
+
+@query("evaluate_search", _FOUR + """, gold AS (SELECT q.query_id, d.doc_id FROM asked q JOIN documents d
+    ON contains(d.text, substr(q.text, 1, 80))),
+size AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
+g AS (SELECT query_id, min(rerank_rank) AS best, count(*) AS found FROM s1 JOIN gold g USING (query_id)
+  WHERE g.doc_id = chunk_id GROUP BY 1)
+SELECT query_id, CASE WHEN best = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_at_1,
+  coalesce(round((found / n)::DOUBLE, 6), 0.0) AS recall_at_k,
+  coalesce(round((1.0 / best)::DOUBLE, 6), 0.0) AS mrr
+FROM asked LEFT JOIN size USING (query_id) LEFT JOIN g USING (query_id)""")
+def evaluate_search_query(spark, sf_dir):
+    """The whole search measured on the documents that quote an item."""
+    facts, _ = _facts(spark, sf_dir)
+    q = items(spark, sf_dir).select("query_id", F.substring("text", 1, 80).alias("quote"))
+    quoted = table(spark, sf_dir, "documents").join(F.broadcast(q), F.contains("text", F.col("quote")))
+    gold = quoted.select("query_id", F.col("doc_id").alias("chunk_id"))
+    setup = _search_setup(spark, sf_dir)
+
+    def run(labels):
+        return search(facts.join(labels.select("query_id"), "query_id"), setup)[0].select(
+            "query_id", "chunk_id", F.col("rerank_rank").alias("rank"))
+
+    m, _ = evaluate_search(gold, facts.withColumn("language", F.lit("en")), run)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "recall_at_k", "mrr")])
+
+
 def _search_setup(spark, sf_dir):
     # One pass over the texts gives the token table and the hashed vectors.
     docs = with_tokens(spread(documents(spark, sf_dir)), "text", "tokens")
@@ -363,12 +496,19 @@ def _search_setup(spark, sf_dir):
                                                                    multilingual_tokens(p)))
 
 
-@query("search_with_retry")
+@query("search_with_retry", f"""WITH {_CORPUS_SQL}, {slots_sql("bs", "benchmark", "item_id")},
+{search_sql("s1", "asked")}, {verdict_sql("v1", "asked", "s1")},
+again AS (SELECT query_id, expanded AS text FROM v1 JOIN s1_x USING (query_id) WHERE n_reasons > 0),
+{search_sql("s2", "again")}, {verdict_sql("v2", "again", "s2")}
+SELECT query_id, TRUE AS sufficient, n AS evidence_count, 1 AS rounds, NULL::VARCHAR AS error,
+  0::BIGINT AS n_reasons FROM v1 WHERE n_reasons = 0
+UNION ALL SELECT query_id, n_reasons = 0, n, 2, CASE WHEN n_reasons > 0 THEN 'RAG_NO_RESULT' END,
+  n_reasons FROM v2""")
 def search_with_retry_query(spark, sf_dir):
     facts, _ = _facts(spark, sf_dir)
     _, verdicts = search_with_retry(facts, _search_setup(spark, sf_dir))
     return verdicts.select("query_id", "sufficient", "evidence_count", "rounds", "error",
-                           F.concat_ws("; ", "reasons").alias("reasons"))
+                           F.size("reasons").cast("long").alias("n_reasons"))
 
 
 @query("new_number_guard", """WITH n AS (SELECT a.item_id, b.item_id AS other,
@@ -492,12 +632,13 @@ def request_context_query(spark, sf_dir):
     return request_context(raw)
 
 
-@query("rank_hits", f"""WITH {_TOK} SELECT query_id, chunk_id, CAST(row_number() OVER (
-  PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm""")
+@query("rank_hits", f"""WITH {_TOK} SELECT * FROM (SELECT query_id, chunk_id, CAST(row_number()
+  OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm)
+WHERE rank <= 50""")
 def rank_hits(spark, sf_dir):
-    from ..operators.bm25 import bm25_scores
-    hits = bm25_scores(items(spark, sf_dir), bm25_index(documents(spark, sf_dir)))
-    return fusion.rank_hits(hits.withColumn("route", F.lit("bm25_original"))).select(
+    """The fifty best hits of every query, in their order."""
+    hits = bm25_search(items(spark, sf_dir), bm25_index(documents(spark, sf_dir)), 50)
+    return fusion.rank_hits(hits.drop("rank").withColumn("route", F.lit("bm25_original"))).select(
         "query_id", "chunk_id", "rank")
 
 

@@ -15,8 +15,8 @@ from ..functions.text import once, spread, with_tokens
 from ..sources.stage import staged
 from .prefix import top_n
 
-# Query terms up to this many rows are broadcast (about 100 MB); more go through a salted join.
-BROADCAST_TERMS = 1_000_000
+# Query terms up to this many bytes are sent to every task; more go through a salted join.
+BROADCAST_BYTES = 32 << 20
 # A term is hot when it holds more than 1/2000 of all postings, so at most 2000 terms are hot.
 HOT_SHARE = 2000
 SCORE_DIGITS = 9
@@ -88,11 +88,14 @@ def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
     wanted = staged(query_terms(queries, [*by, *carry], text, terms), "terms")
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    width = F.octet_length(F.to_json(F.struct("*"))) + 64
+    if (wanted.agg(F.sum(width).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
         needed = index.terms().join(F.broadcast(wanted.select("term").distinct()), "term",
                                     "left_semi")
         needed = with_gain(needed, n_docs)
-        hits = index.postings().join(F.broadcast(wanted.join(needed, "term")), "term")
+        # A document stays in its partition: its scores are summed where its postings are.
+        local = BM25Index(index.docs.repartition("chunk_id"), index.keep)
+        hits = local.postings().join(F.broadcast(wanted.join(needed, "term")), "term")
     else:
         hits = _salted_join(wanted.join(with_gain(index.terms(), n_docs), "term"), index)
     if visible is not None:

@@ -41,7 +41,7 @@ def test_salted_join_gives_the_same_scores(spark, corpus, monkeypatch):
     index = BM.bm25_index(corpus)
     q = qs(spark, "开花期施肥 stem borer", "灌溉 trunk")
     a = {tuple(r) for r in BM.bm25_scores(q, index).collect()}
-    monkeypatch.setattr(BM, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(BM, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(BM, "HOT_SHARE", 1_000_000)
     assert {tuple(r) for r in BM.bm25_scores(q, index).collect()} == a
 
