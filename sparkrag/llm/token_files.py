@@ -12,8 +12,10 @@ reaches will do, and a lost task is written again as a whole.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,57 +27,106 @@ from pyspark.sql import functions as F
 from .common import NO_ID, ids_of, parts_for, text_bytes
 
 END_ID = 2
-BLOCK_IDS = 1 << 21  # ids that one grammar covers, but for a longer document
-ROUNDS = 6
+BLOCK_IDS = 1 << 19  # ids that one grammar covers, but for a longer document
+ROUNDS = 2
 PAIRS_A_ROUND = 4096
 LEAST = 24  # occurrences that a pair needs to become a rule
 TARGET = 16 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000  # in each of two generations
 LONG_CHUNK = 64
 
-_HASH_BITS = 20
+_HASH_BITS = 18
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a"
                         "\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_BETWEEN = re.compile(r"(?<=\S) (?=[^\s])")
+_LETTER_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_LETTERS = re.compile(f"({_LETTER_RUN.pattern})([.,;:!?|]*)")
 
 FILE_SCHEMA = ("shard int, block int, n_docs long, n_ids long, doc_ids binary, counts binary, "
                "begins binary, rules binary, lengths binary, symbols binary, terminals int")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for
+    themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class IdEncoder:
     """Ids of a byte-level tokenizer, remembered per chunk of text.
 
     Such a tokenizer splits a text before any single blank that stands between two other
-    characters, whatever comes before and after; the chunks between are encoded independently.
+    characters, and around any single line feed that does, whatever comes before and after; the
+    chunks between are encoded independently.  Chunks of Latin letters, with or without marks
+    behind them, are one or two of its words and go straight to its merges.
     """
 
     def __init__(self, path: str):
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = self.library.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the tokenizer's own splitting."""
+        shown = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        if len(marks) > 4:
+            return self._word(marks)
+        out = self.marks.get(marks)
+        if out is None:
+            out = self.marks[marks] = self._word(marks)
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk with the blank before it."""
-        out = self._ids(" " + chunk)
+        """Ids of a chunk with the blank before it, or of one that begins with a line feed."""
+        out = self.old.get(chunk)
+        if out is None:
+            feed = chunk[:1] == "\n"
+            plain = _LETTERS.fullmatch(chunk, 1 if feed else 0)
+            if plain:
+                word, marks = plain.groups()
+                if marks:
+                    head = chunk[:-len(marks)]
+                    out = (self.young.get(head) or self._chunk(head)) + self._marks(marks)
+                else:
+                    out = self._word("\n") + self._word(word) if feed else self._word(" " + word)
+            else:
+                out = self._ids(chunk if feed else " " + chunk)
         if len(chunk) <= LONG_CHUNK:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = out
+            if len(self.young) >= CACHE_CHUNKS:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = out
         return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        plain = not ("  " in text or " \n" in text or "\n " in text or text[0] == " "
-                     or text[-1] == " " or _ODD_SPACE.search(text))
-        first, *rest = text.split(" ") if plain else _BETWEEN.split(text)
-        found = list(map(self.known.get, rest))
+        plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text
+                     or text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text))
+        first, *rest = text.replace("\n", " \n").split(" ") if plain else _BETWEEN.split(text)
+        found = list(map(self.young.get, rest))
         if None in found:
-            found = [f or self._chunk(c) for f, c in zip(found, rest)]
-        return np.frombuffer(self._ids(first) + b"".join(found), np.uint32)
+            found = [f if f is not None else self._chunk(c) for f, c in zip(found, rest)]
+        begin = self._word(first) if first and _LETTER_RUN.fullmatch(first) else self._ids(first)
+        return np.frombuffer(begin + b"".join(found), np.uint32)
+
+
+@functools.lru_cache(2)
+def encoder_of(path: str) -> IdEncoder:
+    """One per worker, so that what it remembers serves all its tasks."""
+    return IdEncoder(path)
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, least: int = LEAST):
@@ -95,15 +146,17 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, least: in
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         with np.errstate(over="ignore"):
-            spot = ((keys * np.uint64(0x9E3779B97F4A7C15))
-                    >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
+            spot = symbols[:-1] * np.uint32(0x9E3779B1)
+            spot += symbols[1:] * np.uint32(0x85EBCA6B)
+            spot ^= spot >> np.uint32(15)
+            spot = ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
         # Pairs meet in hashed places; the fullest places are looked at, one pair in each.
         tally = np.bincount(spot, minlength=1 << _HASH_BITS)
         full = tally >= max(least, np.partition(tally, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])
         maybe = np.flatnonzero(full[spot] & ~last[:-1])
-        own, where = keys[maybe], spot[maybe]
+        where = spot[maybe]
+        own = symbols[maybe].astype(np.uint64) << np.uint64(32) | symbols[maybe + 1]
         pair = np.zeros(1 << _HASH_BITS, np.uint64)
         pair[where] = own
         hit = pair[where] == own
@@ -195,7 +248,7 @@ def _write_batches(path: str, end_id: int, block_ids: int, schema: pa.Schema):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = IdEncoder(path), np.array([end_id], np.uint32)
+        encoder, end = encoder_of(path), np.array([end_id], np.uint32)
         shard, block = TaskContext.get().partitionId(), 0
         docs: list[int] = []
         parts: list[np.ndarray] = []
