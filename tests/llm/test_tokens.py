@@ -122,7 +122,7 @@ def test_grammar(docs, rounds):
 def test_grammar_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     symbols, *_ = token_files.compress(ids, np.array([len(ids)]))
-    assert len(symbols) < len(ids) / 7
+    assert len(symbols) < len(ids) / 3
 
 
 @pytest.mark.parametrize("block", [1 << 21, 200])
