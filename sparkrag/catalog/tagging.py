@@ -149,6 +149,28 @@ _ENT_ID = (f"WITH {_EXPANDED}, "
            + slots_sql("ds", "documents", "doc_id", order="canonical, key"))
 
 
+_WIDE = """kw AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(regexp_extract_all(text,
+    '[A-Za-z]{7,}')) AS w FROM benchmark))"""
+
+
+@query("detect_entities_wide", f"""WITH {_WIDE}, h AS (SELECT doc_id, key, 's' || length(key) % 5
+    AS slot FROM documents JOIN kw ON contains(lower(text), key))
+SELECT doc_id, slot, key AS name FROM h
+QUALIFY row_number() OVER (PARTITION BY doc_id, slot ORDER BY length(key) DESC, key) = 1""")
+def detect_entities_wide(spark, sf_dir):
+    """All long words of the benchmark as a dictionary table, joined with the documents."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(
+        "text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("key"))
+    keys = words.distinct().select(
+        "key", F.col("key").alias("value"), F.concat(
+            F.lit("s"), (F.length("key") % 5).cast("string")).alias("slot"),
+        F.col("key").alias("ord"))
+    texts = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").alias("id"), F.lower("text").alias("v"))
+    return T.find_keys(texts, keys).select(F.col("id").alias("doc_id"), "slot",
+                                           F.col("value").alias("name"))
+
+
 @query("detect_entity_ids", _ENT_ID + f", {_CONCEPT_IDS} SELECT doc_id, " + ", ".join(
     f"max(CASE WHEN slot = '{s}' THEN canonical_id END) AS {s}" for s in _SLOTS)
     + " FROM documents LEFT JOIN ds ON id = doc_id LEFT JOIN cid ON cid.canonical = ds.canonical"

@@ -15,11 +15,13 @@ from .prefix import top_n
 # more are cut into blocks and joined with corpus blocks on block coordinates.
 MATRIX_QUERIES = 4096
 BLOCK_ROWS = 50_000
+SCORE_CELLS = 2 << 20  # 16 MB of doubles
 SCORE_DIGITS = 9
 
 
 def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
+    m = np.stack(list(vectors)).astype(np.float64, copy=False) if len(vectors) else \
+        np.empty((0, 0))
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
@@ -45,15 +47,25 @@ class _TopK:
                  same: list | None):
         self.q, self.k, self.min = unit_queries, k, min_score
         self.scopes, self.same = scopes, same
+        self.rows_of: dict = {}
+        for i, x in enumerate(same if same is not None else []):
+            self.rows_of.setdefault(x, []).append(i)
         self.row = np.empty(0, dtype=np.int64)
         self.ids: np.ndarray | None = None
         self.score = np.empty(0)
 
     def add(self, pdf: pd.DataFrame) -> None:
+        """Corpus rows in slices, so that the scores of all queries stay below ``SCORE_CELLS``."""
+        step = max(1, SCORE_CELLS // max(1, len(self.q)))
+        for at in range(0, len(pdf), step):
+            self._add(pdf.iloc[at:at + step])
+
+    def _add(self, pdf: pd.DataFrame) -> None:
         ids = pdf["chunk_id"].to_numpy()
         s = np.round(_unit(pdf["vec"]) @ self.q.T, SCORE_DIGITS).T  # query x chunk
         if self.same is not None:
-            s[np.asarray(self.same, dtype=object)[:, None] == ids[None, :]] = -np.inf
+            for col, x in enumerate(ids):
+                s[self.rows_of.get(x, []), col] = -np.inf
         if self.scopes:
             masks: dict = {}
             for i, sc in enumerate(self.scopes):

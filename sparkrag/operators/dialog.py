@@ -5,7 +5,7 @@ Messages are rows ``(conv_id, turn, role, text)`` with roles user, assistant and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -41,21 +41,27 @@ def critical_messages(df: DataFrame, n: int = 2) -> DataFrame:
     return recent_window(df.filter(F.col("role").isin("user", "assistant")), n)
 
 
+def summary_line(role: Column, text: Column) -> Column:
+    """What a message adds to a summary: ``line`` (NULL: nothing) and, for an answer, the ``key``
+    by which repeated answers count once."""
+    t = strip(F.coalesce(text, F.lit("")))
+    said = (t != "") & ~D.is_smalltalk(t)
+    line = (F.when(role == "tool", F.concat(F.lit(V.SUMMARY_TOOL), F.substring(
+                F.coalesce(text, F.lit("")), 1, V.SUMMARY_TOOL_CHARS)))
+            .when((role == "user") & said, F.concat(
+                F.lit(V.SUMMARY_USER), F.substring(t, 1, V.SUMMARY_USER_CHARS)))
+            .when((role == "assistant") & said, F.concat(
+                F.lit(V.SUMMARY_ASSISTANT), F.substring(t, 1, V.SUMMARY_ASSISTANT_CHARS))))
+    key = F.when((role == "assistant") & said, F.substring(t, 1, V.REPEAT_KEY_CHARS))
+    return F.struct(line.alias("line"), key.alias("key"))
+
+
 def summary_lines(df: DataFrame) -> DataFrame:
     """Lines of a rule summary ``(conv_id, turn, line)``: small talk and repeated answers drop."""
-    t = df.withColumn("t", strip(F.coalesce("text", F.lit(""))))
-    said = t.filter((F.col("t") != "") & ~D.is_smalltalk("t"))
-    user = said.filter("role = 'user'").select("conv_id", "turn", F.concat(
-        F.lit(V.SUMMARY_USER), F.substring("t", 1, V.SUMMARY_USER_CHARS)).alias("line"))
-    answers = said.filter("role = 'assistant'").select(
-        "conv_id", F.substring("t", 1, V.REPEAT_KEY_CHARS).alias("key"), "turn",
-        F.concat(F.lit(V.SUMMARY_ASSISTANT), F.substring("t", 1, V.SUMMARY_ASSISTANT_CHARS))
-        .alias("line"))
-    tool = t.filter("role = 'tool'").select("conv_id", "turn", F.concat(
-        F.lit(V.SUMMARY_TOOL), F.substring(F.coalesce("text", F.lit("")), 1,
-                                           V.SUMMARY_TOOL_CHARS)).alias("line"))
-    return user.unionByName(first_wins(answers, ["conv_id", "key"], ["turn"]).drop("key")
-                            ).unionByName(tool)
+    t = (df.select("conv_id", "turn", summary_line(F.col("role"), F.col("text")).alias("s"))
+         .select("conv_id", "turn", "s.line", "s.key").filter("line IS NOT NULL"))
+    answers = first_wins(t.filter("key IS NOT NULL"), ["conv_id", "key"], ["turn"])
+    return t.filter("key IS NULL").unionByName(answers).drop("key")
 
 
 def rule_summary(df: DataFrame, prev: DataFrame | None = None) -> DataFrame:

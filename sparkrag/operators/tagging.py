@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as V
 from ..functions import tagging as G
 from ..functions.text import normalize_text, once
+from ..sources.stage import staged
 
-# Up to here the dictionary becomes one CASE per slot (JVM, no join); above it a keyword automaton.
+# Up to here the dictionary becomes one CASE per slot (JVM, no join); above it a table to join.
 CASE_TERMS = 256
-# A dictionary is a parameter that every task holds; larger inputs are refused, not truncated.
+# Keys that may come to the driver as a list; a larger dictionary stays a table.
 MAX_TERMS = 200_000
+# First characters of a key that places of a text are joined on.
+GRAM = 4
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -91,55 +92,72 @@ def _found_by_case(value: Column, words: list[tuple[str, str, str]]) -> Column:
                         lambda a, b: a["rank"] - b["rank"])
 
 
-def _found_by_automaton(value: Column, words: list[tuple[str, str, str]]) -> Column:
-    """All keys in one pass over the text, for dictionaries too wide for a CASE."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ranks(texts: pd.Series) -> pd.Series:
-        import ahocorasick
+def find_keys(texts: DataFrame, keys: DataFrame, piece: int = 1000) -> DataFrame:
+    """``id, slot, value, rank``: the best key per slot for ``texts(id, v)``, as a join.
 
-        machine = ahocorasick.Automaton()
-        slots: dict[str, list[int]] = {}
-        for rank, (key, _, _) in enumerate(words):
-            slots.setdefault(key, []).append(rank)
-        for key, hits in slots.items():
-            machine.add_word(key, hits)
-        machine.make_automaton()
-
-        def best(text: str) -> list[int]:
-            first: dict[str, int] = {}
-            for _, hits in machine.iter(text):
-                for r in hits:
-                    s = words[r][2]
-                    first[s] = min(first.get(s, r), r)
-            return sorted(first.values())
-
-        return texts.map(best, na_action="ignore")
-
-    table = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(n).alias("value"),
-                               F.lit(r).alias("rank")) for r, (_, n, s) in enumerate(words)])
-    return F.transform(ranks(value), lambda r: F.get(table, r))
-
-
-def entity_hits(value: Column, words: list[tuple[str, str, str]]) -> Column:
-    """Best hit per slot, longest match first, as ``array<struct<slot,value,rank>>``."""
-    small = len(words) <= CASE_TERMS
-    return (_found_by_case if small else _found_by_automaton)(value, words)
-
-
-def detect_entities(df: DataFrame, words: list[tuple[str, str, str]], text: str = "text",
-                    out: str = "entities", normalized: bool = False) -> DataFrame:
+    ``keys``: key, value, slot, ord.  A key can only stand where its first ``GRAM`` characters do
+    (all of a shorter one), so places of a text meet keys on that gram and are compared with the
+    whole key then.  Texts are cut into pieces that overlap by the longest key, and a place
+    carries no more than that many characters: neither texts nor dictionary have to fit a task.
+    """
+    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
+    if not longest:
+        return texts.select("id").limit(0).selectExpr(
+            "id", "'' AS slot", "'' AS value", "struct(0 AS l) AS rank")
+    cuts = F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1)), F.lit(piece))
+    parts = texts.where("v <> ''").select("id", F.explode(F.transform(
+        cuts, lambda p: F.substring("v", p, F.lit(piece + longest)))).alias("part"))
+    places = F.sequence(F.lit(1), F.least(F.length("part"), F.lit(piece)))
+    seen = parts.select("id", F.explode(F.array_distinct(F.transform(
+        places, lambda p: F.substring("part", p, F.lit(longest))))).alias("ahead"))
+    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    seen = seen.select("id", "ahead", F.explode(sizes).alias("n")).where(
+        F.col("n") <= F.length("ahead"))
+    seen = seen.select("id", "ahead", F.expr("substring(ahead, 1, n)").alias("gram"))
+    known = keys.withColumn("gram", F.substring("key", 1, GRAM))
+    hit = seen.join(known, "gram").where(F.startswith("ahead", F.col("key")))
+    rank = F.struct((-F.length("key")).alias("l"), "ord")
+    return hit.groupBy("id", "slot").agg(F.min_by("value", rank).alias("value"),
+                                         F.min(rank).alias("rank"))
+
+
+def _by_join(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``__found`` for every row of ``df(__v, ...)``, best key per slot in match order."""
+    df = staged(df.withColumn("__id", F.monotonically_increasing_id()), "texts")
+    found = find_keys(df.select(F.col("__id").alias("id"), F.col("__v").alias("v")), keys)
+    best = found.groupBy("id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "slot", "value"))).alias("f"))
+    best = best.select(F.col("id").alias("__id"), F.transform("f", lambda x: F.struct(
+        x["slot"].alias("slot"), x["value"].alias("value"))).alias("__found"))
+    return df.join(best, "__id", "left").drop("__id")
+
+
+def detect_entities(df: DataFrame, words: list[tuple[str, str, str]] | DataFrame,
+                    text: str = "text", out: str = "entities", normalized: bool = False
+                    ) -> DataFrame:
     """Add the map slot -> name: the longest dictionary key per slot, plus orchard and plot codes.
 
-    ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``.
-    ``normalized`` says that the text went through ``normalize_text`` already.
+    ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``; a table of
+    such keys, of any size, is joined.  ``normalized`` says that the text went through
+    ``normalize_text`` already.
     """
     df = once(df, "__v", F.lower(text) if normalized else normalize_text(text, fold_case=True))
+    if isinstance(words, DataFrame) or len(words) > CASE_TERMS:
+        if not isinstance(words, DataFrame):
+            words = df.sparkSession.createDataFrame(
+                [(k, n, s, r) for r, (k, n, s) in enumerate(words)],
+                "key string, value string, slot string, ord long")
+        df = _by_join(df, words)
+    else:
+        df = df.withColumn("__found", F.transform(
+            _found_by_case(F.col("__v"), words),
+            lambda x: F.struct(x["slot"].alias("slot"), x["value"].alias("value"))))
     codes = [("orchard", G.orchard_code("__v")), ("plot", G.plot_code("__v"))]
     extra = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("value")) for s, c in codes])
-    found = F.transform(entity_hits(F.col("__v"), words),
-                        lambda x: F.struct(x["slot"].alias("slot"), x["value"].alias("value")))
-    pairs = F.filter(F.concat(found, extra), lambda x: x["value"].isNotNull())
-    return df.withColumn(out, F.map_from_entries(pairs)).drop("__v")
+    none = F.array().cast("array<struct<slot:string,value:string>>")
+    pairs = F.filter(F.concat(F.coalesce("__found", none), extra),
+                     lambda x: x["value"].isNotNull())
+    return df.withColumn(out, F.map_from_entries(pairs)).drop("__v", "__found")
 
 
 def flat_terms(terms: DataFrame) -> DataFrame:
@@ -185,6 +203,19 @@ def build_queries(df: DataFrame, words, aliases: dict[str, list[str]], text: str
             .withColumn("expanded", F.concat_ws(" ", "original", terms)).drop("__e"))
 
 
+def _numbers(named: DataFrame) -> DataFrame:
+    """``prefix, canonical, n``: names numbered within their prefix, in order, by ranges of names."""
+    split = staged(named.select("prefix", "canonical").repartitionByRange("prefix", "canonical")
+                   .withColumn("part", F.spark_partition_id()), "names")
+    local = Window.partitionBy("part", "prefix").orderBy("canonical")
+    ahead = Window.partitionBy("prefix").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = split.groupBy("prefix", "part").agg(F.count("*").alias("size")).select(
+        "prefix", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
+    return split.withColumn("at", F.row_number().over(local)).join(sizes, ["prefix", "part"]).select(
+        "prefix", "canonical", (F.col("at") + F.col("before")).cast("int").alias("n"))
+
+
 def build_concepts(terms: DataFrame) -> DataFrame:
     """Canonical vocabulary: one row per canonical name with a stable id and grouped aliases."""
     known = F.create_map(*[x for c, (p, t) in V.CATEGORY_PREFIX_TYPE.items()
@@ -196,7 +227,7 @@ def build_concepts(terms: DataFrame) -> DataFrame:
     prefix = F.coalesce(known[F.col("first")]["p"], F.lit("TERM"))
     named = named.withColumn("prefix", prefix).withColumn(
         "type", F.coalesce(known[F.col("first")]["t"], F.lit("unknown")))
-    number = F.row_number().over(Window.partitionBy("prefix").orderBy("canonical"))
+    number = _numbers(named)
     alias = (terms.filter(F.col("alias") != F.col("canonical"))
              .groupBy("canonical", "alias").agg(F.max_by("category", order).alias("category"))
              .withColumn("lang", G.alias_language("alias", "category")))
@@ -210,7 +241,7 @@ def build_concepts(terms: DataFrame) -> DataFrame:
         mine = F.when(own == g, F.array("canonical")).otherwise(empty)
         return F.concat(mine, F.coalesce("a_" + g, empty)).alias(g)
 
-    return (named.withColumn("n", number).join(grouped, "canonical", "left").select(
+    return (named.join(number, ["prefix", "canonical"]).join(grouped, "canonical", "left").select(
         F.concat_ws("_", "prefix", F.lpad(F.col("n").cast("string"), F.greatest(
             F.lit(3), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("canonical_id"),
         "type", F.col("canonical").alias("canonical_name"),

@@ -6,7 +6,7 @@ overwrites its own folder, so the result is exactly once and no stored file is r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,9 @@ from .. import fixed_values as V
 from ..operators.ops import idempotency_key, idempotent_create, newest_wins
 
 _BATCH = "batch_no"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_BUCKET = "key_bucket"
+KEY_BUCKETS = 64
 
 
 def read_stream(spark: SparkSession, directory: str, glob: str, schema: T.StructType,
@@ -24,9 +27,18 @@ def read_stream(spark: SparkSession, directory: str, glob: str, schema: T.Struct
     return r.parquet(directory)
 
 
-def run(query_writer, checkpoint: str) -> None:
-    """Process everything that is available and stop."""
-    q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(spark: SparkSession, query_writer, checkpoint: str, empty_batches: bool = True) -> None:
+    """Process everything that is available and stop.
+
+    State with a processing-time limit asks for another batch without data for ever, so such
+    batches are off while the query runs.
+    """
+    conf, before = spark.conf, spark.conf.get(_EMPTY_BATCHES, "true")
+    conf.set(_EMPTY_BATCHES, str(empty_batches).lower())
+    try:
+        q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(_EMPTY_BATCHES, before)
     q.awaitTermination()
 
 
@@ -56,15 +68,35 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -
 
 
 def create_tasks(requests: DataFrame, path: str, order: list[str], checkpoint: str) -> None:
-    """Append the first request of every key that no earlier batch has stored."""
+    """Append the first request of every key that no earlier batch has stored.
+
+    Rows are stored in folders by a hash of their key; a batch reads the keys of its own folders
+    only.
+    """
     def write(batch: DataFrame, n: int) -> None:
-        keyed = batch.schema
-        known = T.StructType([T.StructField("idempotency_key", T.StringType())])
-        old = _stored(batch.sparkSession, path, known, n).select("idempotency_key")
-        new = idempotent_create(batch.select(*keyed.fieldNames()), order, old)
-        new.write.mode("overwrite").parquet(f"{path}/{_BATCH}={n}")
+        known = T.StructType([T.StructField("idempotency_key", T.StringType()),
+                              T.StructField(_BUCKET, T.IntegerType())])
+        placed = batch.withColumn(_BUCKET, _key_bucket(idempotency_key()))
+        mine = [r[0] for r in placed.select(_BUCKET).distinct().collect()]  # KEY_BUCKETS at most
+        old = _stored(batch.sparkSession, path, known, n).where(F.col(_BUCKET).isin(mine))
+        new = idempotent_create(batch, order, old.select("idempotency_key"))
+        (new.withColumn(_BUCKET, _key_bucket(F.col("idempotency_key"))).write.mode("overwrite")
+         .partitionBy(_BUCKET).parquet(f"{path}/{_BATCH}={n}"))
+
+    run(requests.sparkSession, requests.writeStream.foreachBatch(write), checkpoint)
 
-    run(requests.writeStream.foreachBatch(write), checkpoint)
+
+def _key_bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def compact(log: DataFrame, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key of a log of many batches, written to a new ``path`` and read back.
+
+    Readers move to the new path when it is complete; the log stays as it is until then.
+    """
+    newest_wins(log.drop(_BATCH, _BUCKET), key, order).write.mode("errorifexists").parquet(path)
+    return log.sparkSession.read.parquet(path)
 
 
 def log_patches(patches: DataFrame, path: str, order: list[str], checkpoint: str,
@@ -80,7 +112,7 @@ def log_patches(patches: DataFrame, path: str, order: list[str], checkpoint: str
             .alias(f) for f in fields])
         last.write.mode("overwrite").parquet(f"{path}/{_BATCH}={n}")
 
-    run(patches.writeStream.foreachBatch(write), checkpoint)
+    run(patches.sparkSession, patches.writeStream.foreachBatch(write), checkpoint)
 
 
 def current_tasks(tasks: DataFrame, log: DataFrame, fields: tuple[str, ...] = V.PATCH_FIELDS
@@ -98,9 +130,10 @@ def log_newest(rows: DataFrame, path: str, key: list[str], order: list[str], che
     def write(batch: DataFrame, n: int) -> None:
         newest_wins(batch, key, order).write.mode("overwrite").parquet(f"{path}/{_BATCH}={n}")
 
-    run(rows.writeStream.foreachBatch(write), checkpoint)
+    run(rows.sparkSession, rows.writeStream.foreachBatch(write), checkpoint)
 
 
-def append(rows: DataFrame, path: str, checkpoint: str) -> None:
+def append(rows: DataFrame, path: str, checkpoint: str, empty_batches: bool = True) -> None:
     """Append-only feed (trace, audit, results) as Parquet."""
-    run(rows.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+    run(rows.sparkSession, rows.writeStream.format("parquet").option("path", path)
+        .outputMode("append"), checkpoint, empty_batches)

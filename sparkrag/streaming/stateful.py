@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import fixed_values as V
+from ..operators.dialog import summary_line
 
 # Spark also loads the processors in a driver-side worker that does not see shipped packages, so
 # they travel by value.
@@ -51,7 +52,10 @@ class _Expiring(StatefulProcessor):
 
 
 class RateLimiter(_Expiring):
-    """Calls since the last quiet period of at least ``window`` microseconds."""
+    """Calls since the last quiet period of at least ``window`` microseconds.
+
+    A call that comes late counts in the running period and never moves its end back.
+    """
 
     fields = "last_us long, calls long"
 
@@ -64,7 +68,7 @@ class RateLimiter(_Expiring):
         numbers = []
         for us in pdf["us"]:
             calls = calls + 1 if last is not None and us - last < self.window else 1
-            last = us
+            last = us if last is None else max(last, us)
             numbers.append(calls)
         self.state.update((int(last), int(calls)))
         self.expire_at(int(last) + self.window)
@@ -73,7 +77,11 @@ class RateLimiter(_Expiring):
 
 
 class FirstValueCache(_Expiring):
-    """The first value stays until its deadline; the deadline is not renewed."""
+    """The first value stays until its deadline; the deadline is not renewed.
+
+    A row that comes late, from before the cached value, gets the value that is cached when it is
+    processed: what was handed out is never changed, and the deadline stays.
+    """
 
     fields = "deadline long, value double"
 
@@ -99,28 +107,30 @@ class RollingConversation(StatefulProcessor):
     """Recent messages and summary of every conversation, emitted after each micro-batch.
 
     The state is bounded: at most ``n`` recent messages once the threshold is passed, below it at
-    most ``threshold`` characters, and a summary of at most 6000 characters.
+    most ``threshold`` characters, and a summary of at most 6000 characters.  It goes after ``idle``
+    milliseconds without a message.
     """
 
-    def __init__(self, n: int, threshold: int):
-        self.n, self.threshold = n, threshold
+    def __init__(self, n: int, threshold: int, idle: int):
+        self.n, self.threshold, self.idle = n, threshold, idle
 
     def init(self, handle) -> None:
-        self.recent = handle.getListState("recent", "turn long, role string, text string")
-        self.summary = handle.getValueState("summary", "text string")
+        self.recent = handle.getListState(
+            "recent", "turn long, chars long, line string, key string", self.idle)
+        self.summary = handle.getValueState("summary", "text string", self.idle)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["turn"])
-        held = list(self.recent.get()) if self.recent.exists() else []
-        msgs = [tuple(m) for m in held] + list(zip(
-            pdf["turn"].tolist(), pdf["role"].tolist(), pdf["text"].tolist()))
+        msgs = [tuple(m) for m in self.recent.get()] if self.recent.exists() else []
+        msgs += zip(pdf["turn"].tolist(), pdf["chars"].tolist(), pdf["line"].tolist(),
+                    pdf["key"].tolist())
         summary = self.summary.get()[0] if self.summary.exists() else ""
         trimmed = 0
-        if sum(len(t or "") for _, _, t in msgs) >= self.threshold and len(msgs) > self.n:
+        if sum(m[1] for m in msgs) >= self.threshold and len(msgs) > self.n:
             trimmed = len(msgs) - self.n
-            summary = merge_summary(summary, msgs[:trimmed])
+            summary = merge_summary(summary, [m[2:] for m in msgs[:trimmed]])
             msgs = msgs[trimmed:]
-        self.recent.put([(int(a), b, c) for a, b, c in msgs])
+        self.recent.put([(int(a), int(b), c, d) for a, b, c, d in msgs])
         self.summary.update((summary,))
         yield pd.DataFrame({"conv_id": [key[0]], "last_turn": [int(msgs[-1][0])],
                             "kept": [len(msgs)], "trimmed": [trimmed], "summary": [summary]})
@@ -129,22 +139,14 @@ class RollingConversation(StatefulProcessor):
         pass
 
 
-def merge_summary(previous: str, messages) -> str:
-    """Rule summary of one conversation's overflow, the previous summary first."""
-    lines, seen = [], set()
-    for _, role, text in messages:
-        t = (text or "").strip()
-        small = not t or len(t) == 1 or t.lower() in V.SMALLTALK
-        if role == "tool":
-            lines.append(V.SUMMARY_TOOL + (text or "")[:V.SUMMARY_TOOL_CHARS])
-        elif role == "user" and not small:
-            lines.append(V.SUMMARY_USER + t[:V.SUMMARY_USER_CHARS])
-        elif role == "assistant" and not small and t[:V.REPEAT_KEY_CHARS] not in seen:
-            seen.add(t[:V.REPEAT_KEY_CHARS])
-            lines.append(V.SUMMARY_ASSISTANT + t[:V.SUMMARY_ASSISTANT_CHARS])
-    if not lines:
-        return previous
-    return "\n".join(([previous] if previous else []) + lines)[:V.SUMMARY_CHARS]
+def merge_summary(previous: str, lines) -> str:
+    """The previous summary and the ``(line, key)`` pairs behind it; a key counts once."""
+    fresh: dict = {}
+    for i, (line, key) in enumerate(lines):
+        if line:
+            fresh.setdefault(key or i, line)
+    body = [previous] if previous else []
+    return "\n".join([*body, *fresh.values()])[:V.SUMMARY_CHARS]
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -186,12 +188,18 @@ def ttl_first_value(events: DataFrame, ttl_seconds: float, key: str = "key",
 
 
 def rolling_conversations(messages: DataFrame, n: int = V.RECENT_MESSAGES,
-                          threshold: int = V.SUMMARY_CHARS) -> DataFrame:
+                          threshold: int = V.SUMMARY_CHARS, idle_seconds: float = 30 * 86400
+                          ) -> DataFrame:
     """State of every touched conversation after each micro-batch."""
     out = T.StructType([T.StructField("conv_id", T.LongType()),
                         T.StructField("last_turn", T.LongType()),
                         T.StructField("kept", T.LongType()),
                         T.StructField("trimmed", T.LongType()),
                         T.StructField("summary", T.StringType())])
-    return _with_state_store(messages).groupBy("conv_id").transformWithStateInPandas(
-        RollingConversation(n, threshold), out, "Append", "None")
+    lines = messages.select(
+        "conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("chars"),
+        summary_line(F.col("role"), F.col("text")).alias("s")).select(
+        "conv_id", "turn", "chars", "s.line", "s.key")
+    return _with_state_store(lines).groupBy("conv_id").transformWithStateInPandas(
+        RollingConversation(n, threshold, int(idle_seconds * 1000)), out, "Append",
+        "ProcessingTime")

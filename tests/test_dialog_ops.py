@@ -113,6 +113,40 @@ def test_state_lives_across_batches(spark, folder):
     assert [(r["cached"], r["hit"]) for r in got] == [(r["cached"], r["hit"]) for r in want]
 
 
+def test_late_rows(spark, folder):
+    """Calls that come a batch late neither end a period early nor change what was handed out."""
+    df = calls(spark, [0, 10, 50, 5, 100, 101])
+    write_batches(df, folder, [(0, 3), (3, 4), (4, 6)])
+    src = J.read_stream(spark, folder + "/in", "*.parquet", df.schema, 1)
+    J.append(S.rate_limit(src, 3, 60), folder + "/rate", folder + "/ck1")
+    got = spark.read.parquet(folder + "/rate").orderBy("event_id").collect()
+    assert [r["call_no"] for r in got] == [1, 2, 3, 4, 5, 6]
+    J.append(S.ttl_first_value(src, 30), folder + "/ttl", folder + "/ck2")
+    got = spark.read.parquet(folder + "/ttl").orderBy("event_id").collect()
+    assert [r["hit"] for r in got] == [False, True, False, True, False, True]
+    assert got[3]["cached"] == got[2]["cached"]
+
+
+def test_compact_log(spark, folder):
+    rows = [(1, 1, "a"), (1, 2, "b"), (2, 5, "c"), (1, 3, "d")]
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], "k int, o int, v string").write.parquet(f"{folder}/log/batch_no={n}")
+    got = J.compact(spark.read.parquet(folder + "/log"), folder + "/small", ["k"], ["o"])
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [(1, "d"), (2, "c")]
+
+
+def test_summary_rule_is_one(spark):
+    """The stream merges the same lines as the batch form."""
+    texts = ["hello there", "the answer", "x" * 500, "THE ANSWER", "the answer", "", "ok"]
+    rows = [(1, i, ["user", "assistant", "tool"][i % 3], t) for i, t in enumerate(texts * 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = O.rule_summary(df).first()["summary"]
+    lines = df.orderBy("turn").select(O.summary_line(F.col("role"), F.col("text")).alias("s"))
+    pairs = [(r["s"]["line"], r["s"]["key"]) for r in lines.collect()]
+    assert S.merge_summary("", pairs) == want
+    assert S.merge_summary("before", pairs) == ("before\n" + want)[:6000]
+
+
 def test_creates_are_idempotent_across_batches(spark, folder):
     df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), "t", t, None)
                                 for i, t in enumerate("aabacb")],
@@ -130,7 +164,8 @@ def test_rolling_conversation(spark, folder):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, event_id long")
     write_batches(df, folder, [(0, 4), (4, 9)])
     src = J.read_stream(spark, folder + "/in", "*.parquet", df.schema, 1).drop("event_id")
-    J.append(S.rolling_conversations(src, 4, 200), folder + "/out", folder + "/ck")
+    J.append(S.rolling_conversations(src, 4, 200), folder + "/out", folder + "/ck",
+             empty_batches=False)
     last = spark.read.parquet(folder + "/out").orderBy(F.desc("last_turn")).first()
     assert last["kept"] == 4 and last["trimmed"] == 5 and last["summary"].startswith("用户问：第0句")
 

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkrag import models as MO
@@ -95,3 +96,35 @@ def test_chunk_table_function(spark):
     spark.createDataFrame([("d", "句子。" * 400)], "id string, text string").createOrReplaceTempView("docs")
     n = spark.sql("SELECT id, piece, chunk FROM docs, LATERAL chunk_text(text)")
     assert n.count() == n.select(F.max("piece")).first()[0] + 1 > 1
+
+
+class _Session:
+    """Only the settings of a session."""
+
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+
+def test_shared_folder_is_required_on_clusters():
+    from sparkrag.sources.stage import shared_dir
+
+    at = _Session(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs:///shared/")
+    assert shared_dir(at) == "hdfs:///shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(_Session(spark_master=master))
+    own = _Session(spark_master="local[2]", spark_app_id="a-test")
+    assert shared_dir(own) == shared_dir(own)
+
+
+def test_content_key_ignores_page_breaks(spark, monkeypatch):
+    from sparkrag.operators import corpus as O
+
+    monkeypatch.setattr(O, "PIECE_CHARS", 7)
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [("a", 1, text), ("b", 1, text[:5]), ("b", 2, text[5:20]), ("b", 3, ""), ("b", 4, text[20:]),
+            ("c", 1, text[::-1]), ("d", 1, text[7:14]), ("d", 2, text[:7] + text[14:]), ("e", 1, "")]
+    df = spark.createDataFrame(rows, "doc string, page int, text string")
+    key = {r["doc"]: r["content_key"] for r in O.page_fingerprints(df).collect()}
+    assert key["a"] == key["b"] and len(set(key.values())) == 4
+    assert {r["doc"] for r in O.dedup_documents(df).collect()} == {"a", "c", "d", "e"}

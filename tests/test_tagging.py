@@ -40,12 +40,17 @@ def test_entities(spark, words):
     assert got[4] == {"cultivar": "金枕", "plot": "PLOT_5"}  # the longer key wins
 
 
-def test_wide_dictionary_gives_the_same(spark, words):
-    df = rows(spark, ["root rot of d197 monthong", "nothing", "氮 stem borer โรค"]).withColumn(
-        "v", normalize_text("text", True))
-    a = df.select("i", T._found_by_case(F.col("v"), words).alias("h"))
-    b = df.select("i", T._found_by_automaton(F.col("v"), words).alias("h"))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+def test_wide_dictionary_gives_the_same(spark, terms, words, monkeypatch):
+    """A joined dictionary finds what the CASE finds, also across the pieces of a long text."""
+    words = T.dictionary(T.entity_keys(terms))
+    names = [k for k, _, _ in words]
+    texts = ["x".join(names), "", None, "no key", "施肥" * 700 + names[0] + "。" * 990 + names[-1],
+             names[3].upper(), *names]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = T.detect_entities(df, words).orderBy("i").collect()
+    monkeypatch.setattr(T, "CASE_TERMS", 0)
+    assert T.detect_entities(df, words).orderBy("i").collect() == want
+    assert T.detect_entities(df, T.entity_keys(terms)).orderBy("i").collect() == want
 
 
 def test_concepts(spark, terms):
