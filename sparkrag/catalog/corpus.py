@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions.splitting import split_text
-from ..functions.text import fold_spaces, once, spread
+from ..functions.text import fold_spaces, once, repair_thai, spread
 from ..models import with_model
 from ..operators import blocks as B
 from ..operators import corpus as O
 from ..plans.corpus_build import build_corpus, grade_raw, parse_pages, salvage
+from ..sources.stage import staged
 from ..sources.writers import search_table
 from .base import documents, query, table
 
@@ -367,6 +368,39 @@ def build_corpus_query(spark, sf_dir):
     return c.select("id", "doc", "block_type", "provenance")
 
 
+@query("drop_counters", _SALVAGE.replace("FROM documents)", "FROM documents WHERE NOT contains("
+                                         "CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END, 'src19'))", 1)
+       + f""", {_PARSED}, texts AS (SELECT {_KEY} AS k FROM (SELECT text FROM made UNION ALL
+    SELECT text FROM parsed)),
+c AS (SELECT 'salvage_excluded' AS counter, (SELECT count(*) FROM documents) - count(*) AS n FROM raw
+  UNION ALL SELECT 'faq_dropped', count(*) - (SELECT count(*) FROM made WHERE
+    provenance = 'legacy_faq') FROM raw WHERE grp = 'faq'
+  UNION ALL SELECT 'thai_dropped', count(*) - (SELECT count(*) FROM made WHERE
+    provenance = 'legacy_thai') FROM raw WHERE grp = 'thai_docx'
+  UNION ALL SELECT 'table_frag_no_caption_dropped', count(*) FROM graded
+    WHERE grade = 'table_fragment'
+  UNION ALL SELECT 'pdf_duplicate', count(*) - count(DISTINCT k) FROM key
+  UNION ALL SELECT 'pdf_needs_ocr', count(*) FROM kept JOIN key USING (doc) WHERE c < 200 * n / 10
+  UNION ALL SELECT 'dedup_removed', count(*) - count(DISTINCT nullif(k, '')) FROM texts)
+SELECT counter, n::BIGINT AS n FROM c WHERE n > 0""")
+def drop_counters(spark, sf_dir):
+    """Counts of what the corpus build leaves out, step by step."""
+    raw, pages = _raw(spark, sf_dir), _pages(spark, sf_dir)
+    salvaged = staged(salvage(raw, ["src19"]), "salvaged")
+    parsed = parse_pages(pages, _overrides(spark), _page_tables(spark, sf_dir),
+                         _page_blocks(spark, sf_dir))
+    merged = salvaged.select("index_text").unionByName(parsed.select("index_text"))
+    return O.drop_counters(raw, grade_raw(raw, ["src19"]), salvaged, pages, merged, [])
+
+
+@query("repair_thai", "SELECT doc_id, md5(text || ' เชื้อรา น้ำ รากเนำโคน 25˚C') AS text_md5 FROM documents")
+def repair_thai_query(spark, sf_dir):
+    """Documents with damaged Thai words behind them; the rest of a text stays as it is."""
+    d = table(spark, sf_dir, "documents").withColumn("t", F.concat(
+        "text", F.lit(" เช้ือรา น้้า รากเน\u0e4d\u0e32โคน 25˚C")))
+    return d.select("doc_id", F.md5(repair_thai("t")).alias("text_md5"))
+
+
 # --- blocks --------------------------------------------------------------------------------------
 
 

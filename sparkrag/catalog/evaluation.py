@@ -287,6 +287,23 @@ def trace_records(spark, sf_dir):
                     F.col("final_success").alias("success"))
 
 
+@query("tool_sequences", """SELECT conv_id AS trace_id, CAST(turn AS BIGINT) AS step, CASE WHEN turn % 2 = 0
+    THEN 'asset_query' ELSE 'weather' END AS tool_name FROM conversations
+WHERE role = 'assistant' AND length(text) % 3 = 0""")
+def tool_sequences(spark, sf_dir):
+    """Tool calls out of message logs: some answers are calls, some only look like it."""
+    n = F.length("text")
+    tool = F.when(F.col("turn") % 2 == 0, "asset_query").otherwise("weather")
+    call = F.to_json(F.struct(F.struct(tool.alias("tool"), F.col("text").alias("args"))
+                              .alias("action")))
+    said = (F.when(n % 3 == 0, F.concat(F.lit("  "), call))
+            .when(n % 3 == 1, F.concat(F.lit("{"), call)).otherwise(F.col("text")))
+    log = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("trace_id"), "turn", "role", said.alias("text"))
+    none = spark.createDataFrame([], "trace_id long, step long, tool_name string")
+    return O.with_logged_tools(none, log)
+
+
 @query("newest_traces", """SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC
 LIMIT 1000""")
 def newest_traces(spark, sf_dir):

@@ -163,6 +163,43 @@ def corpus_stats(raw: DataFrame, salvaged: DataFrame) -> DataFrame:
     return seen.unionByName(made).groupBy("counter").agg(F.count("*").alias("n"))
 
 
+def drop_counters(raw: DataFrame, graded: DataFrame, salvaged: DataFrame, pages: DataFrame,
+                  merged: DataFrame, order: list[str]) -> DataFrame:
+    """What the corpus build left out, as rows ``(counter, n)``; counters at zero have no row.
+
+    ``graded`` is what is left of ``raw`` after exclusion, ``salvaged`` the chunks made of it,
+    ``merged`` all chunks before deduplication.
+    """
+    def total(df, name):
+        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+
+    def less(more, some, name):
+        both = total(more, name).unionByName(some.agg((-F.count("*")).alias("n"))
+                                             .select(F.lit(name).alias("counter"), "n"))
+        return both
+
+    sizes = staged(page_sizes(pages), "sizes")
+    kept = dedup_documents(pages, sizes)
+    group = F.col("source_group")
+    parts = [
+        less(raw, graded, "salvage_excluded"),
+        less(graded.filter(group == "faq"), salvaged.filter("provenance = 'legacy_faq'"),
+             "faq_dropped"),
+        less(graded.filter(group == "thai_docx"), salvaged.filter("provenance = 'legacy_thai'"),
+             "thai_dropped"),
+        less(graded.filter("grade = 'table_fragment'"),
+             salvaged.filter("block_type = 'table_broken'"), "table_frag_no_caption_dropped"),
+        kept.select(F.lit("pdf_duplicate").alias("counter"), (F.col("n_copies") - 1).alias("n")),
+        total(flag_sparse_docs(pages, sizes).filter("needs_ocr").join(kept, "doc", "left_semi"),
+              "pdf_needs_ocr"),
+        dedup_removed(merged, order).select(F.lit("dedup_removed").alias("counter"),
+                                            F.col("dedup_removed").alias("n"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("counter").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def corpus_profile(df: DataFrame) -> DataFrame:
     """Row counts by block type and by provenance."""
     return (df.groupingSets([["block_type"], ["provenance"]], "block_type", "provenance")

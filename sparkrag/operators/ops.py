@@ -339,3 +339,21 @@ def trace_records(requests: DataFrame, calls: DataFrame, docs: DataFrame, ranked
         F.coalesce("retries", F.lit(0)).alias("fallback_count"),
         ((F.coalesce("answer", F.lit("")) != "") & (F.coalesce("last_error", F.lit("")) == ""))
         .alias("final_success"), F.coalesce("last_error", F.lit("")).alias("last_error"))
+
+
+def tool_sequences(messages: DataFrame) -> DataFrame:
+    """``trace_id, step, tool_name`` of the tool calls that the assistant's messages hold as JSON:
+    for traces without call records.  ``messages``: trace_id, turn, role, text."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    call = F.when(F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull(), text)
+    tool = F.get_json_object(call, "$.action.tool")
+    return (messages.filter("role = 'assistant'")
+            .select("trace_id", F.col("turn").alias("step"), tool.alias("tool_name"))
+            .filter("tool_name <> ''"))
+
+
+def with_logged_tools(calls: DataFrame, messages: DataFrame) -> DataFrame:
+    """Call records ``trace_id, step, tool_name``, and the logged ones of traces that have none."""
+    logged = tool_sequences(messages).join(
+        calls.filter("tool_name <> ''").select("trace_id").distinct(), "trace_id", "left_anti")
+    return calls.select("trace_id", "step", "tool_name").unionByName(logged)

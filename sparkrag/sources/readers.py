@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,32 @@ def _json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
             .option("columnNameOfCorruptRecord", "_bad").json(path))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, value``: lines numbered by file name and place.
+
+    Spark numbers lines within a split; one row per split adds up what stands before it.
+    """
+    split = ["_file", "_start"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_n"), "value")
+    ahead = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("_size"), F.min("_n").alias("_first"))
+    sizes = sizes.select(*split, "_first", F.coalesce(F.sum("_size").over(ahead), F.lit(0))
+                         .alias("_before"))
+    return lines.join(sizes, split).select(
+        (F.col("_n") - F.col("_first") + F.col("_before")).alias("pos"), "value")
+
+
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType = S.RAW_CHUNK
                 ) -> tuple[DataFrame, DataFrame]:
     """(rows, one-row count of bad lines).  Blank lines are skipped, bad lines counted.
 
-    Rows carry ``pos``, increasing in file order.
+    Rows carry ``pos``, the number of their line over all files in the order of their names; it is
+    the same however the files are split.
     """
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("pos"), F.col("value"))
+    lines = _numbered_lines(spark, path)
     parsed = (lines.filter(strip(F.col("value")) != "")
               .select("pos", F.from_json("value", T.StructType(
                   [*schema.fields, T.StructField("_bad", T.StringType())]),

@@ -39,8 +39,9 @@ def build_search_table(df: DataFrame, path: str) -> None:
     search_table(df).write.mode("overwrite").partitionBy("tenant_id").parquet(path)
 
 
-def write_trace(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def write_trace(df: DataFrame, path: str, batch: int | str) -> None:
+    """One folder per batch: a batch that is written again replaces itself."""
+    df.write.mode("overwrite").json(f"{path}/batch_no={batch}")
 
 
 def write_concepts(df: DataFrame, path: str) -> None:

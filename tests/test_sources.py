@@ -128,3 +128,27 @@ def test_content_key_ignores_page_breaks(spark, monkeypatch):
     key = {r["doc"]: r["content_key"] for r in O.page_fingerprints(df).collect()}
     assert key["a"] == key["b"] and len(set(key.values())) == 4
     assert {r["doc"] for r in O.dedup_documents(df).collect()} == {"a", "c", "d", "e"}
+
+
+def test_positions_do_not_depend_on_splits(spark, folder):
+    for name, lo in (("b.jsonl", 300), ("a.jsonl", 0)):
+        put(folder, name, "\n".join(json.dumps({"doc": "d", "text": f"line {i} " + "x" * (i % 50)})
+                                     for i in range(lo, lo + 300)))
+    key, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set(key, size)
+            rows, _ = R.read_chunks(spark, folder)
+            seen.append(sorted((r["pos"], r["text"]) for r in rows.collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert seen[0] == seen[1]
+    assert [t.split()[1] for _, t in seen[0]] == [str(i) for i in range(600)]
+
+
+def test_trace_batches_replace_themselves(spark, folder):
+    df = spark.createDataFrame([(1,), (2,)], "trace_id int")
+    for batch in (0, 1, 1):
+        W.write_trace(df, folder + "/trace", batch)
+    assert spark.read.json(folder + "/trace").count() == 4
