@@ -12,6 +12,7 @@ import time
 
 from sparkrag.catalog import load
 from sparkrag.session import local_session
+from sparkrag.sources.stage import scratch
 
 HEADLINE = [
     "bm25_topk", "bm25_term_stats", "dense_topk", "metrics_by_label", "rrf_fusion", "rerank_topk",
@@ -31,7 +32,8 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=cpus, progress=False)
 
     def run(name: str, where: str) -> None:
-        queries[name](spark, where).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            queries[name](spark, where).write.format("noop").mode("overwrite").save()
 
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(small):  # start the JVM and the Python workers before timing

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 _B = "__bucket"
 
 
@@ -24,8 +26,10 @@ def prefix(df: DataFrame, key: list[str], order: list[str], bucket: Column,
     """
     sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
     src = df.withColumn(_B, bucket)
-    for n, c in {**sums, **lasts, **prevs}.items():
-        src = src.withColumn("__in_" + n, c)
+    src = src.withColumns({"__in_" + n: c for n, c in {**sums, **lasts, **prevs}.items()})
+    # Two branches read the input: it is computed once, and columns that one needs are all it reads.
+    # Levels that build on each other would otherwise double the work at every step.
+    src = staged(src, "prefix")
     by, at = [*key, _B], F.struct(*order)
     local = Window.partitionBy(*by).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

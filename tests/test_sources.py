@@ -152,3 +152,15 @@ def test_trace_batches_replace_themselves(spark, folder):
     for batch in (0, 1, 1):
         W.write_trace(df, folder + "/trace", batch)
     assert spark.read.json(folder + "/trace").count() == 4
+
+
+def test_scratch_tables_go(spark):
+    from sparkrag.sources.stage import scratch, staged
+
+    kept = staged(spark.range(3), "kept")
+    with scratch(spark):
+        held = staged(spark.range(5), "held")
+        (path,) = held.inputFiles()[:1]
+        assert held.count() == 5
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert kept.count() == 3
