@@ -20,6 +20,7 @@ from .common import add_column
 
 COLUMN = "main_text"
 LINKED = 0.5  # share of link characters that makes a block navigation
+MENU = 3  # link blocks in a row
 SHORT = 60  # characters below which words say little
 DENSE, THIN = 0.12, 0.03  # stop-word densities of running text, and of lists
 
@@ -95,6 +96,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[list] = []  # name, why it is out ("" if not), whether it is the core, section
     parts: list[tuple[str, bool]] = []
     links, sections, at = 0, 0, 0
+    hidden = False  # inside an inline element that is out
 
     def flush() -> None:
         if not parts:
@@ -103,12 +105,12 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             linked = len(" ".join(html.unescape("".join(t if k else " " for t, k in parts))
                                   .split()))
-            out.append(Block(text, linked, any(s[1] for s in stack), any(s[2] for s in stack),
-                             stack[-1][3] if stack else 0))
+            out.append(Block(text, linked, any(s[1] and s[0] != "span" for s in stack),
+                             any(s[2] for s in stack), stack[-1][3] if stack else 0))
         parts.clear()
 
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
+        if token.start() > at and not hidden:
             parts.append((page[at:token.start()], links > 0))
         at = token.end()
         name = (token["name"] or token["odd"] or "").lower()
@@ -121,6 +123,9 @@ def blocks_of(page: str) -> list[Block]:
             parts.append((" ", False))
         if name in _BLOCK or name in ("button", "select", "head"):
             flush()
+            if hidden:  # an inline element that was left open ends with its block
+                stack[:] = [s for s in stack if s[0] != "span"]
+                hidden = False
         if name == "body":
             stack[:] = [s for s in stack if s[0] != "head"]
         if name not in _REGION or name in _VOID:
@@ -128,10 +133,11 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if any(s[1] for s in stack[k:]):
+                    if any(s[1] and s[0] != "span" for s in stack[k:]):
                         flush()
                     del stack[k:]
                     break
+            hidden = hidden and any(s[1] and s[0] == "span" for s in stack)
             continue
         rest = token["rest"] or ""
         if rest.endswith("/") and name not in _BLOCK:
@@ -148,7 +154,9 @@ def blocks_of(page: str) -> list[Block]:
         why = name if name in _OUT or name == "header" and not core else _cue(rest, name, core)
         if why == "other" and re.search("related|recommend", rest, re.I):
             why = "aside"
-        if why:
+        if why and name == "span":
+            hidden = True
+        elif why:
             flush()
         if name in _CORE or name in _OUT or name in ("section", "header"):
             sections += 1
@@ -157,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
             section = stack[-1][3] if stack else 0
         if name != "span" or why:
             stack.append([name, why, name in _CORE and not why, section])
-    if at < len(page):
+    if at < len(page) and not hidden:
         parts.append((page[at:], links > 0))
     flush()
     return out
@@ -167,8 +175,10 @@ def _decide(block: Block) -> bool | None:
     """Pass one: main text, not main text, or open."""
     text = block.text
     size = len(text)
-    if block.out or block.linked >= LINKED * size:
+    if block.out or block.linked >= LINKED * size and not block.core:
         return False
+    if block.linked >= LINKED * size:
+        return None  # in the main part only a row of such blocks is a menu
     if not block.core and ("©" in text and size < 4 * SHORT):
         return False
     if size < SHORT:
@@ -180,6 +190,19 @@ def _decide(block: Block) -> bool | None:
     return None if block.core or density >= THIN else False
 
 
+def _menus(blocks: list[Block]) -> None:
+    """Rows of three and more link blocks in the main part are not main text."""
+    run: list[Block] = []
+    for b in [*blocks, Block("", 0, True, False, -1)]:
+        if b.core and not b.out and b.linked >= LINKED * len(b.text):
+            run.append(b)
+            continue
+        if len(run) >= MENU:
+            for x in run:
+                x.label = False
+        run = []
+
+
 def _inherit(blocks: list[Block]) -> None:
     """Pass two: open blocks take the label of the nearest decided blocks."""
     decided = [b.label for b in blocks]
@@ -191,7 +214,9 @@ def _inherit(blocks: list[Block]) -> None:
             last: dict[int, tuple[int, bool]] = {}
             for i in order:
                 key = blocks[i].section if same else 0
-                if decided[i] is not None and not (same and blocks[i].out):
+                # Inside a section only its running text and what isn't its menu says anything.
+                if decided[i] is not None and not (same and (blocks[i].out or blocks[i].core
+                                                             and not decided[i])):
                     last[key] = i, decided[i]
                 near[i] = last.get(key)
         for i, b in enumerate(blocks):
@@ -213,6 +238,7 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     for b in blocks:
         b.label = _decide(b)
+    _menus(blocks)
     _inherit(blocks)
     return "\n".join(b.text for b in blocks if b.label)
 
