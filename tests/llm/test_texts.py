@@ -127,6 +127,27 @@ def test_main_text_without_article():
     assert "One" not in html_text.main_text(page) and "more" not in html_text.main_text(page)
 
 
+RUN = "It was the best of the times and it was the worst of the times for all of us in the town."
+
+
+@pytest.mark.parametrize("inside,want", [
+    (f"<p>{RUN}</p><ul><li><a href=1>See the one</a></li><li>Plain</li></ul>",
+     [RUN, "See the one", "Plain"]),
+    (f"<p>{RUN}</p><ul><li><a href=1>A</a><li><a href=2>B</a><li><a href=3>C</a></ul><p>End</p>",
+     [RUN, "End"]),
+    (f"<p>{RUN}</p><p>A<b>B</b>C<br/>D &amp; E&nbsp;&eacute; <span class='ad'>x</span>y</p>tail",
+     [RUN, "ABC D & E é y", "tail"]),
+    (f"<p>{RUN}</p><p>a <span class=promo>b<p>c</p>", [RUN, "a", "c"]),
+    (f"<p>{RUN}</p><div class=ad-slot>Buy it.</div><table><tr><td>1</td><td>2</td></tr></table>",
+     [RUN, "1", "2"]),
+    (f"<header><h1>T</h1></header><p>{RUN}</p><div class=comments><p>I like {RUN}</p></div>",
+     ["T", RUN]),
+])
+def test_inside_the_article(inside, want):
+    page = f"<body><nav><a href=0>Home</a></nav><article>{inside}</article><footer>(c)</footer>"
+    assert html_text.main_text(page).split("\n") == want
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<!-- x", "<script>a", "<a href='",
                                   "text only", "<p>" * 3000, "<div>" * 3000 + "x", "&#0;&bad;"])
 def test_broken_pages(page):
