@@ -204,7 +204,14 @@ def _menus(blocks: list[Block]) -> None:
 
 
 def _inherit(blocks: list[Block]) -> None:
-    """Pass two: open blocks take the label of the nearest decided blocks."""
+    """Pass two: open blocks take the label of the nearest decided blocks.
+
+    A page without any running text keeps all that is open.
+    """
+    if not any(b.label for b in blocks):
+        for b in blocks:
+            b.label = b.label is None
+        return
     decided = [b.label for b in blocks]
     n = len(blocks)
     for same in (True, False):

@@ -136,9 +136,10 @@ def fit_samples(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     apart = Model(edges, blank(), 0.0, 0.5)
     p, u = apart.bins(positive), apart.bins(unlabelled)
     n_p, n_u = len(p), len(u)
-    # Told apart on one half, the prior read from the other.
+    # Told apart on one half, the prior read from the other (a single row is in both).
     _descend(apart, p[::2], u[::2], lambda a, b: ((_sigmoid(a) - 1) / n_p, _sigmoid(b) / n_u))
-    prior = estimate_prior(apart.margin(positive[1::2]), apart.margin(unlabelled[1::2]))
+    prior = estimate_prior(apart.margin(positive[min(1, n_p - 1)::2]),
+                           apart.margin(unlabelled[min(1, n_u - 1)::2]))
     model = Model(edges, blank(), 0.0, prior)
 
     def gradient(a, b):
