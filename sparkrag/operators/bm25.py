@@ -93,8 +93,10 @@ def bm25_scores(queries: DataFrame, index: BM25Index, by: list[str] = ("query_id
         needed = index.terms().join(F.broadcast(wanted.select("term").distinct()), "term",
                                     "left_semi")
         needed = with_gain(needed, n_docs)
-        # A document stays in its partition: its scores are summed where its postings are.
-        local = BM25Index(index.docs.repartition("chunk_id"), index.keep)
+        # A document stays in its partition: its scores are summed where its postings are.  The
+        # number is given, or small token tables would be merged into one task for the join.
+        parts = int(index.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        local = BM25Index(index.docs.repartition(parts, "chunk_id"), index.keep)
         hits = local.postings().join(F.broadcast(wanted.join(needed, "term")), "term")
     else:
         hits = _salted_join(wanted.join(with_gain(index.terms(), n_docs), "term"), index)
