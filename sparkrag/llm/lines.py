@@ -4,6 +4,9 @@ A rolling hash over the hashes of the last three lines decides where a chunk end
 with the content: lines put in or taken out above change the chunks next to them and no others.
 Chunks of two and more lines are counted by hash; those whose hash repeats are compared byte by
 byte, and all but the first occurrence go.
+
+A passage whose ends fall inside chunks keeps lines by this rule, and one that holds no complete chunk
+stays; ``remove_repeated_passages`` compares all pairs of neighbouring lines and leaves nothing.
 """
 
 from __future__ import annotations
@@ -61,6 +64,24 @@ def _without(lines: Column, spans: Column) -> Column:
     return F.flatten(F.zip_with(opens, closes, lambda a, b: F.slice(lines, a, b - a)))
 
 
+def _cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` without the lines in ``spans(doc_id, __row, __spans)``, and their numbers."""
+    row = F.xxhash64(docs["text"])
+    out = docs.withColumn("__row", row).alias("d").join(
+        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
+        & (F.col("d.__row") == F.col("s.__row")), "left").select("d.*", "s.__spans")
+    lines = F.split("text", "\n", -1)
+    removed = F.coalesce(F.aggregate("__spans", F.lit(0), lambda t, s: t + s["n"]), F.lit(0))
+    kept = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(
+        F.array_join(_without(F.col("__lines"), F.col("__spans")), "\n"))
+    out = out.withColumn("__lines", lines).withColumns({
+        "n_lines": F.coalesce(F.size("__lines"), F.lit(0)), "n_removed": removed, "__kept": kept})
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
+    return out.select(*[F.col("__kept").alias("text") if n == "text" else c
+                        for n, c in zip(docs.columns, quoted(docs.columns))],
+                      "n_lines", "n_removed")
+
+
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)`` with ``text`` cut, and ``n_lines, n_removed``.
 
@@ -84,20 +105,43 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
              .where(~place.eqNullSafe(F.col("first"))))
     spans = later.groupBy("doc_id", "__row").agg(
         F.sort_array(F.collect_set(F.struct("start", "n"))).alias("__spans"))
-    row = F.xxhash64(docs["text"])
-    out = docs.withColumn("__row", row).alias("d").join(
-        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-        & (F.col("d.__row") == F.col("s.__row")), "left").select("d.*", "s.__spans")
-    lines = F.split("text", "\n", -1)
-    removed = F.coalesce(F.aggregate("__spans", F.lit(0), lambda t, s: t + s["n"]), F.lit(0))
-    kept = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(
-        F.array_join(_without(F.col("__lines"), F.col("__spans")), "\n"))
-    out = out.withColumn("__lines", lines).withColumns({
-        "n_lines": F.coalesce(F.size("__lines"), F.lit(0)), "n_removed": removed, "__kept": kept})
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    return out.select(*[F.col("__kept").alias("text") if n == "text" else c
-                        for n, c in zip(docs.columns, quoted(docs.columns))],
-                      "n_lines", "n_removed")
+    return _cut(docs, spans)
+
+
+def line_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, start, a, b, c, d``: every two neighbouring lines, each line as a 128-bit hash."""
+    df = docs.where("text is not null").select(*keys, F.split("text", "\n", -1).alias("lines"))
+    df = once(df, "hashes", F.transform("lines", lambda x: F.struct(
+        F.xxhash64(x).alias("x"), F.xxhash64(F.lit(1), x).alias("y")))).drop("lines")
+    n = F.size("hashes") - 1
+    pairs = F.zip_with(F.slice("hashes", F.lit(1), n), F.slice("hashes", F.lit(2), n),
+                       lambda p, q: F.struct(p["x"].alias("a"), p["y"].alias("b"),
+                                             q["x"].alias("c"), q["y"].alias("d")))
+    return (df.where(n > 0).select(*keys, F.posexplode(pairs).alias("at", "pair"))
+            .select(*keys, (F.col("at") + 1).alias("start"), "pair.*"))
+
+
+def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+    """As ``remove_repeated_lines``, for passages of two and more lines wherever they begin and end.
+
+    Two neighbouring lines go if an earlier place holds them too, so a passage goes up to the edges
+    of what is equal.  Earlier is a smaller (doc_id, hash of the text, line number); inside a text
+    only pairs that share no line count, so of equal lines in a row the first two stay.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__row"), "text")
+    pairs = staged(line_pairs(keyed, ["doc_id", "__row"]), "pairs")
+    pair = ["a", "b", "c", "d"]
+    first = pairs.groupBy(*pair).agg(
+        F.min(F.struct("doc_id", "__row", "start")).alias("first"), F.count("*").alias("times"))
+    later = pairs.join(first.where("times > 1"), pair).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+          & (F.col("__row") == F.col("first.__row"))
+          & (F.col("start") < F.col("first.start") + 2)))
+    gone = F.flatten(F.transform(F.collect_set("start"), lambda i: F.array(i, i + 1)))
+    spans = later.groupBy("doc_id", "__row").agg(F.sort_array(F.array_distinct(gone)).alias("gone"))
+    return _cut(docs, spans.select("doc_id", "__row", F.transform(
+        "gone", lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"))).alias("__spans")))
 
 
 SQL = f"""

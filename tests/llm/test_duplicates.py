@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from sparkrag.llm import components, lines, simhash, substrings
 from sparkrag.llm.common import WordHashes, window_hashes
 
@@ -148,6 +149,56 @@ def test_lines_native(some_docs):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def cut_passages(rows):
+    """rows: (doc_id, text) with distinct ids; what is kept, and how many lines are not."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        parts = (text or "").split("\n")
+        gone = set()
+        for k, pair in enumerate(zip(parts, parts[1:])):
+            j, at = first.setdefault(pair, (i, k))
+            if j != i or k >= at + 2:
+                gone |= {k, k + 1}
+        out[i] = ("\n".join(x for k, x in enumerate(parts) if k not in gone), len(gone))
+    return out
+
+
+def test_passages(some_docs):
+    want = cut_passages(some_docs.select("doc_id", "text").collect())
+    got = lines.remove_repeated_passages(some_docs).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == want
+    assert sum(n for _, n in want.values()) > 0
+
+
+def test_passages_edges(edge, no_docs):
+    got = lines.remove_repeated_passages(edge)
+    assert sorted(got.columns) == sorted([*edge.columns, "n_removed"])
+    texts = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in edge.collect()
+                   if r.text is not None)
+    got = got.collect()
+    assert len(got) == edge.count()
+    assert all(r.text is None and r.n_lines == 0 for r in got if r.doc_id == 1)
+    kept = {x for r in got for x in (r.text or "").split("\n")}
+    assert kept == {x for *_, t in texts for x in t.split("\n")}  # no line is lost everywhere
+    assert lines.remove_repeated_passages(no_docs).count() == 0
+    plan = lines.remove_repeated_passages(edge)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_pipeline_cuts_whole_passages(spark, n):
+    """Planted passages go up to their edges, whatever stands around them; single lines stay."""
+    rows = []
+    for k in range(30):
+        body = [f"passage {k} line {i}" for i in range(n)]
+        rows.append((2 * k, "\n".join([f"a {k}", *body, f"b {k}"]), "m"))
+        rows.append((2 * k + 1, "\n".join([f"c {k}", *body, f"d {k}", "one"]), "m"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    for i, text, _ in rows:
+        assert got[i] == (f"c {i // 2}\nd {i // 2}\none" if i % 2 else text)
+
+
 def brute_components(marks):
     marks = np.array(marks, np.uint64)
     parent = list(range(len(marks)))
