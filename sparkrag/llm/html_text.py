@@ -2,8 +2,9 @@
 
 A page is cut into blocks at its block-level tags.  Pass one decides a block by where it stands (menus,
 footers, forms, comments and the like are out), by its link density, and by length and stop-word
-density; short blocks and doubtful ones stay open.  Pass two lets an open block inherit the label of
-the nearest decided neighbours, those of its own section first.
+density; short blocks and doubtful ones stay open.  Stop words say nothing about text in other scripts,
+nor on a page whose long blocks mostly hold few; there length and link density decide.  Pass two lets
+an open block inherit the label of the nearest decided neighbours, those of its own section first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ COLUMN = "main_text"
 LINKED = 0.5  # share of link characters that makes a block navigation
 MENU = 3  # link blocks in a row
 SHORT = 60  # characters below which words say little
-DENSE, THIN = 0.12, 0.03  # stop-word densities of running text, and of lists
+DENSE = 0.12  # stop-word density of running text
 
 STOP_WORDS = frozenset(
     # English
@@ -50,6 +51,8 @@ _REGION = frozenset(
     "article aside blockquote button details dialog div dl fieldset figure footer form header "
     "main menu nav ol search section select table ul li p head span".split())
 _OUT = frozenset("nav footer aside form menu dialog search button select fieldset head".split())
+_LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CORE = frozenset(("article", "main"))
 
@@ -171,6 +174,16 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _size(text: str) -> int:
+    """Characters; one that stands for a syllable or a word counts twice."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are of a script that no stop word is written in."""
+    return not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text))
+
+
 def _decide(block: Block) -> bool | None:
     """Pass one: main text, not main text, or open."""
     text = block.text
@@ -181,13 +194,22 @@ def _decide(block: Block) -> bool | None:
         return None  # in the main part only a row of such blocks is a menu
     if not block.core and ("©" in text and size < 4 * SHORT):
         return False
-    if size < SHORT:
+    if _size(text) < SHORT:
         return None
     words = text.lower().split()
     density = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-    if density >= DENSE:
-        return True
-    return None if block.core or density >= THIN else False
+    return True if density >= DENSE or _other_script(text) else None
+
+
+def _lengths(blocks: list[Block]) -> None:
+    """On a page without a main part of its own, and with less running text than other long blocks,
+    stop words don't tell what is text: all long blocks are."""
+    if any(b.core for b in blocks):
+        return
+    long = [b for b in blocks if b.label is not False and _size(b.text) >= SHORT]
+    if 2 * sum(len(b.text) for b in long if b.label) < sum(len(b.text) for b in long):
+        for b in long:
+            b.label = True
 
 
 def _menus(blocks: list[Block]) -> None:
@@ -213,6 +235,7 @@ def _inherit(blocks: list[Block]) -> None:
             b.label = b.label is None
         return
     decided = [b.label for b in blocks]
+    cored = any(b.core for b in blocks)
     n = len(blocks)
     for same in (True, False):
         before: list[tuple[int, bool] | None] = [None] * n
@@ -236,7 +259,7 @@ def _inherit(blocks: list[Block]) -> None:
                 continue
             if len(near) == 2 and near[0][1] != near[1][1]:
                 closer = min(near, key=lambda x: (abs(x[0] - i), not x[1]))
-                b.label = closer[1] or b.core
+                b.label = closer[1] or b.core or not cored and _size(b.text) >= SHORT
             else:
                 b.label = near[0][1]
 
@@ -245,6 +268,7 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     for b in blocks:
         b.label = _decide(b)
+    _lengths(blocks)
     _menus(blocks)
     _inherit(blocks)
     return "\n".join(b.text for b in blocks if b.label)

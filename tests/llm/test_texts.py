@@ -148,6 +148,40 @@ def test_inside_the_article(inside, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+TEXTS = {
+    "ru": "Вечером над рекой поднялся густой туман, и лодки одна за другой вернулись к старой пристани.",
+    "zh": "傍晚时分河面上升起了浓雾，渔船一艘接一艘地回到了古老的码头，岸边的人们点亮了灯笼等待亲人归来。",
+    "ja": "夕方になると川の上に濃い霧が立ちこめ、船は次々と古い桟橋へ戻り、岸辺の人々は灯りをともして待っていた。",
+    "th": "ตอนเย็นมีหมอกหนาปกคลุมแม่น้ำและเรือทุกลำค่อยๆแล่นกลับมายังท่าเรือเก่าแก่ของหมู่บ้านริมฝั่ง",
+    "ar": "في المساء ارتفع ضباب كثيف فوق النهر وعادت القوارب واحدا تلو الآخر إلى المرسى القديم في القرية.",
+    "pl": "Wieczorem nad rzeką uniosła się gęsta mgła, więc łodzie kolejno wracały do starej przystani.",
+    "tr": "Akşam nehrin üzerinde yoğun sis yükseldi, tekneler birer birer eski iskeleye geri döndüler.",
+    "code": "for (int k = 0; k < rows.length; k++) { total += rows[k].price * rows[k].amount; }",
+}
+
+
+def div_page(*texts):
+    return ("<body><div class=menu><a href=1>One</a></div><div><a href=2>Two</a></div><div>"
+            + "".join(f"<div>{t.replace('<', '&lt;')}</div>" for t in texts)
+            + "</div><div><a href=3>Three</a></div><div class=footer>© 2020</div>")
+
+
+@pytest.mark.parametrize("kind", TEXTS)
+def test_pages_without_known_stop_words(kind):
+    text = TEXTS[kind]
+    parts = [f"{text} 1", "1.", f"{text} 2", f"{text} 3"]
+    assert html_text.main_text(div_page(*parts)).split("\n") == parts
+    # One passage in a listed language changes nothing, wherever it stands.
+    for parts in ([RUN, *parts], [*parts, RUN], [*parts[:2], RUN, *parts[2:]]):
+        assert html_text.main_text(div_page(*parts)).split("\n") == parts
+
+
+def test_long_blocks_beside_running_text():
+    code = [f"{TEXTS['code']} // {i}" for i in range(3)]
+    for parts in ([*code, *[RUN] * 6], [*[RUN] * 6, *code], [RUN, RUN, RUN, *code, RUN, RUN, RUN]):
+        assert html_text.main_text(div_page(*parts)).split("\n") == parts
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<!-- x", "<script>a", "<a href='",
                                   "text only", "<p>" * 3000, "<div>" * 3000 + "x", "&#0;&bad;"])
 def test_broken_pages(page):
