@@ -49,7 +49,9 @@ _BLOCK = frozenset(
 #: Their end tag ends a region; all other block tags only part blocks.
 _REGION = frozenset(
     "article aside blockquote button details dialog div dl fieldset figure footer form header "
-    "main menu nav ol search section select table ul li p head span".split())
+    "main menu nav ol search section select table ul li p head span svg".split())
+#: Of these, what stands inside a block; only those that are out are followed.
+_INLINE = frozenset(("span", "svg"))
 _OUT = frozenset("nav footer aside form menu dialog search button select fieldset head".split())
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
 _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -59,8 +61,8 @@ _CORE = frozenset(("article", "main"))
 _TAG = r"[a-zA-Z][a-zA-Z0-9:-]*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|object|canvas|math)\b"
-    r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title)\b"
+    r"(?P<own>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<name>{_TAG})(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     rf"|</?(?P<odd>{_TAG})[^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -108,14 +110,16 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             linked = len(" ".join(html.unescape("".join(t if k else " " for t, k in parts))
                                   .split()))
-            out.append(Block(text, linked, any(s[1] and s[0] != "span" for s in stack),
+            out.append(Block(text, linked, any(s[1] and s[0] not in _INLINE for s in stack),
                              any(s[2] for s in stack), stack[-1][3] if stack else 0))
         parts.clear()
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         if token.start() > at and not hidden:
             parts.append((page[at:token.start()], links > 0))
         at = token.end()
+        if token["raw"] and token["own"].endswith("/") and any(s[0] == "svg" for s in stack):
+            at = token.end("own") + 1  # in a graphic such an element is empty
         name = (token["name"] or token["odd"] or "").lower()
         if not name:
             continue
@@ -127,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in _BLOCK or name in ("button", "select", "head"):
             flush()
             if hidden:  # an inline element that was left open ends with its block
-                stack[:] = [s for s in stack if s[0] != "span"]
+                stack[:] = [s for s in stack if s[0] not in _INLINE]
                 hidden = False
         if name == "body":
             stack[:] = [s for s in stack if s[0] != "head"]
@@ -136,11 +140,11 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if any(s[1] and s[0] != "span" for s in stack[k:]):
+                    if any(s[1] and s[0] not in _INLINE for s in stack[k:]):
                         flush()
                     del stack[k:]
                     break
-            hidden = hidden and any(s[1] and s[0] == "span" for s in stack)
+            hidden = hidden and any(s[1] and s[0] in _INLINE for s in stack)
             continue
         rest = token["rest"] or ""
         if rest.endswith("/") and name not in _BLOCK:
@@ -154,10 +158,10 @@ def blocks_of(page: str) -> list[Block]:
             for s in stack:
                 if s[1] not in ("reader", "aside"):
                     s[1] = ""
-        why = name if name in _OUT or name == "header" and not core else _cue(rest, name, core)
+        why = name if name in _OUT or name == "svg" or name == "header" and not core else _cue(rest, name, core)
         if why == "other" and re.search("related|recommend", rest, re.I):
             why = "aside"
-        if why and name == "span":
+        if why and name in _INLINE:
             hidden = True
         elif why:
             flush()
@@ -166,7 +170,7 @@ def blocks_of(page: str) -> list[Block]:
             section = sections
         else:
             section = stack[-1][3] if stack else 0
-        if name != "span" or why:
+        if name not in _INLINE or why:
             stack.append([name, why, name in _CORE and not why, section])
     if at < len(page) and not hidden:
         parts.append((page[at:], links > 0))

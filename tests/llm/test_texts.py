@@ -142,6 +142,15 @@ RUN = "It was the best of the times and it was the worst of the times for all of
      [RUN, "1", "2"]),
     (f"<header><h1>T</h1></header><p>{RUN}</p><div class=comments><p>I like {RUN}</p></div>",
      ["T", RUN]),
+    (f"<p>{RUN}<svg class='x'/> after</p><p>{RUN} 2</p><svg><path d='M0'/></svg><p>End</p>",
+     [f"{RUN} after", f"{RUN} 2", "End"]),
+    (f"<p>{RUN} <svg viewBox='0 0'><title/><style/><g><text>axis</text></g></svg>on</p><p>End</p>",
+     [f"{RUN} on", "End"]),
+    (f"<p>{RUN} <svg><title>icon</title><text>a</p><p>End</p>", [RUN, "End"]),
+    (f"<p>{RUN} <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is it<math/>.</p><p>End</p>",
+     [f"{RUN} E=m is it.", "End"]),
+    (f"<p>{RUN}</p><object data=x><p>Instead.</p></object><canvas>Drawn <b>text</b></canvas><p>End",
+     [RUN, "Instead.", "Drawn text", "End"]),
 ])
 def test_inside_the_article(inside, want):
     page = f"<body><nav><a href=0>Home</a></nav><article>{inside}</article><footer>(c)</footer>"
