@@ -13,6 +13,7 @@ reaches will do, and a lost task is written again as a whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from array import array
@@ -27,15 +28,13 @@ from pyspark.sql import functions as F
 from .common import NO_ID, ids_of, parts_for, text_bytes
 
 END_ID = 2
-BLOCK_IDS = 1 << 19  # ids that one grammar covers, but for a longer document
-ROUNDS = 2
-PAIRS_A_ROUND = 4096
+BLOCK_IDS = 1 << 21  # ids that one grammar covers, but for a longer document
 LEAST = 24  # occurrences that a pair needs to become a rule
 TARGET = 16 << 20
 CACHE_CHUNKS = 600_000  # in each of two generations
 LONG_CHUNK = 64
 
-_HASH_BITS = 18
+_HASH_BITS = 20
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a"
                         "\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _BETWEEN = re.compile(r"(?<=\S) (?=[^\s])")
@@ -129,9 +128,60 @@ def encoder_of(path: str) -> IdEncoder:
     return IdEncoder(path)
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, least: int = LEAST):
+def _frequent(symbols: np.ndarray, at: np.ndarray, least: int):
+    """Pairs that begin at ``least`` of the places ``at`` or more, most frequent first, their places
+    and, for every place, the number of its pair."""
+    left, right = symbols[at], symbols[at + 1]
+    with np.errstate(over="ignore"):
+        spot = left * np.uint32(0x9E3779B1)
+        spot += right * np.uint32(0x85EBCA6B)
+        spot ^= spot >> np.uint32(15)
+        spot = ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
+    # No pair is as frequent as its hashed place; the rest is counted pair by pair.
+    full = (np.bincount(spot, minlength=1 << _HASH_BITS) >= least)[spot]
+    at, left, right = at[full], left[full], right[full]
+    own = left.astype(np.uint64) << np.uint64(32) | right
+    # Of pairs of one symbol that overlap every second one counts, from the left.
+    same = np.flatnonzero(left == right)
+    run = np.concatenate([[True], np.diff(at[same]) > 1])[:len(same)]
+    first = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
+    odd = np.zeros(len(at), bool)
+    odd[same[(np.arange(len(same)) - first) % 2 == 1]] = True
+    pairs, counts = np.unique(own[~odd], return_counts=True)
+    pairs, counts = pairs[counts >= least], counts[counts >= least]
+    if not len(pairs):
+        return pairs, at[:0], at[:0], odd[:0]
+    place = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+    hit = pairs[place] == own
+    order = np.lexsort((pairs, -counts))
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs))
+    return pairs[order], at[hit], rank[place[hit]], odd[hit]
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places are taken if the more frequent of two overlapping pairs goes first."""
+    taken = np.zeros(len(at), bool)
+    rest = np.arange(len(at))
+    while len(rest):
+        near = np.diff(at[rest]) == 1
+        behind = rank[rest[1:]] < rank[rest[:-1]]
+        wins = np.ones(len(rest), bool)
+        wins[:-1] &= ~(near & behind)
+        wins[1:] &= ~(near & ~behind)
+        taken[rest[wins]] = True
+        beside = wins.copy()
+        beside[:-1] |= near & wins[1:]
+        beside[1:] |= near & wins[:-1]
+        rest = rest[~beside]
+    return taken
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int | None = None, least: int = LEAST):
     """``symbols, begins, rules, lengths, terminals`` of documents laid end to end.
 
+    Rounds go on until no pair occurs ``least`` times, or for the given number.  A round replaces
+    all frequent pairs that no more frequent one overlaps; the most frequent is always among them.
     ``begins`` has the first symbol of each document and the number of symbols.  Symbol
     ``terminals + k`` stands for the pair ``rules[k]`` and expands to ``lengths[k]`` ids.
     """
@@ -142,48 +192,34 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS, least: in
     starts, last = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
     starts[(ends - sizes)[filled]] = True
     last[ends[filled] - 1] = True  # the last symbol of a document starts no pair
-    rules = np.empty((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    found, n_rules = [np.empty((0, 2), np.int64)], 0
+    live = ~last  # where a pair begins that can be frequent
+    for _ in itertools.count() if rounds is None else range(rounds):
+        pairs, at, rank, odd = _frequent(symbols, np.flatnonzero(live), least)
+        if not len(pairs):
             break
-        with np.errstate(over="ignore"):
-            spot = symbols[:-1] * np.uint32(0x9E3779B1)
-            spot += symbols[1:] * np.uint32(0x85EBCA6B)
-            spot ^= spot >> np.uint32(15)
-            spot = ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
-        # Pairs meet in hashed places; the fullest places are looked at, one pair in each.
-        tally = np.bincount(spot, minlength=1 << _HASH_BITS)
-        full = tally >= max(least, np.partition(tally, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])
-        maybe = np.flatnonzero(full[spot] & ~last[:-1])
-        where = spot[maybe]
-        own = symbols[maybe].astype(np.uint64) << np.uint64(32) | symbols[maybe + 1]
-        pair = np.zeros(1 << _HASH_BITS, np.uint64)
-        pair[where] = own
-        hit = pair[where] == own
-        at, where = maybe[hit], where[hit]
-        frequent = np.bincount(where, minlength=1 << _HASH_BITS) >= least
-        hit = frequent[where]
-        at, where = at[hit], where[hit]
-        if not len(at):
-            break
-        # Of overlapping pairs every second one is taken, from the left.
-        run = np.concatenate([[True], np.diff(at) > 1])
-        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
-        at, where = at[take], where[take]
-        used = np.zeros(1 << _HASH_BITS, bool)
-        used[where] = True
-        named = np.cumsum(used)
-        chosen = pair[used]
-        base = terminals + len(rules) - 1
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32),
-                                                 chosen & np.uint64(0xFFFFFFFF)], axis=1)
-                                .astype(np.int64)])
-        symbols[at] = base + named[where]
+        live[:] = False
+        live[at] = True
+        at, rank = at[~odd], rank[~odd]
+        taken = _apart(at, rank)
+        at, rank = at[taken], rank[taken]
+        used = np.bincount(rank, minlength=len(pairs)) >= least
+        named = np.cumsum(used) - 1
+        at, rank = at[used[rank]], rank[used[rank]]
+        base = terminals + n_rules
+        chosen = pairs[used]
+        found.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1)
+                     .astype(np.int64))
+        n_rules += len(chosen)
+        symbols[at] = base + named[rank]
         last[at] = last[at + 1]
+        live[at] = True
+        live[at[at > 0] - 1] = True  # a removed symbol before it gives way to one that is live
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last, starts = symbols[keep], last[keep], starts[keep]
+        symbols, last, starts, live = symbols[keep], last[keep], starts[keep], live[keep]
+        live &= ~last
+    rules = np.concatenate(found)
     lengths = _lengths(rules, terminals)
     begins = np.zeros(len(sizes) + 1, np.int64)
     begins[-1] = len(symbols)

@@ -1,5 +1,6 @@
 """Pieces and token files against the libraries."""
 
+import collections
 import zlib
 
 import numpy as np
@@ -125,6 +126,42 @@ def test_grammar_compresses():
     assert len(symbols) < len(ids) / 3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=80), min_size=1, max_size=12),
+       st.integers(2, 5))
+def test_grammar_leaves_no_frequent_pair(docs, least):
+    parts = [np.array(d, np.uint32) for d in docs]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    symbols, begins, *_ = token_files.compress(np.concatenate(parts), sizes, least=least)
+    seen = collections.Counter()
+    for a, b in zip(begins, begins[1:]):
+        own, before = symbols[a:b].tolist(), None
+        for k, pair in enumerate(zip(own, own[1:])):
+            if before == (pair, k - 1):
+                before = None  # overlaps the one counted before
+            else:
+                seen[pair] += 1
+                before = pair, k
+    assert all(n < least for n in seen.values())
+
+
+def test_grammar_of_a_long_passage():
+    """A passage that repeats becomes one symbol, however long, also among many frequent pairs."""
+    r = np.random.default_rng(0)
+    passage = r.integers(0, 50_000, 3000)
+    docs = [np.concatenate([r.integers(0, 50_000, 50), passage]) for _ in range(40)]
+    pairs = np.repeat(r.integers(0, 50_000, (6000, 2)), 30, axis=0)
+    docs += list(pairs[r.permutation(len(pairs))])
+    sizes = np.array([len(d) for d in docs], np.int64)
+    symbols, begins, rules, lengths, terminals = token_files.compress(
+        np.concatenate(docs).astype(np.uint32), sizes)
+    assert lengths.max() >= 3000
+    assert all(b - a <= 51 for a, b in zip(begins[:40], begins[1:41]))
+    assert (np.diff(begins[40:]) == 1).all()  # every one of 6000 pairs has a rule
+    assert (token_files.Grammar(rules, lengths, terminals).expand(symbols)
+            == np.concatenate(docs)).all()
+
+
 @pytest.mark.parametrize("block", [1 << 21, 200])
 def test_files(spark, folder, edge, block):
     path = f"{folder}/ids"
