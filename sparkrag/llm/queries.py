@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.stage import new_path
-from . import ann, decontaminate, html_text, lines, pieces, quality, simhash, substrings
+from . import ann, decontaminate, fim, html_text, lines, pieces, quality, simhash, substrings
 from . import token_files, toxicity
 from .labelled import held_out
 
@@ -126,3 +126,14 @@ def op10(spark, sf_dir):
         "doc_id", held_out(F.col("doc_id")).alias("held_out"),
         F.col("quality_score").alias("score"),
         (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op13_fim", fim.SQL)
+def op13(spark, sf_dir):
+    """All documents in fill-in-middle form, and the texts rebuilt from it."""
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col(f"{fim.COLUMN}.output"), F.col(f"{fim.COLUMN}.form")
+    return made.select(
+        "doc_id", f"{fim.COLUMN}.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fim.restore(output, form), 256).alias("restored_sha256"))
