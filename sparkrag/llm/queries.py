@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.stage import new_path
-from . import ann, decontaminate, fim, html_text, lines, pieces, quality, simhash, substrings
-from . import token_files, toxicity
+from . import ann, decontaminate, fim, html_text, lines, pieces, quality, ranked, simhash
+from . import substrings, token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op10(spark, sf_dir):
         (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op11_ranked_search", ranked.SQL)
+def op11(spark, sf_dir):
+    """The 20 best documents for every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_fim", fim.SQL)
 def op13(spark, sf_dir):
     """All documents in fill-in-middle form, and the texts rebuilt from it."""
