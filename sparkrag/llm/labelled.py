@@ -9,9 +9,9 @@ FOLDS = 4
 HELD_OUT = 2
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows whose crc32 of the doc_id as text leaves 2 modulo 4; a null id is not held out."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
+def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
+    """Rows whose crc32 of the doc_id as text leaves 2 modulo ``folds``; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
                       == HELD_OUT, F.lit(False))
 
 

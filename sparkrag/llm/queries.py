@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from ..sources.stage import new_path
 from . import ann, decontaminate, fim, html_text, lines, pieces, quality, ranked, simhash
-from . import substrings, token_files, toxicity
+from . import substrings, suffix_tree, token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,15 @@ def op11(spark, sf_dir):
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_lm_score")
+def op12(spark, sf_dir):
+    """Language-model scores of all documents, learned outside a held-out seventh."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = suffix_tree.score(docs, ~held_out(F.col("doc_id"), 7))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op13_fim", fim.SQL)
 def op13(spark, sf_dir):
     """All documents in fill-in-middle form, and the texts rebuilt from it."""
