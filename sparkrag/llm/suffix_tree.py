@@ -18,6 +18,7 @@ next words, about n**2 / 2**65 and n**2 / 2**49 pairs are taken as equal.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import shared_dir, staged
@@ -35,7 +36,7 @@ from .common import NO_ID, batches, ids_of, text_bytes, texts_of
 DEPTH = 3  # words of the longest context
 LEAST = 8  # occurrences of a context that is tested
 COST = 1.0  # nats that each different next word of a kept context has to gain
-CHUNK = 2_000_000  # tokens of a chunk
+CHUNK = 1_000_000  # tokens of a chunk
 TARGET = 16 << 20  # bytes of text per chunk partition and per range of hashes
 SEGMENT = 1 << 20  # bytes hashed at once
 
@@ -460,6 +461,17 @@ def _score_chunk(model: Model):
     return run
 
 
+@contextlib.contextmanager
+def _fixed_partitions(spark: SparkSession) -> Iterator[None]:
+    """A checkpoint only remembers its partitioning if the plan behind it is not adaptive."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def score(docs: DataFrame, train: Column, depth: int = DEPTH, least: int = LEAST,
           cost: float = COST, chunk: int = CHUNK, target: int = TARGET) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for each of
@@ -483,8 +495,9 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, least: int = LEAST
                         F.coalesce(train, F.lit(False)).alias("train"))
     parts = int(max(spark.sparkContext.defaultParallelism, -(-text_bytes(docs) // target)))
     # Chunks keep their partitions through the checkpoint: joins below move answers only.
-    chunks = texts.mapInArrow(_chunk_batches(chunk, depth), _ddl(_CHUNK)) \
-        .repartition(parts, "chunk").checkpoint()
+    with _fixed_partitions(spark):
+        chunks = texts.mapInArrow(_chunk_batches(chunk, depth), _ddl(_CHUNK)) \
+            .repartition(parts, "chunk").checkpoint()
     model = Model(depth, least, cost, parts, hot={})
 
     def answered(asks: DataFrame, fn) -> DataFrame:
