@@ -158,7 +158,7 @@ _WIDE = """kw AS (SELECT DISTINCT lower(w) AS key FROM (SELECT unnest(regexp_ext
 SELECT doc_id, slot, key AS name FROM h
 QUALIFY row_number() OVER (PARTITION BY doc_id, slot ORDER BY length(key) DESC, key) = 1""")
 def detect_entities_wide(spark, sf_dir):
-    """All long words of the benchmark as a dictionary table, joined with the documents."""
+    """All long words of the benchmark as a dictionary table, found in the documents by automata."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(
         "text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("key"))
     keys = words.distinct().select(

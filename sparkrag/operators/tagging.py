@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import tagging as G
+from ..functions.matching import first_numbers
 from ..functions.text import normalize_text, once
 from ..sources.stage import staged
 
-# Up to here the dictionary becomes one CASE per slot (JVM, no join); above it a table to join.
+# Up to here the dictionary becomes one CASE per slot (JVM); above it an automaton reads the texts.
 CASE_TERMS = 256
-# Keys that may come to the driver as a list; a larger dictionary stays a table.
+# Keys that come to the driver as one list; a larger dictionary stays a table.
 MAX_TERMS = 200_000
-# First characters of a key that places of a text are joined on.
-GRAM = 4
+# Bytes of keys, names and slots that one automaton is made of; more take further automata.
+BLOCK_BYTES = 2 << 20
+# Automata that a text passes before the rows are written down.
+CHAINED = 16
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -69,9 +73,14 @@ def _fold_keys(df: DataFrame) -> DataFrame:
                                 F.col("value").alias("v"))).alias("ord")))
 
 
-def dictionary(keys: DataFrame, limit: int = MAX_TERMS) -> list[tuple[str, str, str]]:
-    """``(key, value, slot)`` on the driver, longest first, then dictionary order."""
-    rows = bounded_rows(keys, limit, "term dictionary")
+def dictionary(keys: DataFrame, limit: int = MAX_TERMS) -> list[tuple[str, str, str]] | DataFrame:
+    """``(key, value, slot)`` on the driver, longest first, then dictionary order.
+
+    More than ``limit`` keys stay the table that they are; ``detect_entities`` takes both.
+    """
+    rows = keys.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return keys
     rows.sort(key=lambda r: (-len(r["key"]), tuple(r["ord"])))
     return [(r["key"], r["value"], r["slot"]) for r in rows]
 
@@ -92,44 +101,83 @@ def _found_by_case(value: Column, words: list[tuple[str, str, str]]) -> Column:
                         lambda a, b: a["rank"] - b["rank"])
 
 
-def find_keys(texts: DataFrame, keys: DataFrame, piece: int = 1000) -> DataFrame:
-    """``id, slot, value, rank``: the best key per slot for ``texts(id, v)``, as a join.
+def _ranked_keys(keys: DataFrame) -> DataFrame:
+    """``key, value, slot, rank, block``: all keys numbered, longest first, then by ``ord``, in blocks of at
+    most ``BLOCK_BYTES`` and one key.
 
-    ``keys``: key, value, slot, ord.  A key can only stand where its first ``GRAM`` characters do
-    (all of a shorter one), so places of a text meet keys on that gram and are compared with the
-    whole key then.  Texts are cut into pieces that overlap by the longest key, and a place
-    carries no more than that many characters: neither texts nor dictionary have to fit a task.
+    Numbers and sizes run on over ranges of the order; only one row per range reaches the driver.
+    """
+    order = [F.desc(F.length("key")), F.asc("ord"), F.asc("key"), F.asc("slot")]
+    size = sum((F.octet_length(c) for c in ("key", "value", "slot")), F.lit(48))
+    split = staged(keys.groupBy("key", "slot")
+                   .agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+                   .withColumn("size", size).repartitionByRange(*order)
+                   .withColumn("part", F.spark_partition_id()), "keys")
+    ahead, rows, total = [], 0, 0
+    for r in split.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size")) \
+            .orderBy("part").collect():
+        ahead += [F.lit(r["part"]), F.struct(F.lit(rows).alias("n"), F.lit(total).alias("size"))]
+        rows, total = rows + r["n"], total + r["size"]
+    w = Window.partitionBy("part").orderBy(*order)
+    before = F.create_map(*ahead)[F.col("part")] if ahead else F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("size"))
+    at = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return split.select(
+        "key", "value", "slot", (F.row_number().over(w) - 1 + before["n"]).cast("long").alias("rank"),
+        F.floor((F.coalesce(at, F.lit(0)) + before["size"]) / BLOCK_BYTES).alias("block"))
+
+
+_TAG = pa.struct([("slot", pa.string()), ("value", pa.string()), ("rank", pa.int64())])
+_TAGS = "array<struct<slot:string,value:string,rank:bigint>>"
+
+
+def _tagger(rows: list):
+    """A function of texts and the tags of earlier blocks, whose keys all rank before ``rows``."""
+    words = tuple(dict.fromkeys(r["key"] for r in rows))
+    slots = list(dict.fromkeys(r["slot"] for r in rows))
+    number, slot_no = ({w: i for i, w in enumerate(x)} for x in (words, slots))
+    groups: list[list[int]] = [[] for _ in words]
+    tags: dict[tuple[int, int], dict] = {}
+    for r in rows:
+        i, g = number[r["key"]], slot_no[r["slot"]]
+        groups[i].append(g)
+        tags[g, i] = {"slot": r["slot"], "value": r["value"], "rank": r["rank"]}
+
+    @F.arrow_udf(_TAGS)
+    def tag(texts: pa.Array, before: pa.Array) -> pa.Array:
+        out = []
+        for text, held in zip(texts.to_pylist(), before.to_pylist()):
+            known = {t["slot"] for t in held or ()}
+            new = [tags[x] for x in first_numbers(text or "", words, groups).items()]
+            out.append((held or []) + sorted((t for t in new if t["slot"] not in known),
+                                             key=lambda t: t["rank"]))
+        return pa.array(out, pa.list_(_TAG))
+    return tag
+
+
+def with_tags(df: DataFrame, keys: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``array(slot, value, rank)``: the best key per slot that a text holds, best first.
+
+    ``keys``: key, value, slot, ord.  The longest key wins, then the smallest ``ord``.  The dictionary is
+    cut into blocks of bounded size, in order of rank; each becomes one automaton that walks once over
+    every text, inside the rows' own partitions, so nothing is shuffled.
     """
-    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
-    if not longest:
-        return texts.select("id").limit(0).selectExpr(
-            "id", "'' AS slot", "'' AS value", "struct(0 AS l) AS rank")
-    cuts = F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1)), F.lit(piece))
-    parts = texts.where("v <> ''").select("id", F.explode(F.transform(
-        cuts, lambda p: F.substring("v", p, F.lit(piece + longest)))).alias("part"))
-    places = F.sequence(F.lit(1), F.least(F.length("part"), F.lit(piece)))
-    seen = parts.select("id", F.explode(F.array_distinct(F.transform(
-        places, lambda p: F.substring("part", p, F.lit(longest))))).alias("ahead"))
-    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    seen = seen.select("id", "ahead", F.explode(sizes).alias("n")).where(
-        F.col("n") <= F.length("ahead"))
-    seen = seen.select("id", "ahead", F.expr("substring(ahead, 1, n)").alias("gram"))
-    known = keys.withColumn("gram", F.substring("key", 1, GRAM))
-    hit = seen.join(known, "gram").where(F.startswith("ahead", F.col("key")))
-    rank = F.struct((-F.length("key")).alias("l"), "ord")
-    return hit.groupBy("id", "slot").agg(F.min_by("value", rank).alias("value"),
-                                         F.min(rank).alias("rank"))
-
-
-def _by_join(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """``__found`` for every row of ``df(__v, ...)``, best key per slot in match order."""
-    df = staged(df.withColumn("__id", F.monotonically_increasing_id()), "texts")
-    found = find_keys(df.select(F.col("__id").alias("id"), F.col("__v").alias("v")), keys)
-    best = found.groupBy("id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "slot", "value"))).alias("f"))
-    best = best.select(F.col("id").alias("__id"), F.transform("f", lambda x: F.struct(
-        x["slot"].alias("slot"), x["value"].alias("value"))).alias("__found"))
-    return df.join(best, "__id", "left").drop("__id")
+    ranked = staged(_ranked_keys(keys), "keys")
+    blocks = ranked.agg(F.max("block")).first()[0]
+    df = df.withColumn(out, F.array().cast(_TAGS))
+    for block in range(0 if blocks is None else blocks + 1):
+        rows = ranked.where(F.col("block") == block).orderBy("rank").collect()
+        if block and block % CHAINED == 0:
+            df = staged(df, "tags")
+        if rows:
+            df = df.withColumn(out, _tagger(rows)(F.col(text), F.col(out)))
+    return df
+
+
+def find_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``id, slot, value, rank``: the best key per slot for ``texts(id, v)``, see ``with_tags``."""
+    return with_tags(texts.select("id", "v"), keys, "v", "__tags").select(
+        "id", F.inline("__tags"))
 
 
 def detect_entities(df: DataFrame, words: list[tuple[str, str, str]] | DataFrame,
@@ -137,8 +185,8 @@ def detect_entities(df: DataFrame, words: list[tuple[str, str, str]] | DataFrame
                     ) -> DataFrame:
     """Add the map slot -> name: the longest dictionary key per slot, plus orchard and plot codes.
 
-    ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``; a table of
-    such keys, of any size, is joined.  ``normalized`` says that the text went through
+    ``words`` comes from ``dictionary(entity_keys(...))`` or, for ids, ``concept_keys``, or is a table
+    of such keys, of any size.  ``normalized`` says that the text went through
     ``normalize_text`` already.
     """
     df = once(df, "__v", F.lower(text) if normalized else normalize_text(text, fold_case=True))
@@ -147,16 +195,14 @@ def detect_entities(df: DataFrame, words: list[tuple[str, str, str]] | DataFrame
             words = df.sparkSession.createDataFrame(
                 [(k, n, s, r) for r, (k, n, s) in enumerate(words)],
                 "key string, value string, slot string, ord long")
-        df = _by_join(df, words)
+        df = with_tags(df, words, "__v", "__found")
     else:
-        df = df.withColumn("__found", F.transform(
-            _found_by_case(F.col("__v"), words),
-            lambda x: F.struct(x["slot"].alias("slot"), x["value"].alias("value"))))
+        df = df.withColumn("__found", _found_by_case(F.col("__v"), words))
+    df = df.withColumn("__found", F.transform("__found", lambda x: F.struct(
+        x["slot"].alias("slot"), x["value"].alias("value"))))
     codes = [("orchard", G.orchard_code("__v")), ("plot", G.plot_code("__v"))]
     extra = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("value")) for s, c in codes])
-    none = F.array().cast("array<struct<slot:string,value:string>>")
-    pairs = F.filter(F.concat(F.coalesce("__found", none), extra),
-                     lambda x: x["value"].isNotNull())
+    pairs = F.filter(F.concat("__found", extra), lambda x: x["value"].isNotNull())
     return df.withColumn(out, F.map_from_entries(pairs)).drop("__v", "__found")
 
 
@@ -177,30 +223,47 @@ def alias_lists(terms: DataFrame) -> DataFrame:
                     .alias("aliases")))
 
 
-def alias_map(terms: DataFrame) -> dict[str, list[str]]:
-    return {r["canonical"]: r["aliases"]
-            for r in bounded_rows(alias_lists(terms), MAX_TERMS, "alias lists")}
+def alias_map(terms: DataFrame, limit: int = MAX_TERMS) -> dict[str, list[str]] | DataFrame:
+    """Alias lists on the driver; more than ``limit`` stay the table that they are."""
+    lists = alias_lists(terms)
+    rows = lists.limit(limit + 1).collect()
+    return lists if len(rows) > limit else {r["canonical"]: r["aliases"] for r in rows}
 
 
-def build_queries(df: DataFrame, words, aliases: dict[str, list[str]], text: str = "text",
-                  entities: str | None = None) -> DataFrame:
+def _alias_lists_of(df: DataFrame, names: Column, aliases) -> tuple[DataFrame, Column]:
+    """The alias list of every name of a row, in order: a literal map, or a join with a table."""
+    empty = F.array().cast("array<string>")
+    if not isinstance(aliases, DataFrame):
+        lists = (F.create_map(*[x for k, v in aliases.items() for x in (
+            F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+            if aliases else F.create_map().cast("map<string,array<string>>"))
+        return df, F.transform(names, lambda n: F.coalesce(lists[n], empty))
+    df = staged(df.withColumn("__id", F.monotonically_increasing_id()), "queries")
+    named = df.select("__id", F.posexplode(names).alias("at", "canonical"))
+    lists = named.join(aliases, "canonical").groupBy("__id").agg(F.map_from_entries(
+        F.collect_list(F.struct("canonical", "aliases"))).alias("__lists"))
+    df = df.join(lists, "__id", "left").drop("__id")
+    return df, F.transform(names, lambda n: F.coalesce(F.col("__lists")[n], empty))
+
+
+def build_queries(df: DataFrame, words, aliases: dict[str, list[str]] | DataFrame,
+                  text: str = "text", entities: str | None = None) -> DataFrame:
     """Add ``original``, ``canonical`` and ``expanded`` query texts.
 
     ``entities`` names an existing slot map; without it entities are detected from the text.
+    ``aliases`` is a map or a table ``(canonical, aliases)`` of any size.
     """
     df = once(df, "original", normalize_text(text))
     if entities is None:
         df, entities = detect_entities(df, words, "original", "__e", normalized=True), "__e"
     names = F.filter(F.map_values(F.col(entities)), lambda x: x.isNotNull() & (x != ""))
-    lists = (F.create_map(*[x for k, v in aliases.items()
-                            for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-             if aliases else F.create_map().cast("map<string,array<string>>"))
+    df, lists = _alias_lists_of(df, F.array_distinct(names), aliases)
     add = F.aggregate(names, F.col("original"), lambda acc, n: F.when(
         F.contains(acc, n), acc).otherwise(F.trim(F.concat_ws(" ", acc, n))))
-    terms = F.array_distinct(F.flatten(F.transform(names, lambda n: F.concat(
-        F.array(n), F.coalesce(lists[n], F.array().cast("array<string>"))))))
+    own = F.transform(F.array_distinct(names), lambda n: F.array(n))
+    terms = F.array_distinct(F.flatten(F.zip_with(own, lists, lambda a, b: F.concat(a, b))))
     return (df.withColumn("canonical", add)
-            .withColumn("expanded", F.concat_ws(" ", "original", terms)).drop("__e"))
+            .withColumn("expanded", F.concat_ws(" ", "original", terms)).drop("__e", "__lists"))
 
 
 def _numbers(named: DataFrame) -> DataFrame:

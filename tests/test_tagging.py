@@ -99,3 +99,44 @@ def test_scope_and_stage(spark):
     d = rows(spark, ["花芽分化期开花", "post-harvest", "Flowering"])
     assert [r[0] for r in d.orderBy("i").select(G.growth_stage("text")).collect()] == [
         "pre_flowering", "post_harvest", "unknown"]
+
+
+def test_dictionary_in_blocks(spark, terms, words, monkeypatch):
+    """A dictionary cut into many automata gives what one gives, whatever the order of the texts."""
+    names = [k for k, _, _ in words]
+    df = rows(spark, ["x".join(names), "", None, *names, names[0] + names[5] + names[1]])
+    keys = T.entity_keys(terms)
+    want = T.detect_entities(df, keys).orderBy("i").collect()
+    assert want == T.detect_entities(df, words).orderBy("i").collect()
+    monkeypatch.setattr(T, "BLOCK_BYTES", 150)
+    monkeypatch.setattr(T, "CHAINED", 2)
+    assert T._ranked_keys(keys).selectExpr("max(block)").first()[0] > 4
+    assert T.detect_entities(df, keys).orderBy("i").collect() == want
+    assert T.find_keys(df.selectExpr("i AS id", "text AS v"), keys.limit(0)).collect() == []
+
+
+def test_ranked_keys(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_BYTES", 4000)
+    made = [(f"k{i % 5000}" + "x" * (i % 7), f"v{i}", f"s{i % 3}", i) for i in range(20_000)]
+    keys = spark.createDataFrame(made, "key string, value string, slot string, ord long").repartition(5)
+    best = {}
+    for k, v, s, o in made:
+        best.setdefault((k, s), (v, o))  # the smallest ord comes first
+    want = sorted(((-len(k), o, k, s, v) for (k, s), (v, o) in best.items()))
+    got = T._ranked_keys(keys).orderBy("rank").collect()
+    assert [(r.key, r.slot, r.value, r["rank"]) for r in got] == [
+        (k, s, v, i) for i, (_, _, k, s, v) in enumerate(want)]
+    sizes = {}
+    for r in got:
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.key) + len(r.value) + len(r.slot) + 48
+    assert sorted(sizes) == list(range(len(sizes))) and max(sizes.values()) < 4100
+
+
+def test_large_tables_stay_tables(spark, terms, words):
+    table = T.dictionary(T.entity_keys(terms), limit=3)
+    lists = T.alias_map(terms, limit=2)
+    assert not isinstance(table, list) and not isinstance(lists, dict)
+    df = rows(spark, ["Musang King 施肥", "根腐病 D197 หมอนทอง", "", None, "no name"])
+    want = T.build_queries(df, words, T.alias_map(terms)).orderBy("i").collect()
+    assert T.build_queries(df, table, lists).orderBy("i").collect() == want
+    assert "D197" in want[0].expanded and want[4].expanded == "no name"

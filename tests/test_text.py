@@ -149,3 +149,46 @@ def test_long_runs_of_marks(spark):
               C.extract_caption("x"), C.grade("x", "x"), C.valid_md_table("x"), C.dedup_key("x")):
         assert len(one(spark, texts, c)) == len(texts)
     assert one(spark, texts[:4], C.strip_residue("x")) == ["word word"] * 4
+
+
+def brute_thai_tokens(text, terms):
+    """Terms placed one by one, longest first, then the runs of what no term takes."""
+    taken, found = set(), []
+    for term in sorted(terms, key=len, reverse=True):
+        for at in range(len(text) - len(term) + 1):
+            places = set(range(at, at + len(term)))
+            if text.startswith(term, at) and not places & taken:
+                taken |= places
+                found.append((at, term))
+    out = [t for _, t in sorted(found)]
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and "฀" <= text[end] <= "๿":
+            end += 1
+        rest = "".join(text[i] for i in range(at, end) if i not in taken)
+        out += [rest] * (2 <= len(rest) <= 14)
+        out += [rest[i:i + n] for n in (3, 4) for i in range(len(rest) - n + 1)]
+        at = end + 1
+    return list(dict.fromkeys(out))
+
+
+def test_thai_tokens_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice("กกขคใ่ x1") for _ in range(rng.randrange(60)))
+        terms = ["".join(rng.choice("กขคใ") for _ in range(rng.randrange(1, 6))) for _ in range(12)]
+        terms = list(dict.fromkeys(terms)) + ["กข กข", "x1"]
+        assert X._thai_tokens_one(text, tuple(terms)) == brute_thai_tokens(text, terms)
+    assert X._thai_tokens_one("กขค", ()) == ["กขค"]
+
+
+def test_thai_tokens_large_dictionary(spark):
+    """A hundred thousand terms cost one walk over the text."""
+    letters = "กขคฆงจฉชซญดตถทธนบปผฝพฟมยรล"
+    rng = random.Random(5)
+    terms = list({"".join(rng.choices(letters, k=rng.randrange(6, 12))) for _ in range(100_000)})
+    text = "".join(rng.choice(letters) + rng.choice(terms) for _ in range(5000))
+    got = one(spark, [text, None, "", "latin"], X.tokenize_thai("x", terms))
+    assert len(set(got[0]) & set(terms)) > 3000
+    assert got[1:] == [[], [], []]
