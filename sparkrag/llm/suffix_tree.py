@@ -3,7 +3,9 @@
 A state is a context of up to ``depth`` words.  It is kept if its next words differ enough from those of
 the same context without its oldest word: a divergence test on the counts.  Next-word distributions
 are smoothed towards the next shorter state that is kept, down to single words with one added to each
-count.  A word is scored in the longest kept state that is a suffix of what stands before it.
+count.  A word is scored in the longest kept state that is a suffix of what stands before it.  Behind two and more
+words, a next word that occurs once behind the shorter context is not counted for itself: its share
+goes to the shorter context.
 
 The texts become chunks of word hashes that stay where they are.  Level by level a chunk asks for
 the counts of its word sequences: each question goes, packed and with copies inside the chunk counted
@@ -12,8 +14,8 @@ Only contexts frequent enough on the level before are asked for.  A context whos
 from that level, exceeds half of a task's share is spread over several tasks by its next words; there are
 at most two such contexts per task.  Nothing else of the model ever meets in one place.
 
-Words are told apart by 64-bit hashes and next words of one context by 48 bits of them: with n words or
-next words, about n**2 / 2**65 and n**2 / 2**49 pairs are taken as equal.
+Words are told apart by 64-bit hashes and next words of one context by 40 bits of them: with n words or
+next words, about n**2 / 2**65 and n**2 / 2**41 pairs are taken as equal.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ from ..sources.stage import shared_dir, staged
 from .common import NO_ID, batches, ids_of, text_bytes, texts_of
 
 DEPTH = 3  # words of the longest context
-LEAST = 8  # occurrences of a context that is tested
+LEAST = 8  # occurrences of a context that is tested, 2 at least
 COST = 1.0  # nats that each different next word of a kept context has to gain
 CHUNK = 1_000_000  # tokens of a chunk
 TARGET = 16 << 20  # bytes of text per chunk partition and per range of hashes
 SEGMENT = 1 << 20  # bytes hashed at once
+NEXT_BITS = 40  # of the hash of a next word, inside one context
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 9 <= c <= 13 else c for c in range(256))
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
@@ -228,23 +231,37 @@ def _chunk_batches(size: int, depth: int):
 class Level:
     """The word sequences of one length in a chunk, by context and next word.
 
-    ``pos``: tokens behind a context that is asked for; ``event``, ``context``: their sequence and
-    context; ``hashes``, ``counts``, ``shorter``: per context, in order of the hashes, its count
-    and that of the context without its oldest word.
+    ``pos``: tokens behind a context frequent enough; ``context``: the number of that context.
+    ``hashes``, ``counts``, ``shorter``, ``solos``: per context, in order of the hashes, its count, that of
+    the context without its oldest word, and its next words that need no question.
+    ``asked``: which of ``pos`` need one; ``event``: the number of their sequence.
     """
 
     pos: np.ndarray
-    event: np.ndarray
     context: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
     shorter: np.ndarray
+    solos: np.ndarray
+    asked: np.ndarray
+    event: np.ndarray
     event_context: np.ndarray
     event_word: np.ndarray
     event_shorter: np.ndarray  # count of the next word behind the shorter context
     event_part: np.ndarray
+    part: np.ndarray
     hot: np.ndarray
 
+    def deal(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequences in order of part and context; every part and context that go together, in
+        order, as one number; and where the sequences of each begin and end."""
+        size = max(len(self.hashes), 1)
+        order = np.argsort(self.event_part, kind="stable")
+        pairs = (self.event_part * size + self.event_context)[order]
+        every = np.union1d(pairs, self.part * size + np.arange(len(self.hashes)))
+        return (order, every, np.searchsorted(pairs, every, "left"),
+                np.searchsorted(pairs, every, "right"))
+
 
 @dataclass
 class Model:
@@ -256,24 +273,30 @@ class Model:
     parts: int
     n: int = 0
     v: int = 0
-    hot: dict | None = None  # level: (hashes in order, next words of those kept or 0)
+    hot: dict | None = None  # level: hashes in order, and what is kept of these contexts
 
     def limit(self) -> float:
         """Count from which a context is split."""
         return max(self.n / (2 * self.parts), 1)
 
-    def kept(self, counts, shorter, gain, words) -> np.ndarray:
-        """The divergence test: next words per context, 0 where the context isn't kept."""
+    def kept(self, counts, shorter, gain, words, solos) -> np.ndarray:
+        """The divergence test: next words per context and the share of the shorter context, which has
+        those counted nowhere else too; both 0 where the context isn't kept."""
         with np.errstate(divide="ignore", invalid="ignore"):
             divergence = gain + counts * (np.log(shorter) - np.log(counts))
         good = (counts >= self.least) & (divergence >= self.cost * words)
-        return np.where(good, words, 0)
+        return np.where(good, [words, words + solos], 0)
 
 
 def _walk(chunk: Chunk, model: Model, answers: dict[int, list[bytes]], upto: int,
           asking: bool = False) -> Iterator[tuple[Level, np.ndarray | None, np.ndarray | None]]:
-    """Levels 1, 2, ...: the level, the counts of its sequences and the next words of its kept
-    contexts; when asking, the last one has no answers yet."""
+    """Levels 1, 2, ...: the level, the counts behind its tokens, and the next words and the share of
+    the shorter context for its kept contexts; when asking, the last one has no answers yet.
+
+    A sequence whose shorter sequence never occurs in training doesn't either.  From two words on,
+    one whose shorter sequence occurs once stands for itself nowhere; at a token that is learned
+    from it is known to occur once too.  None of these is asked for.
+    """
     word_counts = np.concatenate([unpack(b, np.int64)[0] for b in answers[0]])
     now, shorter_now = word_counts[chunk.inv], np.full(len(chunk.inv), model.n)
     event, hashes, totals = chunk.inv, chunk.u, word_counts
@@ -289,54 +312,45 @@ def _walk(chunk: Chunk, model: Model, answers: dict[int, list[bytes]], upto: int
         rank = np.zeros(len(hashes), np.int64)
         rank[used] = np.arange(len(used))
         context = rank[ids]
-        pairs, ev = np.unique(context * len(chunk.u) + chunk.inv[pos], return_inverse=True)
-        e_context, e_word = np.divmod(pairs, max(len(chunk.u), 1))
-        e_shorter, shorter = np.zeros(len(pairs), np.int64), np.zeros(len(used), np.int64)
-        e_shorter[ev] = now[pos]
+        shorter = np.zeros(len(used), np.int64)
         shorter[context] = shorter_now[pos - 1]
+        solo = (now[pos] == 1) & chunk.learn[pos] & (k > 1)
+        asked = now[pos] >= min(k, 2)
+        pairs, ev = np.unique(context[asked] * len(chunk.u) + chunk.inv[pos[asked]],
+                              return_inverse=True)
+        e_context, e_word = np.divmod(pairs, max(len(chunk.u), 1))
+        e_shorter = np.zeros(len(pairs), np.int64)
+        e_shorter[ev] = now[pos[asked]]
         counts = totals[used]
         salts = np.minimum(np.ceil(counts / model.limit()), model.parts).astype(np.int64)
-        part = _part_of(hashes[used], model.parts)[e_context]
+        part = _part_of(hashes[used], model.parts)
         spread = (_mix(chunk.u[e_word]) >> np.uint64(1)).astype(np.int64) % salts[e_context]
-        level = Level(pos, ev, context, hashes[used], counts, shorter, e_context, e_word,
-                      e_shorter, (part + spread) % model.parts, salts > 1)
+        level = Level(pos, context, hashes[used], counts, shorter,
+                      np.bincount(context[solo], minlength=len(used)), asked, ev, e_context, e_word,
+                      e_shorter, (part[e_context] + spread) % model.parts, part, salts > 1)
         if asking and k == upto:
             yield level, None, None
             return
-        order, begins = _deal(level)
-        got, words, at = np.zeros(len(pairs), np.int64), np.zeros(len(used), np.int64), 0
-        for body in answers.get(k, ()):
-            c, w = unpack(body, np.int64, np.int32)
-            mine = order[at:at + len(c)]
-            got[mine] = c
-            words[_runs(e_context[mine])[0]] = w
-            at += len(c)
+        got, kept = np.zeros(len(pairs), np.int64), np.zeros((2, len(used)), np.int64)
+        order, every, _, _ = level.deal()
+        found = [unpack(b, np.int64, np.int32, np.int32) for b in answers.get(k, ())]
+        if found:
+            got[order] = np.concatenate([c for c, _, _ in found])
+            kept[:, every % max(len(used), 1)] = [np.concatenate(x) for x in list(zip(*found))[1:]]
         if level.hot.any():
-            known, kept = model.hot[k]
+            known, told = model.hot[k]
             hot = np.flatnonzero(level.hot)
-            place = np.searchsorted(known, level.hashes[hot]).clip(max=max(len(known) - 1, 0))
-            words[hot] = np.where(known[place] == level.hashes[hot], kept[place], 0) \
-                if len(known) else 0
-        yield level, got, words
+            kept[:, hot] = told[:, np.searchsorted(known, level.hashes[hot])]
+        behind = np.zeros(len(pos), np.int64)
+        behind[asked] = got[ev]
+        yield level, behind, kept
         shorter_now, now = now, np.zeros(len(now), np.int64)
-        now[pos] = got[ev]
+        now[pos] = np.where(solo, 1, behind)
         event = np.zeros(len(now), np.int64)
-        event[pos] = ev
+        event[pos[asked]] = ev
         hashes, totals = _join(level.hashes[e_context], chunk.u[e_word]), got
 
 
-def _deal(level: Level) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences in order of their part, and where each part begins."""
-    order = np.argsort(level.event_part, kind="stable")
-    return order, np.flatnonzero(np.diff(level.event_part[order], prepend=-1))
-
-
-def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of runs of equal neighbours."""
-    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.arange(0)
-    return a[begin], np.diff(np.append(begin, len(a)))
-
-
 def _sums(ids: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(ids, weights=n, minlength=size).astype(np.int64)  # exact up to 2**53
 
@@ -379,28 +393,29 @@ def _ask_contexts(model: Model, k: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk.unpack(left.column("body")[0].as_py())
         *_, (level, _, _) = _walk(chunk, model, _answers_of(right), k, asking=True)
-        n = np.bincount(level.event[chunk.learn[level.pos]],
+        n = np.bincount(level.event[chunk.learn[level.pos[level.asked]]],
                         minlength=len(level.event_word)).astype(np.int64)
-        words = chunk.u[level.event_word] >> np.uint64(16)
-        order, begins = _deal(level)
+        words = chunk.u[level.event_word] >> np.uint64(64 - NEXT_BITS)
+        order, every, begin, end = level.deal()
+        part, context = np.divmod(every, max(len(level.hashes), 1))
+        cut = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
         rows = []
-        for a, b in zip(begins, [*begins[1:], len(order)]):
-            at = order[a:b]
-            contexts, lengths = _runs(level.event_context[at])
-            steps = np.diff(level.hashes[contexts], prepend=np.uint64(0))
-            rows.append((int(level.event_part[at[0]]), key[0].as_py(), pack(
-                steps, lengths, level.shorter[contexts], level.hot[contexts].view(np.uint8),
-                words[at], n[at], level.event_shorter[at])))
+        for a, b in zip(cut, cut[1:]):
+            c, at = context[a:b], order[begin[a]:end[b - 1]]
+            rows.append((int(part[a]), key[0].as_py(), pack(
+                _steps(level.hashes[c]), end[a:b] - begin[a:b], level.shorter[c],
+                np.where(level.part[c] == part[a], level.solos[c], 0),
+                level.hot[c].view(np.uint8), words[at], n[at], level.event_shorter[at])))
         return pa.Table.from_batches(batches(iter(rows), _ASK, 1000), _ASK)
     return run
 
 
 def _answer_contexts(model: Model, k: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        got = [unpack(b, np.uint64, np.int64, np.int64, np.uint8, np.uint64, np.int64, np.int64)
-               for b in table.column("body").to_pylist()]
+        got = [unpack(b, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint64, np.int64,
+                      np.int64) for b in table.column("body").to_pylist()]
         hashes = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-        lengths, shorter, hot, words, n, e_shorter = (
+        lengths, shorter, solos, hot, words, n, e_shorter = (
             np.concatenate(x) for x in list(zip(*got))[1:])
         known, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
         pairs, e_first, e_ids = np.unique(_join(np.repeat(hashes, lengths), words),
@@ -412,31 +427,34 @@ def _answer_contexts(model: Model, k: int):
         size = len(known)
         counts, gain = (np.bincount(c, weights=w, minlength=size)
                         for w in (t, t * (np.log(t) - np.log(s))))
-        nexts = np.bincount(c, minlength=size)
+        alone = np.bincount(ids, weights=solos, minlength=size).astype(np.int64)
+        counts, nexts = counts + alone, np.bincount(c, minlength=size) + alone
         split = hot[first].astype(bool)
-        kept = np.where(split, 0, model.kept(counts, shorter[first], gain, nexts)).astype(np.int32)
+        kept = np.where(split, 0, model.kept(counts, shorter[first], gain, nexts, alone)) \
+            .astype(np.int32)
         part, rows, at, e_at = key[0].as_py(), [], 0, 0
         for chunk, g in zip(table.column("chunk").to_pylist(), got):
-            rows.append((chunk, k, part, pack(total[e_ids[e_at:e_at + len(g[4])]],
-                                              kept[ids[at:at + len(g[0])]]), None, None))
-            at, e_at = at + len(g[0]), e_at + len(g[4])
+            rows.append((chunk, k, part, pack(total[e_ids[e_at:e_at + len(g[5])]],
+                                              *(x[ids[at:at + len(g[0])]] for x in kept)), None, None))
+            at, e_at = at + len(g[0]), e_at + len(g[5])
         if split.any():
             rows.append((-1, k, part, pack(known[split], counts[split], shorter[first][split],
-                                           gain[split], nexts[split]), None, None))
+                                           gain[split], nexts[split], alone[split]), None, None))
         return pa.Table.from_batches(batches(iter(rows), _ANSWER, 1000), _ANSWER)
     return run
 
 
 def _split_contexts(model: Model, answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and kept next words of the split contexts: at most two per part and level."""
+    """Hashes of the split contexts and what is kept of them: at most two per part and level."""
     bodies = [r.body for r in answers.where("chunk < 0").select("body").collect()]
     if not bodies:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h, c, s, g, w = (np.concatenate(x) for x in zip(*(
-        unpack(b, np.uint64, np.float64, np.int64, np.float64, np.int64) for b in bodies)))
+        return np.empty(0, np.uint64), np.empty((2, 0), np.int64)
+    h, c, s, g, w, n = (np.concatenate(x) for x in zip(*(
+        unpack(b, np.uint64, np.float64, np.int64, np.float64, np.int64, np.int64)
+        for b in bodies)))
     known, first, ids = np.unique(h, return_index=True, return_inverse=True)
-    c, g, w = (np.bincount(ids, weights=x) for x in (c, g, w))
-    return known, model.kept(c, s[first], g, w).astype(np.int64)
+    c, g, w, n = (np.bincount(ids, weights=x) for x in (c, g, w, n))
+    return known, model.kept(c, s[first], g, w, n).astype(np.int64)
 
 
 def _score_chunk(model: Model):
@@ -445,12 +463,11 @@ def _score_chunk(model: Model):
         counts = np.concatenate([unpack(b, np.int64)[0] for b in answers[0]])[chunk.inv]
         base = (counts + 1) / (model.n + model.v + 1)
         p = base.copy()
-        for level, got, words in _walk(chunk, model, answers, model.depth):
-            w, c = words[level.context], level.counts[level.context]
-            kept = w > 0
-            at = level.pos[kept]
-            w, c = w[kept], c[kept]
-            p[at] = (got[level.event[kept]] + w * p[at]) / (c + w)
+        for level, behind, kept in _walk(chunk, model, answers, model.depth):
+            good = kept[0][level.context] > 0
+            at, context = level.pos[good], level.context[good]
+            words, share = kept[:, context]
+            p[at] = (behind[good] + share * p[at]) / (level.counts[context] + words)
         begins = np.cumsum(chunk.sizes) - chunk.sizes
         known = ((counts > 0) & chunk.own).astype(np.int64)
         sums = [np.add.reduceat(x, begins) for x in (
@@ -498,7 +515,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, least: int = LEAST
     with _fixed_partitions(spark):
         chunks = texts.mapInArrow(_chunk_batches(chunk, depth), _ddl(_CHUNK)) \
             .repartition(parts, "chunk").checkpoint()
-    model = Model(depth, least, cost, parts, hot={})
+    model = Model(depth, max(least, 2), cost, parts, hot={})
 
     def answered(asks: DataFrame, fn) -> DataFrame:
         return staged(asks.repartition(parts, "part").groupBy("part")

@@ -29,7 +29,7 @@ class Tree:
             for i in range(len(t)):
                 for k in range(1, min(depth, i) + 1):
                     next_of[tuple(t[i - k:i])][t[i]] += 1
-        self.kept = {}
+        self.kept, self.once = {}, {}
         for context, c in next_of.items():
             n = sum(c.values())
             parent = next_of[context[1:]] if len(context) > 1 else self.words
@@ -37,6 +37,8 @@ class Tree:
             d = sum(x * math.log((x / n) / (parent[w] / m)) for w, x in c.items())
             if n >= least and d >= cost * len(c):
                 self.kept[context] = c
+                self.once[context] = ({w for w in c if parent[w] == 1} if len(context) > 1
+                                      else set())
 
     def base(self, w):
         return (self.words[w] + 1) / (self.n + self.v + 1)
@@ -46,7 +48,9 @@ class Tree:
         for k in range(1, self.depth + 1):
             c = self.kept.get(tuple(before[-k:])) if len(before) >= k else None
             if c:
-                p = (c[w] + len(c) * p) / (sum(c.values()) + len(c))
+                once = self.once[tuple(before[-k:])]
+                mine = 0 if w in once else c[w]
+                p = (mine + (len(c) + len(once)) * p) / (sum(c.values()) + len(c))
         return p
 
     def score(self, text):
