@@ -447,18 +447,22 @@ def with_section(spark, sf_dir):
     return b.select("doc_id", "pos", "section")
 
 
+# Section chunks ``fin(id, piece, text)`` of ``src(id, t)``: a short tail joins the piece before it.
+_PIECES = f"""{splits_sql('s', 'src', 800, 120)},
+cnt AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM s),
+tails AS (SELECT id, text AS tail FROM cnt WHERE n >= 2 AND piece = n - 1 AND length(text) < 150),
+fin AS (SELECT c.id, c.piece, CASE WHEN c.piece = c.n - 2 AND tail IS NOT NULL
+    THEN {strip_sql('c.text || tail')} ELSE c.text END AS text FROM cnt c LEFT JOIN tails USING (id)
+  WHERE NOT (c.piece = c.n - 1 AND tail IS NOT NULL))"""
+
+
 @query("section_chunks", f"""WITH RECURSIVE {_SECTION},
 runs AS (SELECT doc_id, run, block_type = 'text' AS is_text, min(pos) AS source_index,
   any_value(section) AS section, any_value(block_type) AS block_type,
   string_agg(text, chr(10) ORDER BY pos) AS t FROM sec
   WHERE block_type <> 'title' AND text <> '' GROUP BY 1, 2, 3),
 src AS (SELECT doc_id * 1000000 + source_index AS id, {strip_sql('t')} AS t FROM runs
-  WHERE is_text), {splits_sql('s', 'src', 800, 120)},
-cnt AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM s),
-tails AS (SELECT id, text AS tail FROM cnt WHERE n >= 2 AND piece = n - 1 AND length(text) < 150),
-fin AS (SELECT c.id, c.piece, CASE WHEN c.piece = c.n - 2 AND tail IS NOT NULL
-    THEN {strip_sql('c.text || tail')} ELSE c.text END AS text FROM cnt c LEFT JOIN tails USING (id)
-  WHERE NOT (c.piece = c.n - 1 AND tail IS NOT NULL))
+  WHERE is_text), {_PIECES}
 SELECT doc_id, source_index, section, block_type, CAST(piece AS INTEGER) AS piece,
   md5(text) AS text_md5 FROM fin JOIN runs ON id = doc_id * 1000000 + source_index WHERE is_text
 UNION ALL SELECT doc_id, source_index, section, block_type, 0, md5(t) FROM runs
@@ -537,21 +541,40 @@ def text_to_lines(spark, sf_dir):
     return B.text_to_lines(d).select("page_id", "text", "top")
 
 
-@query("layout_paragraphs", f"""WITH {_TEXTLINES}, m AS (SELECT *, top + top // 100 * 45 AS y
+_PARAGRAPHS = f"""{_TEXTLINES}, m AS (SELECT *, top + top // 100 * 45 AS y
   FROM tl), g AS (SELECT *, y - (lag(y) OVER (PARTITION BY page_id ORDER BY y) + 20) > 30 AS new
   FROM m), r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY page_id
-    ORDER BY y) AS par_idx FROM g)
-SELECT page_id, CAST(par_idx AS BIGINT) AS par_idx, md5(string_agg(text, ' ' ORDER BY y)) AS text_md5
-FROM r GROUP BY page_id, par_idx""")
-def layout_paragraphs(spark, sf_dir):
+    ORDER BY y) AS par_idx FROM g),
+par AS (SELECT page_id, CAST(par_idx AS BIGINT) AS par_idx, string_agg(text, ' ' ORDER BY y) AS text
+  FROM r GROUP BY ALL)"""
+
+
+def _page_lines(spark, sf_dir):
+    """Document lines on a grid, with a gap after every fifth."""
     d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page_id")
     lines = B.text_to_lines(d)
-    lines = lines.withColumn("top", (F.col("top") + F.floor(F.col("top") / 100) * 45).cast("int"))
-    p = B.restore_layout(lines)
+    return lines.withColumn("top", (F.col("top") + F.floor(F.col("top") / 100) * 45).cast("int"))
+
+
+@query("layout_paragraphs", f"WITH {_PARAGRAPHS} SELECT page_id, par_idx, md5(text) AS text_md5 "
+                            "FROM par")
+def layout_paragraphs(spark, sf_dir):
+    p = B.restore_layout(_page_lines(spark, sf_dir))
     return p.select("page_id", F.col("par_idx").cast("long").alias("par_idx"),
                     F.md5("text").alias("text_md5"))
 
 
+@query("pages_to_chunks", f"""WITH RECURSIVE {_PARAGRAPHS}, src AS (SELECT page_id // 5 AS id,
+    string_agg(text, chr(10) ORDER BY page_id % 5, par_idx) AS t FROM par GROUP BY 1), {_PIECES}
+SELECT id AS doc_id, CAST(piece AS INTEGER) AS piece, md5(text) AS text_md5 FROM fin""")
+def pages_to_chunks(spark, sf_dir):
+    """Five documents as the scanned pages of one: layout, paragraphs, section chunks."""
+    page = F.col("page_id")
+    lines = _page_lines(spark, sf_dir).withColumns({
+        "doc_id": F.floor(page / 5), "page_idx": (page % 5).cast("int")})
+    return B.pages_to_chunks(lines).select("doc_id", "piece", F.md5("text").alias("text_md5"))
+
+
 @query("blocks_outside_tables", """WITH b AS (SELECT event_id, user_id AS doc, event_id % 3 AS page,
   value AS x0, value * 2 AS y0, value + 10 AS x1, value * 2 + 5 AS y1, event_type FROM events)
 SELECT event_id FROM b WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM b t

@@ -19,19 +19,25 @@ def _last_of(text: str, marks: str, lo: int, hi: int) -> int:
     return at - lo if at >= 0 else -1
 
 
+def window_end(text: str, lo: int, size: int) -> int:
+    """End of the window from ``lo``: at a sentence mark where one is near, -1 for the last window."""
+    hi = lo + size
+    if hi >= len(text):
+        return -1
+    cut = _last_of(text, _STRONG, lo, hi)
+    if cut < size * 0.5:
+        cut = _last_of(text, _WEAK, lo, hi)
+    return lo + cut + 1 if cut > size * 0.4 else hi
+
+
 def split_spans(text: str, size: int, overlap: int) -> list[str]:
     """Windows of at most ``size`` characters that end at a sentence mark where one is near."""
     spans, lo = [], 0
     while True:
-        hi = lo + size
-        if hi >= len(text):
+        hi = window_end(text, lo, size)
+        if hi < 0:
             spans.append(text[lo:])
             return spans
-        cut = _last_of(text, _STRONG, lo, hi)
-        if cut < size * 0.5:
-            cut = _last_of(text, _WEAK, lo, hi)
-        if cut > size * 0.4:
-            hi = lo + cut + 1
         spans.append(text[lo:hi])
         lo = max(hi - overlap, lo + 1)
 

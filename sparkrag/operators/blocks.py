@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.splitting import chunk_text
 from ..functions.text import let, strip
 from .prefix import int_bucket, prefix
+from .segments import split_runs
 
 
 def _text() -> Column:
@@ -55,43 +55,36 @@ def with_section(df: DataFrame) -> DataFrame:
     return out.withColumn("section", F.coalesce("section", F.lit("")))
 
 
-def merge_runs(df: DataFrame) -> DataFrame:
-    """Join consecutive text blocks of a section; tables, images and scans stay whole.
+def chunk_document(df: DataFrame, size: int = V.SECTION_CHUNK_SIZE,
+                   ratio: float = V.SECTION_OVERLAP_RATIO) -> DataFrame:
+    """Section-aware chunks of typed blocks; only text is split, tables, images and scans stay whole.
 
-    Empty text blocks are skipped without ending a run; an empty table or image ends the run and
-    disappears.  ``source_index`` is the position of the first block of the run.
+    Neighbouring text blocks of a section make a run.  Empty text blocks are skipped without ending
+    it; an empty table or image ends the run and disappears.  ``source_index`` is the position of the
+    first block of the run.  One pass of running values gives sections, runs and the place of
+    every text among the characters of its document; no run has to fit one row or task.
     """
-    body = _text()
     is_text = ~F.col("block_type").isin("title", "table", "image", "scan_page")
-    src = df.withColumn("body", body).withColumn("is_text", is_text)
-    run = prefix(src, ["doc_id"], ["pos"], int_bucket("pos"),
-                 sums={"run": F.when(F.col("is_text"), 0).otherwise(1)})
-    keep = (F.col("body") != "") | (~F.col("is_text") & F.col("image_path").isNotNull()
-                                    & (F.col("image_path") != ""))
-    run = run.filter((F.col("block_type") != "title") & keep)
-    # A table shares its run number with the text after it, so the kind is part of the key.
-    parts = F.array_sort(F.collect_list(F.struct("pos", "body")))
-    merged = (run.groupBy("doc_id", "run", "is_text")
-              .agg(parts.alias("parts"), F.first("section").alias("section"),
-                   F.first("block_type").alias("block_type"),
-                   F.first("image_path").alias("image_path")))
-    text = F.when(F.col("is_text"), strip(F.concat_ws("\n", F.col("parts.body")))).otherwise(
-        F.col("parts")[0]["body"])
-    return merged.select(
-        "doc_id", F.col("parts")[0]["pos"].alias("source_index"), "section",
-        F.when(F.col("is_text"), "text").otherwise(F.col("block_type")).alias("block_type"),
-        text.alias("text"), F.when(~F.col("is_text"), F.col("image_path")).alias("image_path"))
-
-
-def chunk_document(df: DataFrame, size: int = V.SECTION_CHUNK_SIZE,
-                   ratio: float = V.SECTION_OVERLAP_RATIO) -> DataFrame:
-    """Section-aware chunks of typed blocks; only text is split."""
-    runs = merge_runs(with_section(df))
-    pieces = F.when(F.col("block_type") == "text",
-                    chunk_text(F.when(F.col("block_type") == "text", F.col("text")), size, ratio)
-                    ).otherwise(F.array("text"))
-    return runs.select("doc_id", "source_index", "section", "block_type", "image_path",
-                       F.posexplode(pieces).alias("piece", "text"))
+    src = df.withColumn("body", _text()).withColumn("is_text", is_text)
+    src = src.where(~F.col("is_text") | (F.col("body") != ""))
+    rows = prefix(
+        src, ["doc_id"], ["pos"], int_bucket("pos"),
+        sums={"run": F.when(F.col("is_text"), 0).otherwise(1),
+              "end": F.when(F.col("is_text"), F.length("body") + 1).otherwise(0)},
+        lasts={"section": F.when(F.col("block_type") == "title", F.col("body"))},
+        prevs={"after_text": F.col("is_text")})
+    rows = rows.withColumn("section", F.coalesce("section", F.lit("")))
+    whole = rows.where((F.col("body") != "") | (F.coalesce("image_path", F.lit("")) != "")).where(
+        ~F.col("is_text") & (F.col("block_type") != "title"))
+    texts = rows.where("is_text").select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "run", "section",
+        (~F.coalesce("after_text", F.lit(False))).alias("first"),
+        (F.col("end") - F.length("body") - 1).alias("at"), "body")
+    pieces = split_runs(texts, size, max(1, int(size * ratio)), V.SECTION_MIN_TAIL)
+    return whole.select(
+        "doc_id", F.col("pos").cast("long").alias("source_index"), "section", "block_type",
+        "image_path", F.lit(0).alias("piece"), F.col("body").alias("text")).unionByName(
+        pieces.withColumns({"block_type": F.lit("text"), "image_path": F.lit(None).cast("string")}))
 
 
 def _cell(c: Column) -> Column:

@@ -1,6 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from sparkrag.functions.splitting import _whole_or_pieces, chunks_of
 from sparkrag.operators import blocks as B
+from sparkrag.operators import segments as S
 
 SCHEMA = ("doc_id string, pos long, type string, text string, content string, image_path string, "
           "page_idx int, page_scan boolean")
@@ -62,3 +67,59 @@ def test_containment(spark):
     t = spark.createDataFrame([("d", 1, 3, 3, 9, 9)],
                               "doc string, page int, x0 int, y0 int, x1 int, y1 int")
     assert sorted(r["id"] for r in blocks_outside_tables(b, t).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("segment", [200, 999, 1 << 18])
+def test_segments_give_the_same_pieces(spark, segment, monkeypatch):
+    """Runs cut into segments against runs split whole, with all kinds of marks and blanks."""
+    monkeypatch.setattr(S, "SEGMENT", segment)
+    rng, rows, want = random.Random(3), [], []
+    for doc in range(60):
+        runs, pos = [[]], 0
+        alphabet = rng.choice(["ab c.,。", "abc", "a" + " " * 30, "xy z"])
+        for _ in range(rng.randrange(1, 25)):
+            if rng.random() < 0.1:
+                rows.append((doc, pos, "title", "T"))
+                runs.append([])
+            else:
+                size = rng.choice([1, 5, 30, 90, 400, 1500])
+                text = "".join(rng.choice(alphabet) for _ in range(size))
+                rows.append((doc, pos, "text", text))
+                if text.strip():
+                    runs[-1].append((pos, text.strip()))
+            pos += 1
+        for run in runs:
+            for i, p in enumerate(_whole_or_pieces("\n".join(t for _, t in run), 120, 18, 150)):
+                want.append((doc, run[0][0], i, p))
+    df = spark.createDataFrame(rows, "doc_id long, pos long, type string, text string")
+    for c, t in (("content", "string"), ("image_path", "string"), ("page_idx", "int"),
+                 ("page_scan", "boolean")):
+        df = df.withColumn(c, F.lit(None).cast(t))
+    got = B.chunk_document(B.type_blocks(df.repartition(5)), 120, 0.15)
+    assert sorted((r.doc_id, r.source_index, r.piece, r.text) for r in got.collect()) == sorted(want)
+
+
+def test_document_without_titles(spark, monkeypatch):
+    """A long document of one run: no row holds more than a segment and what a window reaches."""
+    widest = []
+    whole = S._segments
+
+    def watched(texts, rule):
+        out = whole(texts, rule)
+        widest.append(out.agg(F.max(F.aggregate(
+            "items", F.lit(0), lambda a, x: a + F.length(x["text"])))).first()[0])
+        return out
+
+    monkeypatch.setattr(S, "_segments", watched)
+    n = 200_000
+    line = F.concat(F.lit("Block "), F.col("id").cast("string"), F.repeat(F.lit(" wörd"), 4),
+                    F.when(F.col("id") % 3 == 0, ".").otherwise(","))
+    none = F.lit(None).cast("string")
+    df = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").alias("pos"),
+                               F.lit("text").alias("type"), line.alias("text"), none.alias("content"),
+                               none.alias("image_path"), F.lit(None).cast("int").alias("page_idx"),
+                               F.lit(False).alias("page_scan"))
+    got = B.chunk_document(B.type_blocks(df)).select("piece", "text", "source_index").collect()
+    text = "\n".join(f"Block {i}" + " wörd" * 4 + (".," [i % 3 > 0]) for i in range(n))
+    assert [r.text for r in sorted(got, key=lambda r: r.piece)] == chunks_of(text)
+    assert {r.source_index for r in got} == {0} and max(widest) <= S.SEGMENT + 802
