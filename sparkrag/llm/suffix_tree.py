@@ -153,6 +153,21 @@ def _steps(sorted_hashes: np.ndarray) -> np.ndarray:
     return np.diff(sorted_hashes, prepend=np.uint64(0))
 
 
+def _steps_in(runs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Differences inside runs of the given lengths; the first value of a run as it is."""
+    begin = (np.cumsum(runs) - runs)[runs > 0]
+    out = np.diff(values, prepend=np.zeros(1, values.dtype))
+    out[begin] = values[begin]
+    return out
+
+
+def _sums_in(runs: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    runs = runs[runs > 0]
+    begin = np.cumsum(runs) - runs
+    total = np.cumsum(steps, dtype=steps.dtype)
+    return total - np.repeat(total[begin] - steps[begin], runs)
+
+
 def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Ranges of hashes: in order for sorted hashes."""
     return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
@@ -402,10 +417,11 @@ def _ask_contexts(model: Model, k: int):
         rows = []
         for a, b in zip(cut, cut[1:]):
             c, at = context[a:b], order[begin[a]:end[b - 1]]
+            runs = end[a:b] - begin[a:b]
             rows.append((int(part[a]), key[0].as_py(), pack(
-                _steps(level.hashes[c]), end[a:b] - begin[a:b], level.shorter[c],
-                np.where(level.part[c] == part[a], level.solos[c], 0),
-                level.hot[c].view(np.uint8), words[at], n[at], level.event_shorter[at])))
+                _steps(level.hashes[c]), runs, level.shorter[c],
+                np.where(level.part[c] == part[a], level.solos[c], 0), level.hot[c].view(np.uint8),
+                _steps_in(runs, words[at]), n[at], level.event_shorter[at])))
         return pa.Table.from_batches(batches(iter(rows), _ASK, 1000), _ASK)
     return run
 
@@ -417,6 +433,7 @@ def _answer_contexts(model: Model, k: int):
         hashes = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
         lengths, shorter, solos, hot, words, n, e_shorter = (
             np.concatenate(x) for x in list(zip(*got))[1:])
+        words = _sums_in(lengths, words)
         known, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
         pairs, e_first, e_ids = np.unique(_join(np.repeat(hashes, lengths), words),
                                           return_index=True, return_inverse=True)
