@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 TABLES, PROJECTIONS = 3, 6
 SLOTS = 4  # slots of a projection; what lies outside falls into the outer ones
 SLOT_WIDTH = 2.0  # standard deviations of the projected vectors
@@ -199,6 +201,8 @@ def _rank(k: int):
             q = _matrix(asked.column("query"))
             probed = asked.column("probed").to_pylist()
             step = max(1, SCORES // len(ids))
+            norm = np.linalg.norm(q, axis=1)
+            slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1).max()
             for lo in range(0, len(queries), step):
                 part = q[lo:lo + step]
                 scores = np.full((len(part), len(ids)), -np.inf)
@@ -213,13 +217,15 @@ def _rank(k: int):
                         scores[who[group], begin[b]:end[b]] = part[who[group]] @ x[begin[b]:end[b]].T
                 for i, row in enumerate(scores):
                     row[ids == queries[lo + i]] = -np.inf
-                    # All that tie with the k-th stay until ids decide.
+                    # In the matrix product equal vectors differ in the last bits, so all that may
+                    # tie with the k-th are scored one by one before ids decide.
                     least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    at = np.flatnonzero((row >= least) & (row > -np.inf))
-                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    at = np.flatnonzero((row >= least - slack * norm[lo + i]) & (row > -np.inf))
+                    exact = np.array([np.dot(part[i], x[j]) for j in at])
+                    best = np.lexsort((ids[at], -exact))[:k]
                     if len(at):
-                        exact = [float(np.dot(part[i], x[j])) for j in at]
-                        out.append((int(queries[lo + i]), ids[at].tolist(), exact))
+                        out.append((int(queries[lo + i]), ids[at[best]].tolist(),
+                                    exact[best].tolist()))
         columns = zip(*out) if out else ([], [], [])
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)],
                                     schema=_FOUND)
@@ -279,14 +285,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     sized = spark.createDataFrame(held, buckets.schema)
     place = F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
-    data = (coded.join(F.broadcast(sized), ["table", "code"])
-            .select("vec_id", "embedding", "table", "code",
-                    F.floor(place / BLOCK).cast("int").alias("block"),
-                    F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")))
+    keys = ["table", "block", "part"]
     probes = asked.mapInArrow(
         _probe_batches(hashes, starts, counts, groups, k),
         "query_id long, query array<double>, table int, block int, probed array<int>, part int")
-    keys = ["table", "block", "part"]
+    if groups > 1:
+        probes = staged(probes, "probes")
+        visits = probes.groupBy("table", "block").agg(F.collect_set("part").alias("part"))
+    data = coded.join(F.broadcast(sized), ["table", "code"]).select(
+        "vec_id", "embedding", "table", "code", F.floor(place / BLOCK).cast("int").alias("block"))
+    # A block goes to the groups of queries that visit it, and to no others.
+    data = (data.join(visits, ["table", "block"]).withColumn("part", F.explode("part"))
+            if groups > 1 else data.withColumn("part", F.lit(0)))
     found = data.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(
         _rank(k), "query_id long, ids array<long>, scores array<double>")
     pairs = (found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p"))

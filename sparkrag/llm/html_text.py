@@ -70,11 +70,18 @@ _CUE = re.compile(
     r"(?:^|[\s\"'_-])(?:(?P<soft>header|masthead|topbar|banner)|(?P<reader>comments?|comment-?list|"
     r"disqus\w*|repl(?:y|ies)|respond)|(?P<other>ads?|advert\w*|adsense|sponsor\w*|promo\w*|"
     r"side-?bar\w*|menus?|nav|navbar|navigation|breadcrumbs?|footer|cookies?|cookie\w*|notices?|"
-    r"consent|gdpr|popup|modal|alert|shar(?:e|ing)|social|related|recommend\w*|newsletter|"
+    r"consent|gdpr|popup|modal|alert|shar(?:e|ing)|social|"
+    r"related(?![_-](?!posts?|articles?|links?|stories|content|items?|news|reading|box|list|block|"
+    r"section|widget|topics?|pages?|products?|videos?))|recommend\w*|newsletter|"
     r"subscribe|subscription|signup|login|widgets?|paginat\w*|pager|skip\w*|toolbar|"
     r"complementary|contentinfo|search))(?=$|[\s\"'_-]|\d)", re.I)
 
 
+#: Names that put an inline element out; others may stand around words of a sentence.
+_ADVERT = re.compile(r"(?:^|[\s\"'_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*)"
+                     r"(?=$|[\s\"'_-]|\d)", re.I)
+
+
 class Block:
     __slots__ = ("text", "linked", "out", "core", "section", "label")
 
@@ -87,6 +94,8 @@ class Block:
 def _cue(rest: str, name: str, core: bool) -> str:
     """Why the names of an element put it out, if they do."""
     said = " ".join(_NAMES.findall(rest))
+    if name in _INLINE and not _ADVERT.search(said):
+        return ""
     for found in _CUE.finditer(said):
         kind = found.lastgroup
         if name in _CORE and kind != "reader" or kind == "soft" and core:
@@ -95,13 +104,85 @@ def _cue(rest: str, name: str, core: bool) -> str:
     return ""
 
 
+class _Open:
+    """The open elements, with counts and places kept so that a tag costs no walk over them."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []  # name, why it is out ("" if not), is the core, section
+        self.places: dict[str, list[int]] = {}
+        self.out = self.hidden = self.core = 0
+        self.lifted: list[list] = []  # elements that are out until a main part begins
+
+    def push(self, name: str, why: str, core: bool, section: int) -> None:
+        entry = [name, why, core, section]
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(entry)
+        self._count(entry, 1)
+        if why and why not in ("reader", "aside"):
+            self.lifted.append(entry)
+
+    def _count(self, entry: list, by: int) -> None:
+        if entry[1]:
+            if entry[0] in _INLINE:
+                self.hidden += by
+            else:
+                self.out += by
+        self.core += by * entry[2]
+
+    def pop(self) -> list:
+        entry = self.stack.pop()
+        if entry[0]:
+            self.places[entry[0]].pop()
+        self._count(entry, -1)
+        if self.lifted and self.lifted[-1] is entry:
+            self.lifted.pop()
+        return entry
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def section(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def ends_out(self, name: str) -> bool:
+        """Whether closing the name ends an element that is out."""
+        return self.out > 0 and self.has(name) and any(
+            e[1] and e[0] not in _INLINE for e in self.stack[self.places[name][-1]:])
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of the name and what is open in it."""
+        if self.has(name):
+            at = self.places[name][-1]
+            while len(self.stack) > at:
+                self.pop()
+
+    def begin_core(self) -> None:
+        """A page names its main part: a menu or wrapper around it was left open or means more."""
+        for entry in self.lifted:
+            self._count(entry, -1)
+            entry[1] = ""
+            self._count(entry, 1)
+        self.lifted.clear()
+
+    def lose(self, name: str) -> None:
+        """Elements of the name were left open and are over; what is in them stays open."""
+        for at in self.places.get(name, ()):
+            entry = self.stack[at]
+            self._count(entry, -1)
+            entry[0], entry[1] = "", ""
+            self._count(entry, 1)
+        self.places[name] = []
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order; white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[list] = []  # name, why it is out ("" if not), whether it is the core, section
+    opened = _Open()
     parts: list[tuple[str, bool]] = []
     links, sections, at = 0, 0, 0
-    hidden = False  # inside an inline element that is out
 
     def flush() -> None:
         if not parts:
@@ -110,15 +191,14 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             linked = len(" ".join(html.unescape("".join(t if k else " " for t, k in parts))
                                   .split()))
-            out.append(Block(text, linked, any(s[1] and s[0] not in _INLINE for s in stack),
-                             any(s[2] for s in stack), stack[-1][3] if stack else 0))
+            out.append(Block(text, linked, opened.out > 0, opened.core > 0, opened.section()))
         parts.clear()
 
     while token := _TOKEN.search(page, at):
-        if token.start() > at and not hidden:
+        if token.start() > at and not opened.hidden:
             parts.append((page[at:token.start()], links > 0))
         at = token.end()
-        if token["raw"] and token["own"].endswith("/") and any(s[0] == "svg" for s in stack):
+        if token["raw"] and token["own"].endswith("/") and opened.has("svg"):
             at = token.end("own") + 1  # in a graphic such an element is empty
         name = (token["name"] or token["odd"] or "").lower()
         if not name:
@@ -130,49 +210,39 @@ def blocks_of(page: str) -> list[Block]:
             parts.append((" ", False))
         if name in _BLOCK or name in ("button", "select", "head"):
             flush()
-            if hidden:  # an inline element that was left open ends with its block
-                stack[:] = [s for s in stack if s[0] not in _INLINE]
-                hidden = False
-        if name == "body":
-            stack[:] = [s for s in stack if s[0] != "head"]
+            while opened.hidden and opened.top() in _INLINE:
+                opened.pop()  # an inline element that was left open ends with its block
+        if name == "body" and opened.has("head"):
+            opened.lose("head")
         if name not in _REGION or name in _VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(s[1] and s[0] not in _INLINE for s in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            hidden = hidden and any(s[1] and s[0] in _INLINE for s in stack)
+            if opened.ends_out(name):
+                flush()
+            opened.close(name)
             continue
         rest = token["rest"] or ""
         if rest.endswith("/") and name not in _BLOCK:
             continue
-        while stack and stack[-1][0] == "p" and name in _BLOCK or stack and \
-                stack[-1][0] == "li" == name:
-            stack.pop()
-        core = any(s[2] for s in stack)
+        while opened.top() == "p" and name in _BLOCK or opened.top() == "li" == name:
+            opened.pop()
+        core = opened.core > 0
         if name in _CORE:
-            # A page names its main part: a menu or wrapper around it was left open or means more.
-            for s in stack:
-                if s[1] not in ("reader", "aside"):
-                    s[1] = ""
-        why = name if name in _OUT or name == "svg" or name == "header" and not core else _cue(rest, name, core)
+            opened.begin_core()
+        why = name if name in _OUT or name == "svg" or name == "header" and not core else _cue(
+            rest, name, core)
         if why == "other" and re.search("related|recommend", rest, re.I):
             why = "aside"
-        if why and name in _INLINE:
-            hidden = True
-        elif why:
+        if why and name not in _INLINE:
             flush()
         if name in _CORE or name in _OUT or name in ("section", "header"):
             sections += 1
             section = sections
         else:
-            section = stack[-1][3] if stack else 0
+            section = opened.section()
         if name not in _INLINE or why:
-            stack.append([name, why, name in _CORE and not why, section])
-    if at < len(page) and not hidden:
+            opened.push(name, why, name in _CORE and not why, section)
+    if at < len(page) and not opened.hidden:
         parts.append((page[at:], links > 0))
     flush()
     return out
@@ -196,12 +266,13 @@ def _decide(block: Block) -> bool | None:
         return False
     if block.linked >= LINKED * size:
         return None  # in the main part only a row of such blocks is a menu
-    if not block.core and ("©" in text and size < 4 * SHORT):
+    words = text.lower().split()
+    density = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    if not block.core and "©" in text and size < 4 * SHORT and (
+            size < SHORT or density < DENSE):
         return False
     if _size(text) < SHORT:
         return None
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     return True if density >= DENSE or _other_script(text) else None
 
 
@@ -217,13 +288,15 @@ def _lengths(blocks: list[Block]) -> None:
 
 
 def _menus(blocks: list[Block]) -> None:
-    """Rows of three and more link blocks in the main part are not main text."""
+    """Rows of three and more link blocks at an edge of the main part are not main text; between
+    running text they are part of it."""
+    told = [i for i, b in enumerate(blocks) if b.core and b.label]
     run: list[Block] = []
-    for b in [*blocks, Block("", 0, True, False, -1)]:
+    for i, b in enumerate([*blocks, Block("", 0, True, False, -1)]):
         if b.core and not b.out and b.linked >= LINKED * len(b.text):
             run.append(b)
             continue
-        if len(run) >= MENU:
+        if len(run) >= MENU and not (told and told[0] < i - len(run) and i <= told[-1]):
             for x in run:
                 x.label = False
         run = []

@@ -149,3 +149,19 @@ def test_probe_order():
             step[k] += -1 if f[k] < 0.5 else 1
             want = h.codes(step) if 0 <= step[k] < ann.SLOTS else -1
             assert probes[i, t, 1] == want
+
+
+def test_nearest_ties(spark):
+    """Of a thousand equal vectors the smallest ids come first, whatever a matrix product says."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1003, 384))
+    x[:1000] = x[0]
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)],
+                              "vec_id long, embedding array<double>").repartition(4)
+    by = {}
+    for row in ann.nearest(v).collect():
+        by.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    assert len(by) == 51
+    for q, rows in by.items():
+        if q < 1000:
+            assert [i for _, i in sorted(rows)] == [i for i in range(21) if i != q][:20]
