@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions.splitting import split_text
 from ..functions.text import fold_spaces, once, repair_thai, spread
-from ..models import with_model
+from ..models import register_chunk_table, with_model
 from ..operators import blocks as B
 from ..operators import corpus as O
 from ..plans.corpus_build import build_corpus, grade_raw, parse_pages, salvage
@@ -564,6 +566,19 @@ def layout_paragraphs(spark, sf_dir):
                     F.md5("text").alias("text_md5"))
 
 
+@query("chunk_table", f"""WITH RECURSIVE src AS (SELECT doc_id AS id, {strip_sql('text')} AS t
+  FROM documents), {_PIECES}
+SELECT doc_id, source, CAST(piece AS INTEGER) AS piece, md5(f.text) AS text_md5
+FROM fin f JOIN documents ON id = doc_id""")
+def chunk_table(spark, sf_dir):
+    """Whole texts through the SQL table function, other columns passed on."""
+    register_chunk_table(spark)
+    name = f"documents_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").createOrReplaceTempView(name)
+    return spark.sql(f"SELECT doc_id, source, piece, md5(chunk) AS text_md5 "
+                     f"FROM chunk_table(TABLE({name}), 'text')")
+
+
 @query("pages_to_chunks", f"""WITH RECURSIVE {_PARAGRAPHS}, src AS (SELECT page_id // 5 AS id,
     string_agg(text, chr(10) ORDER BY page_id % 5, par_idx) AS t FROM par GROUP BY 1), {_PIECES}
 SELECT id AS doc_id, CAST(piece AS INTEGER) AS piece, md5(text) AS text_md5 FROM fin""")

@@ -14,6 +14,7 @@ from ..operators.dense import dense_search
 from ..operators.evidence import check_evidence
 from ..operators.metrics import metrics_report, retrieval_metrics
 from ..operators.permissions import allowed_tools, request_context, scope_filter
+from ..operators.quotes import quoted_pairs
 from ..plans.search import SearchSetup, evaluate_search, four_way_recall, introduces_numbers
 from ..plans.search import rewrite_queries, search, search_with_retry
 from ..sources.stage import staged
@@ -460,8 +461,25 @@ def rewrite_queries_query(spark, sf_dir):
                     .alias("kept_dose"))
 
 
-@query("evaluate_search", _FOUR + """, gold AS (SELECT q.query_id, d.doc_id FROM asked q JOIN documents d
-    ON contains(d.text, substr(q.text, 1, 80))),
+def _words_sql(text):
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\pL\\pN]+'), lambda w: w <> '')"
+
+
+_QUOTES = f"""qw AS (SELECT item_id AS query_id, {_words_sql('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT query_id, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM qw, unnest(generate_series(1, greatest(len(w) - 12, 1))) t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, ' ' || array_to_string({_words_sql('text')}, ' ') || ' ' AS t FROM documents),
+quoted AS (SELECT query_id, doc_id AS chunk_id, count(*) AS windows FROM win JOIN dw
+  ON contains(t, ' ' || win || ' ') GROUP BY ALL)"""
+
+
+@query("quoted_pairs", f"WITH {_QUOTES} SELECT query_id, chunk_id, windows FROM quoted")
+def quoted_pairs_query(spark, sf_dir):
+    """Documents that quote benchmark items, with the number of shared windows."""
+    return quoted_pairs(spread(documents(spark, sf_dir)), items(spark, sf_dir))
+
+
+@query("evaluate_search", _FOUR + f""", {_QUOTES}, gold AS (SELECT query_id, chunk_id AS doc_id FROM quoted),
 size AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
 g AS (SELECT query_id, min(rerank_rank) AS best, count(*) AS found FROM s1 JOIN gold g USING (query_id)
   WHERE g.doc_id = chunk_id GROUP BY 1)
@@ -470,11 +488,9 @@ SELECT query_id, CASE WHEN best = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_at_1,
   coalesce(round((1.0 / best)::DOUBLE, 6), 0.0) AS mrr
 FROM asked LEFT JOIN size USING (query_id) LEFT JOIN g USING (query_id)""")
 def evaluate_search_query(spark, sf_dir):
-    """The whole search measured on the documents that quote an item."""
+    """The whole search measured on the documents that quote a window of an item."""
     facts, _ = _facts(spark, sf_dir)
-    q = items(spark, sf_dir).select("query_id", F.substring("text", 1, 80).alias("quote"))
-    quoted = table(spark, sf_dir, "documents").join(F.broadcast(q), F.contains("text", F.col("quote")))
-    gold = quoted.select("query_id", F.col("doc_id").alias("chunk_id"))
+    gold = quoted_pairs(spread(documents(spark, sf_dir)), items(spark, sf_dir)).drop("windows")
     setup = _search_setup(spark, sf_dir)
 
     def run(labels):

@@ -57,11 +57,10 @@ def _whole_or_pieces(text: str, size: int, overlap: int, min_tail: int) -> list[
     return _pieces(text, size, overlap, min_tail)
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """Section chunks of one text, for the SQL table function."""
-    size = V.SECTION_CHUNK_SIZE
-    return _whole_or_pieces(text or "", size, int(size * V.SECTION_OVERLAP_RATIO),
-                            V.SECTION_MIN_TAIL)
+def chunks_of(text: str | None, size: int = V.SECTION_CHUNK_SIZE,
+              ratio: float = V.SECTION_OVERLAP_RATIO) -> list[str]:
+    """Section chunks of one text, for the SQL table functions."""
+    return _whole_or_pieces(text or "", size, max(1, int(size * ratio)), V.SECTION_MIN_TAIL)
 
 
 def _split(col: Column, size: Column, overlap: Column, min_tail: int) -> Column:

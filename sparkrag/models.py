@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from . import fixed_values as V
 from .functions.splitting import chunks_of
 from .functions.text import let, once, with_tokens
 
@@ -105,6 +107,37 @@ def enrich_images(blocks: DataFrame, describe: Callable[[list[bytes]], list[str]
                                                            F.lit(None).cast("string")))
 
 
+class ChunkTable:
+    """Table function: rows of a table with a text column become rows of its section chunks.
+
+    All other columns are passed through, then come ``piece`` and ``chunk``.  Names of the text column,
+    and other sizes and overlaps, are arguments.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, text: AnalyzeArgument,
+                size: AnalyzeArgument | None = None, ratio: AnalyzeArgument | None = None
+                ) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the first argument has to be a table")
+        if text.value not in rows.dataType.names:
+            raise ValueError(f"no column {text.value}")
+        kept = [f for f in rows.dataType.fields if f.name != text.value]
+        return AnalyzeResult(T.StructType([
+            *kept, T.StructField("piece", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+
+    def eval(self, rows: Row, text: str, size: int = V.SECTION_CHUNK_SIZE,
+             ratio: float = V.SECTION_OVERLAP_RATIO):
+        kept = [v for n, v in zip(rows.__fields__, rows) if n != text]
+        for piece, chunk in enumerate(chunks_of(rows[text], int(size), float(ratio))):
+            yield (*kept, piece, chunk)
+
+
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """``SELECT * FROM chunk_table(TABLE(docs), 'text')`` over a table of any columns."""
+    spark.udtf.register(name, F.udtf(ChunkTable))
+
+
 def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
     """Register the section splitter as a SQL table function: ``LATERAL chunk_text(text)``."""
     @F.udtf(returnType="piece: int, chunk: string")

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .prefix import top_n
+from .prefix import numbered, top_n
 
 
 def rank_hits(hits: DataFrame) -> DataFrame:
-    """1-based rank within (query, route) by score, ties by chunk id."""
-    w = Window.partitionBy("query_id", "route").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w))
+    """1-based rank within (query, route) by score, ties by chunk id; a query may have any number
+    of hits."""
+    return numbered(hits, ["query_id", "route"], [F.desc("score"), F.asc("chunk_id")], "rank")
 
 
 def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None = None, k: int = V.RRF_K,

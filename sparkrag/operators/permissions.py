@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.tagging import normalize_scope
 from ..functions.text import strip
+from ..sources.stage import staged
 
 
 def visible(tenant: Column, roles: Column, orchards: Column, user_tenant: Column,
@@ -21,16 +22,68 @@ def visible(tenant: Column, roles: Column, orchards: Column, user_tenant: Column
                 normalize_scope(orchards), F.concat(own, F.array(F.lit(V.ALL_ORCHARDS))))))
 
 
+# A scope class that holds more than 1/2000 of the rows is spread over tasks.
+HOT_SHARE = 2000
+# Keys that no role or orchard has.
+_EVERY = "\0every"
+
+
+def _scope_classes(df: DataFrame) -> DataFrame:
+    """``tenant_id, __roles, __orchards, n``: the different access rules of a table, and their rows."""
+    return df.groupBy("tenant_id", "__roles", "__orchards").agg(F.count("*").alias("n"))
+
+
+def _readers(classes: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Which users read which class, as an equi-join on (tenant, role, orchard).
+
+    A class is listed under each of its roles and orchards, and under a key that stands for every role
+    (admins) or every orchard (users without a scope of their own).  Of several orchards that a
+    class and a user share, the first makes the pair.
+    """
+    every = F.array(F.lit(_EVERY))
+    rule = classes.select(
+        "tenant_id", "__roles", "__orchards", F.explode(F.array_distinct(F.concat(
+            "__roles", every))).alias("__role"))
+    rule = rule.withColumn("__orchard", F.explode(F.concat(F.array_distinct("__orchards"), every)))
+    own = F.filter(F.coalesce("orchard_scope", F.array().cast("array<string>")),
+                   lambda x: x.isNotNull() & (x != ""))
+    user = scopes.select(
+        "user_id", "tenant_id",
+        F.when(F.col("role") == "admin", _EVERY).otherwise(F.col("role")).alias("__role"),
+        F.when(F.size(own) == 0, every).otherwise(F.array_distinct(F.concat(
+            own, F.array(F.lit(V.ALL_ORCHARDS))))).alias("__own"))
+    user = user.withColumn("__orchard", F.explode("__own"))
+    both = rule.join(user, ["tenant_id", "__role", "__orchard"])
+    first = F.get(F.array_intersect("__own", F.concat("__orchards", every)), F.lit(0))
+    return both.where(F.col("__orchard") == first).select(
+        "user_id", "tenant_id", "__roles", "__orchards")
+
+
 def scope_filter(df: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Rows of ``df`` that each user may read, with the ``user_id`` added.
+    """Rows of ``df`` that each user may read (see ``visible``), with the ``user_id`` added.
 
-    ``scopes``: user_id, tenant_id, role, orchard_scope.
+    ``scopes``: user_id, tenant_id, role, orchard_scope.  Users are matched with the different
+    access rules of the table, not with its rows; rows then join their rule's readers.  A rule that
+    many rows share is salted, so a tenant that holds all rows is read in many tasks.
     """
-    s = scopes.select("user_id", F.col("tenant_id").alias("__t"), F.col("role").alias("__r"),
-                      F.col("orchard_scope").alias("__o"))
-    c = F.col
-    return df.join(s, visible(c("tenant_id"), c("role_scope"), c("orchard_scope"), c("__t"),
-                              c("__r"), c("__o"))).drop("__t", "__r", "__o")
+    src = df.where("tenant_id is not null").withColumns({
+        "__roles": F.array_sort(F.filter(F.coalesce("role_scope", F.array().cast("array<string>")),
+                                         lambda x: x.isNotNull())),
+        "__orchards": F.array_sort(normalize_scope(F.col("orchard_scope")))})
+    rule = ["tenant_id", "__roles", "__orchards"]
+    classes = staged(_scope_classes(src), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    limit = max(total / HOT_SHARE, 1)
+    # At most HOT_SHARE classes are that large, so their list is small.
+    hot = F.broadcast(classes.where(F.col("n") > limit).select(
+        *rule, F.ceil(F.col("n") / limit).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    readers = _readers(classes, scopes).join(hot, rule, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    rows = src.join(hot, rule, "left").withColumn("__salt", F.pmod(
+        F.xxhash64(*plain), salts).cast("int"))
+    return rows.join(readers, [*rule, "__salt"]).select(*[rows[c] for c in df.columns], "user_id")
 
 
 def user_scope(df: DataFrame) -> DataFrame:

@@ -79,6 +79,23 @@ def top_n(df: DataFrame, key: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:
+    """Running number, from 1, of each row of a key in ``order``, over ranges of the order.
+
+    Rows are split into ranges of (key, order), numbered inside each, and moved on by the rows that the
+    key has in the ranges before: one row per key and range is all that meets.
+    """
+    by = [*[F.col(k).asc() for k in key], *order]
+    split = staged(staged(df, "rows").repartitionByRange(*by)
+                   .withColumn("__part", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy("__part", *key).orderBy(*order)
+    ahead = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = split.groupBy("__part", *key).agg(F.count("*").alias("__size")).select(
+        "__part", *key, F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__before"))
+    return split.withColumn("__at", F.row_number().over(local)).join(sizes, ["__part", *key]).select(
+        *df.columns, (F.col("__at") + F.col("__before")).cast("int").alias(name))
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in order.  Aggregates before the shuffle, so copies collapse
     where they are read and a key that holds a third of all rows is no hot spot."""

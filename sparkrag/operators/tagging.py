@@ -11,6 +11,7 @@ from ..functions import tagging as G
 from ..functions.matching import first_numbers
 from ..functions.text import normalize_text, once
 from ..sources.stage import staged
+from .prefix import numbered
 
 # Up to here the dictionary becomes one CASE per slot (JVM); above it an automaton reads the texts.
 CASE_TERMS = 256
@@ -268,15 +269,7 @@ def build_queries(df: DataFrame, words, aliases: dict[str, list[str]] | DataFram
 
 def _numbers(named: DataFrame) -> DataFrame:
     """``prefix, canonical, n``: names numbered within their prefix, in order, by ranges of names."""
-    split = staged(named.select("prefix", "canonical").repartitionByRange("prefix", "canonical")
-                   .withColumn("part", F.spark_partition_id()), "names")
-    local = Window.partitionBy("part", "prefix").orderBy("canonical")
-    ahead = Window.partitionBy("prefix").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    sizes = split.groupBy("prefix", "part").agg(F.count("*").alias("size")).select(
-        "prefix", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
-    return split.withColumn("at", F.row_number().over(local)).join(sizes, ["prefix", "part"]).select(
-        "prefix", "canonical", (F.col("at") + F.col("before")).cast("int").alias("n"))
+    return numbered(named.select("prefix", "canonical"), ["prefix"], [F.asc("canonical")], "n")
 
 
 def build_concepts(terms: DataFrame) -> DataFrame:
