@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import ORACLES, QUERIES
 
-_MODULES = ("retrieval", "corpus", "tagging", "texts", "dialog", "evaluation", "operations",
+_MODULES = ("retrieval", "corpus", "tagging", "texts", "files", "dialog", "evaluation", "operations",
             "streams")
 
 
