@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import let, strip
+from ..functions.text import let, once, strip
 from .prefix import int_bucket, prefix
 from .segments import split_runs
 
@@ -64,8 +64,11 @@ def chunk_document(df: DataFrame, size: int = V.SECTION_CHUNK_SIZE,
     first block of the run.  One pass of running values gives sections, runs and the place of
     every text among the characters of its document; no run has to fit one row or task.
     """
-    is_text = ~F.col("block_type").isin("title", "table", "image", "scan_page")
-    src = df.withColumn("body", _text()).withColumn("is_text", is_text)
+    # Types and texts are long expressions, read by every running value.
+    src = once(df, "__block", F.struct(F.col("block_type").alias("kind"), _text().alias("body")))
+    kind = F.col("__block.kind")
+    src = src.select("doc_id", "pos", "image_path", kind.alias("block_type"), "__block.body",
+                     (~kind.isin("title", "table", "image", "scan_page")).alias("is_text"))
     src = src.where(~F.col("is_text") | (F.col("body") != ""))
     rows = prefix(
         src, ["doc_id"], ["pos"], int_bucket("pos"),

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.splitting import window_end
+from ..functions.text import strip
 from ..sources.stage import staged
 
 SEGMENT = 1 << 18  # characters of a segment
@@ -232,10 +233,7 @@ def split_runs(texts: DataFrame, size: int, overlap: int, min_tail: int,
                                         F.col("text").alias("more"))
     edges = pieces.where("edge").join(tails, ["doc_id", "source_index", "piece"], "left").withColumn(
         "text", F.when(F.col("more").isNull(), F.col("text")).otherwise(
-            _strip(F.concat("text", "more"))))
+            strip(F.concat("text", "more"))))
     return short.unionByName(pieces.where("NOT tail AND NOT edge").select(*names)).unionByName(
         edges.select(*names))
 
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^" + V.WS + r"+|" + V.WS + r"+\z", "")
