@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import ORACLES, QUERIES
 
-_MODULES = ("retrieval", "corpus", "tagging", "texts", "files", "dialog", "evaluation", "operations",
-            "streams")
+_MODULES = ("retrieval", "corpus", "tagging", "texts", "files", "replies", "dialog", "evaluation",
+            "operations", "streams")
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
