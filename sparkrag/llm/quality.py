@@ -154,17 +154,16 @@ def fit_samples(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from positives of ``labels(doc_id, quality)`` and documents without label.
+    """A model from positives of ``labels(doc_id, quality)`` and documents with their labels hidden.
 
-    Positives are rows with quality 1 outside the held-out fold; negatives are never read.  Each
-    sample has at most ``sample`` rows; only their measures reach the driver.  Without positives, or
-    without unlabelled text, the score is the same for all texts.
+    Positives are rows with quality 1 outside the held-out fold; negatives are never read.  The
+    unlabelled are a sample of all documents outside that fold, labelled or not, so that it does not
+    matter how many have labels.  Each sample has at most ``sample`` rows; only their measures
+    reach the driver.  Without positives the score is the same for all texts.
     """
     usable = ~held_out(F.col("doc_id"))
     good = sample_ids(labels.where(usable & (F.col("quality") == 1)).select("doc_id"), sample, 11)
-    known = labels.where("quality is not null").select("doc_id")
-    free = sample_ids(docs.select("doc_id").where(usable).join(known, "doc_id", "left_anti"),
-                      sample, 12)
+    free = sample_ids(docs.select("doc_id").where(usable), sample, 12)
     ids = good.withColumn("positive", F.lit(1)).unionAll(free.withColumn("positive", F.lit(0)))
     got = with_text(docs, ids).mapInArrow(
         _measure_batches, "positive int, measures array<double>").toPandas()

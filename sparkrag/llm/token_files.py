@@ -128,18 +128,44 @@ def encoder_of(path: str) -> IdEncoder:
     return IdEncoder(path)
 
 
-def _frequent(symbols: np.ndarray, at: np.ndarray, least: int):
-    """Pairs that begin at ``least`` of the places ``at`` or more, most frequent first, their places
-    and, for every place, the number of its pair."""
-    left, right = symbols[at], symbols[at + 1]
+def _spot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashed places of pairs."""
     with np.errstate(over="ignore"):
         spot = left * np.uint32(0x9E3779B1)
         spot += right * np.uint32(0x85EBCA6B)
         spot ^= spot >> np.uint32(15)
-        spot = ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
+        return ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
+
+
+def _numbers(pairs: np.ndarray, own: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``own``, hashed to ``spot``, are among the sorted ``pairs``, and their numbers there.
+
+    A hashed place names one pair; only what stands at places of several is searched for.
+    """
+    places = _spot((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    table = np.zeros(1 << _HASH_BITS, np.int32)
+    table[places] = np.arange(len(pairs))
+    number = table[spot]
+    hit = pairs[number] == own
+    shared = np.flatnonzero(table[places] != np.arange(len(pairs)))
+    if len(shared):
+        several = np.zeros(1 << _HASH_BITS, bool)
+        several[places[shared]] = True
+        rest = np.flatnonzero(several[spot] & ~hit)
+        found = np.minimum(np.searchsorted(pairs, own[rest]), len(pairs) - 1)
+        number[rest] = found
+        hit[rest] = pairs[found] == own[rest]
+    return hit, number
+
+
+def _frequent(symbols: np.ndarray, at: np.ndarray, least: int):
+    """Pairs that begin at ``least`` of the places ``at`` or more, most frequent first, their places
+    and, for every place, the number of its pair."""
+    left, right = symbols[at], symbols[at + 1]
+    spot = _spot(left, right)
     # No pair is as frequent as its hashed place; the rest is counted pair by pair.
     full = (np.bincount(spot, minlength=1 << _HASH_BITS) >= least)[spot]
-    at, left, right = at[full], left[full], right[full]
+    at, left, right, spot = at[full], left[full], right[full], spot[full]
     own = left.astype(np.uint64) << np.uint64(32) | right
     # Of pairs of one symbol that overlap every second one counts, from the left.
     same = np.flatnonzero(left == right)
@@ -151,8 +177,7 @@ def _frequent(symbols: np.ndarray, at: np.ndarray, least: int):
     pairs, counts = pairs[counts >= least], counts[counts >= least]
     if not len(pairs):
         return pairs, at[:0], at[:0], odd[:0]
-    place = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-    hit = pairs[place] == own
+    hit, place = _numbers(pairs, own, spot)
     order = np.lexsort((pairs, -counts))
     rank = np.empty(len(pairs), np.int64)
     rank[order] = np.arange(len(pairs))

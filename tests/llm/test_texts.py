@@ -75,6 +75,16 @@ def test_quality_never_reads_negatives(spark):
     assert a.prior == b.prior and (a.weights == b.weights).all()
 
 
+def test_quality_where_all_are_labelled(spark):
+    """With a label on every document there is still something to tell the positives from."""
+    docs, labels = frames(spark)
+    known = labels.where("quality is not null").select("doc_id")
+    model = quality.fit(docs.join(known, "doc_id", "left_semi"), labels)
+    x = (quality.score(docs, model).join(labels, "doc_id").where(held_out(F.col("doc_id")))
+         .select("quality_score", "quality").toPandas())
+    assert ((x.quality_score >= quality.THRESHOLD) == (x.quality == 1)).mean() > 0.9
+
+
 def test_quality_edges(spark, edge, no_docs):
     labels = spark.createDataFrame([(7, 1), (9, 1), (10, 0), (3, None)],
                                    "doc_id long, quality int")
