@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import dialog as D
 from ..functions.text import estimate_tokens, strip
-from .prefix import first_wins, int_bucket, prefix, top_n
+from .prefix import int_bucket, prefix, top_n
 
 # A summary line has at least six characters, so the first 1001 lines fill the summary cap.
 SUMMARY_LINES = V.SUMMARY_CHARS // 6 + 1
@@ -60,8 +60,14 @@ def summary_lines(df: DataFrame) -> DataFrame:
     """Lines of a rule summary ``(conv_id, turn, line)``: small talk and repeated answers drop."""
     t = (df.select("conv_id", "turn", summary_line(F.col("role"), F.col("text")).alias("s"))
          .select("conv_id", "turn", "s.line", "s.key").filter("line IS NOT NULL"))
-    answers = first_wins(t.filter("key IS NOT NULL"), ["conv_id", "key"], ["turn"])
-    return t.filter("key IS NULL").unionByName(answers).drop("key")
+    # One aggregate for both kinds: a union of the two would claim the partitions of its inputs, which
+    # change while it runs.  Lines without a key are their own key, and equal ones keep their number.
+    own = F.when(F.col("key").isNull(), F.struct("turn", "line"))
+    first = t.groupBy("conv_id", "key", own.alias("own")).agg(
+        F.min(F.struct("turn", "line")).alias("first"), F.count("*").alias("times"))
+    times = F.when(F.col("key").isNull(), F.col("times")).otherwise(1).cast("int")
+    return first.select("conv_id", F.explode(F.array_repeat("first", times)).alias("s")).select(
+        "conv_id", "s.*")
 
 
 def rule_summary(df: DataFrame, prev: DataFrame | None = None) -> DataFrame:
