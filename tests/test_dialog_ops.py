@@ -32,6 +32,20 @@ def test_window_and_summary(spark):
     assert got["c"].startswith("旧\n回答要点") and got["z"] == "别"
 
 
+def test_summary_of_partitioned_messages(spark):
+    """Messages that a shuffle join has dealt out; equal tool lines of one turn stay."""
+    rows = [(c, i, r, t) for c in range(40) for i, r, t in (
+        (0, "user", f"asked {c}"), (1, "assistant", "same"), (2, "assistant", "same"),
+        (3, "tool", "out"), (3, "tool", "out"))]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    m = m.repartition(9).join(m.repartition(5).select("conv_id").distinct().hint("merge"), "conv_id", "left")
+    plan = O.summary_lines(m)._jdf.queryExecution().toString()
+    assert "Union" not in plan
+    got = O.rule_summary(m).collect()
+    assert {r["conv_id"]: r["summary"] for r in got} == {
+        c: f"用户问：asked {c}\n回答要点：same\n工具结果：out\n工具结果：out" for c in range(40)}
+
+
 def test_levels(spark):
     m = messages(spark, [("user", "a" * 400), ("tool", "t" * 4000), ("assistant", "b" * 400),
                          ("user", "c" * 40)])
@@ -113,6 +127,15 @@ def test_state_lives_across_batches(spark, folder):
     assert [(r["cached"], r["hit"]) for r in got] == [(r["cached"], r["hit"]) for r in want]
 
 
+def test_stream_of_a_folder(spark, folder):
+    """A table can be one file or a folder of files of that name."""
+    df = calls(spark, [0, 10, 50])
+    df.repartition(2).write.parquet(f"{folder}/in/events.parquet")
+    J.append(S.rate_limit(J.read_stream(spark, folder + "/in", "events.parquet", df.schema), 3, 60),
+             folder + "/rate", folder + "/ck")
+    assert spark.read.schema("event_id long").parquet(folder + "/rate").count() == 3
+
+
 def test_late_rows(spark, folder):
     """Calls that come a batch late neither end a period early nor change what was handed out."""
     df = calls(spark, [0, 10, 50, 5, 100, 101])
