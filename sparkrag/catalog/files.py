@@ -15,6 +15,8 @@ from ..sources.stage import new_path
 from .base import ORACLES, query, table
 from .tagging import _PT, _part_terms
 
+TERMS_PER_FILE = 20000
+
 
 def _chunk_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -53,17 +55,19 @@ def chunk_scan(spark, sf_dir):
 @query("term_files", f"""WITH {_PT} SELECT category, alias || ' ' || alias_ord AS alias, canonical
   FROM pt""")
 def term_files(spark, sf_dir):
-    """A term table as one JSON object with notes and other values in it, read as rows."""
+    """A term table as JSON objects with notes and other values in them, one a file, read as rows."""
     pt = _part_terms(spark, sf_dir).withColumn("alias", F.concat_ws(" ", "alias", "alias_ord"))
+    pt = pt.withColumn("file", F.floor(F.col("alias_ord") / TERMS_PER_FILE))
     entries = F.map_from_entries(F.array_append(F.array_sort(F.collect_list(
         F.struct("alias", "canonical"))), F.struct(F.lit("_note").alias("alias"),
                                                    F.lit("about").alias("canonical"))))
-    cats = pt.groupBy("category").agg(F.to_json(entries).alias("body"))
+    cats = pt.groupBy("file", "category").agg(F.to_json(entries).alias("body"))
     body = F.concat_ws(", ", F.array_append(F.array_sort(F.collect_list(F.concat(
         F.lit('"'), "category", F.lit('": '), F.concat(F.lit('{"count": 5, '), F.substr(
             "body", F.lit(2)))))), F.lit('"note": "a text"')))
     path = new_path(spark, "terms")
-    cats.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    (cats.groupBy("file").agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).select("value")
+     .write.option("maxRecordsPerFile", 1).text(path))
     return R.read_terms(spark, path).select("category", "alias", "canonical")
 
 

@@ -73,22 +73,20 @@ def ingest_corpus(df: DataFrame, limit: int | None = None) -> DataFrame:
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Category -> alias -> canonical JSON to rows, notes and non-text values dropped.
 
-    A terminology file is one JSON object, read whole on purpose.
+    Each file under ``path`` is one JSON object, read whole on purpose; every category is parsed once.
     """
     top = spark.read.text(path, wholetext=True).select(
         F.from_json("value", "map<string,string>").alias("m"))
     cats = top.select(F.posexplode(F.map_entries("m")).alias("category_ord", "c"))
-    inner = F.from_json("c.value", "map<string,string>")
+    inner = F.from_json("c.value", "map<string,variant>")
     terms = (cats.filter(F.col("c.value").startswith("{"))
              .select("category_ord", F.col("c.key").alias("category"),
-                     F.posexplode(F.map_entries(inner)).alias("alias_ord", "t"),
-                     F.parse_json("c.value").alias("v")))
-    path_ = F.concat(F.lit("$['"), F.col("t.key"), F.lit("']"))
-    kind = F.schema_of_variant(F.try_variant_get("v", path_, "variant"))
-    return (terms.filter(~F.col("t.key").isin(*V.TERM_META_KEYS) & (kind == "STRING")
+                     F.posexplode(F.map_entries(inner)).alias("alias_ord", "t")))
+    return (terms.filter(~F.col("t.key").isin(*V.TERM_META_KEYS)
+                         & (F.schema_of_variant("t.value") == "STRING")
                          & ~F.col("category").isin(*V.TERM_META_KEYS))
             .select("category", "category_ord", "alias_ord", F.col("t.key").alias("alias"),
-                    F.col("t.value").alias("canonical")))
+                    F.col("t.value").cast("string").alias("canonical")))
 
 
 def read_gold(spark: SparkSession, path: str, aliases: list[str], limit: int | None = None

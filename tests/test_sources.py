@@ -55,6 +55,20 @@ def test_terms_and_concepts(spark, folder):
     assert R.read_concepts(spark, folder + "/concepts").count() == built.count() == 2
 
 
+def test_terms_parse_each_category_once(spark, folder):
+    """Work grows with the terms: a plan that parses the category again for each of them does not."""
+    os.makedirs(folder + "/terms")
+    for n in range(2):  # a table in two files
+        put(folder + "/terms", f"{n}.json", json.dumps({
+            "_meta": {"a": "b"}, "pest": {"count": 5, "_note": "x", **{f"it's {n} {i}": "c" for i in range(3000)}}}))
+    terms = R.read_terms(spark, folder + "/terms")
+    assert "parse_json" not in terms._jdf.queryExecution().toString()
+    got = terms.collect()
+    assert {(r["category"], r["alias"], r["canonical"]) for r in got} == {
+        ("pest", f"it's {n} {i}", "c") for n in range(2) for i in range(3000)}
+    assert len(got) == 6000
+
+
 def test_gold_and_samples(spark, folder):
     gold = put(folder, "gold.jsonl", "\n".join(json.dumps(x) for x in [
         {"question": "D197 怎么样", "q_lang": "zh", "category": "v", "ref_doc_id": "d", "anchors": ["c1"]},
