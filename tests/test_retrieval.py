@@ -9,6 +9,7 @@ from sparkrag.operators import fusion as FU
 from sparkrag.operators.evidence import check_evidence
 from sparkrag.operators.metrics import retrieval_metrics
 from sparkrag.operators.permissions import scope_filter
+from sparkrag.operators.quotes import quoted_pairs
 from sparkrag.plans.search import SearchSetup, four_way_recall, search_with_retry
 
 CORPUS = [("c-fert", "IOI", ["worker", "manager"], [], "榴莲开花期施肥以磷钾肥为主，少施氮肥"),
@@ -146,3 +147,27 @@ def test_retry_rounds(spark, corpus):
     got = {r["query_id"]: (r["sufficient"], r["rounds"], r["error"]) for r in v.collect()}
     assert got == {"good": (True, 1, None), "bad": (False, 2, "RAG_NO_RESULT")}
     assert docs.filter("query_id = 'good'").count() >= 2
+
+
+def test_quotes(spark):
+    """Windows of whole texts against brute force; no step compares the windows of a text pairwise."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    asked = [(i, " ".join(r.choice(words, n))) for i, n in enumerate([20, 13, 5, 1, 30])] + [(8, " , "), (9, None)]
+    docs = [(i, ", ".join([*r.choice(words, 50), *(asked[i % 5][1].upper().split()), *r.choice(words, 40)]))
+            for i in range(20)] + [(30, ""), (31, None), (32, "w " * 3000)]
+    d = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, text string")
+    want = {}
+    for i, a in asked:
+        w = (a or "").replace(",", " ").split()
+        n = min(len(w), 13)
+        for j, t in docs:
+            held = (t or "").lower().replace(",", " ").split()
+            hit = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} & {
+                tuple(held[k:k + n]) for k in range(len(held) - n + 1)} if n else set()
+            if hit:
+                want[i, j] = len(hit)
+    got = quoted_pairs(d, q)
+    assert "array_distinct" not in got._jdf.queryExecution().toString()
+    assert {(x["query_id"], x["chunk_id"]): x["windows"] for x in got.collect()} == want and want
