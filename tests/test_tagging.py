@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrag import fixed_values as V
 from sparkrag.functions import tagging as G
 from sparkrag.functions.text import normalize_text
 from sparkrag.operators import tagging as T
@@ -140,3 +141,30 @@ def test_large_tables_stay_tables(spark, terms, words):
     want = T.build_queries(df, words, T.alias_map(terms)).orderBy("i").collect()
     assert T.build_queries(df, table, lists).orderBy("i").collect() == want
     assert "D197" in want[0].expanded and want[4].expanded == "no name"
+
+
+def test_patterns_need_their_words(spark):
+    """Looking for the words first loses no match, whatever the case."""
+    texts = ["新建 一个任务", "Create a TASK", "BUAT satu tugasan", "เปิด งาน", "任务 5 号 完成", "把 任务 取消",
+             "MARK the Task 5 as Completed", "Kemaskini tugasan", "看看 工单", "任务 列表", "Show all tasks",
+             "SEMAK tugasan", "警报", "ALARM", "การแจ้งเตือน", "Amaran", "资产 列表", "几个 设备", "LIST Sensors",
+             "Senarai aset", "农药", "Fungicides", "Racun Kulat", "SOP", "Food Safety", "RAIN", "Hujan", "Real time",
+             "real-time", "Realtime", "LIVE data", "Kelembapan tanah sekarang", "安排巡检", "Schedule an inspection",
+             "Jadualkan", "What Pest", "KENAPA", "โรคอะไร", "İ kein \u212aenapa", "nothing", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = list(V.NEEDS)
+    row = df.select(*[F.sum((~G._matches(F.col("t"), F.lower("t"), p).eqNullSafe(F.col("t").rlike(p)))
+                            .cast("int")) for p in patterns],
+                    *[F.count_if(F.col("t").rlike(p)) for p in patterns]).first()
+    assert list(row[:len(patterns)]) == [0] * len(patterns)
+    assert min(row[len(patterns):]) > 0
+
+
+def test_merged_risks_read_no_text(spark):
+    """The flags of a document are computed once, not on both sides of the join and for every flag."""
+    from sparkrag.catalog import load
+    queries, _ = load()
+    plan = queries["merge_risks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert "insecticides" not in plan.toString()
+    plan = queries["evidence_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("|weather|") == 1
