@@ -10,6 +10,7 @@ from ..functions import tagging as G
 from ..functions.text import normalize_text, once, spread
 from ..operators import tagging as T
 from ..plans.semantic import route, semantic_parse
+from ..sources.stage import staged
 from .base import TERMS, documents, query, quote, table, terms
 from .retrieval import _EXPANDED, slots_sql
 
@@ -91,17 +92,17 @@ _FLAGS = (f"{_ASKED}, ai AS (SELECT *, {_INTENT} AS intent FROM asked), fl AS (S
 
 @query("risk_flags", f"WITH {_FLAGS} SELECT doc_id, intent, {', '.join(V.RISK_FLAGS)} FROM fl")
 def risk_flags(spark, sf_dir):
-    df = _value(spark, sf_dir).withColumn("intent", G.rule_intent("v"))
-    return df.select("doc_id", "intent", G.risk_features("v", "intent").alias("r")).select(
-        "doc_id", "intent", "r.*")
+    df = once(_value(spark, sf_dir), "intent", G.rule_intent("v"))
+    return once(df, "r", G.risk_features("v", "intent")).select("doc_id", "intent", "r.*")
 
 
 @query("merge_risks", f"""WITH {_FLAGS} SELECT a.doc_id, {', '.join(
     f'(a.{k} OR coalesce(b.{k}, false)) AS {k}' for k in V.RISK_FLAGS)}
 FROM fl a LEFT JOIN fl b ON b.doc_id = a.doc_id + 1""")
 def merge_risks(spark, sf_dir):
-    df = _value(spark, sf_dir).withColumn("intent", G.rule_intent("v"))
-    r = df.select("doc_id", G.risk_features("v", "intent").alias("r"))
+    df = once(_value(spark, sf_dir), "intent", G.rule_intent("v"))
+    # Both sides of the join read the flags of a document: computed once, with every flag once.
+    r = staged(once(df, "r", G.risk_features("v", "intent")).select("doc_id", "r"), "risks")
     nxt = r.select((F.col("doc_id") - 1).alias("doc_id"), F.col("r").alias("n"))
     return r.join(nxt, "doc_id", "left").select("doc_id", G.merge_risks("r", "n").alias("m")
                                                 ).select("doc_id", "m.*")
