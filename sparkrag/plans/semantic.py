@@ -23,7 +23,8 @@ def semantic_parse(df: DataFrame, words, symptom_terms, text: str = "text",
         F.col(model_col) if model_col else F.lit(None).cast("string")))
     m, v, known = F.col("__m"), F.col("normalized"), F.col("__m.intent") != "unknown"
     intent = F.when(known, m["intent"]).otherwise(G.rule_intent(v))
-    df = df.withColumn("__intent", intent)
+    df = once(df, "__intent", intent)  # each flag reads it
+    df = once(df, "__risks", G.risk_features(v, F.col("__intent")))
     slots = F.map_from_entries(F.array(*[F.struct(F.lit(s).alias("k"), F.coalesce(
         F.col("__rule")[s], m["entities"][s]).alias("v")) for s in V.ENTITY_SLOTS]))
     stage = F.when(m["growth_stage"] != "unknown", m["growth_stage"]).otherwise(G.growth_stage(v))
@@ -35,9 +36,8 @@ def semantic_parse(df: DataFrame, words, symptom_terms, text: str = "text",
         slots.alias("entities"), stage.alias("growth_stage"),
         m["plant_parts"].alias("plant_parts"), found.alias("symptoms"),
         m["environment"].alias("environment"),
-        G.merge_risks(m["risk_features"], G.risk_features(v, F.col("__intent")))
-        .alias("risk_features"))
-    return df.withColumn("semantic", semantic).drop("__rule", "__m", "__intent")
+        G.merge_risks(m["risk_features"], "__risks").alias("risk_features"))
+    return df.withColumn("semantic", semantic).drop("__rule", "__m", "__intent", "__risks")
 
 
 def route(df: DataFrame, col: str = "semantic") -> DataFrame:
