@@ -92,6 +92,13 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     keeps.  Columns named ``n_lines`` or ``n_removed`` are replaced, others stay.
     """
     docs = docs.drop("n_lines", "n_removed")
+    spans = _repeated_chunks(docs, ["doc_id", "start"]).groupBy("doc_id", "__row").agg(
+        F.sort_array(F.collect_set(F.struct("start", "n"))).alias("__spans"))
+    return _cut(docs, spans)
+
+
+def _repeated_chunks(docs: DataFrame, place: list[str]) -> DataFrame:
+    """``doc_id, __row, start, n``: chunks that occur at a smaller ``place`` too."""
     parts = parts_for(docs, text_bytes(docs), TARGET)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__row"), "text")
     chunks = line_chunks(keyed, ["doc_id", "__row"])
@@ -99,13 +106,11 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     twice = chunks.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
     repeated = staged(chunks.repartition(parts, "hash").join(twice.select("hash"), "hash",
                                                             "left_semi"), "chunks")
-    place = F.struct("doc_id", "start")
-    first = repeated.groupBy("hash", "chunk").agg(F.min(place).alias("first"))
+    at = F.struct(*place)
+    first = repeated.groupBy("hash", "chunk").agg(F.min(at).alias("first"))
     later = (repeated.join(first, ["hash", "chunk"])  # the chunk itself is a key: bytes compared
-             .where(~place.eqNullSafe(F.col("first"))))
-    spans = later.groupBy("doc_id", "__row").agg(
-        F.sort_array(F.collect_set(F.struct("start", "n"))).alias("__spans"))
-    return _cut(docs, spans)
+             .where(~at.eqNullSafe(F.col("first"))))
+    return later.select("doc_id", "__row", "start", "n")
 
 
 def line_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,7 +129,8 @@ def line_pairs(docs: DataFrame, keys: list[str]) -> DataFrame:
 def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     """As ``remove_repeated_lines``, for passages of two and more lines wherever they begin and end.
 
-    Two neighbouring lines go if an earlier place holds them too, so a passage goes up to the edges
+    Repeated content-defined chunks are found and compared byte by byte, the first by (doc_id, hash of
+    the text, line number) stays; pairs of lines then take the passages up to their edges.  Two neighbouring lines go if an earlier place holds them too, so a passage goes up to the edges
     of what is equal.  Earlier is a smaller (doc_id, hash of the text, line number); inside a text
     only pairs that share no line count, so of equal lines in a row the first two stay.
     """
@@ -138,8 +144,13 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
           & (F.col("__row") == F.col("first.__row"))
           & (F.col("start") < F.col("first.start") + 2)))
-    gone = F.flatten(F.transform(F.collect_set("start"), lambda i: F.array(i, i + 1)))
-    spans = later.groupBy("doc_id", "__row").agg(F.sort_array(F.array_distinct(gone)).alias("gone"))
+    # Repeated chunks first; the pairs reach the edges that fall inside chunks.
+    cut = _repeated_chunks(docs, ["doc_id", "__row", "start"]).select(
+        "doc_id", "__row", F.sequence("start", F.col("start") + F.col("n") - 1).alias("at"))
+    cut = cut.unionByName(later.select("doc_id", "__row", F.array(
+        F.col("start"), F.col("start") + 1).alias("at")))
+    spans = cut.groupBy("doc_id", "__row").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
     return _cut(docs, spans.select("doc_id", "__row", F.transform(
         "gone", lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"))).alias("__spans")))
 

@@ -199,6 +199,18 @@ def test_pipeline_cuts_whole_passages(spark, n):
         assert got[i] == (f"c {i // 2}\nd {i // 2}\none" if i % 2 else text)
 
 
+def test_pipeline_takes_repeated_chunks(spark, monkeypatch):
+    """The pipeline's line stage goes by content-defined chunks; pairs of lines only add the edges."""
+    body = [f"line {i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(["new", *body]))],
+                                 "doc_id long, text string")
+    monkeypatch.setattr(lines, "line_pairs", lambda docs, keys: spark.createDataFrame(
+        [], "doc_id long, __row long, start int, a long, b long, c long, d long"))
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.drop_repeated_lines(
+        spark, docs, "").collect()}
+    assert got[1] == body and got[2][0] == "new" and len(got[2]) < 31
+
+
 def brute_components(marks):
     marks = np.array(marks, np.uint64)
     parent = list(range(len(marks)))
