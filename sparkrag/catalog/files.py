@@ -178,10 +178,14 @@ def normalize_units(spark, sf_dir):
 @query("caption_rescue", """WITH l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text,
     '[^A-Za-z ]+'))) AS words FROM documents), c AS (SELECT doc_id,
     regexp_replace(words, ' +', ' ', 'g') AS words FROM l)
-SELECT doc_id, CASE WHEN length(words) >= 8 THEN 'Table ' || (doc_id % 9 + 1) || ' ' || words END
+SELECT doc_id, CASE WHEN length(words) >= 8
+  AND (length(replace(words, ' ', '')) + 5) / (length(words) + 8) >= 0.55 THEN 'Table ' || (doc_id % 9 + 1) || ' ' || words END
   AS caption, count(*) AS n FROM c WHERE length(words) BETWEEN 4 AND 55 GROUP BY ALL""")
 def caption_rescue(spark, sf_dir):
-    """Runs of words as captions of damaged tables, with cells and numbers around them."""
+    """Runs of words as captions of damaged tables, with cells and numbers around them.
+
+    A caption has eight characters behind its label, and 0.55 of all its characters are letters.
+    """
     d = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.explode(F.split("text", "[^A-Za-z ]+")).alias("words"))
     d = d.withColumn("words", F.trim(F.regexp_replace("words", " +", " ")))

@@ -113,6 +113,11 @@ def _caption(s: Column) -> Column:
                                     "(?s)(?:" + V.CAPTION_BOUNDARY + r").*\z", ""),
                    F.lit(" ,.;:'\"()"))
     cap = F.trim(F.concat_ws(" ", label, body))
+    # Bound once: each of the tests below would take it from the text again.
+    return F.when(s.rlike(V.CAPTION), let(cap, _whole_caption))
+
+
+def _whole_caption(cap: Column) -> Column:
     tail = F.regexp_replace(cap, V.CAPTION_HEAD, "")
     ok = (
         F.length(cap).between(8, 90)
@@ -122,7 +127,7 @@ def _caption(s: Column) -> Column:
         & (F.length(tail) >= 8)
         & (digit_ratio(cap) <= 0.3)
     )
-    return F.when(s.rlike(V.CAPTION) & ok, cap)
+    return F.when(ok, cap)
 
 
 def source_group(doc) -> Column:

@@ -178,3 +178,17 @@ def test_scratch_tables_go(spark):
         assert held.count() == 5
     assert not os.path.exists(path.removeprefix("file://"))
     assert kept.count() == 3
+
+
+def test_captions_equal_their_sql(spark, folder):
+    """Lone letters are no caption, in the SQL as in the query."""
+    import duckdb
+    from sparkrag.catalog import load
+    queries, sql = load()
+    docs = [(1, "a " * 22), (2, "words of a caption, a b c d e f g h"), (3, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(folder + "/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(sql["caption_rescue"]).fetchall()
+    got = [tuple(r) for r in queries["caption_rescue"](spark, folder).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and (1, None, 1) in got
