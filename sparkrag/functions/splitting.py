@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as V
-from .text import strip
+from .text import lengths, row_spans, strip
 
 _STRONG, _WEAK = "。.；;\n", "，, "
 
@@ -65,9 +67,15 @@ def chunks_of(text: str | None, size: int = V.SECTION_CHUNK_SIZE,
 
 def _split(col: Column, size: Column, overlap: Column, min_tail: int) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def long_pieces(t: pd.Series, n: pd.Series, o: pd.Series) -> pd.Series:
-        return pd.Series([_whole_or_pieces(x, int(a), int(b), min_tail) if x is not None else None
-                          for x, a, b in zip(t, n, o)], dtype=object)
+    def long_pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]
+                    ) -> Iterator[pd.Series]:
+        for t, n, o in batches:
+            if not len(t):
+                yield pd.Series([], dtype=object)
+            for lo, hi in row_spans(lengths(t)):
+                rows = zip(t.iloc[lo:hi], n.iloc[lo:hi], o.iloc[lo:hi])
+                yield pd.Series([_whole_or_pieces(x, int(a), int(b), min_tail)
+                                 if x is not None else None for x, a, b in rows], dtype=object)
 
     # Only texts that may need a cut go to Python.
     short = F.filter(F.array(strip(col)), lambda x: F.length(x) >= V.MIN_CHUNK_CHARS)
