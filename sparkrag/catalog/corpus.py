@@ -12,7 +12,7 @@ from ..functions.text import fold_spaces, once, repair_thai, spread
 from ..models import register_chunk_table, with_model
 from ..operators import blocks as B
 from ..operators import corpus as O
-from ..plans.corpus_build import build_corpus, grade_raw, parse_pages, salvage
+from ..plans.corpus_build import build_corpus, grade_raw, parse_pages, salvage, salvage_graded
 from ..sources.stage import staged
 from ..sources.writers import search_table
 from .base import documents, query, table
@@ -102,9 +102,10 @@ SELECT id AS doc_id, {_GRADE} AS grade, length(t) AS n_chars, round({_RATIO}, 6)
 FROM r""")
 def quality_grade(spark, sf_dir):
     d = once(spread(table(spark, sf_dir, "documents")), "t", C.strip_residue("text"))
-    return d.select("doc_id", C.grade("text", "t").alias("grade"),
+    d = once(d, "ratio", C.word_ratio("t"))
+    return d.select("doc_id", C.grade("text", "t", F.col("ratio")).alias("grade"),
                     F.length("t").cast("long").alias("n_chars"),
-                    F.round(C.word_ratio("t"), 6).alias("word_ratio"))
+                    F.round("ratio", 6).alias("word_ratio"))
 
 
 @query("grade_vs_labels", f"""WITH {residue_sql("r", "documents", "doc_id", "text")},
@@ -202,8 +203,8 @@ def corpus_profile(spark, sf_dir):
     THEN 'out_thai' ELSE 'out_literature' END FROM made)
 SELECT counter, count(*) AS n FROM c GROUP BY counter""")
 def corpus_stats(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    return O.corpus_stats(grade_raw(raw), salvage(raw))
+    graded = staged(grade_raw(_raw(spark, sf_dir)), "graded")
+    return O.corpus_stats(graded, salvage_graded(graded))
 
 
 @query("exclude_docs", """SELECT doc_id FROM documents WHERE NOT contains(source, 'src1')
@@ -388,11 +389,12 @@ SELECT counter, n::BIGINT AS n FROM c WHERE n > 0""")
 def drop_counters(spark, sf_dir):
     """Counts of what the corpus build leaves out, step by step."""
     raw, pages = _raw(spark, sf_dir), _pages(spark, sf_dir)
-    salvaged = staged(salvage(raw, ["src19"]), "salvaged")
+    graded = staged(grade_raw(raw, ["src19"]), "graded")
+    salvaged = staged(salvage_graded(graded), "salvaged")
     parsed = parse_pages(pages, _overrides(spark), _page_tables(spark, sf_dir),
                          _page_blocks(spark, sf_dir))
     merged = salvaged.select("index_text").unionByName(parsed.select("index_text"))
-    return O.drop_counters(raw, grade_raw(raw, ["src19"]), salvaged, pages, merged, [])
+    return O.drop_counters(raw, graded, salvaged, pages, merged, [])
 
 
 @query("repair_thai", "SELECT doc_id, md5(text || ' เชื้อรา น้ำ รากเนำโคน 25˚C') AS text_md5 FROM documents")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .text import fold_spaces, let, where_found
 
+# Three numbers with commas between them, from the first comma on: any bare list of coordinates has it.
+COORDS_MARK = rf",{V.WS}*\p{{Nd}}{{1,4}}{V.WS}*,{V.WS}*\p{{Nd}}"
+
 
 def _c(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -42,11 +45,29 @@ def _latex(c: Column, restore_degrees: bool) -> Column:
 
 def strip_quote_noise(col) -> Column:
     """Unwrap quoted span values and drop bare coordinate lists left by flattened layouts."""
-    c = where_found(_c(col), [","], _drop_coords)
-    c = where_found(c, ["'"], _unquote)
+    return _trimmed(_unquoted(_c(col)))
+
+
+def _trimmed(c: Column) -> Column:
     return F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
 
 
+def _unquoted(c: Column) -> Column:
+    c = _where_like(c, {",": COORDS_MARK}, _drop_coords)
+    return where_found(c, ["'"], _unquote)
+
+
+def _where_like(c: Column, marks: dict[str, str], fn) -> Column:
+    """Run ``fn`` only on texts that match one of ``marks``: patterns by the character that they start
+    with, so they are tried at its places only."""
+    def found(x: Column) -> Column:
+        hit = F.lit(False)
+        for part, mark in marks.items():
+            hit = hit | (F.contains(x, F.lit(part)) & x.rlike(mark))
+        return hit
+    return let(c, lambda x: F.when(found(x), fn(x)).otherwise(x))
+
+
 def _drop_coords(c: Column) -> Column:
     return _gsub(c, V.BARE_BBOX)
 
@@ -70,27 +91,38 @@ def strip_residue(col, drop_table_html: bool = True) -> Column:
     c = where_found(c, ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
     c = normalize_units(where_found(c, ["http"], lambda x: _gsub(x, V.URL)))
     c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(x, V.STRUCT_PUNCT))
-    c = where_found(c, [",", "'"], lambda x: _gsub(x, V.ORPHAN_PUNCT))
-    c = F.btrim(fold_spaces(c), F.lit(V.RESIDUE_EDGE_CHARS))
-    return strip_quote_noise(c)
+    c = _where_like(c, {m: f"{m}[{m}{V.WS[1:-1]}]*{m}" for m in ",'"},
+                    lambda x: _gsub(x, V.ORPHAN_PUNCT))
+    # What is folded and trimmed stays so where nothing more is taken out.
+    return let(_trimmed(c), lambda x: let(_unquoted(x), lambda y: F.when(y == x, y)
+                                          .otherwise(_trimmed(y))))
+
+
+def _share(c: Column, chars: str) -> Column:
+    """Share of the characters of a class; taken out in runs, so no character is a row of its own."""
+    return let(c, lambda x: (F.length(x) - F.length(F.regexp_replace(x, chars + "++", "")))
+               / F.greatest(F.length(x), F.lit(1)))
 
 
 def word_ratio(col) -> Column:
-    c = _c(col)
-    return F.regexp_count(c, F.lit(V.LETTERS)) / F.greatest(F.length(c), F.lit(1))
+    return _share(_c(col), V.LETTERS)
 
 
 def digit_ratio(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(V.DIGIT_CHARS)) / F.greatest(F.length(c), F.lit(1))
+    return _share(c, V.DIGIT_CHARS)
 
 
-def grade(raw, cleaned) -> Column:
-    """``usable``, ``table_fragment`` or ``junk``; the order of the tests matters."""
+def grade(raw, cleaned, ratio: Column | None = None) -> Column:
+    """``usable``, ``table_fragment`` or ``junk``; the order of the tests matters.
+
+    ``ratio`` is ``word_ratio(cleaned)``, where it was made before.
+    """
     raw, c = _c(raw), _c(cleaned)
+    ratio = word_ratio(c) if ratio is None else ratio
     return (
         F.when(F.length(c) < V.MIN_CHUNK_CHARS, "junk")
-        .when(raw.rlike(V.TABLE_MARK), "table_fragment")
-        .when(word_ratio(c) < V.GRADE_MIN_WORD_RATIO, "junk")
+        .when(F.contains(raw, F.lit("<")) & raw.rlike(V.TABLE_MARK), "table_fragment")
+        .when(ratio < V.GRADE_MIN_WORD_RATIO, "junk")
         .when(c.rlike(V.RESIDUE_MARK), "junk")
         .when(digit_ratio(c) > V.GRADE_MAX_DIGIT_RATIO, "junk")
         .otherwise("usable")

@@ -45,7 +45,12 @@ def _map(*pairs: tuple[str, Column]) -> Column:
 
 def salvage(raw: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """Old chunks to clean chunk rows: clean sources pass, literature is graded and rescued."""
-    g, group, none = grade_raw(raw, exclude), F.col("source_group"), F.lit(None).cast("string")
+    return salvage_graded(grade_raw(raw, exclude))
+
+
+def salvage_graded(g: DataFrame) -> DataFrame:
+    """The same of rows that ``grade_raw`` gave, for jobs that read the grades as well."""
+    group, none = F.col("source_group"), F.lit(None).cast("string")
     long_enough = F.length("cleaned") >= V.MIN_CLEAN_CHARS
     usable = F.col("grade") == "usable"
     caption = C.caption_of(F.when(F.col("grade") == "table_fragment", F.col("cleaned")))
