@@ -391,10 +391,11 @@ def drop_counters(spark, sf_dir):
     raw, pages = _raw(spark, sf_dir), _pages(spark, sf_dir)
     graded = staged(grade_raw(raw, ["src19"]), "graded")
     salvaged = staged(salvage_graded(graded), "salvaged")
+    sizes = staged(O.page_sizes(pages), "sizes")
     parsed = parse_pages(pages, _overrides(spark), _page_tables(spark, sf_dir),
-                         _page_blocks(spark, sf_dir))
+                         _page_blocks(spark, sf_dir), sizes)
     merged = salvaged.select("index_text").unionByName(parsed.select("index_text"))
-    return O.drop_counters(raw, graded, salvaged, pages, merged, [])
+    return O.drop_counters(raw, graded, salvaged, pages, merged, [], sizes)
 
 
 @query("repair_thai", "SELECT doc_id, md5(text || ' เชื้อรา น้ำ รากเนำโคน 25˚C') AS text_md5 FROM documents")

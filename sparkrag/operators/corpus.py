@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import cleaning as C
 from ..functions.tagging import first_case
+from ..functions.text import WS_CHARS
 from ..sources.stage import staged
 from .prefix import first_wins_wide, int_bucket, prefix
 from .tagging import bounded_rows
@@ -64,11 +65,11 @@ def dedup_removed(df: DataFrame, order: list[str]) -> DataFrame:
 
 def page_sizes(pages: DataFrame) -> DataFrame:
     """``doc, page, size, lead, trail``: characters, and white space at both ends of every page."""
-    size = F.length("text")
+    size, blank = F.length("text"), F.lit(WS_CHARS)
     return pages.select(
         "doc", "page", size.alias("size"),
-        (size - F.length(F.regexp_replace("text", "^" + V.WS + "+", ""))).alias("lead"),
-        (size - F.length(F.regexp_replace("text", V.WS + r"+\z", ""))).alias("trail"))
+        (size - F.length(F.ltrim("text", blank))).alias("lead"),
+        (size - F.length(F.rtrim("text", blank))).alias("trail"))
 
 
 def page_fingerprints(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -164,11 +165,12 @@ def corpus_stats(raw: DataFrame, salvaged: DataFrame) -> DataFrame:
 
 
 def drop_counters(raw: DataFrame, graded: DataFrame, salvaged: DataFrame, pages: DataFrame,
-                  merged: DataFrame, order: list[str]) -> DataFrame:
+                  merged: DataFrame, order: list[str], sizes: DataFrame | None = None) -> DataFrame:
     """What the corpus build left out, as rows ``(counter, n)``; counters at zero have no row.
 
     ``graded`` is what is left of ``raw`` after exclusion, ``salvaged`` the chunks made of it,
-    ``merged`` all chunks before deduplication.
+    ``merged`` all chunks before deduplication.  ``sizes`` is ``page_sizes(pages)``, where it was
+    made before.
     """
     def total(df, name):
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
@@ -178,7 +180,7 @@ def drop_counters(raw: DataFrame, graded: DataFrame, salvaged: DataFrame, pages:
                                              .select(F.lit(name).alias("counter"), "n"))
         return both
 
-    sizes = staged(page_sizes(pages), "sizes")
+    sizes = staged(page_sizes(pages), "sizes") if sizes is None else sizes
     kept = dedup_documents(pages, sizes)
     group = F.col("source_group")
     parts = [

@@ -99,15 +99,16 @@ def text_outside_tables(pages: DataFrame, tables: DataFrame, blocks: DataFrame)
 
 
 def parse_pages(pages: DataFrame, overrides: DataFrame, tables: DataFrame | None = None,
-                blocks: DataFrame | None = None) -> DataFrame:
+                blocks: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Page text to chunks: one chunk per valid table, the body text split by sentence.
 
     ``pages``: doc, page, text.  ``tables``: doc, page, table_no, markdown.  ``blocks``: doc, page,
     block_no, text and a box x0, y0, x1, y1, which ``tables`` then has too: text inside the box of
     a valid table stays out of the body.  Copies of whole documents and documents that still need
-    OCR are left out, judged by their full text.
+    OCR are left out, judged by their full text.  ``sizes`` is ``page_sizes(pages)``, where it was
+    made before.
     """
-    sizes = staged(O.page_sizes(pages), "sizes")
+    sizes = staged(O.page_sizes(pages), "sizes") if sizes is None else sizes
     kept = O.dedup_documents(pages, sizes).select("doc")
     sparse = O.flag_sparse_docs(pages, sizes).filter("needs_ocr").select("doc")
     wanted = staged(kept.join(sparse, "doc", "left_anti"), "kept")
