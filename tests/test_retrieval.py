@@ -171,3 +171,10 @@ def test_quotes(spark):
     got = quoted_pairs(d, q)
     assert "array_distinct" not in got._jdf.queryExecution().toString()
     assert {(x["query_id"], x["chunk_id"]): x["windows"] for x in got.collect()} == want and want
+
+
+def test_gold_of_the_search_is_made_once(spark):
+    """Sizes and hits read the pairs of quotes; they don't cut all texts into windows once each."""
+    from sparkrag.catalog import load
+    out = load()[0]["evaluate_search"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
