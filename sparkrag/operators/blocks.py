@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import fixed_values as V
 from ..functions.text import let, once, strip
@@ -123,15 +130,59 @@ def table_to_markdown(cells: DataFrame, headers: DataFrame) -> DataFrame:
         F.col("rows.line"), caption).alias("markdown"))
 
 
+_LINE = ("page_id", "block", "par", "line")
+_BOX = ("top", "left", "height")
+
+
+def _line_parts(total: pa.DataType):
+    """Words that follow each other, with neighbouring numbers, as one row: the number of the first,
+    their count and their texts with blanks between, which can be told apart again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = np.ones(b.num_rows, bool)
+            if b.num_rows > 1:
+                same = pc.equal(pc.subtract(b["word_no"][1:], b["word_no"][:-1]), 1)
+                for c in _LINE:
+                    same = pc.and_(same, pc.equal(b[c][1:], b[c][:-1]))
+                own = pc.match_substring(b["text"], " ").to_numpy(False)
+                new[1:] = ~pc.fill_null(same, False).to_numpy(False) | own[1:] | own[:-1]
+            at = np.flatnonzero(new)
+            ends = np.append(at, b.num_rows)
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b["text"])
+            width = pa.table({"part": np.cumsum(new), "width": b["width"]}).group_by(
+                "part", use_threads=False).aggregate([("width", "sum")])["width_sum"]
+            first = b.take(pa.array(at)).select([*_LINE, "word_no", *_BOX])
+            yield pa.RecordBatch.from_arrays(
+                [*first.columns, pa.array(np.diff(ends), pa.int32()), pc.binary_join(words, " "),
+                 width.combine_chunks().cast(total)],
+                names=[*first.schema.names, "n", "text", "width"])
+    return run
+
+
 def words_to_lines(words: DataFrame) -> DataFrame:
-    """OCR words to lines per (page, block, par, line); blank words are dropped."""
-    w = words.filter(strip(F.col("text")) != "")
-    first = F.struct("word_no", "top", "left", "height")
-    return (w.groupBy("page_id", "block", "par", "line").agg(
-        F.concat_ws(" ", F.array_sort(F.collect_list(F.struct("word_no", "text")))["text"])
-        .alias("text"), F.min(first).alias("f"), F.sum("width").alias("width"))
-        .select("page_id", "block", "par", "line", "text", "f.top", "f.left", "width",
-                "f.height"))
+    """OCR words to lines per (page_id, block, par, line); blank words are dropped.
+
+    Words come line by line, so lines are put together where they are read, without sorting, and only
+    parts of lines are shuffled.  Words in any other order give the same lines from more parts.
+    """
+    # Most words show by their first letter that they are not blank.
+    filled = F.ascii("text").between(33, 126) | (strip(F.col("text")) != "")
+    w = words.filter(filled).select(*_LINE, "word_no", *_BOX, "text", "width")
+    total = w.select(F.sum("width").alias("width")).schema["width"]
+    part = T.StructType([*w.schema.fields[:-2], T.StructField("n", T.IntegerType()),
+                         w.schema["text"], total])
+    # Dealt out before they are collected: a task that reads would sort all of its parts, and spill.
+    parts = w.mapInArrow(_line_parts(to_arrow_type(total.dataType)), part).repartition(*_LINE)
+    lines = parts.groupBy(*_LINE).agg(
+        F.collect_list(F.struct("word_no", "n", "text")).alias("parts"),
+        F.min(F.struct("word_no", *_BOX)).alias("f"),
+        F.sum("width").cast(total.dataType).alias("width"))
+    single = lambda p: F.transform(
+        F.when(p["n"] == 1, F.array(p["text"])).otherwise(F.split(p["text"], " ")),
+        lambda x, i: F.struct((p["word_no"] + i).alias("word_no"), x.alias("text")))
+    text = F.when(F.size("parts") == 1, F.col("parts")[0]["text"]).otherwise(F.concat_ws(
+        " ", F.array_sort(F.flatten(F.transform("parts", single)))["text"]))
+    return lines.select(*_LINE, text.alias("text"), "f.top", "f.left", "width", "f.height")
 
 
 def text_to_lines(df: DataFrame, text: str = "text") -> DataFrame:

@@ -60,6 +60,48 @@ def test_layout(spark):
     assert chunk["block_type"] == "text" and "drain" in chunk["text"]
 
 
+def _shuffled(spark):
+    """Bytes written to shuffles so far."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_lines_are_made_before_the_shuffle(spark):
+    """Words in order, backwards and dealt out, with gaps and blanks: parts of lines are all that meet."""
+    rng, rows = random.Random(5), []
+    for page in range(40):
+        for n in range(rng.randrange(1, 90)):
+            text = rng.choice(["a", "b b", " ", "", None, "ç"])
+            height = rng.choice([None, 20])
+            rows.append((f"p{page}", 0, page % 2 or None, n // 10, n, text, n // 10 * 20,
+                         rng.randrange(50), rng.choice([None, 10, 25]), height))
+    df = spark.createDataFrame(rows, "page_id string, block int, par int, line int, word_no int, "
+                               "text string, top int, left int, width int, height int")
+    want, seen = {}, [r for r in rows if r[5] and r[5].strip()]
+    for r in sorted(seen, key=lambda r: (r[0], r[4])):
+        x = want.setdefault(r[:4], [[], r[6], r[7], None, r[9]])
+        x[0].append(r[5])
+        x[3] = x[3] if r[8] is None else (x[3] or 0) + r[8]
+    want = {k: (" ".join(x[0]), *x[1:]) for k, x in want.items()}
+    for words in (df.coalesce(1), df.coalesce(1).sortWithinPartitions(F.desc("word_no")),
+                  df.repartition(7)):
+        got = B.words_to_lines(words)
+        assert got.columns == ["page_id", "block", "par", "line", "text", "top", "left", "width",
+                               "height"] and dict(got.dtypes)["width"] == "bigint"
+        assert {tuple(r[:4]): tuple(r[4:]) for r in got.collect()} == want
+
+    n = F.col("id").cast("int")
+    many = spark.range(0, 200_000, 1, 4).select(
+        F.floor(n / 1000).alias("page_id"), F.lit(0).alias("block"), F.lit(0).alias("par"),
+        F.floor(n / 10).alias("line"), n.alias("word_no"),
+        F.substring(F.md5(n.cast("string")), 1, 6).alias("text"), (n % 977).alias("top"),
+        (n % 10 * 50).alias("left"), F.lit(60).alias("width"), F.lit(20).alias("height"))
+    before = _shuffled(spark)
+    B.words_to_lines(many).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 20_000 * 110
+
+
 def test_containment(spark):
     from sparkrag.operators.corpus import blocks_outside_tables
     b = spark.createDataFrame([(1, "d", 1, 0, 0, 5, 5), (2, "d", 1, 50, 0, 60, 5), (3, "d", 2, 0, 0, 5, 5)],
