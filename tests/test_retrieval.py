@@ -47,6 +47,35 @@ def test_salted_join_gives_the_same_scores(spark, corpus, monkeypatch):
     assert {tuple(r) for r in BM.bm25_scores(q, index).collect()} == a
 
 
+def test_dense_bar(monkeypatch):
+    """Once a query has its k chunks, others are only compared with the worst of them; ties, vectors
+    that are zero or not finite, and masked rows as in a search without a bar."""
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    vec = rng.integers(-2, 3, (900, 6)).astype(float)  # many equal scores
+    vec[5], vec[9, 0], vec[11, 2] = 0, np.inf, np.nan
+    ids = rng.permutation(900)
+    monkeypatch.setattr(DN, "SCORE_CELLS", 60 * 40)
+    cuts, whole = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda s, *a, **k: cuts.append(len(s)) or whole(s, *a, **k))
+    pdf = pd.DataFrame({"chunk_id": ids, "vec": list(vec)})
+    with np.errstate(invalid="ignore"):
+        unit = DN._unit(list(vec))
+        for low in (None, 0.3):
+            best = DN._TopK(unit[:60], [], 7, low, list(ids[:60]))
+            cuts.clear()
+            best.add(pdf)
+            assert sum(cuts) <= 4 * 60
+            got = list(zip(best.row.tolist(), best.ids.tolist(), best.score.tolist()))
+            exact = np.round(unit[:60] @ unit.T, DN.SCORE_DIGITS)
+            want = []
+            for q in range(60):
+                rows = [(-exact[q, c], ids[c]) for c in range(900) if c != q
+                        and np.isfinite(exact[q, c]) and (low is None or exact[q, c] >= low)]
+                want += [(q, i, -x) for x, i in sorted(rows)[:7]]
+            assert got == want
+
+
 def test_dense_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
