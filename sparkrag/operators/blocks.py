@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import fixed_values as V
 from ..functions.text import let, once, strip
+from ..sources.stage import staged
 from .prefix import int_bucket, prefix
 from .segments import split_runs
 
@@ -71,19 +72,28 @@ def chunk_document(df: DataFrame, size: int = V.SECTION_CHUNK_SIZE,
     first block of the run.  One pass of running values gives sections, runs and the place of
     every text among the characters of its document; no run has to fit one row or task.
     """
+    return _chunks(df, ["pos"], int_bucket("pos"), size, ratio)
+
+
+def _chunks(df: DataFrame, order: list[str], bucket: Column, size: int, ratio: float) -> DataFrame:
+    """The same for blocks in any order; without a position, that is their running number.  Such a
+    table is a staged one, read twice."""
+    number = {} if "pos" in order else {"pos": F.lit(1)}
     # Types and texts are long expressions, read by every running value.
     src = once(df, "__block", F.struct(F.col("block_type").alias("kind"), _text().alias("body")))
     kind = F.col("__block.kind")
-    src = src.select("doc_id", "pos", "image_path", kind.alias("block_type"), "__block.body",
+    src = src.select("doc_id", *order, "image_path", kind.alias("block_type"), "__block.body",
                      (~kind.isin("title", "table", "image", "scan_page")).alias("is_text"))
     src = src.where(~F.col("is_text") | (F.col("body") != ""))
     rows = prefix(
-        src, ["doc_id"], ["pos"], int_bucket("pos"),
-        sums={"run": F.when(F.col("is_text"), 0).otherwise(1),
+        src, ["doc_id"], order, bucket, stage=not number,
+        sums={**number, "run": F.when(F.col("is_text"), 0).otherwise(1),
               "end": F.when(F.col("is_text"), F.length("body") + 1).otherwise(0)},
         lasts={"section": F.when(F.col("block_type") == "title", F.col("body"))},
         prevs={"after_text": F.col("is_text")})
     rows = rows.withColumn("section", F.coalesce("section", F.lit("")))
+    if number:
+        rows = rows.withColumn("pos", F.col("pos") - 1)
     whole = rows.where((F.col("body") != "") | (F.coalesce("image_path", F.lit("")) != "")).where(
         ~F.col("is_text") & (F.col("block_type") != "title"))
     texts = rows.where("is_text").select(
@@ -207,33 +217,61 @@ def _join_parts(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(""), add)
 
 
-def restore_layout(lines: DataFrame) -> DataFrame:
-    """Lines with boxes to paragraphs: a gap above 1.5 median line heights starts a new one."""
-    h = F.greatest(F.coalesce("height", F.lit(0)), F.lit(1))
-    src = lines.withColumn("__h", h)
-    median = src.groupBy("page_id").agg(F.percentile("__h", F.lit(0.5)).alias("median_h"))
+def restore_layout(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with boxes to paragraphs: a gap above 1.5 median line heights starts a new one.
+
+    ``keep`` names columns that all lines of a page share; paragraphs carry them.  Texts are dealt out
+    once, by page and bucket of lines, and joined there.  Only pages of several buckets need more:
+    where a bucket goes on with the paragraph of the one before, their texts are joined.
+    """
+    src = lines.select("page_id", *keep, "top", "left", "text", int_bucket("top").alias("bucket"),
+                       F.greatest(F.coalesce("height", F.lit(0)), F.lit(1)).alias("__h"))
+    heights = staged(src.groupBy("page_id", "bucket", "__h").agg(F.count("*").alias("n")), "heights")
+    pages = heights.groupBy("page_id").agg(
+        F.percentile("__h", F.lit(0.5), F.col("n")).alias("median_h"),
+        (F.min("bucket") < F.max("bucket")).alias("many"))
+    buckets = heights.select("page_id", "bucket").distinct().join(pages, "page_id")
     order = ["top", "left", "text"]
-    prev = prefix(src, ["page_id"], order, int_bucket("top"),
-                  prevs={"bottom": F.col("top") + F.col("__h")})
-    new = F.col("top") - F.col("bottom") > F.col("median_h") * V.PARAGRAPH_GAP_FACTOR
-    marked = prev.join(median, "page_id").withColumn(
-        "__new", F.when(F.coalesce(new, F.lit(False)), 1).otherwise(0))
-    runs = prefix(marked, ["page_id"], order, int_bucket("top"),
-                  sums={"par_idx": F.col("__new")})
-    parts = F.array_sort(F.collect_list(F.struct(*order)))
-    out = runs.groupBy("page_id", "par_idx").agg(_join_parts(parts["text"]).alias("text"))
+    local = Window.partitionBy("page_id", "bucket").orderBy(*order)
+    rows = src.join(buckets, ["page_id", "bucket"]).withColumns({
+        "end": F.col("top") + F.col("__h"), "bottom": F.lag(F.col("top") + F.col("__h")).over(local)})
+    gap = F.col("top") - F.col("bottom") > F.col("median_h") * V.PARAGRAPH_GAP_FACTOR
+    new = F.when(F.coalesce(gap, F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("new", new).withColumn("par", F.sum("new").over(
+        local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = F.struct(*order)
+    # Read by the pages that are done, by those of several buckets and by the sums over buckets.
+    found = staged(rows.groupBy("page_id", "bucket", "par").agg(
+        *[F.min(c).alias(c) for c in keep], F.first("many").alias("many"),
+        F.first("median_h").alias("median_h"), F.min("top").alias("top"),
+        F.max_by("end", at).alias("end"), F.array_sort(F.collect_list(at)).alias("parts"))
+        .withColumn("text", _join_parts(F.col("parts.text"))).drop("parts"), "layout")
+    names = ["page_id", *keep, "par_idx", "text"]
+    done = found.where("NOT many").withColumnRenamed("par", "par_idx").select(*names)
+
+    several = found.where("many")
+    across = Window.partitionBy("page_id").orderBy("bucket")
+    sums = several.groupBy("page_id", "bucket").agg(
+        F.max("par").alias("inside"), F.min("top").alias("top"), F.max_by("end", "par").alias("end"),
+        F.first("median_h").alias("median_h")).withColumn("bottom", F.lag("end").over(across))
+    sums = sums.withColumn("new", new).select("page_id", "bucket", (
+        F.sum("new").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        + F.coalesce(F.sum("inside").over(across.rowsBetween(Window.unboundedPreceding, -1)),
+                     F.lit(0))).alias("before"))
+    joined = several.join(sums, ["page_id", "bucket"]).groupBy(
+        "page_id", (F.col("before") + F.col("par")).alias("par_idx")).agg(
+        *[F.min(c).alias(c) for c in keep],
+        F.array_sort(F.collect_list(F.struct("bucket", "text"))).alias("parts")).withColumn(
+        "text", _join_parts(F.col("parts.text")))
+    out = done.unionByName(staged(joined.select(*names), "spanning"))
     return out.filter(F.col("text") != "")
 
 
 def pages_to_chunks(lines: DataFrame, size: int = V.SECTION_CHUNK_SIZE,
                     ratio: float = V.SECTION_OVERLAP_RATIO) -> DataFrame:
     """Scanned pages ``(doc_id, page_idx, page_id, lines...)`` to section chunks."""
-    where = lines.select("page_id", "doc_id", "page_idx").distinct()
-    paragraphs = restore_layout(lines.drop("doc_id", "page_idx")).join(where, "page_id")
-    numbered = prefix(paragraphs, ["doc_id"], ["page_idx", "par_idx"], int_bucket("page_idx", 256),
-                      sums={"pos": F.lit(1)})
-    blocks = numbered.select("doc_id", (F.col("pos") - 1).alias("pos"), "text", "page_idx",
-                             F.lit("text").alias("block_type"),
-                             F.lit(None).cast("string").alias("content"),
-                             F.lit(None).cast("string").alias("image_path"))
-    return chunk_document(blocks, size, ratio)
+    none = F.lit(None).cast("string")
+    blocks = restore_layout(lines, ("doc_id", "page_idx")).select(
+        "doc_id", "page_idx", "par_idx", "text", F.lit("text").alias("block_type"),
+        none.alias("content"), none.alias("image_path"))
+    return _chunks(blocks, ["page_idx", "par_idx"], int_bucket("page_idx", 256), size, ratio)

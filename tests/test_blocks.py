@@ -60,6 +60,46 @@ def test_layout(spark):
     assert chunk["block_type"] == "text" and "drain" in chunk["text"]
 
 
+def test_layout_of_long_pages(spark):
+    """Paragraphs that go on from bucket to bucket, pages of one bucket beside them, chunks in order."""
+    rng, rows, want = random.Random(8), [], {}
+    for page in range(6):
+        top, bottom, paragraphs = rng.choice([0, 65_500]), None, []
+        for n in range(rng.choice([1, 40])):
+            top += rng.choice([20, 45, 60, 30_000 if page % 2 else 45, 70_000 if page % 2 else 20])
+            text = rng.choice(["甲", "b c", " d "])
+            if bottom is None or top - bottom > 30:
+                paragraphs.append([])
+            paragraphs[-1].append(text)
+            rows.append((f"p{page}", f"d{page // 3}", page % 3, text, top, 0, 10, 20))
+            bottom = top + 20
+        for i, p in enumerate(paragraphs):
+            got = ""
+            for x in map(str.strip, p):
+                got += x if not got or "甲" in (got[-1], x[0]) else " " + x
+            want[f"p{page}", i] = got
+    df = spark.createDataFrame(rows, "page_id string, doc_id string, page_idx int, text string, "
+                               "top int, left int, width int, height int").repartition(5)
+    got = B.restore_layout(df.drop("doc_id", "page_idx")).collect()
+    assert {(r.page_id, r.par_idx): r.text for r in got} == want and len(got) == len(want)
+    chunks = B.pages_to_chunks(df.withColumn("text", F.repeat("text", 9)), 120)
+    assert chunks.columns[0] == "doc_id"
+    starts = [r.source_index for r in chunks.select("source_index").distinct().collect()]
+    assert starts == [0]
+
+
+def test_texts_of_pages_are_shuffled_three_times(spark):
+    text = F.sha2(F.col("id").cast("string"), 512)
+    df = spark.range(0, 40_000, 1, 4).select(
+        F.floor(F.col("id") / 20).alias("page_id"), F.floor(F.col("id") / 100).alias("doc_id"),
+        (F.floor(F.col("id") / 20) % 5).cast("int").alias("page_idx"), text.alias("text"),
+        (F.col("id") % 20 * 45).cast("int").alias("top"), F.lit(0).alias("left"),
+        F.lit(0).alias("width"), F.lit(20).alias("height"))
+    before = _shuffled(spark)
+    B.pages_to_chunks(df).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 4.5 * 40_000 * 128
+
+
 def _shuffled(spark):
     """Bytes written to shuffles so far."""
     none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
