@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrag.models import embed_with_hash
+from sparkrag.models import embed_with_hash, hash_embed
 from sparkrag.operators import bm25 as BM
 from sparkrag.operators import dense as DN
 from sparkrag.operators import fusion as FU
@@ -76,6 +76,24 @@ def test_dense_bar(monkeypatch):
             assert got == want
 
 
+def test_hash_embed(spark):
+    """Counts of hashed tokens, without a pass over the tokens for every slot."""
+    import hashlib
+    words = [f"w{i % 70}" for i in range(200)]
+    df = spark.createDataFrame([(0, words), (1, []), (2, ["é", None, "é"]), (3, None)],
+                               "id int, t array<string>")
+    for dim in (64, 10, 100):
+        got = dict(df.select("id", hash_embed("t", dim).alias("v")).collect())
+        for i, tokens in ((0, words), (1, []), (2, ["é", "é"])):
+            v = np.zeros(dim)
+            for x in tokens:
+                v[int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % dim] += 1
+            assert np.allclose(got[i], v / max(1e-9, np.linalg.norm(v)), atol=1e-12)
+        assert set(got[3]) == {None}
+    plan = df.select(hash_embed("t")).select("*")._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan
+
+
 def test_dense_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
