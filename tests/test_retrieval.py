@@ -94,6 +94,25 @@ def test_hash_embed(spark):
     assert "filter(" not in plan
 
 
+def test_bm25_search_in_tasks(spark, monkeypatch):
+    """The best of every slice against all scores in rows, with ties and documents without tokens."""
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", " ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 6))))
+            for i in range(300)] + [("none", None)]
+    index = BM.bm25_index(spark.createDataFrame(rows, "chunk_id string, text string").repartition(3))
+    asked = qs(spark, "w1 w2 w3", "w4", "w9 w11 nowhere", "nowhere", "")
+    scores = BM.bm25_scores(asked, index).where("score > 0").collect()
+    monkeypatch.setattr(BM, "SCORE_CELLS", 4 * 17)
+    called = []
+    monkeypatch.setattr(BM, "bm25_scores", lambda *a: called.append(1))
+    got = [tuple(r) for r in BM.bm25_search(asked, index, 7).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in sorted({r.query_id for r in scores}):
+        best = sorted((-r.score, r.chunk_id) for r in scores if r.query_id == q)[:7]
+        want += [(q, c, -x, i + 1) for i, (x, c) in enumerate(best)]
+    assert got == want and len(got) == 21 and not called
+
+
 def test_dense_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
