@@ -33,13 +33,14 @@ LEAST = 24  # occurrences that a pair needs to become a rule
 TARGET = 16 << 20
 CACHE_CHUNKS = 600_000  # in each of two generations
 LONG_CHUNK = 64
+WORDS = 64  # chunks merged at once
 
 _HASH_BITS = 20
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a"
                         "\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _BETWEEN = re.compile(r"(?<=\S) (?=[^\s])")
 _LETTER_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_LETTERS = re.compile(f"({_LETTER_RUN.pattern})([.,;:!?|]*)")
+_LETTERS = re.compile(f"({_LETTER_RUN.pattern})([!-&(-/:-@\\[-`{{-~]*)")
 
 FILE_SCHEMA = ("shard int, block int, n_docs long, n_ids long, doc_ids binary, counts binary, "
                "begins binary, rules binary, lengths binary, symbols binary, terminals int")
@@ -54,6 +55,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BEGINS = (_BYTE_LETTERS[0x20], _BYTE_LETTERS[0x0A])
+_LEAD, _NEXT = ("".join(map(_BYTE_LETTERS.get, r)) for r in (range(0xC3, 0xCA), range(0x80, 0xC0)))
+_ACROSS = re.compile(f"(?:[A-Za-z]|(?:^|[{_LEAD}])[{_NEXT}])[{''.join(_BEGINS)}]"  # from a letter
+                     f"|{_BEGINS[1]}[A-Za-z{_LEAD}]")
 
 
 class IdEncoder:
@@ -62,12 +67,17 @@ class IdEncoder:
     Such a tokenizer splits a text before any single blank that stands between two other
     characters, and around any single line feed that does, whatever comes before and after; the
     chunks between are encoded independently.  Chunks of Latin letters, with or without marks
-    behind them, are one or two of its words and go straight to its merges.
+    behind them, are one or two of its words and go straight to its merges, many at once: where no
+    token goes on from a letter to a blank or past a line feed, no merge does.
     """
 
     def __init__(self, path: str):
         self.library = tokenizers.Tokenizer.from_file(path)
         self.merges = self.library.model
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.apart = not any(map(_ACROSS.search, vocabulary))
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] in _BEGINS]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -75,38 +85,62 @@ class IdEncoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of the tokenizer's own splitting."""
-        shown = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+    def _merged(self, text: str) -> np.ndarray:
+        shown = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([t.id for t in self.merges.tokenize(shown)], np.uint32)
+
+    def _alone(self, chunk: str) -> bytes:
+        return self._ids(chunk if chunk[0] == "\n" else " " + chunk)
+
+    def _words(self, heads: list[str]) -> list[bytes]:
+        """Ids of chunks of letters, with a line feed or else the blank before them."""
+        if not self.apart:
+            return list(map(self._alone, heads))
+        ids = self._merged("".join([h if h[0] == "\n" else " " + h for h in heads]))
+        cuts = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _marks(self, marks: str) -> bytes:
         if len(marks) > 4:
-            return self._word(marks)
+            return self._ids(marks)
         out = self.marks.get(marks)
         if out is None:
-            out = self.marks[marks] = self._word(marks)
+            if len(self.marks) >= CACHE_CHUNKS:
+                self.marks.clear()
+            out = self.marks[marks] = self._ids(marks)
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk with the blank before it, or of one that begins with a line feed."""
-        out = self.old.get(chunk)
-        if out is None:
-            feed = chunk[:1] == "\n"
-            plain = _LETTERS.fullmatch(chunk, 1 if feed else 0)
-            if plain:
-                word, marks = plain.groups()
-                if marks:
-                    head = chunk[:-len(marks)]
-                    out = (self.young.get(head) or self._chunk(head)) + self._marks(marks)
-                else:
-                    out = self._word("\n") + self._word(word) if feed else self._word(" " + word)
-            else:
-                out = self._ids(chunk if feed else " " + chunk)
+    def _keep(self, chunk: str, ids: bytes) -> None:
         if len(chunk) <= LONG_CHUNK:
             if len(self.young) >= CACHE_CHUNKS:
                 self.old, self.young = self.young, {}
-            self.young[chunk] = out
+            self.young[chunk] = ids
+
+    def _look_up(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, with the blank before them or beginning with a line feed."""
+        out: dict[str, bytes | None] = {c: self.old.get(c) for c in chunks}
+        marked: dict[str, tuple[str, str]] = {}
+        heads: dict[str, bytes | None] = {}
+        for chunk, known in out.items():
+            if known is not None:
+                continue
+            plain = _LETTERS.fullmatch(chunk, 1 if chunk[0] == "\n" else 0)
+            if not plain:
+                out[chunk] = self._alone(chunk)
+                continue
+            head, marks = chunk[:plain.end(1)], plain[2]
+            marked[chunk] = head, marks
+            if head not in heads:
+                heads[head] = (self.young.get(head) or self.old.get(head)) if marks else None
+        new = [h for h, known in heads.items() if known is None]
+        for at in range(0, len(new), WORDS):
+            part = new[at:at + WORDS]
+            heads.update(zip(part, self._words(part)))
+        for chunk, (head, marks) in marked.items():
+            out[chunk] = heads[head] + self._marks(marks) if marks else heads[head]
+        for chunk, ids in (heads | out).items():
+            self._keep(chunk, ids)
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -117,8 +151,14 @@ class IdEncoder:
         first, *rest = text.replace("\n", " \n").split(" ") if plain else _BETWEEN.split(text)
         found = list(map(self.young.get, rest))
         if None in found:
-            found = [f if f is not None else self._chunk(c) for f, c in zip(found, rest)]
-        begin = self._word(first) if first and _LETTER_RUN.fullmatch(first) else self._ids(first)
+            at = [i for i, f in enumerate(found) if f is None]
+            known = self._look_up([rest[i] for i in at])
+            for i in at:
+                found[i] = known[rest[i]]
+        if first and _LETTER_RUN.fullmatch(first):
+            begin = self._merged(first).tobytes()
+        else:
+            begin = self._ids(first)
         return np.frombuffer(begin + b"".join(found), np.uint32)
 
 
@@ -128,77 +168,86 @@ def encoder_of(path: str) -> IdEncoder:
     return IdEncoder(path)
 
 
-def _spot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _joined(left: np.ndarray, right: np.ndarray, kind: type) -> np.ndarray:
+    """Pairs of symbols as numbers of the given kind, which has room for two symbols."""
+    return left.astype(kind) << kind(4 * kind().nbytes) | right.astype(kind)
+
+
+def _spot(own: np.ndarray) -> np.ndarray:
     """Hashed places of pairs."""
+    kind = own.dtype.type
     with np.errstate(over="ignore"):
-        spot = left * np.uint32(0x9E3779B1)
-        spot += right * np.uint32(0x85EBCA6B)
-        spot ^= spot >> np.uint32(15)
-        return ((spot * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
+        spot = own * kind(0x9E3779B97F4A7C15 & np.iinfo(kind).max)
+        return (spot >> kind(8 * own.itemsize - _HASH_BITS)).astype(np.int64)
 
 
-def _numbers(pairs: np.ndarray, own: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``own``, hashed to ``spot``, are among the sorted ``pairs``, and their numbers there.
+def _numbers(pairs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``own`` are among the sorted ``pairs``, as places in ``own``, and their numbers there.
 
     A hashed place names one pair; only what stands at places of several is searched for.
     """
-    places = _spot((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    places, spot = _spot(pairs), _spot(own)
     table = np.zeros(1 << _HASH_BITS, np.int32)
     table[places] = np.arange(len(pairs))
     number = table[spot]
     hit = pairs[number] == own
-    shared = np.flatnonzero(table[places] != np.arange(len(pairs)))
+    shared = places[table[places] != np.arange(len(pairs))]
     if len(shared):
         several = np.zeros(1 << _HASH_BITS, bool)
-        several[places[shared]] = True
-        rest = np.flatnonzero(several[spot] & ~hit)
+        several[shared] = True
+        rest = np.flatnonzero(several[spot])
         found = np.minimum(np.searchsorted(pairs, own[rest]), len(pairs) - 1)
         number[rest] = found
         hit[rest] = pairs[found] == own[rest]
-    return hit, number
+    hit = np.flatnonzero(hit)
+    return hit, number[hit]
 
 
-def _frequent(symbols: np.ndarray, at: np.ndarray, least: int):
-    """Pairs that begin at ``least`` of the places ``at`` or more, most frequent first, their places
+def _frequent(symbols: np.ndarray, live: np.ndarray, least: int, kind: type):
+    """Pairs that begin at ``least`` of the ``live`` places or more, most frequent first, their places
     and, for every place, the number of its pair."""
-    left, right = symbols[at], symbols[at + 1]
-    spot = _spot(left, right)
-    # No pair is as frequent as its hashed place; the rest is counted pair by pair.
-    full = (np.bincount(spot, minlength=1 << _HASH_BITS) >= least)[spot]
-    at, left, right, spot = at[full], left[full], right[full], spot[full]
-    own = left.astype(np.uint64) << np.uint64(32) | right
+    at = np.flatnonzero(live)
+    if len(at) > len(symbols) // 8:
+        own = _joined(symbols[:-1], symbols[1:], kind)[live[:-1]]
+    else:
+        own = _joined(symbols[at], symbols[at + 1], kind)
     # Of pairs of one symbol that overlap every second one counts, from the left.
-    same = np.flatnonzero(left == right)
-    run = np.concatenate([[True], np.diff(at[same]) > 1])[:len(same)]
-    first = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
     odd = np.zeros(len(at), bool)
-    odd[same[(np.arange(len(same)) - first) % 2 == 1]] = True
-    pairs, counts = np.unique(own[~odd], return_counts=True)
-    pairs, counts = pairs[counts >= least], counts[counts >= least]
+    same = np.flatnonzero(own >> kind(4 * own.itemsize) == own & kind((1 << 4 * own.itemsize) - 1))
+    if len(same):
+        run = np.concatenate([[True], np.diff(at[same]) > 1])
+        first = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
+        odd[same[(np.arange(len(same)) - first) % 2 == 1]] = True
+    counted = np.sort(own[~odd] if len(same) else own)
+    begin = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])[:len(counted)])
+    counts = np.diff(begin, append=len(counted))
+    pairs, counts = counted[begin[counts >= least]], counts[counts >= least]
     if not len(pairs):
         return pairs, at[:0], at[:0], odd[:0]
-    hit, place = _numbers(pairs, own, spot)
+    hit, place = _numbers(pairs, own)
     order = np.lexsort((pairs, -counts))
-    rank = np.empty(len(pairs), np.int64)
+    rank = np.empty(len(pairs), np.int32)
     rank[order] = np.arange(len(pairs))
-    return pairs[order], at[hit], rank[place[hit]], odd[hit]
+    return pairs[order], at[hit], rank[place], odd[hit]
 
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the places are taken if the more frequent of two overlapping pairs goes first."""
     taken = np.zeros(len(at), bool)
-    rest = np.arange(len(at))
-    while len(rest):
-        near = np.diff(at[rest]) == 1
-        behind = rank[rest[1:]] < rank[rest[:-1]]
-        wins = np.ones(len(rest), bool)
+    rest = None
+    while len(at):
+        near = at[1:] - at[:-1] == 1
+        behind = rank[1:] < rank[:-1]
+        wins = np.ones(len(at), bool)
         wins[:-1] &= ~(near & behind)
         wins[1:] &= ~(near & ~behind)
-        taken[rest[wins]] = True
+        taken[wins if rest is None else rest[wins]] = True
         beside = wins.copy()
         beside[:-1] |= near & wins[1:]
         beside[1:] |= near & wins[:-1]
-        rest = rest[~beside]
+        more = np.flatnonzero(~beside)
+        rest = more if rest is None else rest[more]
+        at, rank = at[more], rank[more]
     return taken
 
 
@@ -213,42 +262,41 @@ def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int | None = None, leas
     symbols = ids.astype(np.uint32)
     terminals = int(symbols.max()) + 1 if len(symbols) else 1
     filled = sizes > 0
-    ends = np.cumsum(sizes)
-    starts, last = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
-    starts[(ends - sizes)[filled]] = True
-    last[ends[filled] - 1] = True  # the last symbol of a document starts no pair
+    last = np.cumsum(sizes)[filled] - 1  # the last symbol of a document starts no pair
     found, n_rules = [np.empty((0, 2), np.int64)], 0
-    live = ~last  # where a pair begins that can be frequent
+    live = np.ones(len(symbols), bool)  # where a pair begins that can be frequent
+    live[last] = False
     for _ in itertools.count() if rounds is None else range(rounds):
-        pairs, at, rank, odd = _frequent(symbols, np.flatnonzero(live), least)
+        kind = np.uint32 if terminals + n_rules <= 1 << 16 else np.uint64
+        pairs, at, rank, odd = _frequent(symbols, live, least, kind)
         if not len(pairs):
             break
         live[:] = False
         live[at] = True
-        at, rank = at[~odd], rank[~odd]
-        taken = _apart(at, rank)
+        if odd.any():
+            at, rank = at[~odd], rank[~odd]
+        taken = np.flatnonzero(_apart(at, rank))
         at, rank = at[taken], rank[taken]
         used = np.bincount(rank, minlength=len(pairs)) >= least
         named = np.cumsum(used) - 1
-        at, rank = at[used[rank]], rank[used[rank]]
-        base = terminals + n_rules
-        chosen = pairs[used]
-        found.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1)
-                     .astype(np.int64))
+        some = np.flatnonzero(used[rank])
+        at, rank = at[some], rank[some]
+        chosen, half = pairs[used].astype(np.int64), 4 * kind().nbytes
+        found.append(np.stack([chosen >> half, chosen & ((1 << half) - 1)], axis=1))
+        symbols[at] = (terminals + n_rules + named)[rank]
         n_rules += len(chosen)
-        symbols[at] = base + named[rank]
-        last[at] = last[at + 1]
         live[at] = True
-        live[at[at > 0] - 1] = True  # a removed symbol before it gives way to one that is live
+        live[np.maximum(at, 1) - 1] = True  # a removed symbol before it gives way to a live one
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last, starts, live = symbols[keep], last[keep], starts[keep], live[keep]
-        live &= ~last
+        last -= np.searchsorted(at, last)  # symbols removed up to it
+        symbols, live = symbols[keep], live[keep]
+        live[last] = False
     rules = np.concatenate(found)
     lengths = _lengths(rules, terminals)
     begins = np.zeros(len(sizes) + 1, np.int64)
     begins[-1] = len(symbols)
-    begins[:-1][filled] = np.flatnonzero(starts)
+    begins[:-1][filled] = np.concatenate([[0], last + 1])[:len(last)]
     for k in range(len(sizes) - 1, -1, -1):
         if not sizes[k]:
             begins[k] = begins[k + 1]

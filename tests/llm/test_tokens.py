@@ -103,6 +103,39 @@ def test_ids(ids, some_docs):
         assert ids.encode(text or "").tolist() == want
 
 
+def test_new_words_go_to_the_merges_together():
+    encoder, calls = token_files.IdEncoder(BYTES), []
+    merges = encoder.merges
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return merges.tokenize(text)
+
+    encoder.merges = Counted()
+    ends = ["", ".", "\nÖl", "é,", "###", "!'s", "\n", "?!\nb"]
+    words = [f"{a}rst{b}{ends[k % len(ends)]}" for k, (a, b) in enumerate(
+        (a, b) for a in "abcdefghijklmnopqrst" for b in "äbçdéfghij")]
+    text = "first " + " ".join(words) + " x"
+    assert encoder.encode(text).tolist() == encoder.library.encode(
+        text, add_special_tokens=False).ids
+    assert len(calls) < 10
+
+
+@pytest.mark.parametrize("left,right", [("a", "Ġ"), ("Ċ", "b"), ("©", "Ġa")])
+def test_merges_that_would_cross_words(tmp_path, left, right):
+    """Such a merge never happens inside a word; words are then encoded one by one."""
+    letters = list(token_files._BYTE_LETTERS.values())
+    names = letters + [t for t in ("Ġa", left + right) if t not in letters]
+    merges = [("Ġ", "a"), (left, right)]
+    made = tokenizers.Tokenizer(tokenizers.models.BPE({t: i for i, t in enumerate(names)}, merges))
+    made.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "t.json"))
+    encoder = token_files.IdEncoder(str(tmp_path / "t.json"))
+    for text in ("a a ab a", "ba\nb ba\nba b", "é aé a é b", "x é. é, a! a"):
+        assert encoder.encode(text).tolist() == made.encode(text).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=80), min_size=1, max_size=12),
        st.integers(0, 6))
