@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,6 +108,40 @@ def test_split_contexts(spark):
     check(docs, got, Tree([r.text for r in docs.collect()], 3, 4, st.COST))
 
 
+def test_levels_leave_no_shuffle_files(spark, some_docs):
+    """What a level has shuffled isn't kept for the levels behind it."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            disk.getAllFiles())
+        return {f.getName(): f.length() for f in list(files) if f.getName().startswith("shuffle_")}
+
+    def left():
+        return sum(size for name, size in shuffled().items() if name not in before)
+
+    before = shuffled()
+    got = st.score(some_docs, train(), chunk=20_000)
+    until = time.monotonic() + 10
+    while left() > 10_000 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert left() <= 10_000  # of sums with one row per task
+    assert got.count() == some_docs.count()
+
+
+def test_packed_chunk():
+    """Tokens are packed by frequency: frequent words take few bytes wherever their hashes lie."""
+    r = np.random.default_rng(0)
+    u = np.unique(r.integers(0, 1 << 63, 60_000).astype(np.uint64))
+    inv = r.permutation(len(u))[np.minimum(r.zipf(1.3, 200_000), len(u)) - 1]
+    one = [np.array([x], np.int64) for x in (5, 7, len(inv), 0)]
+    body = st.Chunk(*one, np.array([1], np.uint8), u, inv).pack()
+    back = st.Chunk.unpack(body)
+    assert (back.u == u).all() and (back.inv == inv).all() and back.learn.all()
+    plain = st.pack(*one, np.array([1], np.uint8), st._steps(u), inv.astype(np.int32))
+    assert len(body) < 0.9 * len(plain)
+
+
 def test_probabilities_add_up(some_docs):
     tree = Tree([r.text for r in some_docs.limit(60).collect()], 3, 4, 0.5)
     for context in list(tree.kept)[:20] + [("never", "seen")]:
