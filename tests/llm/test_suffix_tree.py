@@ -120,8 +120,11 @@ def test_levels_leave_no_shuffle_files(spark, some_docs):
     def left():
         return sum(size for name, size in shuffled().items() if name not in before)
 
-    before = shuffled()
+    before, settings = shuffled(), spark.conf.getAll
     got = st.score(some_docs, train(), chunk=20_000)
+    assert spark.conf.getAll == settings
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of pieces of texts; answers are where their chunks are
     until = time.monotonic() + 10
     while left() > 10_000 and time.monotonic() < until:
         time.sleep(0.2)
