@@ -1,4 +1,7 @@
 import datetime as dt
+import glob
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +139,24 @@ def test_stream_of_a_folder(spark, folder):
     assert spark.read.schema("event_id long").parquet(folder + "/rate").count() == 3
 
 
+def test_stream_of_a_file(spark, folder):
+    """A table of one file, and folders of partitions below the table's name, not above it."""
+    df = calls(spark, [0, 10, 50])
+    base = folder + "/run=1"
+    df.coalesce(1).write.parquet(folder + "/made")
+    os.makedirs(base)
+    (made,) = glob.glob(folder + "/made/*.parquet")
+    shutil.copy(made, base + "/events.parquet")
+    shutil.copy(made, base + "/other-events.parquet")
+    df.withColumn("day", F.col("event_id") % 2).write.partitionBy("day").parquet(base + "/days.parquet")
+    for name in ("events", "days"):
+        table = spark.read.parquet(f"{base}/{name}.parquet")
+        J.append(J.read_stream(spark, base + "/", name + ".parquet", table.schema),
+                 f"{folder}/{name}", f"{folder}/{name}-ck")
+        got = spark.read.schema(table.schema).parquet(f"{folder}/{name}").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, table.collect())) and len(got) == 3
+
+
 def test_late_rows(spark, folder):
     """Calls that come a batch late neither end a period early nor change what was handed out."""
     df = calls(spark, [0, 10, 50, 5, 100, 101])
