@@ -6,12 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .text import fold_spaces, let, where_found
+from .text import ascii_only, contains_any, fold_spaces, let, where_found
 
 # Three numbers with commas between them, from the first comma on: any bare list of coordinates has it.
 COORDS_MARK = rf",{V.WS}*\p{{Nd}}{{1,4}}{V.WS}*,{V.WS}*\p{{Nd}}"
 
 
+# What the patterns of parser residue need one of, besides "<" and "http".
+_RESIDUE_CHARS = r"""['"_&\\\[\]{},]"""
+
+
 def _c(col) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -81,14 +85,31 @@ def _unquote(c: Column) -> Column:
 def strip_residue(col, drop_table_html: bool = True) -> Column:
     """Remove parser residue and markup, keep natural language.
 
-    Every group of patterns runs only on texts that hold a character it needs.
+    Every group of patterns runs only on texts that hold a character it needs.  What holds none of
+    these characters has tags and spaces at most.
     """
-    c = where_found(_c(col), ["'", '"'], lambda x: _gsub(
+    tags = [V.HTML_TABLE_TAG, V.HTML_ANY_TAG] if drop_table_html else [V.HTML_ANY_TAG]
+    return let(_c(col), lambda x: F.when(
+        x.rlike(_RESIDUE_CHARS) | F.contains(x, F.lit("http")), _without_residue(x, tags))
+        .otherwise(let(_untagged(x, tags), _spaced)))
+
+
+def _spaced(c: Column) -> Column:
+    """``_trimmed`` that looks for other white space than spaces only where there can be some."""
+    single = F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
+    return F.when(c.rlike(r"[\x00-\x1f\x7f-\x{10ffff}]"), _trimmed(c)).otherwise(
+        F.btrim(single, F.lit(V.RESIDUE_EDGE_CHARS)))
+
+
+def _untagged(c: Column, tags: list[str]) -> Column:
+    return where_found(c, ["<"], lambda x: _gsub(x, *tags))
+
+
+def _without_residue(c: Column, tags: list[str]) -> Column:
+    c = where_found(c, ["'", '"'], lambda x: _gsub(
         x, V.RESIDUE_BBOX, V.RESIDUE_SCALAR, V.RESIDUE_KEY, V.RESIDUE_TYPE))
     c = where_found(c, ["_"], lambda x: _gsub(x, V.RESIDUE_BODY))
-    tags = [V.HTML_TABLE_TAG, V.HTML_ANY_TAG] if drop_table_html else [V.HTML_ANY_TAG]
-    c = where_found(c, ["<"], lambda x: _gsub(x, *tags))
-    c = where_found(c, ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
+    c = where_found(_untagged(c, tags), ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
     c = normalize_units(where_found(c, ["http"], lambda x: _gsub(x, V.URL)))
     c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(x, V.STRUCT_PUNCT))
     c = _where_like(c, {m: f"{m}[{m}{V.WS[1:-1]}]*{m}" for m in ",'"},
@@ -98,18 +119,23 @@ def strip_residue(col, drop_table_html: bool = True) -> Column:
                                           .otherwise(_trimmed(y))))
 
 
-def _share(c: Column, chars: str) -> Column:
-    """Share of the characters of a class; taken out in runs, so no character is a row of its own."""
-    return let(c, lambda x: (F.length(x) - F.length(F.regexp_replace(x, chars + "++", "")))
-               / F.greatest(F.length(x), F.lit(1)))
+def _share(c: Column, chars: str, plain: str) -> Column:
+    """Share of the characters of a class; taken out in runs, so no character is a row of its own.
+
+    ``plain`` are those of the class in ASCII, which is all that many texts hold.
+    """
+    def rest(x: Column) -> Column:
+        return F.when(ascii_only(x), F.regexp_replace(x, plain + "++", "")).otherwise(
+            F.regexp_replace(x, chars + "++", ""))
+    return let(c, lambda x: (F.length(x) - F.length(rest(x))) / F.greatest(F.length(x), F.lit(1)))
 
 
 def word_ratio(col) -> Column:
-    return _share(_c(col), V.LETTERS)
+    return _share(_c(col), V.LETTERS, "[A-Za-z]")
 
 
 def digit_ratio(c: Column) -> Column:
-    return _share(c, V.DIGIT_CHARS)
+    return _share(c, V.DIGIT_CHARS, "[0-9]")
 
 
 def grade(raw, cleaned, ratio: Column | None = None) -> Column:
@@ -140,23 +166,26 @@ def caption_of(cleaned) -> Column:
 
 
 def _caption(s: Column) -> Column:
-    label = F.regexp_replace(F.regexp_extract(s, V.CAPTION, 1), r"^[ .:：]+|[ .:：]+\z", "")
+    # Bound once each: every use would take them from the text again.  No label is empty.
+    return let(F.regexp_extract(s, V.CAPTION, 1),
+               lambda label: F.when(label != "", let(_labelled(s, label), _whole_caption)))
+
+
+def _labelled(s: Column, label: Column) -> Column:
     body = F.btrim(F.regexp_replace(F.regexp_extract(s, V.CAPTION, 2),
-                                    "(?s)(?:" + V.CAPTION_BOUNDARY + r").*\z", ""),
+                                    "(?s)" + V.CAPTION_BOUNDARY + r".*\z", ""),
                    F.lit(" ,.;:'\"()"))
-    cap = F.trim(F.concat_ws(" ", label, body))
-    # Bound once: each of the tests below would take it from the text again.
-    return F.when(s.rlike(V.CAPTION), let(cap, _whole_caption))
+    return F.trim(F.concat_ws(" ", F.btrim(label, F.lit(" .:：")), body))
 
 
 def _whole_caption(cap: Column) -> Column:
     tail = F.regexp_replace(cap, V.CAPTION_HEAD, "")
     ok = (
         F.length(cap).between(8, 90)
-        & (word_ratio(cap) >= V.GRADE_MIN_WORD_RATIO)
-        & ~cap.rlike("['\"<>]")
         & cap.rlike(V.CAPTION_START)
         & (F.length(tail) >= 8)
+        & (word_ratio(cap) >= V.GRADE_MIN_WORD_RATIO)
+        & ~contains_any(cap, "'\"<>")
         & (digit_ratio(cap) <= 0.3)
     )
     return F.when(ok, cap)
