@@ -12,8 +12,8 @@ from .text import ascii_only, contains_any, fold_spaces, let, where_found
 COORDS_MARK = rf",{V.WS}*\p{{Nd}}{{1,4}}{V.WS}*,{V.WS}*\p{{Nd}}"
 
 
-# What the patterns of parser residue need one of, besides "<" and "http".
-_RESIDUE_CHARS = r"""['"_&\\\[\]{},]"""
+# What the patterns of parser residue need one of, besides "<" and "http", and all but printable ASCII.
+_NOT_PLAIN = r"""[\x00-\x1f"&',\[-\]_{}\x7f-\x{10ffff}]"""
 
 
 def _c(col) -> Column:
@@ -86,30 +86,25 @@ def strip_residue(col, drop_table_html: bool = True) -> Column:
     """Remove parser residue and markup, keep natural language.
 
     Every group of patterns runs only on texts that hold a character it needs.  What holds none of
-    these characters has tags and spaces at most.
+    these characters, and no white space but spaces, has tags and spaces at most.
     """
     tags = [V.HTML_TABLE_TAG, V.HTML_ANY_TAG] if drop_table_html else [V.HTML_ANY_TAG]
     return let(_c(col), lambda x: F.when(
-        x.rlike(_RESIDUE_CHARS) | F.contains(x, F.lit("http")), _without_residue(x, tags))
-        .otherwise(let(_untagged(x, tags), _spaced)))
+        x.rlike(_NOT_PLAIN) | F.contains(x, F.lit("http")), _without_residue(x, tags))
+        .otherwise(_plain(x, tags)))
 
 
-def _spaced(c: Column) -> Column:
-    """``_trimmed`` that looks for other white space than spaces only where there can be some."""
-    single = F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
-    return F.when(c.rlike(r"[\x00-\x1f\x7f-\x{10ffff}]"), _trimmed(c)).otherwise(
-        F.btrim(single, F.lit(V.RESIDUE_EDGE_CHARS)))
-
-
-def _untagged(c: Column, tags: list[str]) -> Column:
-    return where_found(c, ["<"], lambda x: _gsub(x, *tags))
+def _plain(c: Column, tags: list[str]) -> Column:
+    c = F.when(F.contains(c, F.lit("<")), _gsub(c, *tags)).otherwise(c)
+    return F.btrim(F.regexp_replace(c, " {2,}", " "), F.lit(V.RESIDUE_EDGE_CHARS))
 
 
 def _without_residue(c: Column, tags: list[str]) -> Column:
     c = where_found(c, ["'", '"'], lambda x: _gsub(
         x, V.RESIDUE_BBOX, V.RESIDUE_SCALAR, V.RESIDUE_KEY, V.RESIDUE_TYPE))
     c = where_found(c, ["_"], lambda x: _gsub(x, V.RESIDUE_BODY))
-    c = where_found(_untagged(c, tags), ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
+    c = where_found(c, ["<"], lambda x: _gsub(x, *tags))
+    c = where_found(c, ["&"], lambda x: _gsub(x, V.HTML_ENTITY))
     c = normalize_units(where_found(c, ["http"], lambda x: _gsub(x, V.URL)))
     c = where_found(c, ["'", '"', "[", "]", "{", "}"], lambda x: _gsub(x, V.STRUCT_PUNCT))
     c = _where_like(c, {m: f"{m}[{m}{V.WS[1:-1]}]*{m}" for m in ",'"},
@@ -166,14 +161,15 @@ def caption_of(cleaned) -> Column:
 
 
 def _caption(s: Column) -> Column:
-    # Bound once each: every use would take them from the text again.  No label is empty.
-    return let(F.regexp_extract(s, V.CAPTION, 1),
-               lambda label: F.when(label != "", let(_labelled(s, label), _whole_caption)))
+    # Bound once each: every use would take them from the text again.
+    return let(F.regexp_extract(s, V.CAPTION, 0), lambda found: F.when(found != "", let(
+        # The caption begins with its label, so that is found at once, without the text behind it.
+        F.regexp_extract(found, V.CAPTION_LABEL + "(?=" + V.CAPTION_CHARS + "{4})", 0),
+        lambda label: let(_labelled(label, F.substr(found, F.length(label) + 1)), _whole_caption))))
 
 
-def _labelled(s: Column, label: Column) -> Column:
-    body = F.btrim(F.regexp_replace(F.regexp_extract(s, V.CAPTION, 2),
-                                    "(?s)" + V.CAPTION_BOUNDARY + r".*\z", ""),
+def _labelled(label: Column, body: Column) -> Column:
+    body = F.btrim(F.regexp_replace(body, "(?s)" + V.CAPTION_BOUNDARY + r".*\z", ""),
                    F.lit(" ,.;:'\"()"))
     return F.trim(F.concat_ws(" ", F.btrim(label, F.lit(" .:：")), body))
 
